@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .textcore import Block, blocks, materialize, mix, windows
+from .textcore import Block, blocks, materialize, mix, pick, windows
 
 WORDS, BINS, BANDS, PERCENT = 5, 128, 32, 75
 _TRIES = 1024
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A null or blank text has no shingles and no links. A row without doc_id has no links, no component and is kept.
     Rows that repeat a doc_id report the same component if their texts have the same set.
     """
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     signed = materialize(docs.mapInArrow(_signed, schema))
     same = ["n_shingles", "set_a", "set_b"]

@@ -3,19 +3,87 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import compression, decontam, langid, lines, minhash, packing, pii, suffix, urls
+from .textcore import fold
+
+#: Ordinary prose against junk differs in marks, case and repetition: both classes have content of their own.
+QUALITY = compression.Recipe(window=128, level=6, min_match=4, base_bytes=2048, class_bytes=8192, segments=64, both_sides=True)
+#: Toxic passages are a few words in ordinary prose: short windows, and only the toxic side has marks.
+TOXICITY = compression.Recipe()
+THRESHOLD = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def _classified(spark: SparkSession, sf_dir: str, label: str, modulus: int, held: int, recipe: compression.Recipe) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compression.fit(*compression.labelled_sample(docs, table(spark, sf_dir, "labels"), label, modulus, held, recipe), recipe)
+    scored = compression.classify(docs, model, ["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, "quality", 5, 0, QUALITY)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, "toxic", 4, 2, TOXICITY)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.quality_rules(table(spark, sf_dir, "documents")).drop("repeated")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_minhash": op9_minhash}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, 4, 2)
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_urls, op3_quality, op4_toxicity, op5_decontamination, op6_suffix, op7_pii, op8_lines, op9_minhash, op10_language)
+}
 
 #: DuckDB twins of the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_lines": r"""
+        WITH split AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        placed AS (
+            SELECT doc_id, line, unit, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM split),
+        normal AS (
+            SELECT doc_id, line, start, start + length(unit) AS "end", trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS unit FROM placed),
+        counted AS (
+            SELECT *, min({'d': doc_id, 'l': line}) OVER (PARTITION BY unit) AS first FROM normal WHERE unit <> '' AND len(string_split(unit, ' ')) >= 10)
+        SELECT doc_id, line::INT AS line, start::INT AS start, "end"::INT AS "end", first.d AS first_doc_id, first.l::INT AS first_line FROM counted WHERE doc_id <> first.d OR line <> first.l""",
+}

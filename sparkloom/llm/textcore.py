@@ -157,6 +157,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """Just these columns. Names resolve exactly when the frame also has columns that differ in case only."""
-    return df.select(*[df[n] for n in names])
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Just these columns, by exact name: other columns, also such as differ in case only or repeat a name, do no harm."""
+    first = {n: i for i, n in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{first[n]}").alias(n) for n in names])
