@@ -7,8 +7,11 @@ picks.  BANDS bands of equal width give the buckets.  At similarity 0.75 a band
 
 Documents with one set collapse first.  In each bucket every member is paired with the bucket's least member (a
 star), and pairs are confirmed on the full sets.  A bucket whose members are then still in different components
-gets a second star around another centre, and after that exactly its pairs across components, so that no link
-between components is lost while groups of near copies never become all pairs.
+gets a second star around another centre.  Where components still meet in a bucket after that, the pairs across them
+are held against each other block by block, and only those come out that may be similar enough by a bitmap of each set: a
+bit that one set has and the other lacks is a member that the other lacks, so no similar pair is left out.  They are
+confirmed on the full sets like the others.  So no link between components is lost, and a group of near copies never
+becomes all its pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .components import connected_components
 from .textcore import Block, blocks, materialize, mix, pick, windows
 
 WORDS, BINS, BANDS, PERCENT = 5, 128, 32, 75
+BITMAP = 32  #: 64-bit numbers of a set's bitmap
+BLOCK = 1000  #: members of a bucket that are held against as many others in one task
 _TRIES = 1024
 
 
@@ -47,10 +52,10 @@ def shingle_sets(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     short = np.flatnonzero((counts > 0) & (counts < words))
     whole = []
     for i in short:
-        x = np.uint64(counts[i])
-        for y in h[ptr[i] : ptr[i + 1]]:
-            x = mix(np.array([x + y]))[0]
-        whole.append(x)
+        x = np.array([counts[i]], np.uint64)
+        for y in range(ptr[i], ptr[i + 1]):
+            x = mix(x + h[y : y + 1])
+        whole.append(x[0])
     if whole:
         text = np.concatenate([text, short])
         found = np.concatenate([found, np.array(whole, np.uint64)])
@@ -92,26 +97,70 @@ def signatures(members: np.ndarray, bounds: np.ndarray, donors: np.ndarray) -> n
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
+    """One bucket key per band of equal width."""
     width = BINS // BANDS
     keys = np.zeros((len(sig), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
     for i in range(width):
-        keys = mix(keys + sig[:, i::width][:, :BANDS])
+        keys = mix(keys + sig[:, i::width])
     return keys
 
 
+def bitmaps(members: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set a bitmap to which each member gives one bit."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    bit = (mix(members) % np.uint64(64 * BITMAP)).astype(np.int64)
+    out = np.zeros((len(bounds) - 1, BITMAP), np.uint64)
+    np.bitwise_or.at(out, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+def similar_bitmaps(n: np.ndarray, part: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs in different components that their bitmaps let be similar enough.
+
+    With m of x's n members missing in y, at most n - m are shared, so the similarity p/100 needs
+    100 (n - m) >= p (size of y + m).
+    """
+    names, inverse, counts = np.unique(part, return_inverse=True, return_counts=True)
+    few = np.flatnonzero(inverse != counts.argmax())
+    left, right = [], []
+    for x in np.array_split(few, max(1, len(few) * len(n) // 100_000)):
+        more = np.zeros((len(x), len(n)), np.int64)
+        less = np.zeros_like(more)
+        for k in range(bits.shape[1]):
+            own, other = bits[x, k][:, None], bits[None, :, k]
+            more += np.bitwise_count(own & ~other)
+            less += np.bitwise_count(other & ~own)
+        nx, ny = n[x][:, None], n[None]
+        ok = (inverse[x][:, None] != inverse[None]) & (100 * (nx - more) >= PERCENT * (ny + more)) & (100 * (ny - less) >= PERCENT * (nx + less))
+        i, j = np.nonzero(ok)
+        left.append(x[i])
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _block_pairs(rows: pa.Table) -> pa.Table:
+    """applyInArrow: similar_bitmaps of one block of a bucket."""
+    ids = rows.column("id").to_numpy()
+    bits = np.asarray(rows.column("bitmap").combine_chunks().flatten()).astype(np.int64).view(np.uint64).reshape(len(ids), BITMAP)
+    i, j = similar_bitmaps(rows.column("n").to_numpy(), rows.column("part").to_numpy(), bits)
+    pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     donors = _donors()
     for part, block in blocks(batches, "text"):
         members, bounds = shingle_sets(block)
-        keys = band_keys(signatures(members, bounds, donors)).view(np.int64)
+        sig = signatures(members, bounds, donors)
+        keys, bits = band_keys(sig).view(np.int64), bitmaps(members, bounds).view(np.int64)
         sums = np.zeros((2, len(members) + 1), np.uint64)
         np.cumsum(members, out=sums[0, 1:])
         np.cumsum(mix(members ^ np.uint64(0xA5A5A5A5)), out=sums[1, 1:])
         s = (sums[:, bounds[1:]] - sums[:, bounds[:-1]]).view(np.int64)
-        offsets = pa.array(np.arange(len(block) + 1, dtype=np.int32) * BANDS)
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (keys, bits)]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(s[0]), pa.array(s[1]), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-            ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+            [part.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(s[0]), pa.array(s[1]), *lists],
+            ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bitmap"],
         )
 
 
@@ -141,19 +190,37 @@ def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _stars(rows: DataFrame, centre) -> DataFrame:
-    """Pairs of every bucket member with the bucket's centre. rows: key, id, n; centre: the order that picks it."""
-    hubs = materialize(rows.groupBy("key").agg(F.min_by(F.struct("id", "n"), centre).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub"))
-    pairs = rows.join(hubs, "key").where("id <> hub.id AND 100 * least(n, hub.n) >= 75 * greatest(n, hub.n)")
+    """Pairs of every bucket member with the bucket's centre, if they are in different components and near in size.
+
+    rows: key, id, n, part (component); centre: the order that picks it.
+    """
+    hubs = materialize(rows.groupBy("key").agg(F.min_by(F.struct("id", "n", "part"), centre).alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub"))
+    pairs = rows.join(hubs, "key").where(f"part <> hub.part AND 100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)")
     return pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
 def _mixed(rows: DataFrame, labels: DataFrame, least_size: int) -> DataFrame:
     """Members, with their component, of the buckets that still span several components."""
     named = materialize(rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("part")))
-    open_keys = materialize(named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where(F.expr(f"lo <> hi AND size >= {least_size}")).select("key"))
+    open_keys = materialize(named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where(F.expr(f"lo <> hi AND size >= {least_size}")).select("key", "size"))
     return materialize(named.join(open_keys, "key"))
 
 
+def _across(mixed: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs of members of one bucket and different components that their bitmaps let be similar enough.
+
+    A bucket is cut into parts of about BLOCK members by a hash, and each two parts meet in a block of their own, so
+    that no task holds a whole bucket.
+    """
+    ids = materialize(mixed.select("id").distinct())
+    bits = signed.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap").join(ids, "id", "left_semi").groupBy("id", "n").agg(F.any_value("bitmap").alias("bitmap"))
+    full = mixed.join(materialize(bits), ["id", "n"])
+    cuts = F.ceil(F.col("size") / BLOCK).cast("int")
+    full = full.withColumn("own", F.pmod(F.xxhash64("id"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    blocks_ = full.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "part", "bitmap")
+    return blocks_.groupBy("key", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text string; others are ignored).
 
@@ -161,7 +228,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id report the same component if their texts have the same set.
     """
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bitmap", T.ArrayType(T.LongType()))])
     signed = materialize(docs.mapInArrow(_signed, schema))
     same = ["n_shingles", "set_a", "set_b"]
     sets = materialize(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.count("*").alias("copies")))
@@ -169,17 +236,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     rows = materialize(rows.join(materialize(shared), "key"))
     docs = docs.where("doc_id IS NOT NULL")
-    links = _confirm(_stars(rows, F.col("id")), docs)
+    links = _confirm(_stars(rows.withColumn("part", F.col("id")), F.col("id")), docs)
     labels = connected_components(links)
     mixed = _mixed(rows, labels, 3)
     if mixed.limit(1).count():
         links = links.union(_confirm(_stars(mixed, F.xxhash64("id", "key")), docs))
         labels = connected_components(links)
-        mixed = _mixed(mixed.drop("part"), labels, 4)
+        mixed = _mixed(mixed.drop("part", "size"), labels, 4)
         if mixed.limit(1).count():
-            x, y = mixed.alias("x"), mixed.alias("y")
-            across = x.join(y, F.expr("x.key = y.key AND x.id < y.id AND x.part <> y.part AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)"))
-            links = links.union(_confirm(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), docs))
+            links = links.union(_confirm(_across(mixed, signed), docs))
             labels = connected_components(links)
     named = sets.select(*same, "id", "copies").join(labels.withColumnRenamed("node", "id"), "id", "left")
     groups = materialize(named.where("copies > 1 OR label <> id").select(*same, F.coalesce("label", "id").alias("part")))
