@@ -104,7 +104,7 @@ def python_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
     """
     lines = text.splitlines()
     defs = [(i, len(m[1]), m[2]) for i, line in enumerate(lines) if (m := re.match(catalog.PY_DEF_PATTERN, line))]
-    for (start, indent, name), following in zip(defs, [*[d[0] for d in defs[1:]], len(lines)], strict=True):
+    for (start, indent, name), following in zip(defs, [*[d[0] for d in defs[1:]], len(lines)], strict=False):
         body = range(start + 1, following)
         end = next((k for k in body if lines[k].strip() and _spaces(lines[k]) <= indent and not lines[k].strip().startswith("#")), following)
         if end - start > catalog.LONG_FUNCTION_LINES:
