@@ -26,11 +26,11 @@ class Recipe:
 
     window: int = 40  #: bytes of a window, at most; windows end at blanks where they can
     level: int = 6
-    min_match: int = 6
-    base_bytes: int = 2048  #: ordinary text that both dictionaries hold
+    min_match: int = 5
+    base_bytes: int = 4096  #: ordinary text that both dictionaries hold
     class_bytes: int = 0  #: bytes of each class's own zstandard-trained content
     segments: int = 64  #: words or word beginnings, at most, that mark either class
-    least_gain: float = 15.0  #: log-likelihood gain that a segment needs
+    least_gain: float = 30.0  #: log-likelihood gain that a segment needs; above twice the logarithm of the number of candidates
     least_ratio: float = 8.0  #: times as frequent in its class
     both_sides: bool = False  #: whether the negative class has segments too
     max_rows: int = 2000  #: labelled rows of each class that the fit reads, at most; the least by hash
@@ -137,7 +137,7 @@ class Scorer:
         raw = max(1, len(text))
         d = a - b
         top = np.sort(d)
-        return [d.mean(), d.sum() / raw, top[-1], top[-3:].mean(), top[0], top[:3].mean(), (d >= 3).mean(), (d >= 4).mean(), (d >= 6).mean(), np.log1p((d >= 4).sum()), np.log1p((d >= 6).sum()), (d <= -3).mean(), a.sum() / raw, b.sum() / raw]
+        return [d.mean(), d.sum() / raw, top[-1], top[-3:].mean(), top[0], top[:3].mean(), (d >= 3).mean(), (d >= 4).mean(), (d >= 6).mean(), np.log1p((d >= 4).sum()), np.log1p((d >= 6).sum()), (d >= 8).mean(), np.log1p((d >= 8).sum()), (d <= -3).mean(), a.sum() / raw, b.sum() / raw]
 
     def score(self, text: bytes) -> float:
         """0 to 1, higher: label 1 likelier."""
