@@ -6,6 +6,11 @@ markers are found by one equi-join of marker paths with the listing.
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,3 +211,139 @@ def first_paragraph(text: Column) -> Column:
     kept = F.filter(lines, lambda x: ~(F.startswith(x, F.lit("#")) | F.startswith(x, F.lit("![")) | F.startswith(x, F.lit("[!["))))
     joined = F.array_join(F.transform(kept, lambda x: F.when(x == "", F.lit("\u0001")).otherwise(x)), " ")
     return F.trim(F.coalesce(F.try_element_at(F.filter(F.transform(F.split(joined, "\u0001"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1)), F.lit("")))
+
+
+def service_names(text: str) -> list[str]:
+    """Names in the services blocks of a compose file: any key alone on its line that is indented deeper than the header."""
+    lines = text.splitlines()
+    heads = [i for i, x in enumerate(lines) if re.match(r"^\s*services\s*:\s*$", x)]
+    out = []
+    for head, following in zip(heads, [*heads[1:], len(lines)], strict=False):
+        base = _indent(lines[head])
+        for line in itertools.takewhile(lambda x: not x.strip() or _indent(x) > base, lines[head + 1 : following]):  # noqa: B023
+            out += re.findall(r"^\s{2,}([A-Za-z0-9._-]+)\s*:\s*$", line)
+    return out
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip(" "))
+
+
+def compose_services(files: DataFrame) -> DataFrame:
+    """repo, service, first_at of the services in the compose files at the root, once each."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(r, p, i, n) for r, p, t in zip(*[b.column(c).to_pylist() for c in ("repo", "path", "text")], strict=True) for i, n in enumerate(service_names(t or ""))]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.int32(), pa.string()], strict=True)], ["repo", "path", "at", "service"])
+
+    order = F.array_position(F.array(*[F.lit(f) for f in catalog.COMPOSE_FILES]), F.col("path"))
+    rows = files.where(F.col("path").isin(catalog.COMPOSE_FILES)).select("repo", "path", "text").mapInArrow(found, "repo string, path string, at int, service string")
+    return rows.groupBy("repo", "service").agg(F.min(F.struct(order.alias("file"), F.col("at"))).alias("first_at"))
+
+
+def entry_points(files: DataFrame) -> DataFrame:
+    """repo, entry, first_at: what package.json names as main, module, browser and bin, then conventional files."""
+    package = files.where("path = 'package.json'").select("repo", F.from_json("text", "struct<main:string,module:string,browser:string,bin:string>").alias("j"), F.from_json("text", "struct<bin:map<string,string>>").alias("b"))
+    strings = F.array("j.main", "j.module", "j.browser", F.when(F.col("b.bin").isNull(), F.col("j.bin")))
+    plain = F.filter(F.array_compact(strings), lambda x: (x != "") & ~x.rlike(r"^[\[{]"))
+    named = package.select("repo", F.lit(0).alias("source"), F.posexplode(F.concat(plain, F.coalesce(F.map_values("b.bin"), F.expr("CAST(array() AS array<string>)")))).alias("at", "entry"))
+    at = F.array_position(F.array(*[F.lit(p) for p in catalog.ENTRY_POINTS]), F.col("path")).cast("int")
+    usual = files.where(F.col("path").isin(catalog.ENTRY_POINTS)).select("repo", F.lit(1).alias("source"), at.alias("at"), F.col("path").alias("entry"))
+    return named.union(usual).groupBy("repo", "entry").agg(F.min(F.struct("source", "at")).alias("first_at"))
+
+
+def config_files(files: DataFrame) -> DataFrame:
+    """repo, path of the configuration files; those whose own name begins with a dot are skipped like all hidden paths."""
+    return tree.glob_files(files.where(~tx.is_hidden_or_skipped("path")), catalog.CONFIG_GLOBS)
+
+
+def descriptions(files: DataFrame) -> DataFrame:
+    """repo, description: the readme's first paragraph, else the package's, else the project's own."""
+    toml = files.where("path = 'pyproject.toml'").withColumn("text", tree.toml_json("text")).select("repo", F.lit(3).alias("source"), F.from_json("text", "struct<project:struct<description:string>>")["project"]["description"].alias("d"))
+    readme = files.where("path = 'README.md'").select("repo", F.lit(1).alias("source"), first_paragraph(F.col("text")).alias("d"))
+    package = files.where("path = 'package.json'").select("repo", F.lit(2).alias("source"), F.from_json("text", "struct<description:string>")["description"].alias("d"))
+    rows = readme.union(package).union(toml).withColumn("d", F.trim("d")).where("d <> ''")
+    return rows.groupBy("repo").agg(F.min_by("d", "source").alias("description"))
+
+
+# Fixed values. What is left to confirm by hand.
+CONFIRM = {
+    "always": "Confirm architecture pattern classification",
+    "description": "Add a concise project description from the codebase context",
+    "no_naming": "Identify naming conventions not captured by heuristics",
+    "naming": "Identify domain-specific conventions not captured by heuristics",
+    "libraries": "Verify key libraries and runtime integrations",
+    "folders": "Label important folders that heuristics could not classify",
+    "environment": "Confirm required environment setup and local services",
+}
+
+
+def architecture(files: DataFrame) -> DataFrame:
+    """One row per repository: patterns, key_libraries, naming, folder_structure, config_files, entry_points,
+    project_description, env_keys, docker_services, ai_refinement_needed."""
+    paths = lookups.with_ancestors(files)
+
+    def ordered(df: DataFrame, value: str, order: str, name: str) -> DataFrame:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"])
+        return df.groupBy("repo").agg(listed.alias(name))
+
+    layout_order = F.array_position(F.array(*[F.lit(k) for k in catalog.LAYOUTS]), F.col("layout"))
+    libraries = lookups.categories(dependencies(files), "name").groupBy("repo", "category").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("first_at").alias("o"), F.col("name").alias("v")))), lambda x: x["v"]).alias("names"))
+    folders = lookups.folder_structure(paths)
+    out = files.select("repo").distinct()
+    for part in (
+        ordered(lookups.layouts(paths).withColumn("o", layout_order), "layout", "o", "patterns"),
+        libraries.groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct("category", "names"))).alias("libraries")),
+        naming(files).groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct("kind", "style"))).alias("styles")),
+        folders.groupBy("repo").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "label"))), lambda x: F.struct(x["path"], x["label"]))).alias("folders")),
+        config_files(files).groupBy("repo").agg(F.sort_array(F.collect_list("path")).alias("configs")),
+        ordered(entry_points(files), "entry", "first_at", "entries"),
+        descriptions(files),
+        ordered(env_keys(files), "key", "first_at", "keys"),
+        ordered(compose_services(files), "service", "first_at", "services"),
+    ):
+        out = out.join(part, "repo", "left")
+    none = F.expr("CAST(array() AS array<string>)")
+    or_none = lambda c: F.coalesce(F.col(c), none)
+    style = lambda k: F.coalesce(F.try_element_at("styles", F.lit(k)), F.lit(""))
+    empty = lambda c: F.size(F.coalesce(F.col(c), none)) == 0
+    todo = F.array_compact(
+        F.array(
+            F.lit(CONFIRM["always"]),
+            F.when(F.coalesce("description", F.lit("")) == "", CONFIRM["description"]),
+            F.when((style("files") == "") | (style("variables") == ""), CONFIRM["no_naming"]).otherwise(CONFIRM["naming"]),
+            F.when(F.col("libraries").isNull(), CONFIRM["libraries"]),
+            F.when(F.col("folders").isNull(), CONFIRM["folders"]),
+            F.when(empty("keys") & empty("services"), CONFIRM["environment"]),
+        )
+    )
+    return out.select(
+        "repo", or_none("patterns").alias("patterns"), F.create_map(*[x for k in catalog.LIBRARIES for x in (F.lit(k), F.coalesce(F.try_element_at("libraries", F.lit(k)), none))]).alias("key_libraries"),
+        F.create_map(*[x for k in ("files", "variables", "components", "tests") for x in (F.lit(k), style(k))]).alias("naming"), F.coalesce("folders", F.expr("CAST(map() AS map<string,string>)")).alias("folder_structure"),
+        or_none("configs").alias("config_files"), or_none("entries").alias("entry_points"), F.coalesce("description", F.lit("")).alias("project_description"), or_none("keys").alias("env_keys"), or_none("services").alias("docker_services"), todo.alias("ai_refinement_needed"),
+    )
+
+
+# Which commands would run where
+
+
+def run_order(local: DataFrame, detected: DataFrame) -> DataFrame:
+    """scope, name, root, ord of the workspaces in running order. Both frames: name, root, ord.
+
+    Detected names come first, then those that are local only; a local workspace's root holds. The first workspace at the
+    repository's root has scope 'root'.
+    """
+    x, y = detected.select("name", F.col("root").alias("d_root"), F.col("ord").alias("d_ord")), local.select("name", F.col("root").alias("l_root"), F.col("ord").alias("l_ord"), F.lit(True).alias("own"))
+    both = x.join(y, "name", "full_outer")
+    usual = F.when(F.col("name") == "root", ".").otherwise(F.col("name"))
+    root = F.trim(F.coalesce(F.nullif(F.when(F.col("own"), F.coalesce("l_root", usual)).otherwise(F.coalesce("d_root", usual)), F.lit("")), "name", F.lit(".")))
+    rows = both.select("name", root.alias("root"), F.struct(F.col("d_ord").isNull().alias("late"), F.coalesce("d_ord", "l_ord").alias("at")).alias("ord"))
+    first = rows.where("root IN ('.', '')").agg(F.min("ord").alias("first"))
+    return rows.join(first, how="left").select(F.when(F.col("ord") == F.col("first"), "root").otherwise(F.col("name")).alias("scope"), "name", "root", "ord")
+
+
+def diff_commands(commands: DataFrame) -> DataFrame:
+    """scope, key, value of what a diff review runs: configured lint and typecheck commands; nothing is inherited."""
+    return commands.where("key IN ('lint', 'typecheck')").withColumn("value", F.trim(F.coalesce("value", F.lit("")))).where("value <> ''").select("scope", "key", "value")

@@ -75,3 +75,29 @@ def test_tree(spark, tmp_path):
     assert {(r.path, r.text) for r in tree.decoded(files).collect()} == {("a.py", "x\ny\nz"), ("__init__.py", "1"), (".env", "k")}
     assert tree.read_tree(spark, str(tmp_path), everything=True).count() == 6
     assert tree.base_ref(None, "", None, {"main", "master"}) == "main" and tree.base_ref("x", None, None, set()) == "x"
+
+
+def test_architecture(spark):
+    more = [
+        ("r", "README.md", "# T\n[![b]\nHello\nworld\n\nmore"), ("r", "docker-compose.yml", "x: 1\nservices:\n  web:\n    ports:\n      - 1\n\n  db:\nvolumes:\n  data:\nservices:\n  late:\n"),
+        ("r", "manage.py", ""), ("r", "tsconfig.base.json", "{}"), ("r", ".eslintrc", ""), ("s", "package.json", '{"main": "m.js", "browser": {"a": "b"}, "bin": {"x": "bin/x.js", "y": "m.js"}, "description": " D "}'),
+    ]
+    got = {r.repo: r for r in profile.architecture(spark.createDataFrame(FILES + more, "repo string, path string, text string")).collect()}
+    r = got["r"]
+    assert r.patterns == ["mvc"] and r.project_description == "Hello world" and r.env_keys == ["A", "B", "export K"] and r.docker_services == ["web", "ports", "db", "late"]
+    assert r.key_libraries["framework"] == ["next-auth", "fastapi", "github.com/gin", "rails"] and r.key_libraries["http"] == []
+    assert r.config_files == [".github/workflows/ci.yml", "docker-compose.yml", "next.config.mjs", "pyproject.toml", "tsconfig.base.json"] and r.entry_points == ["manage.py"]
+    assert sorted(r.folder_structure)[:2] == [".github", ".github/workflows"] and r.naming["tests"] == "test_*.py" and r.naming["components"] == ""
+    assert r.ai_refinement_needed == [profile.CONFIRM["always"], profile.CONFIRM["naming"]]
+    s = got["s"]
+    assert s.entry_points == ["m.js", "bin/x.js"] and s.project_description == "D" and s.folder_structure == {} and len(s.ai_refinement_needed) == 5
+
+
+def test_run_order(spark):
+    schema = "name string, root string, ord int"
+    local = spark.createDataFrame([("b", "./", 0), ("root", None, 1), ("new", " ", 2)], schema)
+    detected = spark.createDataFrame([("a", "pa", 0), ("root", ".", 1), ("b", "pb", 2)], schema)
+    got = [(r.scope, r.root) for r in profile.run_order(local, detected).orderBy("ord").collect()]
+    assert got == [("a", "pa"), ("root", "."), ("b", "./"), ("new", "")]
+    commands = spark.createDataFrame([("a", "lint", " x "), ("a", "test", "y"), ("b", "typecheck", " ")], "scope string, key string, value string")
+    assert [tuple(r) for r in profile.diff_commands(commands).collect()] == [("a", "lint", "x")]
