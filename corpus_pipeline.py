@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold. The model learns from the labelled rows of this stage's input."""
     labels = table(spark, sf_dir, "labels")
-    model = compression.fit(*compression.labelled_sample(docs, labels, "quality", 5, 0, QUALITY), QUALITY)
+    model = compression.fit_labelled(docs, labels, "quality", 5, 0, QUALITY)
     scored = compression.classify(docs, model, COLUMNS)
     return scored.where(F.col("score") >= THRESHOLD).select(*COLUMNS)
 

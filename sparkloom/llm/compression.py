@@ -7,6 +7,7 @@ through a logistic calibration that is fitted on texts whose own words did not b
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -24,13 +25,14 @@ from .textcore import blocks, fold, pick
 class Recipe:
     """Parameters of a compression classifier."""
 
-    window: int = 40  #: bytes of a window, at most; windows end at blanks where they can
+    window: int = 32  #: bytes of a window, at most; windows end at blanks where they can
     level: int = 6
     min_match: int = 5
     base_bytes: int = 4096  #: ordinary text that both dictionaries hold
     class_bytes: int = 0  #: bytes of each class's own zstandard-trained content
     segments: int = 64  #: words or word beginnings, at most, that mark either class
-    least_gain: float = 30.0  #: log-likelihood gain that a segment needs; above twice the logarithm of the number of candidates
+    extensions: int = 60  #: most frequent words for each segment that they begin with, at most
+    least_gain: float = 50.0  #: log-likelihood gain that a segment needs; above twice the logarithm of the number of candidates
     least_ratio: float = 8.0  #: times as frequent in its class
     both_sides: bool = False  #: whether the negative class has segments too
     max_rows: int = 2000  #: labelled rows of each class that the fit reads, at most; the least by hash
@@ -92,7 +94,12 @@ def _marks(own: tuple[dict, int], other: tuple[dict, int], recipe: Recipe) -> li
     for _, _, word in sorted(gains, reverse=True):
         if len(chosen) < recipe.segments and not any(word.startswith(x) or x.startswith(word) for x in chosen):
             chosen.append(word)
-    return chosen[::-1]
+    # whole words that begin so make longer matches; the strongest come last, where they are cheapest to reach
+    out = []
+    for mark in chosen[::-1]:
+        whole = sorted(((n, w) for w, n in own[0].items() if w.startswith(mark) and w != mark), reverse=True)[: recipe.extensions]
+        out += [w for _, w in whole[::-1]] + [mark]
+    return out
 
 
 def build(texts: list[bytes], labels: np.ndarray, recipe: Recipe) -> Model:
@@ -163,13 +170,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40)
     return mean, scale, w
 
 
-def fit(texts: list[bytes], labels: list[int], recipe: Recipe) -> Model:
+def fit(texts: list[bytes], labels: list[int], recipe: Recipe, totals: tuple[int, int] | None = None) -> Model:
     """Dictionaries from all texts; the calibration from two halves, each scored with the other half's dictionaries.
 
-    Equal texts go to one half. With fewer than two different texts of a class, the score is the smoothed rate of label 1.
+    totals: how many rows of label 0 and 1 there are, where the texts are a sample that has other shares; the scores
+    then follow the shares of all rows. Equal texts go to one half. With fewer than two different texts of a class, the score is the smoothed rate of label 1.
     """
     y = np.array(labels, float)
-    prior = float((y.sum() + 0.5) / (len(y) + 1))
+    own = np.array([(y == 0).sum(), (y == 1).sum()]) + 0.5
+    every = own if totals is None else np.array(totals) + 0.5
+    prior = float(every[1] / every.sum())
     half = np.array([hash_text(t) & 1 for t in texts], bool)
     whole = replace(build(texts, y, recipe), prior=prior)
     width = len(Scorer(whole).features(b""))
@@ -182,17 +192,16 @@ def fit(texts: list[bytes], labels: list[int], recipe: Recipe) -> Model:
         for i in np.flatnonzero(half == side):
             x[i] = scorer.features(texts[i])
     mean, scale, weights = logistic(x, y)
+    weights[-1] += np.log(every[1] / every[0]) - np.log(own[1] / own[0])
     return replace(whole, mean=mean, scale=scale, weights=weights)
 
 
 def hash_text(text: bytes) -> int:
-    import zlib
-
     return zlib.crc32(text) >> 7
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, recipe: Recipe) -> tuple[list[bytes], list[int]]:
-    """At most max_rows labelled rows of each class outside the held-out fold, the least by a hash of their key."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, recipe: Recipe) -> tuple[list[bytes], list[int], tuple[int, int]]:
+    """At most max_rows labelled rows of each class outside the held-out fold, the least by a hash of their key; and how many there are of each."""
     marked = pick(labels, "doc_id", label).select("doc_id", F.col(label).cast("int").alias("mark")).where("mark IN (0, 1)").where(fold("doc_id", modulus) != held)
     rank = F.xxhash64(F.lit(11), "doc_id")
     # a first cut by the key alone keeps the texts of all other rows out of the join
@@ -202,7 +211,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         few = part if few is None else few.union(part)
     rows = pick(docs, "doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= recipe.max_chars)).join(F.broadcast(few), "doc_id")
     got = sorted((r.text.encode(), r.mark) for r in rows.select("text", "mark").collect())
-    return [t for t, _ in got], [k for _, k in got]
+    counts = {r.mark: r["count"] for r in marked.groupBy("mark").count().collect()}
+    return [t for t, _ in got], [k for _, k in got], (counts.get(0, 0), counts.get(1, 0))
+
+
+def fit_labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, recipe: Recipe) -> Model:
+    """fit on labelled_sample."""
+    texts, marks, totals = labelled_sample(docs, labels, label, modulus, held, recipe)
+    return fit(texts, marks, recipe, totals)
 
 
 def classify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

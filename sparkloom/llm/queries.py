@@ -29,7 +29,7 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _classified(spark: SparkSession, sf_dir: str, label: str, modulus: int, held: int, recipe: compression.Recipe) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = compression.fit(*compression.labelled_sample(docs, table(spark, sf_dir, "labels"), label, modulus, held, recipe), recipe)
+    model = compression.fit_labelled(docs, table(spark, sf_dir, "labels"), label, modulus, held, recipe)
     scored = compression.classify(docs, model, ["doc_id"])
     return scored.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

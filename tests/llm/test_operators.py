@@ -164,6 +164,13 @@ def test_compression_held_out():
         assert abs(compression.Scorer(again).score(x[700]) - scorer.score(x[700])) < 1e-6
 
 
+def test_scores_follow_the_shares_of_all_rows():
+    x = [f"plain words number {i} of them".encode() for i in range(40)] + [f"vermin words number {i} of them".encode() for i in range(40)]
+    y = [0] * 40 + [1] * 40
+    even, rare = compression.fit(x, y, queries.TOXICITY), compression.fit(x, y, queries.TOXICITY, (4000, 40))
+    assert rare.weights[-1] < even.weights[-1] - 4 and rare.prior < 0.02 < even.prior
+
+
 @pytest.mark.parametrize("labels", [[], [1], [0, 1], [1, 1, 1, 1]])
 def test_compression_with_few_labels(labels):
     model = compression.fit([f"text number {i} of a few".encode() for i in range(len(labels))], labels, queries.QUALITY)
@@ -177,9 +184,10 @@ def test_classify_odd_rows(spark):
     assert compression.classify(empty(spark), model, ["doc_id"]).count() == 0
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(40)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(i, f"text {i}", None, None, None) for i in range(40)] + [(41, None, None, None, None)], DOC)
-    texts, marks = compression.labelled_sample(docs, labels, "quality", 5, 0, queries.QUALITY)
+    texts, marks, totals = compression.labelled_sample(docs, labels, "quality", 5, 0, queries.QUALITY)
     assert sorted(zip(texts, marks, strict=True)) == sorted((f"text {i}".encode(), i % 2) for i in range(40) if zlib.crc32(str(i).encode()) % 5)
-    assert compression.labelled_sample(docs, labels, "toxic", 5, 0, queries.QUALITY) == ([], [])
+    assert totals == (marks.count(0), marks.count(1))
+    assert compression.labelled_sample(docs, labels, "toxic", 5, 0, queries.QUALITY) == ([], [], (0, 0))
 
 
 # 5
