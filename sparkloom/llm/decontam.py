@@ -11,6 +11,7 @@ posting lists.  Items above the threshold are then confirmed by the word pairs o
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +95,7 @@ class Index:
         self.rest = np.zeros(n)
         for t in np.flatnonzero(self.frequent):
             self.rest[self.docs[t]] += self.weights[t]
+        self.lists = ([d.tolist() for d in self.docs], [w.tolist() for w in self.weights], [b.tolist() for b in self.bounds], [float(w.max()) for w in self.weights])
         self.slots = np.zeros(1 << 16, bool)
         self.slots[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
 
@@ -128,49 +130,47 @@ class Index:
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score for the distinct terms reaches the threshold, by block-max WAND."""
-        end = len(self.ids)
-        lists = [[int(self.docs[t][0]), 0, float(self.weights[t].max()), t] for t in terms]
+        end, least = len(self.ids), threshold - 1e-9
+        docs, weights, bounds, tops = self.lists
+        cursors = [[docs[t][0], 0, t] for t in terms]  # item, place in the list, term
         out = []
         while True:
-            lists = [x for x in lists if x[0] < end]
-            lists.sort(key=lambda x: x[0])
+            cursors.sort()
+            while cursors and cursors[-1][0] >= end:
+                cursors.pop()
             total, pivot = 0.0, -1
-            for i, x in enumerate(lists):
-                total += x[2]
-                if total >= threshold - 1e-9:
+            for i, x in enumerate(cursors):
+                total += tops[x[2]]
+                if total >= least:
                     pivot = i
                     break
             if pivot < 0:
                 return out
-            doc = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == doc:
+            doc = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == doc:
                 pivot += 1
-            # the blocks that would hold doc
-            bound, skip = 0.0, end if pivot + 1 >= len(lists) else lists[pivot + 1][0]
-            for x in lists[: pivot + 1]:
-                docs = self.docs[x[3]]
-                k = (x[1] + int(np.searchsorted(docs[x[1] :], doc))) // POSTINGS
-                if k * POSTINGS < len(docs):
-                    bound += float(self.bounds[x[3]][k])
-                    skip = min(skip, int(docs[min(len(docs), (k + 1) * POSTINGS) - 1]) + 1)
-            if bound < threshold - 1e-9:
+            # the bounds of the posting blocks that would hold the item
+            bound, skip = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end
+            for x in cursors[: pivot + 1]:
+                own = docs[x[2]]
+                k = x[1] // POSTINGS if x[0] == doc else bisect_left(own, doc, x[1]) // POSTINGS
+                if k < len(bounds[x[2]]):
+                    bound += bounds[x[2]][k]
+                    skip = min(skip, own[min(len(own), (k + 1) * POSTINGS) - 1] + 1)
+            if bound < least:
                 target = max(skip, doc + 1)
-                for x in lists[: pivot + 1]:
-                    self._seek(x, target, end)
-            elif lists[0][0] == doc:
-                score = sum(float(self.weights[x[3]][x[1]]) for x in lists[: pivot + 1])
-                if score >= threshold - 1e-9:
+            elif cursors[0][0] == doc:
+                score = sum(weights[x[2]][x[1]] for x in cursors[: pivot + 1])
+                if score >= least:
                     out.append((doc, score))
-                for x in lists[: pivot + 1]:
-                    self._seek(x, doc + 1, end)
+                target = doc + 1
             else:
-                for x in lists[:pivot]:
-                    self._seek(x, doc, end)
-
-    def _seek(self, cursor: list, doc: int, end: int) -> None:
-        docs = self.docs[cursor[3]]
-        cursor[1] += int(np.searchsorted(docs[cursor[1] :], doc))
-        cursor[0] = int(docs[cursor[1]]) if cursor[1] < len(docs) else end
+                target = doc
+            for x in cursors[: pivot + 1]:
+                if x[0] < target:
+                    own = docs[x[2]]
+                    x[1] = bisect_left(own, target, x[1])
+                    x[0] = own[x[1]] if x[1] < len(own) else end
 
     def overlap(self, item: int, words: np.ndarray) -> tuple[float, float]:
         """The shares of the word pairs of question and answer that words hold. A part of one word counts as that word."""
