@@ -1,8 +1,8 @@
 """URL filters: allow and block rules by host suffix and path prefix, then a path-template tree learned from labels.
 
 Only DataFrame functions run here.  A path is cut into segments, digits count as ``{n}``, and what lies deeper than
-DEPTH is one last segment.  Level by level, per host: a segment stays a branch of its own if SUPPORT urls take it and
-its node has few children, else it is the wildcard ``*``.  Bottom-up, a branch whose labelled rate does not differ
+DEPTH is one last segment.  Level by level, per host: a segment stays a branch of its own if SUPPORT urls take it, however
+many siblings it has, else it is the wildcard ``*``.  Bottom-up, a branch whose labelled rate does not differ
 significantly from its parent's merges into it; the rate of a branch is smoothed towards its parent's, a host's towards
 the whole corpus's.  A template whose smoothed rate of bad labels reaches REJECT is blocked.
 """
@@ -16,7 +16,6 @@ from .textcore import materialize, pick
 
 DEPTH = 3
 SUPPORT = 5  #: urls that a branch of its own needs
-FANOUT = 50  #: children of a node from which on its segment is variable, unless they average SUPPORT * 4 urls
 SMOOTHING = 10.0  #: labels that the parent's rate weighs
 SIMILAR = 1.96  #: standard errors below which a branch merges into its parent
 REJECT = 0.5
@@ -62,9 +61,7 @@ def fit_templates(pages: DataFrame) -> DataFrame:
     known: list[str] = []
     for i, s in enumerate(raw):
         below = shapes.groupBy("host", *known, s).agg(F.sum("n").alias("c"))
-        nodes = below.groupBy("host", *known).agg(F.count("*").alias("fan"), F.sum("c").alias("all"))
-        fixed = materialize(nodes.where((F.col("fan") <= FANOUT) | (F.col("all") >= 4 * SUPPORT * F.col("fan"))).select("host", *known))
-        stay = materialize(below.where(F.col("c") >= SUPPORT)).join(fixed, ["host", *known], "left_semi").select("host", *known, s, F.col(s).alias(f"t{i + 1}"))
+        stay = below.where(F.col("c") >= SUPPORT).select("host", *known, s, F.col(s).alias(f"t{i + 1}"))
         shapes = materialize(shapes.join(materialize(stay), ["host", *known, s], "left").withColumn(f"t{i + 1}", F.coalesce(f"t{i + 1}", F.lit("*"))))
         known.append(f"t{i + 1}")
     total = shapes.agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).first()

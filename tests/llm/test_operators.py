@@ -139,6 +139,15 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), labels.limit(0)).count() == 0
 
 
+def test_a_branch_with_support_stays_whatever_its_siblings(spark):
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(360)], "doc_id long, quality int")
+    for siblings in (40, 300):
+        slugs = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}-slug" for i in range(siblings)]
+        given = [(i, f"x://w.net/spam/{i}") for i in range(60)] + [(60 + i, f"x://w.net/{s}/{60 + i}") for i, s in enumerate(slugs)]
+        got = urls.judge(spark.createDataFrame(given, "page_id long, url string"), labels).collect()
+        assert all(r.verdict == ("block" if r.page_id < 60 else "allow") for r in got), siblings
+
+
 # 3 and 4
 
 
