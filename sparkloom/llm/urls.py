@@ -1,20 +1,21 @@
 """URL filters: allow and block rules by host suffix and path prefix, then a path-template tree learned from labels.
 
-Only DataFrame functions run here.  A path is cut into segments, digits count as ``{n}``, and what lies deeper than
-DEPTH is one last segment.  Level by level, per host: a segment stays a branch of its own if SUPPORT urls take it, however
-many siblings it has, else it is the wildcard ``*``.  Bottom-up, a branch whose labelled rate does not differ
+Only DataFrame functions run here.  A path is cut into segments, digits count as ``{n}``.  Level by level, per host, down
+to the deepest segment with support: a segment stays a branch of its own if SUPPORT urls take it, however many siblings
+it has, else it is the wildcard ``*``.  On the way, a branch whose labelled rate does not differ
 significantly from its parent's merges into it; the rate of a branch is smoothed towards its parent's, a host's towards
 the whole corpus's.  A template whose smoothed rate of bad labels reaches REJECT is blocked.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textcore import materialize, pick
 
-DEPTH = 3
 SUPPORT = 5  #: urls that a branch of its own needs
 SMOOTHING = 10.0  #: labels that the parent's rate weighs
 SIMILAR = 1.96  #: standard errors below which a branch merges into its parent
@@ -44,43 +45,49 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
     return rule, verdict
 
 
-def _segments(path: Column) -> list[Column]:
-    """DEPTH + 1 segments, digits as {n}; missing ones are empty."""
-    parts = F.split(F.regexp_replace(F.ltrim(path, F.lit("/")), "[0-9]+", "{n}"), "/")
-    own = [F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit("")) for i in range(DEPTH)]
-    return [*own, F.when(F.size(parts) > DEPTH, "...").otherwise("")]
+def _shape(path: Column) -> Column:
+    """The path without slashes around it, digits as {n}."""
+    return F.rtrim(F.ltrim(F.regexp_replace(path, "[0-9]+", "{n}"), F.lit("/")), F.lit("/"))
 
 
 def fit_templates(pages: DataFrame) -> DataFrame:
-    """The templates that are rejected. pages: host, s1 to s4 (from the path), bad (1, 0 or null where there is no label).
+    """The templates that are rejected. pages: host, shape (of the path), bad (1, 0 or null where there is no label).
 
-    Returns host, s1 to s4 (the shapes that belong to rejected templates) and template.
+    Returns host, shape (those that belong to rejected templates) and template. One round a level, for the branches that
+    can still grow: those with SUPPORT urls, but not those below REJECT without a bad label, which nothing deeper can
+    reject. A branch that holds all of its parent's labels is no new evidence and keeps the parent's rate.
     """
-    raw = [f"s{i + 1}" for i in range(DEPTH + 1)]
-    shapes = materialize(pages.groupBy("host", *raw).agg(F.count("*").alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
-    known: list[str] = []
-    for i, s in enumerate(raw):
-        below = shapes.groupBy("host", *known, s).agg(F.sum("n").alias("c"))
-        stay = below.where(F.col("c") >= SUPPORT).select("host", *known, s, F.col(s).alias(f"t{i + 1}"))
-        shapes = materialize(shapes.join(materialize(stay), ["host", *known, s], "left").withColumn(f"t{i + 1}", F.coalesce(f"t{i + 1}", F.lit("*"))))
-        known.append(f"t{i + 1}")
+    shapes = materialize(pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
     total = shapes.agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).first()
     overall = ((total.bad or 0) + 0.5) / ((total.lab or 0) + 1.0)
-    # From the host down, each level's smoothed rate is a column for the next; one row per template.
-    levels = materialize(shapes.groupBy("host", *known).agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")))
-    rated = levels.select("host", *known)
-    above = ["parent_rate"]
-    rated = rated.withColumn("parent_rate", F.lit(overall))
-    for depth in range(len(known) + 1):
-        keys = ["host", *known[:depth]]
-        here = levels.groupBy(*keys).agg(F.sum("lab").alias("l"), F.sum("bad").alias("b"))
-        p = F.col("parent_rate")
-        error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) / F.greatest(F.col("l"), F.lit(1)))
-        similar = F.abs(F.col("b") / F.greatest(F.col("l"), F.lit(1)) - p) < SIMILAR * error
-        rate = F.when((F.col("l") == 0) | similar & F.lit(depth > 0), p).otherwise((F.col("b") + SMOOTHING * p) / (F.col("l") + SMOOTHING))
-        rated = materialize(rated.join(materialize(here), keys).withColumn("parent_rate", rate).select("host", *known, *above))
-    rejected = rated.where(F.col("parent_rate") >= REJECT).select("host", *known, F.concat_ws("/", "host", *[F.nullif(F.col(t), F.lit("")) for t in known]).alias("template"))
-    return materialize(shapes.select("host", *raw, *known).join(materialize(rejected), ["host", *known]).select("host", *raw, "template"))
+    sums = [F.sum("n").alias("c"), F.sum("lab").alias("l"), F.sum("bad").alias("b")]
+    smoothed = (F.col("b") + SMOOTHING * F.col("p")) / (F.col("l") + SMOOTHING)
+    grows = (F.col("c") >= SUPPORT) & ~((F.col("b") == 0) & (F.col("rate") < REJECT))
+
+    hosts = shapes.groupBy("host").agg(*sums).withColumn("p", F.lit(overall)).withColumn("rate", F.when(F.col("l") == 0, F.col("p")).otherwise(smoothed))
+    hosts = materialize(hosts.select("host", F.col("l").alias("held"), "rate", grows.alias("open")))
+    active = materialize(shapes.join(hosts, "host").withColumn("t", F.lit("")))
+    closed, depth = [active.where("NOT open")], 0
+    active = active.where("open")
+    while active.limit(1).count():
+        parts = F.split("shape", "/")
+        active = active.withColumn("s", F.coalesce(F.get(parts, F.lit(depth)), F.lit("")))  # "" where the path has ended
+        stay = materialize(active.groupBy("host", "t", "s").agg(F.sum("n").alias("c")).where(F.col("c") >= SUPPORT).select("host", "t", "s", F.col("s").alias("u")))
+        marked = materialize(active.join(stay, ["host", "t", "s"], "left").withColumn("u", F.coalesce("u", F.lit("*"))))
+        p, seen = F.col("p"), F.col("l")
+        error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) / F.greatest(seen, F.lit(1)))
+        similar = F.abs(F.col("b") / F.greatest(seen, F.lit(1)) - p) < SIMILAR * error
+        nodes = marked.groupBy("host", "t", "u").agg(*sums, F.any_value("rate").alias("p"), F.any_value("held").alias("held"))
+        nodes = nodes.withColumn("rate", F.when((seen == 0) | (seen == F.col("held")) | similar, p).otherwise(smoothed))
+        nodes = materialize(nodes.select("host", "t", "u", seen.alias("held"), "rate", grows.alias("open")))
+        grown = marked.select("host", "shape", "n", "lab", "bad", "t", "u").join(nodes, ["host", "t", "u"])
+        ended = F.size(parts) <= depth
+        grown = grown.select("host", "shape", "n", "lab", "bad", "held", "rate", (F.col("open") & ~ended).alias("open"), F.concat_ws("/", "t", "u").alias("t"))
+        grown = materialize(grown)
+        closed.append(grown.where("NOT open"))
+        active, depth = grown.where("open"), depth + 1
+    names = [x.where(F.col("rate") >= REJECT).select("host", "shape", F.concat("host", F.rtrim("t", F.lit("/"))).alias("template")) for x in closed]
+    return materialize(functools.reduce(DataFrame.unionByName, names))
 
 
 def judge(pages: DataFrame, labels: DataFrame | None = None, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -93,18 +100,17 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: list[tuple[s
     host, path = split_url(F.col("url"))
     rows = pick(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), *[s.alias(f"s{i + 1}") for i, s in enumerate(_segments(F.col("path")))])
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), _shape(F.col("path")).alias("shape"))
     rows = materialize(rows)
     bad = F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
-    evidence = rows.select("host", "s1", "s2", "s3", "s4", bad.alias("bad"))
+    evidence = rows.select("host", "shape", bad.alias("bad"))
     if labels is not None:
         number = F.expr("try_cast(regexp_extract(path, '([0-9]+)[^/]*/?$', 1) AS bigint)")
         quality = pick(labels, "doc_id", "quality").toDF("number", "quality").where("quality IN (0, 1) AND number IS NOT NULL").groupBy("number").agg(F.min("quality").alias("quality"))
         # rows without a number get one that no label has, each its own, so that they don't meet in one task
         number = F.coalesce(number, -1 - F.pmod(F.xxhash64("page_id", "path"), F.lit(1 << 40)))
         evidence = rows.withColumn("number", number).join(materialize(quality.where("number >= 0")), "number", "left")
-        evidence = evidence.select("host", "s1", "s2", "s3", "s4", F.coalesce(bad, 1 - F.col("quality")).alias("bad"))
+        evidence = evidence.select("host", "shape", F.coalesce(bad, 1 - F.col("quality")).alias("bad"))
     rejected = fit_templates(evidence)
-    keys = ["host", "s1", "s2", "s3", "s4"]
-    out = rows.join(rejected, keys, "left")
+    out = rows.join(rejected, ["host", "shape"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("template").isNotNull(), "block"), F.lit("allow")).alias("verdict"), F.when(F.col("ruled").isNull(), F.col("template")).alias("template"))

@@ -148,6 +148,14 @@ def test_a_branch_with_support_stays_whatever_its_siblings(spark):
         assert all(r.verdict == ("block" if r.page_id < 60 else "allow") for r in got), siblings
 
 
+def test_the_tree_grows_to_the_deepest_segment_with_support(spark):
+    labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(60)], "doc_id long, quality int")
+    for above in ("en/blog/2024", "a/b/c/d/e/f/g"):
+        given = [(i, f"x://d.net/{above}/{'casino' if i < 30 else 'news'}/{i}") for i in range(60)]
+        got = urls.judge(spark.createDataFrame(given, "page_id long, url string"), labels).collect()
+        assert all(r.verdict == ("block" if r.page_id < 30 else "allow") for r in got), above
+
+
 # 3 and 4
 
 
