@@ -2,7 +2,7 @@
 
 The field's tokens are runs of letters, runs of digits and single other characters.  It is trained here, in numpy, from
 a small labelled table, and labels B/I per kind or outside.  It reads the neighbourhoods of anchors: digits, ``@``, and
-the word ``dot``; elsewhere no kind can begin.  Neighbourhoods of a batch are decoded together by Viterbi.  A decoded
+the words ``at`` and ``dot``; a span without any of them passes no kind's check.  Neighbourhoods of a batch are decoded together by Viterbi.  A decoded
 span must pass its kind's check and may not touch a span of the patterns.
 """
 
@@ -26,8 +26,10 @@ LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: An address without ``@``: the dot comes after ``at``, in its line, and ends no sentence (a blank on neither or on both sides).
+AT = re.compile(r"\bat\b.*[^.\s](?:\.(?=[\w\])])|\s\.\s(?=\w)|\s?\bdot\b)", re.IGNORECASE)
 HINT = re.compile(r"[0-9@]")
-ANCHOR = re.compile(r"[0-9]+|@|\bdot\b", re.IGNORECASE | re.ASCII)
+ANCHOR = re.compile(r"[0-9]+|@|\b(?:at|dot)\b", re.IGNORECASE)
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 REACH = 60  #: characters on either side of an anchor that are decoded with it, at least; then up to a blank
 PLAIN = re.compile(r"\s")
@@ -53,7 +55,9 @@ def valid(kind: str, text: str) -> bool:
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15
-    return bool(re.search(r"@|\bat\b", text, re.I) and re.search(r"[^.\s]\s?(?:\.|\bdot\b)", text, re.I))
+    if "@" in text:
+        return bool(re.search(r"[^.\s]\s?(?:\.|\bdot\b)", text, re.I))
+    return bool(AT.search(text))
 
 
 def patterns(text: str) -> list[Span]:
@@ -192,6 +196,22 @@ def labelled_table(copies: int = 6, seed: int = 5) -> list[tuple[str, list[Span]
                 text = f"{head} {value}{tail}".strip()
                 start = text.index(value)
                 out.append((text, [(kind, start, start + len(value))] if kind else []))
+
+    def case(word: str) -> str:
+        return word.upper() if rng.random() < 0.1 else word.capitalize() if rng.random() < 0.2 else word
+
+    # "at" with a plain dot, and sentences that have both and hold no address
+    spelt = [" at ", " at ", " (at) ", " [at] ", "(at)", "[at]", " AT "]
+    other = [lambda: f"{name()} at {name()}. {name().capitalize()} {name()}", lambda: f"{name()} at {name()}.", lambda: f"{name()} at {name()}, {name()} {name()}. {name().capitalize()}", lambda: f"{name()} (at {name()}). {name().capitalize()}", lambda: f"{name()} at {name()}.\n{name().capitalize()} {name()}", lambda: f"{name()}. At {name()} {name()}", lambda: f"{name()} at {name()} {name()}. {name().capitalize()} {name()} at {name()}."]
+    for _ in range(copies):
+        for at in spelt:
+            local = case(name()) + (f".{name()}" if rng.random() < 0.2 else "")
+            value = f"{local}{at}{case(name())}{f'.{name()}' if rng.random() < 0.2 else ''}.{rng.choice(['com', 'org', 'net', name()[:3]])}"
+            head = "".join(case(name()) + str(rng.choice([" ", " ", ": ", ", ", ". "])) for _ in range(int(rng.integers(0, 5))))
+            text = head + value + str(rng.choice(["", ".", ",", "!!"])) + "".join(" " + case(name()) for _ in range(int(rng.integers(0, 5))))
+            out.append((text, [("email", len(head), len(head) + len(value))]))
+        for make in other:
+            out.append((" ".join(name() for _ in range(int(rng.integers(0, 5)))) + " " + make(), []))
     return out
 
 

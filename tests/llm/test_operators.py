@@ -344,6 +344,19 @@ def test_field_on_held_out_table():
     assert not base and [k for k, *_ in added] == ["email", "phone"]
 
 
+def test_addresses_with_at_and_a_plain_dot():
+    """No digit, '@' or 'dot' stands near."""
+    field = pii.default_field()
+    hidden = ["jane at corner.com", "jane (at) corner.org", "jane [at] corner.net", "mary at garden.org", "peter[at]window.com", "Jane AT Corner.com"]
+    for value in hidden:
+        for text in (value, f"please write to {value} if you want more", f"Our office: {value}, thank you. We reply soon"):
+            a = text.index(value)
+            ((base, added),) = pii.find([text], field)
+            assert not base and added == [("email", a, a + len(value))], text
+    for text in ("We met at noon. Then we left", "look at this. It works", "she stayed at home, as ever. Nothing happened", "at last.", "They arrived (at night). Nobody saw", "He was at work.\nShe was at school.", "thea of to lyorwh.\nIs at and. Ereast. For", "in hable. At sh an", "e ersting.\nHa at that.\nNd heor", "the house at the corner. A dog barked at us. We ran"):
+        assert pii.find([text], field) == [([], [])], text
+
+
 def test_personal_data_rows(spark):
     import hashlib
 
