@@ -135,12 +135,15 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
 
 
 def constant(scores: np.ndarray, penalty: float = PENALTY) -> int:
-    """The language of the whole text if no run of words gains more than penalty by another one, else -1."""
+    """The language of the whole text if each run of words gains less than half the penalty by another one, else -1.
+
+    Then m runs of other languages gain less than m * penalty / 2, and their path pays (m - 1) penalties, or one if m is 1.
+    """
     total = scores.sum(0)
     k = int(total.argmax())
     sums = np.zeros((len(scores) + 1, scores.shape[1]))
     np.cumsum(scores - scores[:, k : k + 1], axis=0, out=sums[1:])
-    return k if (sums - np.minimum.accumulate(sums, axis=0)).max() <= penalty else -1
+    return k if (sums - np.minimum.accumulate(sums, axis=0)).max() < penalty / 2 else -1
 
 
 def label(texts: list[str | None], model: LanguageModel, scripts: np.ndarray, penalty: float = PENALTY) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:

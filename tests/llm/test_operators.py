@@ -505,6 +505,18 @@ def test_language_paths_against_all_paths():
         assert k < 0 or abs(value([k] * len(s)) - best) < 1e-9
 
 
+def test_two_languages_with_a_third_between_them():
+    """18 words A, 18 words B, and C a little worse than either: one change costs 20, C all along 36."""
+    s = np.array([[0.0, -3, -1]] * 18 + [[-3.0, 0, -1]] * 18)
+    assert langid.viterbi(s, 20.0).tolist() == [0] * 18 + [1] * 18 and langid.constant(s, 20.0) == -1
+    rng = np.random.default_rng(14)
+    for _ in range(5000):
+        s = rng.normal(size=(rng.integers(1, 7), 3)) * 2
+        k, path = langid.constant(s, 1.5), langid.viterbi(s, 1.5)
+        total = s[np.arange(len(s)), path].sum() - 1.5 * (np.diff(path) != 0).sum()
+        assert k < 0 or abs(s[:, k].sum() - total) < 1e-9
+
+
 def test_language_spans_and_scripts():
     a, b = "the quick brown fox jumps over lazy dogs and runs home ", "der schnelle braune fuchs springt über faule hunde und läuft heim "
     model = langid.train([a * 5, b * 5, "быстрая лиса прыгает " * 9], ["en", "de", "ru"])
