@@ -199,10 +199,15 @@ def _stars(rows: DataFrame, centre) -> DataFrame:
     return pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
+def _second_stars(mixed: DataFrame) -> DataFrame:
+    """Stars around another member than the first centre, the least id; with it a bucket of three is compared in full."""
+    return _stars(mixed, F.struct(F.col("id") == F.col("least"), F.xxhash64("id", "key")))
+
+
 def _mixed(rows: DataFrame, labels: DataFrame, least_size: int) -> DataFrame:
-    """Members, with their component, of the buckets that still span several components."""
+    """Members, with their component and the bucket's least id, of the buckets that still span several components."""
     named = materialize(rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("part")))
-    open_keys = materialize(named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where(F.expr(f"lo <> hi AND size >= {least_size}")).select("key", "size"))
+    open_keys = materialize(named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("id").alias("least"), F.count("*").alias("size")).where(F.expr(f"lo <> hi AND size >= {least_size}")).select("key", "size", "least"))
     return materialize(named.join(open_keys, "key"))
 
 
@@ -240,7 +245,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = connected_components(links)
     mixed = _mixed(rows, labels, 3)
     if mixed.limit(1).count():
-        links = links.union(_confirm(_stars(mixed, F.xxhash64("id", "key")), docs))
+        links = links.union(_confirm(_second_stars(mixed), docs))
         labels = connected_components(links)
         mixed = _mixed(mixed.drop("part", "size"), labels, 4)
         if mixed.limit(1).count():

@@ -442,6 +442,14 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got[None].kept and got[None].component_id is None
 
 
+def test_two_stars_compare_buckets_of_three_in_full(spark):
+    rows = spark.createDataFrame([(key, 3 * key + i, 50) for key in range(40) for i in range(3)], "key long, id long, n long")
+    none = spark.createDataFrame([], "node long, label long")
+    first = minhash._stars(rows.withColumn("part", rows.id), rows.id)
+    got = {tuple(r) for r in first.union(minhash._second_stars(minhash._mixed(rows, none, 3))).collect()}
+    assert got == {(3 * key + i, 3 * key + j) for key in range(40) for i, j in ((0, 1), (0, 2), (1, 2))}
+
+
 def test_bitmaps_never_lose_a_similar_pair():
     rng = random.Random(11)
     for _ in range(30):
