@@ -24,18 +24,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") >= THRESHOLD).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each row, written down so that it stays the same: doc_ids can be null or repeated."""
+    return materialize(pick(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; documents without words and rows without doc_id stay."""
-    docs = pick(docs, *COLUMNS)
-    gone = materialize(minhash.near_duplicates(docs).where("NOT kept").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies, that of the least doc_id (rows without one come last); rows without words stay."""
+    docs = _keyed(docs)
+    parts = materialize(minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"))
+    named = parts.join(docs.select("row", "doc_id"), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    gone = materialize(parts.select("row").join(materialize(first.select("first.row")), "row", "left_anti"))
+    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    docs = pick(docs, *COLUMNS)
-    hit = materialize(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").where("doc_id IS NOT NULL").distinct())
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that hold no benchmark item."""
+    docs = _keyed(docs)
+    hit = materialize(decontam.contaminated(docs.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct())
+    return docs.join(hit, "row", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,16 @@ def test_stages_on_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             rows = materialize(stage(spark, rows, SF))
         assert rows.count() == 0 if empty else rows.count() > 0
+
+
+def test_rows_are_dropped_one_by_one(spark):
+    """Null and repeated doc_ids: each row stands for itself."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    copy, other = " ".join(f"copied{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    row = lambda i, t: (i, t, "en", "s", len(t))
+    docs = spark.createDataFrame([row(None, copy), row(None, other + " end"), row(1, copy), row(2, copy), row(2, other), row(4, "same words in every row"), row(4, "same words in every row"), row(None, ""), row(None, "  ")], DOC)
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert got == sorted([(0, ""), (0, "  "), (1, copy), (2, other), (4, "same words in every row")])
+    docs = spark.createDataFrame([row(None, other), row(None, f"{copy} {item} {other}"), row(3, item), row(3, copy)], DOC)
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.decontaminate(spark, docs, SF).collect())
+    assert got == [(0, other), (3, copy)]
