@@ -1,83 +1,134 @@
-"""Substring dedup by lines: normalised units, digests grouped globally, the earliest occurrence stays.
+"""Substring dedup by hashed units: lines and runs of clauses are normalised, digests grouped globally, the earliest stays.
 
-A unit is a line (between ``\\n``).  It is normalised by lower-casing A-Z and by taking each run of blanks
-(``\\x20 \\x09-\\x0D``) as one space, none at the ends.  Units of fewer than LEAST_WORDS words are never removed.  Of all
-units with one digest, the one with the least (doc_id, number of the line) stays; the others go, together with their
-line break, and their places in the original text are kept.
+A text's words (runs without the blanks ``\\x20 \\x09-\\x0D``) form clauses: a clause ends after a word that ends with one
+of ``. ! ? , ; :``, and at the end of a line or text.  Two kinds of units are hashed:
+
+* LEAST_WORDS words from the beginning of each clause; they may cross clauses and line breaks, so a passage is found
+  inside longer lines, over several lines and however it is wrapped;
+* each line of LEAST_WORDS words or LEAST_CHARS code points (blanks between its words included), so that an equal line
+  goes whole.
+
+A unit is normalised by lower-casing A-Z and by taking each run of blanks as one space.  Of all units with one digest
+(128 bits over the words) the one with the least place (doc_id, code point where it begins) stays.  The others go: what is
+removed of a text is the union of their spans, each up to the next word, with the places in the original text kept.  What
+is left of a longer passage is at most the clause that its beginning cuts, and at its end less than one clause.  Shorter
+repeats stay, as do repeats inside a longer line without blanks.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import blocks, materialize, pick
-
-LEAST_WORDS = 10
-
-
-def units(text: str, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
-    """Number, first and end code point, and digest of each line that has enough words."""
-    at = 0
-    for number, line in enumerate(text.split("\n")):
-        words = line.encode().lower().split()
-        if len(words) >= least:
-            yield number, at, at + len(line), hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-        at += len(line) + 1
-
-
-def cut_lines(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without the spans (ascending, whole lines), each with the line break after it, or before it at the end."""
-    out, at = [], 0
-    for start, end in spans:
-        out.append(text[at:start])
-        at = end + 1
-    out.append(text[at:])
-    kept = "".join(out)
-    return kept[:-1] if at > len(text) and kept.endswith("\n") else kept
-
-
-def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """One row per line that an earlier place already has: doc_id, line, start, end (code points), first_doc_id, first_line.
-
-    Rows without doc_id or text have no units. Rows that repeat a doc_id are one document: a line of either counts at its
-    number, and equal numbers are one place.
+from .textcore import Block, blocks, materialize, mix, pick, powers
+
+LEAST_WORDS = 25
+LEAST_CHARS = 250
+ENDS = np.zeros(256, bool)
+ENDS[list(b".!?,;:")] = True
+
+
+def units(block: Block, words: int = LEAST_WORDS, chars: int = LEAST_CHARS) -> tuple[np.ndarray, ...]:
+    """Text, first and end code point in it, and two hashes of each unit of a block of texts."""
+    starts, ends, ptr = block.words()
+    n = len(starts)
+    if not n:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    text = np.repeat(np.arange(len(block)), np.diff(ptr))
+    breaks = np.concatenate([[0], np.cumsum(block.data == 10)])
+    points = block.code_points()
+    line_ends = np.zeros(n, bool)
+    line_ends[ptr[1:][np.diff(ptr) > 0] - 1] = True
+    line_ends[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
+    begin, finish = points[starts], points[ends]
+
+    first = np.concatenate([[0], np.flatnonzero(ENDS[block.data[ends - 1]] | line_ends)[:-1] + 1])
+    first = first[first + words <= ptr[text[first] + 1]]
+    end = first + words - 1
+
+    line_last = np.flatnonzero(line_ends)
+    line_first = np.concatenate([[0], line_last[:-1] + 1])
+    much = (line_last - line_first + 1 >= words) | (finish[line_last] - begin[line_first] >= chars)
+    pairs = np.unique(np.concatenate([first * n + end, line_first[much] * n + line_last[much]]))
+    first, end = pairs // n, pairs % n
+
+    h = block.hashes(starts, ends, True)
+    power, inverse = powers(n + 1)
+    digests = []
+    for salt in (0x1D8AF066F5C6A1B3, 0x7A3C96D1E24B58F7):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(h ^ np.uint64(salt)) * power[:n], out=sums[1:])
+        digests.append(mix((sums[end + 1] - sums[first]) * inverse[first] + (end - first).astype(np.uint64)))
+    zero, size = points[block.bounds[:-1]], points[block.bounds[1:]]
+    after = np.where(end + 1 < ptr[text[end] + 1], begin[np.minimum(end + 1, n - 1)], size[text[end]])
+    return text[first], begin[first] - zero[text[first]], after - zero[text[first]], *digests
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, ascending; those that touch become one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without merged spans."""
+    edges = [0, *[x for s in spans for x in s], len(text)]
+    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return pick(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+
+
+def repeated_units(docs: DataFrame, words: int = LEAST_WORDS, chars: int = LEAST_CHARS) -> DataFrame:
+    """One row per unit that an earlier place already has: doc_id, h (of the text), start, end, first_doc_id, first_start.
+
+    Places without doc_id come last. Rows that repeat both doc_id and text are one place and give equal rows; of texts
+    that share a doc_id, the one with the lesser hash is earlier. Null and empty texts have no units.
     """
-    source = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    source = _rows(docs).where("text IS NOT NULL")
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _ in blocks(batches, "text"):
-            ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
-            rows = [(i, *u) for i, t in zip(ids, texts, strict=True) for u in units(t, least)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = [part.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "number", "start", "end", "digest"])
+        for part, block in blocks(batches, "text"):
+            text, start, end, d1, d2 = units(block, words, chars)
+            owner = pa.array(text)
+            columns = [part.column("doc_id").take(owner), part.column("h").take(owner), *[pa.array(x.astype(np.int32)) for x in (start, end)], *[pa.array(d.view(np.int64)) for d in (d1, d2)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "start", "end", "d1", "d2"])
 
-    found = materialize(source.mapInArrow(digested, f"doc_id {kind}, number int, start int, end int, digest binary"))
-    firsts = materialize(found.groupBy("digest").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
-    later = found.join(firsts, "digest").where("doc_id <> first.doc_id OR number <> first.number")
-    return later.select("doc_id", F.col("number").alias("line"), "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.number").alias("first_line"))
+    found = materialize(source.mapInArrow(digested, f"doc_id {kind}, h long, start int, end int, d1 long, d2 long"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "start")
+    firsts = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
+    later = found.join(materialize(firsts), ["d1", "d2"]).where(place != F.col("first"))
+    return later.select("doc_id", "h", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, text without repeated lines, and removed (empty where there are none) for every row of docs.
+def dedup_lines(docs: DataFrame, words: int = LEAST_WORDS, chars: int = LEAST_CHARS) -> DataFrame:
+    """doc_id, text without repeated units, and removed (merged spans of the original text, in code points) for every row of docs.
 
-    A null text stays null. Whole texts are kept otherwise, byte by byte.
+    A null text stays null, with nothing removed. Of equal texts under different doc_ids the earliest stays whole, the
+    others keep only what is in no unit. Everything else is kept byte by byte.
     """
-    rows = pick(docs, "doc_id", "text")
+    rows = _rows(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    spans = repeated_lines(docs, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    joined = rows.join(materialize(spans), "doc_id", "left")
+    spans = repeated_units(docs, words, chars).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans")).toDF("d", "k", "spans")
+    joined = rows.join(materialize(spans), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
 
-    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for part, _ in blocks(batches, "text"):
-            spans = [x or [] for x in part.column("removed").to_pylist()]
-            texts = [t if t is None else cut_lines(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(part.column("text").to_pylist(), spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "text", "removed"])
+            gone = [merged([(x["start"], x["end"]) for x in s or []]) for s in part.column("spans").to_pylist()]
+            texts = [without(t, s) if s else t for t, s in zip(part.column("text").to_pylist(), gone, strict=True)]
+            removed = [[{"start": a, "end": b} for a, b in s] for s in gone]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, span)], ["doc_id", "text", "removed"])
 
-    return joined.select("doc_id", "text", "removed").mapInArrow(without, f"doc_id {kind}, text string, removed array<struct<start:int,end:int>>")
+    return joined.select("doc_id", "text", "spans").mapInArrow(cleaned, f"doc_id {kind}, text string, removed array<struct<start:int,end:int>>")

@@ -55,7 +55,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeated_lines(table(spark, sf_dir, "documents"))
+    """What is left of every text, the removed spans as start-end in ascending order (code points of the whole text), and their length."""
+    left = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return left.select("doc_id", "text", spans.alias("removed"), F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,13 +80,28 @@ QUERIES = {
 #: DuckDB twins of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op8_lines": r"""
-        WITH split AS (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        WITH cut AS (
+            SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(text, '[\x20\x09-\x0D]+') AS g, regexp_matches(text, '^[\x20\x09-\x0D]')::INT AS lead FROM documents),
+        words AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n, unnest(list_transform(range(1, len(w) + 1), lambda i: coalesce(g[i + lead], ''))) AS gap, CASE WHEN lead = 1 THEN length(g[1]) ELSE 0 END AS lead FROM cut),
         placed AS (
-            SELECT doc_id, line, unit, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM split),
-        normal AS (
-            SELECT doc_id, line, start, start + length(unit) AS "end", trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS unit FROM placed),
-        counted AS (
-            SELECT *, min({'d': doc_id, 'l': line}) OVER (PARTITION BY unit) AS first FROM normal WHERE unit <> '' AND len(string_split(unit, ' ')) >= 10)
-        SELECT doc_id, line::INT AS line, start::INT AS start, "end"::INT AS "end", first.d AS first_doc_id, first.l::INT AS first_line FROM counted WHERE doc_id <> first.d OR line <> first.l""",
+            SELECT *, contains(gap, chr(10)) OR i = n AS line_end, regexp_matches(word, '[.!?,;:]$') OR contains(gap, chr(10)) AS last,
+                lead + coalesce(sum(length(word) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM words),
+        marked AS (
+            SELECT *, start + length(word) AS finish, start + length(word) + length(gap) AS after, i = 1 OR lag(last) OVER by_doc AS first, i = 1 OR lag(line_end) OVER by_doc AS line_first FROM placed WINDOW by_doc AS (PARTITION BY doc_id ORDER BY i)),
+        whole AS (
+            SELECT doc_id, min(i) AS i, min(start) AS start, max(i) AS j, max(finish) AS finish FROM (SELECT *, count(*) FILTER (line_first) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM marked) AS l GROUP BY doc_id, line),
+        spans AS (
+            SELECT doc_id, i, i + 24 AS j, start FROM marked WHERE first AND i + 24 <= n UNION SELECT doc_id, i, j, start FROM whole WHERE j - i >= 24 OR finish - start >= 250),
+        units AS (
+            SELECT s.doc_id, s.start, l.after AS "end", translate(array_to_string(c.w[s.i:s.j], ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS unit FROM spans AS s JOIN marked AS l ON l.doc_id = s.doc_id AND l.i = s.j JOIN cut AS c ON c.doc_id = s.doc_id),
+        later AS (
+            SELECT DISTINCT doc_id, start, "end" FROM (SELECT *, min({'d': doc_id, 's': start}) OVER (PARTITION BY unit) AS first FROM units) AS u WHERE doc_id <> first.d OR start <> first.s),
+        islands AS (
+            SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY start, "end") AS island FROM (SELECT *, coalesce(start > max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM later) AS x),
+        gone AS (SELECT doc_id, min(start)::INT AS start, max("end")::INT AS "end" FROM islands GROUP BY doc_id, island),
+        lists AS (SELECT doc_id, list(start ORDER BY start) AS a, list("end" ORDER BY start) AS b FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN a IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(a) + 2), lambda k: substring(text, coalesce(b[k - 1], 0) + 1, coalesce(a[k], length(text)) - coalesce(b[k - 1], 0))), '') END AS text,
+            coalesce(array_to_string(list_transform(range(1, len(a) + 1), lambda k: a[k] || '-' || b[k]), ','), '') AS removed, coalesce(list_sum(b) - list_sum(a), 0)::BIGINT AS n_removed
+        FROM documents AS d LEFT JOIN lists AS l ON l.doc_id = d.doc_id""",
 }

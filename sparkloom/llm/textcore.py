@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the odd base, and of its inverse, modulo 2**64."""
     steps = np.ones((2, n), np.uint64)
     steps[0, 1:], steps[1, 1:] = _BASE, np.uint64(pow(int(_BASE), -1, 2**64))
@@ -91,7 +91,7 @@ class Block:
         """A 64-bit hash of each span; lower: A-Z count as a-z."""
         if not len(starts):
             return np.zeros(0, np.uint64)
-        p, inverse = _powers(len(self.data) + 1)
+        p, inverse = powers(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((_LOWER if lower else _TABLE)[self.data] * p[: len(self.data)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))

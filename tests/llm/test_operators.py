@@ -372,29 +372,79 @@ def test_personal_data_rows(spark):
 # 8
 
 
-def test_lines_against_one_pass(spark):
-    rng = random.Random(9)
-    pool = [" ".join(words_of(rng, rng.randint(8, 14))) for _ in range(25)]
-    texts = ["\n".join(rng.choice(pool) if rng.random() < 0.7 else "Short  line" for _ in range(rng.randint(0, 8))) for _ in range(60)] + [None, "", pool[0].upper() + "  \t", "\n" + pool[1] + "\n"]
-    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(None, pool[0], "c")], "doc_id long, text string, TEXT string")
-    seen, want, kept = set(), {}, {}
+def units_plainly(text, least=25, chars=250):
+    """(start, end, normalised words) of each unit, read word by word."""
+    found = list(WORD.finditer(text))
+    broken = lambda k: k == len(found) - 1 or "\n" in text[found[k].end() : found[k + 1].start()]
+    much = lambda a, b: b - a + 1 >= least or found[b].end() - found[a].start() >= chars
+    spans = set()
+    for a in range(len(found)):
+        if (a == 0 or broken(a - 1) or found[a - 1].group()[-1] in ".!?,;:") and a + least <= len(found):
+            spans.add((a, a + least - 1))
+        if a == 0 or broken(a - 1):
+            b = next(b for b in range(a, len(found)) if broken(b))
+            spans |= {(a, b)} if much(a, b) else set()
+    end = lambda b: found[b + 1].start() if b + 1 < len(found) else len(text)
+    lower = lambda a, b: tuple(m.group().encode().lower() for m in found[a : b + 1])
+    return [(found[a].start(), end(b), lower(a, b)) for a, b in spans]
+
+
+def left_plainly(texts):
+    """What is left of each text, and the places that go."""
+    first, every = {}, []
     for i, t in enumerate(texts):
-        at, stay = 0, []
-        for line in (t or "").split("\n"):
-            words = tuple(line.lower().split())
-            if len(words) >= 10 and words in seen:
-                want.setdefault(i, []).append((at, at + len(line)))
-            else:
-                stay.append(line)
-            if len(words) >= 10:
-                seen.add(words)
-            at += len(line) + 1
-        kept[i] = None if t is None else "\n".join(stay)
-    got = lines.dedup_lines(docs).collect()
-    assert {r.doc_id: r.text for r in got if r.doc_id is not None} == kept
-    assert {r.doc_id: [(x.start, x.end) for x in r.removed] for r in got if r.removed} == want
-    assert all(t[a:b] for i, s in want.items() for a, b in s for t in [texts[i]])
-    assert lines.repeated_lines(empty(spark)).count() == 0
+        for a, b, unit in units_plainly(t or ""):
+            every.append((i, a, b, unit))
+            first[unit] = min(first.get(unit, (i, a)), (i, a))
+    gone = collections.defaultdict(set)
+    for i, a, b, unit in every:
+        if first[unit] != (i, a):
+            gone[i] |= set(range(a, b))
+    return [t if t is None else "".join(c for k, c in enumerate(t) if k not in gone[i]) for i, t in enumerate(texts)], gone
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(9)
+
+    def clause():
+        return " ".join(words_of(rng, rng.randint(2, 12), 60)) + rng.choice([".", ",", "!", ";", "", "é"])
+
+    pool = [" ".join(clause() for _ in range(rng.randint(5, 9))) for _ in range(12)]
+    texts = []
+    for _ in range(80):
+        parts = [rng.choice(pool) if rng.random() < 0.4 else clause() for _ in range(rng.randint(0, 9))]
+        texts.append("".join(p + rng.choice([" ", "\n", "  ", " \n\n", "\t"]) for p in parts)[rng.randint(0, 3) :])
+    texts += [None, "", " \n ", pool[0].upper() + "  \t", "\n" + pool[1].replace(" ", "\n") + "\n", "x" * 300, "a " + "x" * 300, "x" * 300 + "\ny", "à" * 249, "à" * 249]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, TEXT string")
+    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    want, gone = left_plainly(texts)
+    assert [got[i].text for i in range(len(texts))] == want
+    assert [{k for x in got[i].removed for k in range(x.start, x.end)} for i in range(len(texts))] == [gone[i] for i in range(len(texts))]
+    assert sum(map(len, gone.values())) > 5000
+
+
+def test_lines_find_passages_inside_lines(spark):
+    rng = random.Random(4)
+    passage = ". ".join(" ".join(words_of(rng, 8, 5000)) for _ in range(8)) + "."
+    own = [" ".join(words_of(rng, 60, 50_000)) for _ in range(40)]
+    texts = [f"{o[:100]} {passage if k % 2 else passage.replace(' ', chr(10))} {o[100:]}" for k, o in enumerate(own)] + [" ".join(words_of(rng, 90, 50_000)) for _ in range(10)]
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].text == texts[0] and all(got[i].text == texts[i] for i in range(40, 50))
+    for i in range(1, 40):
+        assert len(got[i].text) < len(texts[i]) - 0.7 * len(passage) and own[i][100:] in got[i].text
+
+
+def test_lines_rows(spark):
+    text = " ".join(f"word{i}." for i in range(30))
+    rows = [(5, text), (5, text), (5, text + " more."), (7, text), (None, text), (None, text + " less,"), (8, None), (9, "")]
+    got = [(r.doc_id, r.text, len(r.removed)) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    # rows that repeat doc_id and text are one place; of two texts under one doc_id, the one of lesser hash is earlier
+    assert sorted(x for x in got if x[0] not in (5, None)) == sorted([(7, "", 1), (8, None, 0), (9, "", 0)], key=lambda x: x[0])
+    fives = sorted(x[1] for x in got if x[0] == 5)
+    assert fives in (["more.", text, text], ["", "", text + " more."])
+    assert sorted(x[1] for x in got if x[0] is None) == ["", "less,"]
+    assert lines.dedup_lines(empty(spark)).count() == 0 and lines.repeated_units(empty(spark)).count() == 0
+    assert lines.dedup_lines(odd_rows(spark)).count() == odd_rows(spark).count()
 
 
 # 9

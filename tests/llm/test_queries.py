@@ -59,7 +59,7 @@ def test_lines_against_duckdb(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     got = queries.op8_lines(spark, SF).toPandas()
     want = con.execute(queries.ORACLE_SQL["op8_lines"]).df()[list(got.columns)]
-    assert sorted(map(tuple, got.astype(int).values.tolist())) == sorted(map(tuple, want.astype(int).values.tolist())) and len(got)
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist())) and (got.n_removed > 0).any()
 
 
 def test_decontamination_and_packing(spark):
