@@ -21,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textcore import Block, blocks, materialize, mix, pick, powers
 
 LEAST_WORDS = 25
 LEAST_CHARS = 250
+BLOCK_BYTES = 400_000  #: bytes of text that one numpy pass works on
 ENDS = np.zeros(256, bool)
 ENDS[list(b".!?,;:")] = True
 
@@ -68,21 +69,25 @@ def units(block: Block, words: int = LEAST_WORDS, chars: int = LEAST_CHARS) -> t
     return text[first], begin[first] - zero[text[first]], after - zero[text[first]], *digests
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of spans, ascending; those that touch become one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def merged(spans: Column) -> Column:
+    """The union of an array of spans, ascending; those that touch become one."""
+    kind = "array<struct<start:int,end:int>>"
 
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        touches = F.when(F.size(done) > 0, last["end"] >= x["start"]).otherwise(False)
+        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(x)))
 
-def without(text: str, spans: list[tuple[int, int]]) -> str:
+    return F.aggregate(F.array_sort(spans), F.lit([]).cast(kind), lambda done, x: add(done, x).cast(kind))
+
+
+def without(text: Column, spans: Column) -> Column:
     """text without merged spans."""
-    edges = [0, *[x for s in spans for x in s], len(text)]
-    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+    begin = lambda k: F.when(k == 0, 0).otherwise(F.get(spans, k - 1)["end"])
+    end = lambda k: F.coalesce(F.get(spans, k)["start"], F.length(text))
+    pieces = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda k: F.substring(text, begin(k) + 1, end(k) - begin(k)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(pieces, ""))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def repeated_units(docs: DataFrame, words: int = LEAST_WORDS, chars: int = LEAST
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, block in blocks(batches, "text"):
+        for part, block in blocks(batches, "text", BLOCK_BYTES):
             text, start, end, d1, d2 = units(block, words, chars)
             owner = pa.array(text)
             columns = [part.column("doc_id").take(owner), part.column("h").take(owner), *[pa.array(x.astype(np.int32)) for x in (start, end)], *[pa.array(d.view(np.int64)) for d in (d1, d2)]]
@@ -118,17 +123,8 @@ def dedup_lines(docs: DataFrame, words: int = LEAST_WORDS, chars: int = LEAST_CH
     A null text stays null, with nothing removed. Of equal texts under different doc_ids the earliest stays whole, the
     others keep only what is in no unit. Everything else is kept byte by byte.
     """
-    rows = _rows(docs)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    spans = repeated_units(docs, words, chars).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans")).toDF("d", "k", "spans")
-    joined = rows.join(materialize(spans), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
-
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for part, _ in blocks(batches, "text"):
-            gone = [merged([(x["start"], x["end"]) for x in s or []]) for s in part.column("spans").to_pylist()]
-            texts = [without(t, s) if s else t for t, s in zip(part.column("text").to_pylist(), gone, strict=True)]
-            removed = [[{"start": a, "end": b} for a, b in s] for s in gone]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, span)], ["doc_id", "text", "removed"])
-
-    return joined.select("doc_id", "text", "spans").mapInArrow(cleaned, f"doc_id {kind}, text string, removed array<struct<start:int,end:int>>")
+    rows, none = _rows(docs), F.lit([]).cast("array<struct<start:int,end:int>>")
+    spans = repeated_units(docs, words, chars).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = materialize(spans.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), merged(F.col("spans")).alias("spans")))
+    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
+    return joined.select("doc_id", "text", F.coalesce("spans", none).alias("removed")).withColumn("text", without(F.col("text"), F.col("removed")))
