@@ -9,7 +9,7 @@ of ``. ! ? , ; :``, and at the end of a line or text.  Two kinds of units are ha
   goes whole.
 
 A unit is normalised by lower-casing A-Z and by taking each run of blanks as one space.  Of all units with one digest
-(128 bits over the words) the one with the least place (doc_id, code point where it begins) stays.  The others go: what is
+(96 bits over the words) the one with the least place (doc_id, code point where it begins) stays.  The others go: what is
 removed of a text is the union of their spans, each up to the next word, with the places in the original text kept.  What
 is left of a longer passage is at most the clause that its beginning cuts, and at its end less than one clause.  Shorter
 repeats stay, as do repeats inside a longer line without blanks.
@@ -107,13 +107,17 @@ def repeated_units(docs: DataFrame, words: int = LEAST_WORDS, chars: int = LEAST
         for part, block in blocks(batches, "text", BLOCK_BYTES):
             text, start, end, d1, d2 = units(block, words, chars)
             owner = pa.array(text)
-            columns = [part.column("doc_id").take(owner), part.column("h").take(owner), *[pa.array(x.astype(np.int32)) for x in (start, end)], *[pa.array(d.view(np.int64)) for d in (d1, d2)]]
+            columns = [part.column("doc_id").take(owner), part.column("h").take(owner), *[pa.array(x.astype(np.int32)) for x in (start, end)], pa.array(d1.view(np.int64)), pa.array((d2 >> np.uint64(32)).astype(np.uint32).view(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "start", "end", "d1", "d2"])
 
-    found = materialize(source.mapInArrow(digested, f"doc_id {kind}, h long, start int, end int, d1 long, d2 long"))
+    # read twice rather than written down: the same text gives the same units
+    found = source.mapInArrow(digested, f"doc_id {kind}, h long, start int, end int, d1 long, d2 int")
+    # the places of units that occur once, most of all, move only once and never into the search for the first place
+    several = found.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
+    shared = materialize(found.join(materialize(several), ["d1", "d2"]))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "start")
-    firsts = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
-    later = found.join(materialize(firsts), ["d1", "d2"]).where(place != F.col("first"))
+    firsts = shared.groupBy("d1", "d2").agg(F.min(place).alias("first"))
+    later = shared.join(firsts, ["d1", "d2"]).where(place != F.col("first"))
     return later.select("doc_id", "h", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
