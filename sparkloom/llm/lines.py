@@ -116,7 +116,8 @@ def repeated_units(docs: DataFrame, words: int = LEAST_WORDS, chars: int = LEAST
     several = found.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
     shared = materialize(found.join(materialize(several), ["d1", "d2"]))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "start")
-    firsts = shared.groupBy("d1", "d2").agg(F.min(place).alias("first"))
+    # written down, so that the join below is of plain shuffles, whose hot keys are split
+    firsts = materialize(shared.groupBy("d1", "d2").agg(F.min(place).alias("first")))
     later = shared.join(firsts, ["d1", "d2"]).where(place != F.col("first"))
     return later.select("doc_id", "h", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
