@@ -1,16 +1,27 @@
-"""Classification by compression: zstandard dictionaries of two classes, compressed-size differences, calibration.
-
-A text is cut into short windows at blanks.  Each window is compressed once with the dictionary of either class; the
-size difference says which class's text it repeats.  A few statistics of those differences over the whole text go
-through a logistic calibration that is fitted on texts whose own words did not build the dictionaries used on them.
+"""Classification by compression: zstandard dictionaries trained on two classes, compressed sizes of windows, calibration.
+
+A text is cut into windows at blanks.  Each window is compressed once with the dictionary of either class.  Two ways to
+read the sizes:
+
+* ``Difference`` (quality): both dictionaries are trained on all windows of their class and keep their entropy tables.  The
+  text's statistic is the difference of the two summed sizes, divided by the text's bytes.  A monotone fit (pooled
+  adjacent violators over equal-count bins) turns it into a probability.
+* ``Thresholds`` (toxicity): the few windows that matter sit in texts that are otherwise ordinary, so the toxic dictionary
+  is trained on those windows of toxic texts that other toxic texts compress better than ordinary texts do: a vote over
+  groups of texts chooses them, then two halves of the texts correct each other's choice, each by compressing with the
+  dictionary that the other half's windows trained.  A large dictionary trained on ordinary text stands before it, so what
+  remains of a window's size difference is what only toxic text holds.  The numbers and shares of windows over some
+  thresholds go through a logistic fit.
+
+Calibration is fitted on texts scored with dictionaries that other texts trained.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,34 +31,50 @@ from pyspark.sql import functions as F
 
 from .textcore import blocks, fold, pick
 
+MAX_ROWS = 2000  #: labelled rows of each class that a fit reads, at most; the least by a hash of their key
+
+
+@dataclass(frozen=True)
+class Difference:
+    """Parameters of the normalised size difference."""
+
+    window: int = 512  #: bytes of a window, at most; windows end at blanks where they can
+    size: int = 32_768  #: bytes of each dictionary
+    segment: int = 50  #: bytes of a piece that the trainer takes over
+    level: int = 3
+    bins: int = 50  #: of the calibration, with equal counts
+
 
 @dataclass(frozen=True)
-class Recipe:
-    """Parameters of a compression classifier."""
-
-    window: int = 32  #: bytes of a window, at most; windows end at blanks where they can
-    level: int = 6
-    min_match: int = 5
-    base_bytes: int = 4096  #: ordinary text that both dictionaries hold
-    class_bytes: int = 0  #: bytes of each class's own zstandard-trained content
-    segments: int = 64  #: words or word beginnings, at most, that mark either class
-    extensions: int = 60  #: most frequent words for each segment that they begin with, at most
-    least_gain: float = 50.0  #: log-likelihood gain that a segment needs; above twice the logarithm of the number of candidates
-    least_ratio: float = 8.0  #: times as frequent in its class
-    both_sides: bool = False  #: whether the negative class has segments too
-    max_rows: int = 2000  #: labelled rows of each class that the fit reads, at most; the least by hash
-    max_chars: int = 20_000  #: longer labelled rows are scored, but do not serve for the fit
+class Thresholds:
+    """Parameters of the windows over thresholds."""
+
+    window: int = 32
+    ordinary_size: int = 1_600_000  #: bytes of the ordinary dictionary
+    ordinary_segment: int = 512
+    size: int = 4096  #: bytes of the toxic dictionary
+    segment: int = 16
+    groups: int = 6  #: of each class's texts, that vote on windows
+    group_bytes: int = 150_000  #: of text that a group votes with
+    vote: float = 3  #: bytes by which the median group of toxic texts must compress a window better
+    rounds: int = 2  #: of mutual correction
+    gain: int = 4  #: bytes that a window must gain to be kept in a round
+    thresholds: tuple[int, ...] = (2, 3, 4, 5, 6)  #: bytes; their weights are calibrated
+    level: int = 3
+
+
+Recipe = Difference | Thresholds
 
 
 @dataclass(frozen=True)
 class Model:
     recipe: Recipe
-    positive: bytes  #: dictionary of the class with label 1
-    negative: bytes
-    mean: np.ndarray | None = None
-    scale: np.ndarray | None = None
-    weights: np.ndarray | None = None
-    prior: float = 0.5  #: the score where there is no text
+    negative: bytes  #: dictionary of the class with label 0
+    positive: bytes
+    #: of a Difference: statistics, ascending, and probabilities at them; of Thresholds: mean and scale, then weights
+    knots: np.ndarray
+    values: np.ndarray
+    prior: float  #: the score where there is no text
 
 
 def cut(text: bytes, size: int) -> list[bytes]:
@@ -64,99 +91,112 @@ def cut(text: bytes, size: int) -> list[bytes]:
     return out or [b""]
 
 
-def _contexts(texts: list[bytes]) -> tuple[dict[bytes, int], int]:
-    """For each word the number of its distinct neighbourhoods, so that copies of a text count once."""
-    seen, total = defaultdict(set), 0
-    for text in set(texts):
-        words = text.split()
-        total += len(words)
-        for left, word, right in zip([b"", *words[:-1]], words, [*words[1:], b""], strict=True):
-            if 4 <= len(word) <= 32:
-                seen[word.rstrip(b".,;:!?")].add((left, right))
-    return {w: len(x) for w, x in seen.items()}, max(1, total)
-
-
-def _marks(own: tuple[dict, int], other: tuple[dict, int], recipe: Recipe) -> list[bytes]:
-    """Words and word beginnings that are much more frequent in one class, strongest last; none begins another."""
-    counts = []
-    for words, _ in (own, other):
-        begun = defaultdict(int)
-        for word, n in words.items():
-            for k in range(4, len(word) + 1):
-                begun[word[:k]] += n
-        counts.append(begun)
-    gains = []
-    for word, n in counts[0].items():
-        rate, rival = (n + 0.5) / own[1], (counts[1].get(word, 0) + 0.5) / other[1]
-        if n >= 4 and rate > recipe.least_ratio * rival and (n + 0.5) * np.log(rate / rival) >= recipe.least_gain:
-            gains.append(((n + 0.5) * np.log(rate / rival), len(word), word))
-    chosen: list[bytes] = []
-    for _, _, word in sorted(gains, reverse=True):
-        if len(chosen) < recipe.segments and not any(word.startswith(x) or x.startswith(word) for x in chosen):
-            chosen.append(word)
-    # whole words that begin so make longer matches; the strongest come last, where they are cheapest to reach
-    out = []
-    for mark in chosen[::-1]:
-        whole = sorted(((n, w) for w, n in own[0].items() if w.startswith(mark) and w != mark), reverse=True)[: recipe.extensions]
-        out += [w for _, w in whole[::-1]] + [mark]
-    return out
-
-
-def build(texts: list[bytes], labels: np.ndarray, recipe: Recipe) -> Model:
-    """The two dictionaries. Ties and order of the rows do not matter: texts are taken by their own order."""
-    classes = [sorted({t for t, y in zip(texts, labels, strict=True) if y == k}) for k in (0, 1)]
-    rng = np.random.default_rng(7)
-    picked = [[c[i] for i in rng.permutation(len(c))] for c in classes]
-    base = b" ".join(t[:300] for t in picked[0][:400])[: recipe.base_bytes]
-    counted = [_contexts(c) for c in classes]
-    own = [_marks(counted[0], counted[1], recipe) if recipe.both_sides else [], _marks(counted[1], counted[0], recipe)]
-    parts = []
-    for k in (0, 1):
-        content = b""
-        if recipe.class_bytes:
-            samples = [w for t in picked[k][:1500] for w in cut(t, 256)][:20_000]
-            try:
-                content = zstandard.train_dictionary(recipe.class_bytes, samples).as_bytes()[-recipe.class_bytes :]
-            except zstandard.ZstdError:  # too few samples
-                content = b" ".join(samples)[: recipe.class_bytes]
-        parts.append(base + b" " + content + b" " + b" ".join(own[k]) + b" ")
-    return Model(recipe, positive=parts[1], negative=parts[0])
+def train(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A zstandard dictionary of about size bytes; of samples that are too few to train on, their text."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(samples)[:size]
+
+
+def compressor(dictionary: bytes, level: int, entropy: bool):
+    """The compress function of a dictionary; entropy: with its entropy tables too, not only its text."""
+    kind = zstandard.DICT_TYPE_AUTO if entropy and dictionary[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+    wide = {} if entropy else {"min_match": 5, "hash_log": 20, "chain_log": 20}
+    params = zstandard.ZstdCompressionParameters.from_level(level, window_log=21, write_content_size=False, write_dict_id=False, write_checksum=False, **wide)
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=kind)
+    d.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress
+
+
+def sizes(compress, windows: list[bytes]) -> np.ndarray:
+    return np.fromiter((len(compress(w)) for w in windows), np.int64, len(windows))
+
+
+def part_of(text: bytes, parts: int, salt: int) -> int:
+    """Deals texts into parts: equal texts into the same one."""
+    return zlib.crc32(text, salt) // 7 % parts
+
+
+def _spread(texts: list[bytes], salt: int) -> list[bytes]:
+    """The distinct texts in an order that depends on them alone."""
+    return sorted(set(texts), key=lambda t: (zlib.crc32(t, salt), t))
+
+
+def _all_windows(texts: list[bytes], size: int) -> list[bytes]:
+    return [w for t in _spread(texts, 1) for w in cut(t, size)]
+
+
+def vote(toxic: list[bytes], ordinary: list[bytes], recipe: Thresholds) -> list[bytes]:
+    """The windows of toxic texts that the median of the other groups' toxic texts compresses better than its ordinary texts."""
+    toxic, ordinary = _spread(toxic, 2), _spread(ordinary, 2)
+    k, found = recipe.groups, []
+    pairs = []
+    for g in range(k):
+        sides = [b" ".join(t for t in side if part_of(t, k, 3) == g) for side in (ordinary, toxic)]
+        n = min(recipe.group_bytes, *map(len, sides))
+        pairs.append([compressor(x[:n] or b" ", recipe.level, False) for x in sides])
+    for t in toxic:
+        own, windows = part_of(t, k, 3), cut(t, recipe.window)
+        gains = [sizes(a, windows) - sizes(b, windows) for g, (a, b) in enumerate(pairs) if g != own]
+        found += [w for w, v in zip(windows, np.median(gains, axis=0), strict=True) if v >= recipe.vote]
+    return found
+
+
+def build(texts: list[bytes], labels: np.ndarray, recipe: Recipe) -> tuple[bytes, bytes]:
+    """The dictionaries of label 0 and 1. Order and repetition of the rows do not matter."""
+    sides = [[t for t, y in zip(texts, labels, strict=True) if y == k] for k in (0, 1)]
+    if isinstance(recipe, Difference):
+        return tuple(train(_all_windows(side, recipe.window), recipe.size, recipe.segment) for side in sides)
+    plain = train(_all_windows(sides[0], 256), recipe.ordinary_size, recipe.ordinary_segment)
+    halves = [[[t for t in side if part_of(t, 2, 4) == h] for side in sides] for h in (0, 1)]
+    chosen = [vote(toxic, ordinary, recipe) for ordinary, toxic in halves]
+    base = compressor(plain, recipe.level, False)
+    for _ in range(recipe.rounds):
+        kept = []
+        for h in (0, 1):
+            windows = _all_windows(halves[h][1], recipe.window)
+            other = compressor(plain + train(chosen[1 - h], recipe.size, recipe.segment), recipe.level, False)
+            gains = sizes(base, windows) - sizes(other, windows)
+            kept.append([w for w, g in zip(windows, gains, strict=True) if g >= recipe.gain])
+        chosen = kept
+    return plain, plain + train(chosen[0] + chosen[1], recipe.size, recipe.segment)
 
 
 class Scorer:
-    """A model made ready for use in one process."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        recipe = model.recipe
-        params = zstandard.ZstdCompressionParameters.from_level(recipe.level, min_match=recipe.min_match, window_log=15, hash_log=14, chain_log=14, write_content_size=False, write_dict_id=False)
-        self.compressors = []
-        for content in (model.negative, model.positive):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
-
-    def features(self, text: bytes) -> list[float]:
-        windows = cut(text, self.model.recipe.window)
+    """The dictionaries of a recipe made ready for use in one process."""
+
+    def __init__(self, recipe: Recipe, negative: bytes, positive: bytes):
+        self.recipe = recipe
+        self.compressors = [compressor(d, recipe.level, isinstance(recipe, Difference)) for d in (negative, positive)]
+
+    def gains(self, text: bytes) -> np.ndarray:
+        """By how many bytes the dictionary of label 1 compresses each window better."""
+        windows = cut(text, self.recipe.window)
         negative, positive = self.compressors
-        a = np.fromiter((len(negative(w)) for w in windows), np.float64, len(windows))
-        b = np.fromiter((len(positive(w)) for w in windows), np.float64, len(windows))
-        raw = max(1, len(text))
-        d = a - b
-        top = np.sort(d)
-        return [d.mean(), d.sum() / raw, top[-1], top[-3:].mean(), top[0], top[:3].mean(), (d >= 3).mean(), (d >= 4).mean(), (d >= 6).mean(), np.log1p((d >= 4).sum()), np.log1p((d >= 6).sum()), (d >= 8).mean(), np.log1p((d >= 8).sum()), (d <= -3).mean(), a.sum() / raw, b.sum() / raw]
-
-    def score(self, text: bytes) -> float:
-        """0 to 1, higher: label 1 likelier."""
-        m = self.model
-        if not text.strip():
-            return m.prior
-        z = float(np.append((np.array(self.features(text)) - m.mean) / m.scale, 1.0).clip(-8, 8) @ m.weights)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, scale and weights (the last one constant) of a logistic regression by Newton steps."""
+        return sizes(negative, windows) - sizes(positive, windows)
+
+    def statistics(self, text: bytes) -> np.ndarray:
+        d = self.gains(text)
+        if isinstance(self.recipe, Difference):
+            return np.array([d.sum() / max(1, len(text))])
+        over = [(d >= t).sum() for t in self.recipe.thresholds]
+        return np.array([*np.log1p(over), *[n / len(d) for n in over]])
+
+
+def score(model: Model, scorer: Scorer, text: bytes) -> float:
+    """0 to 1, higher: label 1 likelier."""
+    if not text.strip():
+        return model.prior
+    x = scorer.statistics(text)
+    if isinstance(model.recipe, Difference):
+        return float(np.interp(x[0], model.knots, model.values))
+    z = float(np.append(((x - model.knots[0]) / model.knots[1]).clip(-8, 8), 1.0) @ model.values)
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale, and the weights (the last one constant) of a logistic regression by Newton steps."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[((x - mean) / scale).clip(-8, 8), np.ones(len(x))]
     w = np.zeros(z.shape[1])
@@ -167,69 +207,94 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    return mean, scale, w
+    return np.array([mean, scale]), w
+
+
+def monotone(x: np.ndarray, y: np.ndarray, bins: int, odds: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics, ascending, and probabilities of label 1 at them that never fall: bins with equal counts, neighbours
+    whose rates fall pooled, half a row of either label added. odds: by which the labels' odds differ from those of y."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []
+    for part in np.array_split(order, min(bins, len(order))):
+        pools.append([x[part].mean(), y[part].sum(), len(part)])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            at, ones, n = pools.pop()
+            a = pools[-1]
+            a[0], a[1], a[2] = (a[0] * a[2] + at * n) / (a[2] + n), a[1] + ones, a[2] + n
+    rate = np.array([(ones + 0.5) / (n + 1) for _, ones, n in pools])
+    odd = odds * rate / (1 - rate)
+    return np.array([p[0] for p in pools]), np.maximum.accumulate(odd / (1 + odd))
 
 
 def fit(texts: list[bytes], labels: list[int], recipe: Recipe, totals: tuple[int, int] | None = None) -> Model:
     """Dictionaries from all texts; the calibration from two halves, each scored with the other half's dictionaries.
 
     totals: how many rows of label 0 and 1 there are, where the texts are a sample that has other shares; the scores
-    then follow the shares of all rows. Equal texts go to one half. With fewer than two different texts of a class, the score is the smoothed rate of label 1.
+    then follow the shares of all rows. Equal texts go to one half. Where a half has fewer than two different texts of a
+    class, the score is the smoothed rate of label 1.
     """
     y = np.array(labels, float)
     own = np.array([(y == 0).sum(), (y == 1).sum()]) + 0.5
     every = own if totals is None else np.array(totals) + 0.5
     prior = float(every[1] / every.sum())
-    half = np.array([hash_text(t) & 1 for t in texts], bool)
-    whole = replace(build(texts, y, recipe), prior=prior)
-    width = len(Scorer(whole).features(b""))
-    if any(len({t for t, k in zip(texts, y, strict=True) if k == c}) < 2 for c in (0, 1)):
-        return replace(whole, mean=np.zeros(width), scale=np.ones(width), weights=np.append(np.zeros(width), np.log(prior / (1 - prior))))
-    x = np.zeros((len(texts), width))
-    for side in (False, True):
-        part = [t for t, h in zip(texts, half, strict=True) if h != side]
-        scorer = Scorer(build(part, y[half != side], recipe))
+    half = np.array([part_of(t, 2, 5) for t in texts], int)
+    if any(len({t for t, k, h in zip(texts, y, half, strict=True) if k == c and h == s}) < 2 for c in (0, 1) for s in (0, 1)):
+        width = 1 if isinstance(recipe, Difference) else 2 * len(recipe.thresholds)
+        flat = (np.zeros(1), np.full(1, prior)) if width == 1 else (np.array([np.zeros(width), np.ones(width)]), np.append(np.zeros(width), math.log(prior / (1 - prior))))
+        return Model(recipe, b" ", b" ", *flat, prior)
+    x: list = [None] * len(texts)
+    for side in (0, 1):
+        scorer = Scorer(recipe, *build([t for t, h in zip(texts, half, strict=True) if h != side], y[half != side], recipe))
         for i in np.flatnonzero(half == side):
-            x[i] = scorer.features(texts[i])
-    mean, scale, weights = logistic(x, y)
-    weights[-1] += np.log(every[1] / every[0]) - np.log(own[1] / own[0])
-    return replace(whole, mean=mean, scale=scale, weights=weights)
+            x[i] = scorer.statistics(texts[i])
+    odds = float(every[1] / every[0] * own[0] / own[1])
+    if isinstance(recipe, Difference):
+        knots, values = monotone(np.array(x)[:, 0], y, recipe.bins, odds)
+    else:
+        knots, values = logistic(np.array(x), y)
+        values[-1] += math.log(odds)
+    return Model(recipe, *build(texts, y, recipe), knots, values, prior)
 
 
-def hash_text(text: bytes) -> int:
-    return zlib.crc32(text) >> 7
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int = MAX_ROWS) -> tuple[list[bytes], list[int], tuple[int, int]]:
+    """Labelled rows outside the held-out fold, at most max_rows doc_ids of each class, the least by a hash of the key; and how many there are of each.
 
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, recipe: Recipe) -> tuple[list[bytes], list[int], tuple[int, int]]:
-    """At most max_rows labelled rows of each class outside the held-out fold, the least by a hash of their key; and how many there are of each."""
-    marked = pick(labels, "doc_id", label).select("doc_id", F.col(label).cast("int").alias("mark")).where("mark IN (0, 1)").where(fold("doc_id", modulus) != held)
+    Null doc_ids, null texts, and labels other than 0 and 1 do not count, nor does a doc_id with both labels. Repeated
+    labels count once; rows that repeat a doc_id all serve.
+    """
+    marked = pick(labels, "doc_id", label).select("doc_id", F.col(label).cast("int").alias("mark")).where("mark IN (0, 1) AND doc_id IS NOT NULL").where(fold("doc_id", modulus) != held)
+    marked = marked.groupBy("doc_id").agg(F.min("mark").alias("mark"), F.max("mark").alias("top")).where("mark = top").select("doc_id", "mark")
     rank = F.xxhash64(F.lit(11), "doc_id")
     # a first cut by the key alone keeps the texts of all other rows out of the join
     few = None
     for k in (0, 1):
-        part = marked.where(F.col("mark") == k).orderBy(rank, "doc_id").limit(recipe.max_rows)
+        part = marked.where(F.col("mark") == k).orderBy(rank, "doc_id").limit(max_rows)
         few = part if few is None else few.union(part)
-    rows = pick(docs, "doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= recipe.max_chars)).join(F.broadcast(few), "doc_id")
+    rows = pick(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id")
     got = sorted((r.text.encode(), r.mark) for r in rows.select("text", "mark").collect())
     counts = {r.mark: r["count"] for r in marked.groupBy("mark").count().collect()}
     return [t for t, _ in got], [k for _, k in got], (counts.get(0, 0), counts.get(1, 0))
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, recipe: Recipe) -> Model:
-    """fit on labelled_sample."""
-    texts, marks, totals = labelled_sample(docs, labels, label, modulus, held, recipe)
+    """fit on labelled_sample. Without labelled rows (empty tables) every score is 0.5."""
+    texts, marks, totals = labelled_sample(docs, labels, label, modulus, held)
     return fit(texts, marks, recipe, totals)
 
 
 def classify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns keep of docs, and score. A null text counts as empty."""
+    """The columns keep of docs, and score, for every row.
+
+    A null text counts as empty: an empty or blank text scores the share of label 1 among the labelled rows. Equal texts
+    score the same, repeated rows each get their row, and a text of any length is scored whole, window by window.
+    """
     source = pick(docs, *keep, text).toDF(*keep, "__text")
     schema = source.drop("__text").schema.add("score", "double")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = Scorer(model.recipe, model.negative, model.positive)
         for part, block in blocks(batches, "__text"):
-            scores = pa.array([scorer.score(block.text(i)) for i in range(len(block))], pa.float64())
+            scores = pa.array([score(model, scorer, block.text(i)) for i in range(len(block))], pa.float64())
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], scores], [*keep, "score"])
 
     return source.mapInArrow(scored, schema)

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from . import compression, decontam, langid, lines, minhash, packing, pii, suffix, urls
 from .textcore import fold
 
-#: Ordinary prose against junk differs in marks, case and repetition: both classes have content of their own.
-QUALITY = compression.Recipe(window=128, level=6, min_match=4, base_bytes=2048, class_bytes=32768, segments=64, least_gain=15.0, both_sides=True)
-#: Toxic passages are a few words in ordinary prose: short windows, and only the toxic side has marks.
-TOXICITY = compression.Recipe()
+#: Settings of both were chosen by cross-validation among the rows outside the held-out folds, and then frozen.
+QUALITY = compression.Difference()
+TOXICITY = compression.Thresholds()
 THRESHOLD = 0.3
 
 

@@ -1,12 +1,14 @@
 """The ten operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import collections
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from sparkloom.llm import compression, decontam, langid, lines, minhash, packing, pii, queries, suffix, urls
 from sparkloom.llm.components import connected_components
@@ -159,52 +161,145 @@ def test_the_tree_grows_to_the_deepest_segment_with_support(spark):
 # 3 and 4
 
 
-def test_compression_held_out():
-    rng = random.Random(3)
-    plain = [f"{a}{b}" for a in "kon mar tel dor sin".split() for b in "ta ver lo mi pas ran".split()]
-
-    def text(bad):
+def labelled_texts(rng, n):
+    """Ordinary prose, prose with a few rare words, and prose in capitals: text, toxic, quality."""
+    plain = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    out = []
+    for _ in range(n):
         w = [rng.choice(plain) for _ in range(rng.randint(30, 120))]
-        for _ in range(rng.randint(2, 5) if bad else 0):
-            w[rng.randrange(len(w))] = rng.choice(["garbage", "wretched", "vermin"])
-        return " ".join(w).encode()
-
-    y = [int(rng.random() < 0.3) for _ in range(900)]
-    x = [text(k) for k in y]
-    for recipe in (queries.TOXICITY,):
-        model = compression.fit(x[:600], y[:600], recipe)
-        scorer = compression.Scorer(model)
-        hit = [(scorer.score(t) >= 0.3) == bool(k) for t, k in zip(x[600:], y[600:], strict=True)]
-        assert np.mean(hit) > 0.95
-        assert 0 <= scorer.score(b"") <= 1 and 0 <= scorer.score(b"x" * 100_000) <= 1
-        again = compression.fit(x[:600][::-1], y[:600][::-1], recipe)
-        assert abs(compression.Scorer(again).score(x[700]) - scorer.score(x[700])) < 1e-6
+        toxic, bad = rng.random() < 0.3, rng.random() < 0.3
+        for _ in range(rng.randint(3, 6) if toxic else 0):
+            w[rng.randrange(len(w))] = rng.choice(["garbage", "wretched", "verminous"])
+        out.append((" ".join(x.upper() + "!!" if bad else x for x in w).encode(), int(toxic and not bad), int(not bad)))
+    return out
+
+
+@pytest.mark.parametrize("recipe,column,least", [(queries.QUALITY, 2, 0.97), (queries.TOXICITY, 1, 0.93)])
+def test_compression_held_out(recipe, column, least):
+    rows = labelled_texts(random.Random(3), 1500)
+    x, y = [r[0] for r in rows], [r[column] for r in rows]
+    model = compression.fit(x[:1100], y[:1100], recipe)
+    scorer = compression.Scorer(model.recipe, model.negative, model.positive)
+    scores = [compression.score(model, scorer, t) for t in x[1100:]]
+    hit = [(s >= 0.3) == bool(k) for s, k in zip(scores, y[1100:], strict=True)]
+    assert np.mean(hit) > least, np.mean(hit)
+    assert 0 <= compression.score(model, scorer, b"") <= 1 and 0 <= compression.score(model, scorer, b"x" * 100_000) <= 1
+    again = compression.fit(x[:1100][::-1], y[:1100][::-1], recipe)
+    assert (again.negative, again.positive) == (model.negative, model.positive) and np.allclose(again.values, model.values)
+
+
+def sizes_plainly(dictionary, windows, level, entropy):
+    """Compressed sizes, each by a compressor of its own."""
+    kind = zstandard.DICT_TYPE_AUTO if entropy else zstandard.DICT_TYPE_RAWCONTENT
+    more = {} if entropy else {"min_match": 5, "hash_log": 20, "chain_log": 20}
+    params = zstandard.ZstdCompressionParameters.from_level(level, window_log=21, write_content_size=False, write_dict_id=False, write_checksum=False, **more)
+    out = []
+    for w in windows:
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=kind)
+        d.precompute_compress(compression_params=params)
+        out.append(len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(w)))
+    return np.array(out)
+
+
+def windows_plainly(text, size):
+    """The longest pieces of at most size bytes, word by word; a longer word is cut hard."""
+    out, at = [], 0
+    while at < len(text):
+        end = len(text) if len(text) - at <= size else next((k for k in range(at + size, at + 1, -1) if text[k - 1 : k] == b" "), at + size)
+        out.append(text[at:end])
+        at = end
+    return out or [b""]
+
+
+def statistics_plainly(recipe, negative, positive, text):
+    windows = windows_plainly(text, recipe.window)
+    entropy = isinstance(recipe, compression.Difference)
+    a, b = (sizes_plainly(d, windows, recipe.level, entropy) for d in (negative, positive))
+    if entropy:
+        return np.array([(sum(a) - sum(b)) / max(1, len(text))])
+    over = [sum(1 for x, y in zip(a, b, strict=True) if x - y >= t) for t in recipe.thresholds]
+    return np.array([math.log(1 + n) for n in over] + [n / len(windows) for n in over])
+
+
+def test_windows_and_sizes_against_plain_loops():
+    rng = random.Random(6)
+    texts = [r[0] for r in labelled_texts(rng, 12)] + [b"", b" ", b"x" * 700, ("né " * 200).encode(), b"a" * 31 + b" " + b"b" * 40]
+    for size in (7, 32, 512):
+        for t in texts:
+            assert compression.cut(t, size) == windows_plainly(t, size) and b"".join(windows_plainly(t, size)) == t
+    rows = labelled_texts(rng, 300)
+    for recipe, column in ((queries.QUALITY, 2), (queries.TOXICITY, 1)):
+        dictionaries = compression.build([r[0] for r in rows], np.array([r[column] for r in rows], float), recipe)
+        scorer = compression.Scorer(recipe, *dictionaries)
+        for t in texts[-8:]:
+            assert np.allclose(scorer.statistics(t), statistics_plainly(recipe, *dictionaries, t))
+
+
+def test_votes_against_plain_loops():
+    rows = labelled_texts(random.Random(8), 160)
+    toxic, ordinary = sorted({r[0] for r in rows if r[1]}), sorted({r[0] for r in rows if not r[1]})
+    recipe = compression.Thresholds(groups=3, group_bytes=4000)
+    order = lambda side: sorted(side, key=lambda t: (zlib.crc32(t, 2), t))
+    want = []
+    for t in order(toxic):
+        for w in windows_plainly(t, recipe.window):
+            gains = []
+            for g in range(3):
+                if zlib.crc32(t, 3) // 7 % 3 != g:
+                    sides = [b" ".join(x for x in order(side) if zlib.crc32(x, 3) // 7 % 3 == g) for side in (ordinary, toxic)]
+                    n = min(4000, *map(len, sides))
+                    a, b = (sizes_plainly(x[:n], [w], recipe.level, False)[0] for x in sides)
+                    gains.append(a - b)
+            if np.median(gains) >= recipe.vote:
+                want.append(w)
+    assert compression.vote(toxic, ordinary, recipe) == want and len(want) > 10
+
+
+def test_monotone_against_all_cuts():
+    """Pooled rates equal the max-min formula over all runs of bins."""
+    rng = np.random.default_rng(2)
+    x = rng.random(200)
+    y = (rng.random(200) < x).astype(float)
+    knots, values = compression.monotone(x, y, 200)
+    order = np.argsort(x)
+    ys = y[order]
+    want = [max(min(ys[a : b + 1].mean() for b in range(i, 200)) for a in range(i + 1)) for i in range(200)]
+    assert (np.diff(values) >= 0).all() and len(set(np.round(want, 9))) == len(knots)
+    even, rare = compression.monotone(x, y, 20), compression.monotone(x, y, 20, 0.01)
+    assert (rare[1] < even[1]).all()
 
 
 def test_scores_follow_the_shares_of_all_rows():
     x = [f"plain words number {i} of them".encode() for i in range(40)] + [f"vermin words number {i} of them".encode() for i in range(40)]
     y = [0] * 40 + [1] * 40
     even, rare = compression.fit(x, y, queries.TOXICITY), compression.fit(x, y, queries.TOXICITY, (4000, 40))
-    assert rare.weights[-1] < even.weights[-1] - 4 and rare.prior < 0.02 < even.prior
+    assert rare.values[-1] < even.values[-1] - 4 and rare.prior < 0.02 < even.prior
 
 
-@pytest.mark.parametrize("labels", [[], [1], [0, 1], [1, 1, 1, 1]])
-def test_compression_with_few_labels(labels):
-    model = compression.fit([f"text number {i} of a few".encode() for i in range(len(labels))], labels, queries.QUALITY)
-    assert 0 <= compression.Scorer(model).score(b"some text here") <= 1
+@pytest.mark.parametrize("recipe", [queries.QUALITY, queries.TOXICITY])
+@pytest.mark.parametrize("labels", [[], [1], [0, 1], [1, 1, 1, 1], [0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1]])
+def test_compression_with_few_labels(labels, recipe):
+    model = compression.fit([f"text number {i} of a few".encode() for i in range(len(labels))], labels, recipe)
+    scorer = compression.Scorer(model.recipe, model.negative, model.positive)
+    assert 0 <= compression.score(model, scorer, b"some text here") <= 1 and model.prior == pytest.approx((sum(labels) + 0.5) / (len(labels) + 1))
 
 
 def test_classify_odd_rows(spark):
     model = compression.fit([b"good text here and there", b"other good text", b"bad### stuff!!!", b"more bad### stuff"], [1, 1, 0, 0], queries.QUALITY)
     got = compression.classify(odd_rows(spark), model, ["doc_id"]).collect()
     assert len(got) == 13 and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 3}) == 1 and {r.score for r in got if r.doc_id in (0, 1)} == {model.prior}
     assert compression.classify(empty(spark), model, ["doc_id"]).count() == 0
-    labels = spark.createDataFrame([(i, i % 2, None) for i in range(40)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
-    docs = spark.createDataFrame([(i, f"text {i}", None, None, None) for i in range(40)] + [(41, None, None, None, None)], DOC)
-    texts, marks, totals = compression.labelled_sample(docs, labels, "quality", 5, 0, queries.QUALITY)
-    assert sorted(zip(texts, marks, strict=True)) == sorted((f"text {i}".encode(), i % 2) for i in range(40) if zlib.crc32(str(i).encode()) % 5)
-    assert totals == (marks.count(0), marks.count(1))
-    assert compression.labelled_sample(docs, labels, "toxic", 5, 0, queries.QUALITY) == ([], [], (0, 0))
+    labels = spark.createDataFrame([(i, i % 2, None, "x") for i in range(40)] + [(None, 1, 1, "x"), (1, 1, None, "x"), (3, 0, None, "x"), (4, 7, None, "x")], "doc_id long, quality int, toxic int, TEXT string")
+    docs = spark.createDataFrame([(i, f"text {i}", None, None, None) for i in range(40)] + [(2, "again 2", None, None, None), (41, None, None, None, None)], DOC)
+    texts, marks, totals = compression.labelled_sample(docs, labels, "quality", 5, 0)
+    # 1 has one label twice, 3 has both and is left out, 2 has two rows
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 and i != 3]
+    assert sorted(zip(texts, marks, strict=True)) == sorted([(f"text {i}".encode(), i % 2) for i in free] + [(b"again 2", 0)] * (2 in free))
+    assert totals == (sum(i % 2 == 0 for i in free), sum(i % 2 for i in free))
+    assert compression.labelled_sample(docs, labels, "toxic", 5, 0) == ([], [], (0, 0))
+    few = compression.labelled_sample(docs, labels, "quality", 5, 0, 3)
+    assert few[2] == totals and few[1].count(1) == 3
 
 
 # 5

@@ -1,16 +1,18 @@
 """The registered queries on the smallest tables: one row per input row where the contract says so, and its columns."""
 
+import math
 import os
 import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from sparkloom.llm import queries
+from sparkloom.llm import compression, queries
 
-from .test_operators import components_plainly, patterns_plainly, rule_plainly, split_plainly
+from .test_operators import components_plainly, patterns_plainly, rule_plainly, split_plainly, statistics_plainly
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -62,6 +64,23 @@ def test_lines_against_duckdb(spark):
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist())) and (got.n_removed > 0).any()
 
 
+@pytest.mark.parametrize("name,label,modulus,held", [("op3_quality", "quality", 5, 0), ("op4_toxicity", "toxic", 4, 2)])
+def test_classifiers_against_brute_force(spark, name, label, modulus, held):
+    """The rows to learn from, the statistics and the scores, read one by one."""
+    rows = duckdb.sql(f"SELECT doc_id, text, {label} FROM '{SF}/documents.parquet' LEFT JOIN '{SF}/labels.parquet' USING (doc_id)").fetchall()
+    recipe = queries.QUALITY if label == "quality" else queries.TOXICITY
+    learnt = sorted((t.encode(), k) for i, t, k in rows if k in (0, 1) and zlib.crc32(str(i).encode()) % modulus != held)
+    model = compression.fit([t for t, _ in learnt], [k for _, k in learnt], recipe)
+    got = {r.doc_id: r.score for r in queries.QUERIES[name](spark, SF).collect()}
+    for i, text, _ in sorted(rows)[:60]:
+        x = statistics_plainly(recipe, model.negative, model.positive, text.encode())
+        if label == "quality":
+            want = float(np.interp(x[0], model.knots, model.values))
+        else:
+            want = 1 / (1 + math.exp(-float(np.append(((x - model.knots[0]) / model.knots[1]).clip(-8, 8), 1) @ model.values)))
+        assert got[i] == pytest.approx(want if text.strip() else model.prior, abs=1e-9)
+
+
 def test_decontamination_and_packing(spark):
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
     items = dict(duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall())
