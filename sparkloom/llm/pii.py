@@ -1,9 +1,13 @@
 """Personal data: four checked patterns, and a linear-chain conditional random field over word shapes that adds spans.
 
 The field's tokens are runs of letters, runs of digits and single other characters.  It is trained here, in numpy, from
-a small labelled table, and labels B/I per kind or outside.  It reads the neighbourhoods of anchors: digits, ``@``, and
-the words ``at`` and ``dot``; a span without any of them passes no kind's check.  Neighbourhoods of a batch are decoded together by Viterbi.  A decoded
-span must pass its kind's check and may not touch a span of the patterns.
+a small labelled table, and labels B/I per kind or outside; besides the patterns' kinds it knows secrets (keys, tokens,
+passwords).  Every token of a text is read: it gets a shape, and features of the shapes around it.  A hard constraint of
+the model, in training and decoding alike, says that a token farther than REACH tokens from any anchor is outside; an
+anchor is a run of digits, ``@``, the mark of an access key, or ``at`` with a spelt or inner dot among the next REACH tokens, and no kind's check
+passes without one.  Tokens that must be outside cut the chain, so the pieces between them are decoded on their own, all
+in one Viterbi recursion, with the same result as one pass over the whole text.  A decoded span must pass its kind's
+check and may not touch a span of the patterns.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import DataFrame
 from .textcore import blocks, pick
 
 KINDS = ["email", "ip", "card", "phone"]
+ALL_KINDS = [*KINDS, "secret"]  #: those of the patterns, and one that only the field finds
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -29,10 +34,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: An address without ``@``: the dot comes after ``at``, in its line, and ends no sentence (a blank on neither or on both sides).
 AT = re.compile(r"\bat\b.*[^.\s](?:\.(?=[\w\])])|\s\.\s(?=\w)|\s?\bdot\b)", re.IGNORECASE)
 HINT = re.compile(r"[0-9@]")
-ANCHOR = re.compile(r"[0-9]+|@|\b(?:at|dot)\b", re.IGNORECASE)
-TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
-REACH = 60  #: characters on either side of an anchor that are decoded with it, at least; then up to a blank
-PLAIN = re.compile(r"\s")
+SECRET = re.compile(r"[A-Za-z0-9+/_-]{12,}")
+REACH = 16  #: tokens on either side of an anchor that can belong to a span
 
 Span = tuple[str, int, int]
 
@@ -50,11 +53,14 @@ def valid(kind: str, text: str) -> bool:
     digits = re.sub(r"[^0-9]", "", text)
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
-        return len(parts) == 4 and all(len(p) <= 12 and int(p) <= 255 for p in parts)
+        parts = [p.lstrip("0") for p in parts]
+        return len(parts) == 4 and all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15
+    if kind == "secret":
+        return bool(SECRET.fullmatch(text)) and len(digits) < len(text) and (len(digits) >= 2 or len(text) >= 16 and text.isupper())
     if "@" in text:
         return bool(re.search(r"[^.\s]\s?(?:\.|\bdot\b)", text, re.I))
     return bool(AT.search(text))
@@ -83,42 +89,120 @@ def patterns(text: str) -> list[Span]:
 
 # The field
 
-LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
+LABELS = ["O", *[f"{p}-{k}" for k in ALL_KINDS for p in "BI"]]
 #: Words that are features of their own.
-CUES = {"at", "dot", "com", "net", "org", "mail", "email", "phone", "tel", "call", "fax", "mobile", "card", "visa", "ip", "host", "server", "version", "token", "order", "id", "page", "year"}
+CUES = ["at", "dot", "com", "net", "org", "mail", "email", "phone", "tel", "call", "fax", "mobile", "card", "visa", "ip", "host", "server", "version", "token", "order", "id", "page", "year", "password", "secret", "key", "api", "commit", "pass", "pwd", "akia"]
+MARKS = "@.+-()[]:/_=\"'#<>"
+#: The shapes: text borders; letters by case and length; digits by length; marks; anything else.
+SHAPES = ["^^", "^", "$", "$$", *[f"{c}{n}" for c in ("x", "X", "Xx") for n in range(1, 5)], *[f"d{n}" for n in range(1, 21)], *MARKS, "?", *CUES]
+SHAPE = {s: i for i, s in enumerate(SHAPES)}
+N = len(SHAPES)
+#: Where the eight kinds of features begin: own shape; with glue on either side; the neighbours; pairs.
+OFFSETS = np.cumsum([0, N, 4 * N, N, N, 2 * N * N, 2 * N * N, N * N, N * N])
+
+_CUE_KEYS = np.array([int.from_bytes(c.encode(), "big") for c in CUES], np.uint64)
+_CUE_ORDER = np.argsort(_CUE_KEYS)
+_MARK_SHAPES = np.full(128, SHAPE["?"])
+_MARK_SHAPES[[ord(c) for c in MARKS]] = [SHAPE[c] for c in MARKS]
+#: By code point: 0 blank, 1 letter, 2 ASCII digit, 3 other; 4 lower case, 8 upper case; 255 not looked up yet.
+_CLASSES = np.full(0x110000, 255, np.uint8)
+
+
+def classes(codes: np.ndarray) -> np.ndarray:
+    found = _CLASSES[codes]
+    for u in np.unique(codes[found == 255]):
+        c = chr(u)
+        kind = 0 if c.isspace() else 2 if c in "0123456789" else 1 if c.isalnum() and not c.isdecimal() else 3
+        _CLASSES[u] = kind + 4 * c.islower() + 8 * (c.isupper() or c.istitle())
+    return _CLASSES[codes] if (found == 255).any() else found
 
 
-def shape(token: str) -> str:
-    """A token's shape: letters by case and length, digits by length, other characters as they are."""
-    if token.isdigit() and token.isascii():
-        return f"d{min(len(token), 20)}"
-    if token[0].isalpha():
-        low = token.lower()
-        return low if low in CUES else ("x" if token.islower() else "X" if token.isupper() else "Xx") + str(min(len(token), 4))
-    return token if token in "@.+-()[]:/_=\"'#<>" else "?"
+@dataclass(frozen=True)
+class Tokens:
+    """The tokens of some texts, one after the other."""
+
+    text: np.ndarray  #: number of its text
+    start: np.ndarray  #: code points in its text
+    end: np.ndarray
+    shape: np.ndarray
+    features: np.ndarray  #: [tokens, 8]
+    free: np.ndarray  #: whether it may be inside a span
+
+
+def _shapes(codes: np.ndarray, found: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    size, kind = end - start, found[start] & 3
+    lower, upper = (np.concatenate([[0], np.cumsum((found & bit) > 0)]) for bit in (4, 8))
+    low, up = lower[end] - lower[start], upper[end] - upper[start]
+    case = np.where((up == 0) & (low > 0), 0, np.where((low == 0) & (up > 0), 1, 2))
+    out = np.select([kind == 1, kind == 2], [SHAPE["x1"] + 4 * case + np.minimum(size, 4) - 1, SHAPE["d1"] + np.minimum(size, 20) - 1], _MARK_SHAPES[np.minimum(codes[start], 127)])
+    out = np.where((kind == 3) & (codes[start] > 127), SHAPE["?"], out)
+    short = np.flatnonzero((kind == 1) & (size <= 8))
+    key = np.zeros(len(short), np.uint64)
+    plain = np.ones(len(short), bool)
+    for j in range(8):
+        on = size[short] > j
+        c = codes[np.minimum(start[short] + j, len(codes) - 1)]
+        plain &= ~on | (c < 128)
+        key = np.where(on, (key << np.uint64(8)) | ((c | 32) & 255).astype(np.uint64), key)
+    at = np.minimum(np.searchsorted(_CUE_KEYS[_CUE_ORDER], key), len(CUES) - 1)
+    hit = plain & (_CUE_KEYS[_CUE_ORDER][at] == key)
+    out[short[hit]] = SHAPE[CUES[0]] + _CUE_ORDER[at[hit]]
+    # a run of letters that begins with the mark of an access key
+    long = np.flatnonzero((kind == 1) & (size > 4))
+    out[long[np.all([codes[long_at] == ord(c) for long_at, c in zip([start[long] + j for j in range(4)], "AKIA", strict=True)], axis=0)]] = SHAPE["akia"]
+    return out
 
 
-def observe(tokens: list[tuple[int, int]], text: str) -> list[list[str]]:
-    """The features of each token: own shape, neighbours' shapes, and whether blanks stand around."""
-    shapes = ["^^", "^", *[shape(text[a:b]) for a, b in tokens], "$", "$$"]
-    out = []
-    for i in range(len(tokens)):
-        s = shapes[i + 2]
-        glued = i > 0 and tokens[i - 1][1] == tokens[i][0]
-        glues = i + 1 < len(tokens) and tokens[i][1] == tokens[i + 1][0]
-        out.append(["s0=" + s, f"s0={s},{glued:d}{glues:d}", "s-1=" + shapes[i + 1], "s+1=" + shapes[i + 3], f"s-1,0={shapes[i + 1]},{s},{glued:d}", f"s0,1={s},{shapes[i + 3]},{glues:d}", f"s-2,-1={shapes[i]},{shapes[i + 1]}", f"s+1,2={shapes[i + 3]},{shapes[i + 4]}"])
-    return out
+def tokenize(texts: list[str]) -> Tokens:
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    found = classes(codes)
+    kind = found & 3
+    first = np.zeros(len(codes) + 1, bool)
+    first[bounds] = True
+    edge = first.copy()
+    edge[:-1] |= (kind == 3) | (kind == 0)
+    edge[1:-1] |= kind[1:] != kind[:-1]
+    edges = np.flatnonzero(edge)
+    inside = edges[:-1][kind[edges[:-1]] > 0] if len(codes) else np.zeros(0, np.int64)
+    start, end = inside, edges[np.searchsorted(edges, inside, side="right")]
+    text = np.searchsorted(bounds, start, side="right") - 1
+    s = _shapes(codes, found, start, end)
+    n = len(s)
+    same = np.zeros(n + 1, bool)  # whether token i - 1 is in the text of token i
+    same[1:n] = text[1:] == text[:-1]
+    same2 = np.zeros(n + 2, bool)
+    same2[2:n] = text[2:] == text[:-2]
+    around = np.concatenate([[0, 0], s, [0, 0]])
+    back, ahead = same[:n], same[1 : n + 1]
+    s_1 = np.where(back, around[1 : n + 1], SHAPE["^"])
+    s_2 = np.where(same2[:n], around[:n], np.where(back, SHAPE["^"], SHAPE["^^"]))
+    s1 = np.where(ahead, around[3 : n + 3], SHAPE["$"])
+    s2 = np.where(same2[2 : n + 2], around[4 : n + 4], np.where(ahead, SHAPE["$"], SHAPE["$$"]))
+    touch = np.zeros(n + 1, bool)
+    touch[1:n] = same[1:n] & (end[:-1] == start[1:])
+    glued, glues = touch[:n].astype(np.int64), touch[1:].astype(np.int64)
+    features = np.stack([s, s * 4 + glued * 2 + glues, s_1, s1, (s_1 * N + s) * 2 + glued, (s * N + s1) * 2 + glues, s_2 * N + s_1, s1 * N + s2], axis=1) + OFFSETS[:8]
+
+    dot = (s == SHAPE["."]) & ((glues == 1) & (s1 != SHAPE["."]) | (glued == 0) & (glues == 0)) | (s == SHAPE["dot"])
+    dots = np.concatenate([[0], np.cumsum(dot)])
+    ends = np.searchsorted(text, text, side="right")  # one past the last token of each one's text
+    ahead_to = np.minimum(np.arange(n) + REACH + 1, ends)
+    anchor = (s >= SHAPE["d1"]) & (s <= SHAPE["d20"]) | (s == SHAPE["@"]) | (s == SHAPE["akia"]) | (s == SHAPE["at"]) & (dots[ahead_to] > dots[1:])
+    at = np.flatnonzero(anchor)
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, np.maximum(at - REACH, np.searchsorted(text, text[at], side="left")), 1)
+    np.add.at(change, np.minimum(at + REACH + 1, ends[at]), -1)
+    return Tokens(text, start - bounds[text], end - bounds[text], s, features, np.cumsum(change)[:n] > 0)
 
 
 @dataclass(frozen=True)
 class Field:
-    features: dict[str, int]
-    emit: np.ndarray  #: [features + 1, labels]; the last row, zeros, is for what training never saw
+    emit: np.ndarray  #: [features, labels]; zeros for what training never saw
     move: np.ndarray  #: [labels, labels]
 
-    def rows(self, tokens: list[tuple[int, int]], text: str) -> np.ndarray:
-        none = len(self.features)
-        return np.array([[self.features.get(f, none) for f in token] for token in observe(tokens, text)], np.int64).reshape(len(tokens), -1)
+    def emissions(self, features: np.ndarray) -> np.ndarray:
+        return self.emit[features].sum(1)
 
 
 def forbidden() -> np.ndarray:
@@ -162,7 +246,7 @@ def viterbi(emissions: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def labelled_table(copies: int = 6, seed: int = 5) -> list[tuple[str, list[Span]]]:
+def labelled_table(copies: int = 8, seed: int = 5) -> list[tuple[str, list[Span]]]:
     """The default labelled table: sentences with marked values in several spellings, and look-alikes that are none."""
     rng = np.random.default_rng(seed)
 
@@ -178,13 +262,20 @@ def labelled_table(copies: int = 6, seed: int = 5) -> list[tuple[str, list[Span]
     def octets(by: str) -> str:
         return by.join(str(x) for x in rng.integers(1, 255, 4))
 
+    def sha(n: int) -> str:
+        while True:
+            out = hashlib.sha1(rng.bytes(8)).hexdigest()[:n]
+            if sum(c.isdigit() for c in out) >= 2 and not out.isdigit():
+                return out
+
     makers = {
         "email": [lambda: f"{name()}@{name()}.com", lambda: f"{name()}.{digits(2)}@{name()}{digits(1)}.example.org", lambda: f"{name()} at {name()} dot com", lambda: f"{name()} [at] {name()} [dot] net", lambda: f"{name()}(at){name()}(dot)org", lambda: f"{name()} @ {name()} . com"],
         "ip": [lambda: octets("."), lambda: octets("[.]"), lambda: octets(" . "), lambda: octets("(.)")],
         "card": [lambda: digits(16), lambda: groups(4, 4, 4, 4, by=" "), lambda: groups(4, 4, 4, 4, by="-"), lambda: groups(4, 4, 4, 4, by="."), lambda: groups(4, 6, 5, by="/")],
         "phone": [lambda: f"+{digits(1)} ({digits(3)}) {groups(3, 4, by='-')}", lambda: f"+{groups(2, 3, 3, 4, by=' ')}", lambda: f"({digits(3)}) {groups(3, 4, by='-')}", lambda: groups(3, 3, 4, by="-"), lambda: groups(3, 3, 4, by=".")],
     }
-    plain = [lambda: f'token = "{hashlib.sha1(name().encode()).hexdigest()}"', lambda: f"Version {groups(1, 1, by='.')}", lambda: groups(4, 2, 2, by="-"), lambda: groups(2, 2, by=":"), lambda: digits(int(rng.integers(1, 13))), lambda: f"{digits(2)}.{digits(2)}", lambda: f"{name()}{digits(2)}", lambda: f"page {digits(2)}", lambda: f"{digits(3)},{digits(3)}", lambda: f"at {name()}", lambda: f"the dot of {name()}", lambda: f"@{name()}", lambda: f"{groups(2, 2, 4, by='/')}", lambda: f"{groups(1, 2, 1, by='.')}"]
+    secrets = [lambda: ('token = "', sha(40), '"'), lambda: ("password=", sha(18), ""), lambda: ("password=", sha(18), ""), lambda: ("pwd: ", sha(16), ""), lambda: ("", "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16)), ""), lambda: ("api_key: '", sha(32), "'"), lambda: ("secret = ", sha(24), ""), lambda: ("TOKEN = \"", sha(40).upper(), '"')]
+    plain = [lambda: f"commit {sha(10)}", lambda: f"{sha(8)}-{sha(4)}", lambda: f"{name()}{sha(6)}", lambda: f"password {name()}", lambda: f"the token of {name()}", lambda: f"key = {name()}", lambda: f"version {groups(1, 1, 1, by='.')}", lambda: f"CC BY-NC {groups(1, 1, by='.')}", lambda: f"Version {groups(1, 1, by='.')}", lambda: groups(4, 2, 2, by="-"), lambda: groups(2, 2, by=":"), lambda: digits(int(rng.integers(1, 13))), lambda: f"{digits(2)}.{digits(2)}", lambda: f"{name()}{digits(2)}", lambda: f"page {digits(2)}", lambda: f"{digits(3)},{digits(3)}", lambda: f"at {name()}", lambda: f"the dot of {name()}", lambda: f"@{name()}", lambda: f"{groups(2, 2, 4, by='/')}", lambda: f"{groups(1, 2, 1, by='.')}"]
     out = []
     for _ in range(copies):
         for kind, spellings in [*makers.items(), (None, plain)]:
@@ -196,6 +287,10 @@ def labelled_table(copies: int = 6, seed: int = 5) -> list[tuple[str, list[Span]
                 text = f"{head} {value}{tail}".strip()
                 start = text.index(value)
                 out.append((text, [(kind, start, start + len(value))] if kind else []))
+        for make in 4 * secrets:
+            before, value, after = make()
+            head = "".join(name() + str(rng.choice([" ", ". ", ", ", " ... "])) for _ in range(int(rng.integers(0, 5)))) + before
+            out.append((head + value + after + str(rng.choice([" ", " ", ". ", "### ", "!! "])) + " ".join(name() for _ in range(int(rng.integers(0, 5)))), [("secret", len(head), len(head) + len(value))]))
 
     def case(word: str) -> str:
         return word.upper() if rng.random() < 0.1 else word.capitalize() if rng.random() < 0.2 else word
@@ -212,54 +307,76 @@ def labelled_table(copies: int = 6, seed: int = 5) -> list[tuple[str, list[Span]
             out.append((text, [("email", len(head), len(head) + len(value))]))
         for make in other:
             out.append((" ".join(name() for _ in range(int(rng.integers(0, 5)))) + " " + make(), []))
+
+    # ordinary prose, in which nothing is to be found
+    def sentence() -> str:
+        words = [str(rng.choice(["at", "the", "of", "dot", "in", name(), name(), name(), name(), "é" + name(), str(rng.integers(1, 3000))])) for _ in range(int(rng.integers(4, 14)))]
+        words = [w.upper() + "!!" for w in words] if rng.random() < 0.1 else [w + str(rng.choice(["###", "%%%", " |", "$$$"])) for w in words] if rng.random() < 0.1 else words
+        return " ".join(w + str(rng.choice(["", "", "", "", ",", ";"])) for w in words).capitalize() + str(rng.choice([".", ".", ".", "!", "?", ".\n"]))
+
+    out += [(" ".join(sentence() for _ in range(int(rng.integers(1, 3)))), []) for _ in range(20 * copies)]
     return out
 
 
-def train(rows: list[tuple[str, list[Span]]], rounds: int = 60, ridge: float = 1e-3, rate: float = 0.3) -> Field:
+def summed(x: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """log(exp(x) @ step), row by row."""
+    top = x.max(1, keepdims=True)
+    return np.log(np.maximum(np.exp(x - top) @ step, 1e-300)) + top
+
+
+def train(rows: list[tuple[str, list[Span]]], rounds: int = 120, ridge: float = 1e-3, rate: float = 0.3) -> Field:
     """Maximum likelihood with a ridge, by Adam on the exact gradient (forward and backward over all rows at once)."""
-    features: dict[str, int] = {}
-    observed, gold = [], []
-    for text, spans in rows:
-        tokens = [m.span() for m in TOKEN.finditer(text)]
-        observed.append([[features.setdefault(f, len(features)) for f in token] for token in observe(tokens, text)])
-        gold.append([next((LABELS.index(("B-" if a == s else "I-") + k) for k, s, e in spans if s <= a < e), 0) for a, _ in tokens])
+    rows = [(text, spans) for text, spans in rows if tokenize([text]).free.any()]  # the others teach nothing
+    read = [tokenize([text]) for text, _ in rows]
+    gold = [[next((LABELS.index(("B-" if a == s else "I-") + k) for k, s, e in spans if s <= a < e), 0) for a in t.start] for t, (_, spans) in zip(read, rows, strict=True)]
     n, longest, k = len(rows), max(map(len, gold)), len(LABELS)
-    ids = np.full((n, longest, 8), len(features))
+    ids = np.full((n, longest, 8), OFFSETS[8])
     y = np.zeros((n, longest), np.int64)
     on = np.zeros((n, longest), bool)
-    for i, (o, g) in enumerate(zip(observed, gold, strict=True)):
-        ids[i, : len(g)], y[i, : len(g)], on[i, : len(g)] = o, g, True
-    emit, move = np.zeros((len(features) + 1, k)), np.zeros((k, k))
+    bound = np.zeros((n, longest), bool)  # tokens that must be outside
+    for i, (t, g) in enumerate(zip(read, gold, strict=True)):
+        ids[i, : len(g)], y[i, : len(g)], on[i, : len(g)], bound[i, : len(g)] = t.features, g, True, ~t.free
+    held = bound[..., None] * np.where(np.arange(k) > 0, -1e4, 0.0)
+    seen, ids = np.unique(ids, return_inverse=True)  # the last one is the filling's
+    ids = ids.reshape(n, longest, 8)
+    emit, move = np.zeros((len(seen), k)), np.zeros((k, k))
+    flat = ids[on].ravel()
     barred = np.where(forbidden(), -1e4, 0.0)
     moments = [[np.zeros_like(emit), np.zeros_like(emit)], [np.zeros_like(move), np.zeros_like(move)]]
     one = np.eye(k)[y] * on[..., None]
     pairs = np.einsum("nti,ntj->ij", one[:, :-1], one[:, 1:])
     for r in range(1, rounds + 1):
-        score = emit[ids].sum(2)
+        score = emit[ids].sum(2) + held
         m = move + barred
         a, b = np.zeros_like(score), np.zeros_like(score)
         a[:, 0] = score[:, 0]
+        step = np.exp(m)
         for t in range(1, longest):
-            x = np.logaddexp.reduce(a[:, t - 1, :, None] + m, axis=1) + score[:, t]
-            a[:, t] = np.where(on[:, t, None], x, a[:, t - 1])
+            a[:, t] = np.where(on[:, t, None], summed(a[:, t - 1], step) + score[:, t], a[:, t - 1])
         for t in range(longest - 2, -1, -1):
-            x = np.logaddexp.reduce(m + (score[:, t + 1] + b[:, t + 1])[:, None, :], axis=2)
-            b[:, t] = np.where(on[:, t + 1, None], x, b[:, t])
+            b[:, t] = np.where(on[:, t + 1, None], summed(score[:, t + 1] + b[:, t + 1], step.T), b[:, t])
         z = np.logaddexp.reduce(a[:, -1], axis=1)
         node = np.exp(np.clip(a + b - z[:, None, None], -50, 0)) * on[..., None]
-        edge = np.exp(np.clip(a[:, :-1, :, None] + m + (score + b)[:, 1:, None, :] - z[:, None, None, None], -50, 0)) * on[:, 1:, None, None]
+        # of each neighbouring pair exp(a + move + score + b - z), all pairs summed as one product
+        top = a[:, :-1].max(2, keepdims=True)
+        left = np.exp(a[:, :-1] - top) * on[:, 1:, None]
+        right = np.exp(np.minimum((score + b)[:, 1:] + top - z[:, None, None], 700))
+        edge = left.reshape(-1, k).T @ right.reshape(-1, k) * step
         g_emit = np.zeros_like(emit)
-        error = np.repeat((node - one).reshape(-1, k), 8, axis=0)
+        error = np.repeat((node - one)[on], 8, axis=0)
         for j in range(k):
-            g_emit[:, j] = np.bincount(ids.ravel(), error[:, j], minlength=len(emit))
-        g_emit[-1] = 0
-        grads = [g_emit / n + ridge * emit, (edge.sum((0, 1)) - pairs) / n + ridge * move]
+            g_emit[:, j] = np.bincount(flat, error[:, j], minlength=len(emit))
+        grads = [g_emit / n + ridge * emit, (edge - pairs) / n + ridge * move]
         for value, g, (p, q) in zip((emit, move), grads, moments, strict=True):
             p += 0.1 * (g - p)
             q += 0.001 * (g * g - q)
             value -= rate * (p / (1 - 0.9**r)) / (np.sqrt(q / (1 - 0.999**r)) + 1e-8)
-        emit[-1] = 0
-    return Field(features, emit, move + barred)
+        if seen[-1] == OFFSETS[8]:
+            emit[-1] = 0
+    known = seen < OFFSETS[8]
+    weights = np.zeros((OFFSETS[8], k), np.float32)
+    weights[seen[known]] = emit[known]
+    return Field(weights, move + barred)
 
 
 @functools.cache
@@ -267,38 +384,21 @@ def default_field() -> Field:
     return train(labelled_table())
 
 
-def neighbourhoods(text: str) -> list[tuple[int, int]]:
-    """Spans around anchors, joined where they meet; they end at blanks or at the text's ends."""
-    out: list[tuple[int, int]] = []
-    for m in ANCHOR.finditer(text):
-        if out and m.end() <= out[-1][1] - REACH // 2:
-            continue
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+def pieces(tokens: Tokens) -> list[tuple[int, int]]:
+    """Runs of tokens of one text that may be inside a span."""
+    at = np.flatnonzero(tokens.free)
+    if not len(at):
+        return []
+    cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(tokens.text[at]) > 0))
+    return list(zip(at[np.concatenate([[0], cut + 1])].tolist(), (at[np.concatenate([cut, [len(at) - 1]])] + 1).tolist(), strict=True))
 
 
-def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
-    """For each text the patterns' spans and the spans that the field adds, by kind as in KINDS, then start."""
-    base = [patterns(t) for t in texts]
-    owners, tokens, emissions = [], [], []
-    for i, text in enumerate(texts):
-        for a, b in neighbourhoods(text):
-            part = text[a:b]
-            found = [m.span() for m in TOKEN.finditer(part)]
-            if found:
-                owners.append(i)
-                tokens.append([(a + x, a + y) for x, y in found])
-                emissions.append(field.emit[field.rows(found, part)].sum(1))
-    added: list[list[Span]] = [[] for _ in texts]
-    for i, spans, path in zip(owners, tokens, viterbi(emissions, field.move), strict=True):
+def decode(tokens: Tokens, field: Field) -> list[tuple[int, str, int, int]]:
+    """Text, kind, first token and end token of each run that the best paths label."""
+    parts = pieces(tokens)
+    paths = viterbi([_piece(tokens, field, a, b) for a, b in parts], field.move)
+    out = []
+    for (first, _), path in zip(parts, paths, strict=True):
         t = 0
         while t < len(path):
             label = LABELS[path[t]]
@@ -308,11 +408,31 @@ def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
             end = t + 1
             while end < len(path) and LABELS[path[end]] == "I-" + label[2:]:
                 end += 1
-            kind, a, b = label[2:], spans[t][0], spans[end - 1][1]
-            if end - t > 2 and valid(kind, texts[i][a:b]) and not any(x < b and a < y for _, x, y in base[i]):
-                added[i].append((kind, a, b))
+            out.append((int(tokens.text[first]), label[2:], first + t, first + end))
             t = end
-    order = lambda s: (KINDS.index(s[0]), s[1])
+    return out
+
+
+def _piece(tokens: Tokens, field: Field, first: int, end: int) -> np.ndarray:
+    """Emissions of a piece, with the moves from and to the tokens outside that stand around it."""
+    score = field.emissions(tokens.features[first:end]).astype(np.float64)
+    if first > 0 and tokens.text[first - 1] == tokens.text[first]:
+        score[0] += field.move[0]
+    if end < len(tokens.text) and tokens.text[end] == tokens.text[first]:
+        score[-1] += field.move[:, 0]
+    return score
+
+
+def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
+    """For each text the patterns' spans and the spans that the field adds, by kind as in ALL_KINDS, then start."""
+    base = [patterns(t) for t in texts]
+    added: list[list[Span]] = [[] for _ in texts]
+    tokens = tokenize(texts)
+    for i, kind, first, end in decode(tokens, field):
+        a, b = int(tokens.start[first]), int(tokens.end[end - 1])
+        if valid(kind, texts[i][a:b]) and not any(x < b and a < y for _, x, y in base[i]):
+            added[i].append((kind, a, b))
+    order = lambda s: (ALL_KINDS.index(s[0]), s[1])
     return [(b, sorted(set(x), key=order)) for b, x in zip(base, added, strict=True)]
 
 
@@ -338,8 +458,8 @@ def redact(text: str, spans: list[Span]) -> str:
 def personal_data(docs: DataFrame, field: Field | None = None, clean: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (the patterns' spans), base_sha256, spans (all), n_added for every row of docs.
 
-    Places count code points, ends are exclusive. A null or empty text has no spans. clean: also text, with all spans
-    replaced by their kinds (null stays null).
+    Places count code points, ends are exclusive. A null or empty text has no spans. Repeated rows each get their row;
+    texts of any length are read whole. clean: also text, with all spans replaced by their kinds (null stays null).
     """
     field = field or default_field()
     source = pick(docs, "doc_id", "text")
@@ -349,7 +469,7 @@ def personal_data(docs: DataFrame, field: Field | None = None, clean: bool = Fal
         for part, _ in blocks(batches, "text"):
             texts = part.column("text").to_pylist()
             got = find([t or "" for t in texts], field)
-            every = [sorted([*b, *x], key=lambda s: (KINDS.index(s[0]), s[1])) for b, x in got]
+            every = [sorted([*b, *x], key=lambda s: (ALL_KINDS.index(s[0]), s[1])) for b, x in got]
             columns = [part.column("doc_id"), *[pa.array([sum(s[0] == k for s in b) for b, _ in got], pa.int64()) for k in KINDS]]
             columns += [pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in got], pa.string()), pa.array([joined(s) for s in every], pa.string()), pa.array([len(x) for _, x in got], pa.int64())]
             names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"]
@@ -362,7 +482,10 @@ def personal_data(docs: DataFrame, field: Field | None = None, clean: bool = Fal
 
 
 def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars) with each span of text replaced by its kind; n_chars follows. Null texts stay."""
+    """docs (doc_id, text, lang, source, n_chars) with each span of text replaced by its kind; n_chars follows.
+
+    Null texts stay null, rows without spans stay as they are, repeated rows too.
+    """
     field = field or default_field()
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     source = pick(docs, *columns)
