@@ -141,10 +141,6 @@ def directory_label(path: Column | str) -> Column:
     return F.coalesce(F.try_element_at(labels, F.element_at(parts, -1)), F.try_element_at(labels, F.element_at(parts, 1)), F.lit(catalog.OTHER_DIRECTORY))
 
 
-def newlines(x: Column) -> Column:
-    return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-
-
 def snippet(x: Column) -> Column:
     return F.substring(F.replace(x, F.lit("\n"), F.lit(" ")), 1, catalog.SNIPPET)
 
@@ -162,19 +158,22 @@ def pattern_flags(flags: str) -> str:
     return f"(?dU{'iu' if 'i' in flags else ''}{'m' if 'm' in flags else ''}{'s' if 's' in flags else ''})"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def folded(text: Column | str) -> Column:
+    """Lower case such that a lower-case ASCII literal is found wherever a pattern that ignores case finds it."""
+    return F.lower(F.translate(as_column(text), "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def matches(text: Column, pattern: str, possible: Column | None = None) -> Column:
     """All non-overlapping matches of a pattern that never matches nothing: array of struct(match, line, ordinal).
 
-    The pieces between matches come from the same matcher, so the text before match i is the first i + 1 pieces and
-    the first i matches; its line breaks give the line.
+    A mark is put before each match; as it adds no line, the growth of each line is the number of matches that begin in
+    it. All steps are linear in the text and in the matches. possible: a cheap test that holds wherever there is a match.
     """
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.transform(F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("g")), lambda p: F.struct(p["m"].alias("m"), newlines(p["g"]).alias("b"), newlines(p["m"]).alias("w")))
-    # breaks before match i: those of the pieces up to i and of the matches before it
-    lines = F.transform(
-        F.sequence(F.lit(1), F.size(pairs)),
-        lambda i: F.aggregate(F.slice(pairs, F.lit(1), i), F.lit(1), lambda a, p: a + p["b"] + p["w"]) - F.element_at(pairs, i)["w"],
-    )
-    listed = F.transform(F.arrays_zip(pairs.alias("p"), lines.alias("l")), lambda z, i: F.struct(z["p"]["m"].alias("match"), z["l"].alias("line"), i.alias("ordinal")))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    marked = F.regexp_replace(text, pattern, "\u0001$0")
+    begun = F.zip_with(F.split(marked, "\n"), F.split(text, "\n"), lambda a, b: F.length(a) - F.length(b))
+    lines = F.flatten(F.transform(begun, lambda n, i: F.array_repeat(i + 1, n)))
+    listed = F.transform(F.arrays_zip(found.alias("m"), lines.alias("l")), lambda z, i: F.struct(z["m"].alias("match"), z["l"].alias("line"), i.alias("ordinal")))
     empty = F.expr("CAST(array() AS array<struct<match:string,line:int,ordinal:int>>)")
-    return F.when(text.rlike(pattern), listed).otherwise(empty)
+    hit = text.rlike(pattern)
+    return F.when(hit if possible is None else possible & hit, listed).otherwise(empty)

@@ -6,6 +6,7 @@ run (detector number, then ordinal). Everything but the line blocks is built-in
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -19,6 +20,36 @@ from ..functions import text as tx
 #: Detectors after the rules, in order.
 TODO, LONG_PY, DOCSTRING, PY_IMPORT, LONG_JS, JS_IMPORT, AS, STRICT, REFCELL, MAGIC = range(len(catalog.RULES), len(catalog.RULES) + 10)
 STEP = 1 << 32
+
+#: Literals of which a rule's match holds at least one (lower-case ones where the rule ignores case): texts without any of
+#: them are passed over by a byte search, which costs far less than the pattern.
+HINTS = {
+    "placeholder": ["todo", "fixme", "changeme", "dummy", "your", "lorem ipsum"],
+    "swallowed_exception": ["except", "catch"],
+    "sql_concatenation": ["select", "insert", "update", "delete"],
+    "tls_disabled": ["verify", "rejectunauthorized", "node_tls_reject_unauthorized"],
+    "secret_logging": ["console.log(", "logger."],
+    "shell_injection_risk": ["subprocess.", "exec(", "spawn(", "os.system("],
+    "hardcoded_ip": ["'", '"'],
+    "hardcoded_credential": ["password", "secret", "api", "access", "token"],
+    "debug_print": ["console.log", "print", "Print", "debugger"],
+    "dead_code_marker": ["hack", "xxx", "temp", "removeme"],
+    "unsafe_eval": ["eval", "new function", "exec"],
+    "unhandled_promise": [".then"],
+    "env_no_default": ["process.env", "os.environ"],
+    "unsafe_deserialization": ["load", "unserialize"],
+    "broad_exception": ["catch", "except", "rescue"],
+    "hardcoded_url": ["http://", "https://"],
+    "empty_catch": ["catch", "except"],
+    "python_mutable_default": ["def"],
+    "go_blank_identifier_error": ["err"],
+    "go_panic_recover_business_logic": ["panic", "recover"],
+    "csharp_throw_ex": ["throw"],
+    "sql_null_blind_not_equal": ["!=", "<>"],
+    "sql_window_missing_frame": ["over"],
+    "php_deprecated_mysql": ["mysql_"],
+    "robotic_function_name": ["calculate", "process", "handle"],
+}
 FINDING = "repo string, path string, rule string, line int, snippet string, seq long"
 
 
@@ -38,8 +69,11 @@ def _hits(found: Column, rule: str, detector: int) -> Column:
 def rule_findings(files: DataFrame, rules: list[tuple] = catalog.RULES) -> DataFrame:
     """One finding per match of each rule that the file's path does not exclude. rules: name, pattern, flags, globs."""
     lists = []
+    files = files.select("repo", "path", "text", tx.folded("text").alias("folded"))
     for k, (name, pattern, flags, globs) in enumerate(rules):
-        found = tx.matches(F.col("text"), tx.pattern_flags(flags) + pattern)
+        where = F.col("folded" if "i" in flags else "text")
+        possible = functools.reduce(Column.__or__, [F.contains(where, F.lit(x)) for x in HINTS[name]]) if name in HINTS else None
+        found = tx.matches(F.col("text"), tx.pattern_flags(flags) + pattern, possible)
         hits = _hits(found, name, k)
         lists.append(F.when(~tx.matches_any("path", globs), hits).otherwise(F.slice(hits, 1, 0)) if globs else hits)
     return _listed(files, lists)

@@ -22,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, if it comes in fewer pieces than there are cores; larger inputs are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return table(spark, sf_dir, "documents").select(F.lit("").alias("repo"), path.alias("path"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.lit("").alias("repo"), path.alias("path"), "text"))
 
 
 def host_of(url: str) -> F.Column:
@@ -33,7 +39,7 @@ def host_of(url: str) -> F.Column:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(host_of("url"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".ts"))
-    return table(spark, sf_dir, "pages").select(F.lit("").alias("repo"), path.alias("path"), F.col("html").alias("text"))
+    return spread(table(spark, sf_dir, "pages").select(F.lit("").alias("repo"), path.alias("path"), F.col("html").alias("text")))
 
 
 def rule_findings_documents(spark, sf_dir):
@@ -79,7 +85,7 @@ def rendered_findings(spark, sf_dir):
 
 def repeated_literals(spark, sf_dir):
     """Double- or single-quoted literals that occur four times or more on the pages of a host."""
-    pages = table(spark, sf_dir, "pages").select(host_of("url").alias("host"), F.col("html").alias("text"))
+    pages = spread(table(spark, sf_dir, "pages").select(host_of("url").alias("host"), F.col("html").alias("text")))
     return scan.repeated_literals(pages, ["host"]).select("host", "literal", "n")
 
 
@@ -146,7 +152,7 @@ def keyword_categories(spark, sf_dir):
 
 def library_categories(spark, sf_dir):
     """The library categories over words of documents: substrings of names, many to many."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", "[\\x20\\x09-\\x0D]+"))).alias("name"))
+    words = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(F.array_distinct(F.split("text", "[\\x20\\x09-\\x0D]+"))).alias("name"))
     return lookups.categories(words.groupBy("name").agg(F.count("*").alias("n")), "name").groupBy("category").agg(F.count("*").alias("names"), F.sum("n").alias("documents"))
 
 

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from sparkloom.functions import catalog
+from sparkloom.functions import text as tx
 from sparkloom.operators import lookups, scan
 from sparkloom.plans import review
 
@@ -56,6 +57,27 @@ def test_every_rule_has_cases():
     assert list(CASES) == [r[0] for r in catalog.RULES]
 
 
+def test_hints_stand_in_every_match():
+    """Each rule's positive case, in several spellings, holds a hint; the only rule without hints is the one of numbers."""
+    assert set(scan.HINTS) == {r[0] for r in catalog.RULES} - {"magic_number"}
+    for name, pattern, flags, _ in catalog.RULES:
+        for text in (CASES[name][0], CASES[name][0].upper(), CASES[name][0].replace("s", "\u017f").replace("k", "\u212a").replace("i", "\u0131")):
+            for m in re.finditer(pattern, text, sum(FLAGS[f] for f in flags)):
+                low = m.group().translate(str.maketrans("\u0130\u0131\u017f\u212a", "iisk")).lower() if "i" in flags else m.group()
+                assert name == "magic_number" or any(h in low for h in scan.HINTS[name]), (name, m.group())
+
+
+def test_matches_are_linear(spark):
+    """100,000 matches in one text, some of them over line ends, and texts that hold the mark itself."""
+    text = "x = 12345\nfoo 99999 " * 50_000
+    df = spark.createDataFrame([(text,), ("\u0001 12345\n\u000112345\u0001\n\n\u0001",)], "text string")
+    got = df.select(tx.matches(df.text, r"(?dU)(?<![\w.])(1\d{3,}|[2-9]\d{3,})(?![\w.])").alias("m")).collect()
+    assert len(got[0].m) == 100_000 and [r.line for r in got[0].m[:4]] == [1, 2, 2, 3] and got[0].m[-1].line == 50_001
+    assert [(r.line, r.ordinal) for r in got[1].m] == [(1, 0), (2, 1)]
+    many = spark.createDataFrame([("a\n\nb" * 9,)], "text string")
+    assert [r.line for r in many.select(tx.matches(many.text, "(?d)\n\n").alias("m")).first().m] == [1 + 2 * i for i in range(9)]
+
+
 def test_rules_against_python(spark):
     both = "\n".join(x for pair in CASES.values() for x in pair)
     files = [(f"d/{n}_{i}.rb", t) for n, pair in CASES.items() for i, t in enumerate(pair)] + [("all.js", both), ("scripts/x.md", both), ("a/test_y.json", both), ("Dockerfile", both), ("é.py", "été = 12345\né1234 1234é"), ("e.py", "")]
