@@ -62,6 +62,14 @@ JS_LOCAL_PREFIXES = [".", "/", "#", "@/", "node:"]
 PY_ALLOWED = ["pytest", "django", "flask", "fastapi", "pydantic", "sqlalchemy", "requests", "numpy", "pandas"]
 PY_STDLIB = sorted(sys.stdlib_module_names)
 
+# Fixed values. Patterns of manifests and of names in code.
+GO_REQUIRE_PATTERN, GO_VERSION_PATTERN = r"^\s*require\s+([^\s]+)", r"^\s*([^\s]+)\s+v[\w.+-]+\s*$"
+GEM_PATTERN = r"^\s*gem\s+['\"]([^'\"]+)['\"]"
+PNPM_ITEM_PATTERN = r"^\s*-\s*['\"]?([^'\"]+)['\"]?\s*$"
+PY_NAME_PATTERN = r"^\s*(?:def|async\s+def)\s+([A-Za-z_][A-Za-z0-9_]*)|^\s*([A-Za-z_][A-Za-z0-9_]*)\s*="
+JS_NAME_PATTERN = r"\b(?:const|let|var|function|class)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+COMPONENT_PATTERN = r"(?:export\s+default\s+function|export\s+function|const)\s+([A-Z][A-Za-z0-9]*)"
+
 # Fixed values. Language of a file by its extension.
 LANGUAGES = {
     ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".py": "python", ".sql": "sql",

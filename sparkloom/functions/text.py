@@ -12,6 +12,11 @@ def as_column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(x: Column | str) -> Column:
+    """x without the blanks of any kind at its ends."""
+    return F.regexp_replace(as_column(x), r"(?dU)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def normalize_path(path: Column | str) -> Column:
     """Slashes for backslash-free POSIX paths; any leading run of dots and slashes goes, so ``.env`` becomes ``env``."""
     p = F.regexp_replace(F.regexp_replace(as_column(path), "/+", "/"), r"(?<=/)\./|/\.?$", "")
@@ -86,6 +91,11 @@ def is_text(path: Column | str) -> Column:
     return F.lower(suffix(path)).isin(catalog.TEXT_EXTENSIONS) | file_name(path).isin(catalog.TEXT_NAMES)
 
 
+def kept_for_languages(root: Column | str, path: Column | str) -> Column:
+    """Whether a file counts for the languages of a tree: no skipped directory in its path or above the tree's root."""
+    return ~has_part(F.concat_ws("/", as_column(root), as_column(path)), catalog.LANGUAGE_SKIPPED)
+
+
 def is_hidden_or_skipped(path: Column | str) -> Column:
     """The profile's skip test: a skipped directory name, or any part that begins with a dot but ``.github``."""
     parts = F.split(as_column(path), "/")

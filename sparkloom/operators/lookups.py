@@ -41,12 +41,20 @@ def unknown_js_imports(files: DataFrame, dependencies: DataFrame) -> DataFrame:
     return _as_findings(rows, JS_IMPORT, "g1")
 
 
-def unknown_python_imports(files: DataFrame) -> DataFrame:
-    """Imports of modules that are neither of the standard library, nor allowed, nor a top-level directory of the repository."""
+def top_directories(files: DataFrame) -> DataFrame:
+    """repo, name of the directories at the root that the scan does not ignore. files: the whole listing, whatever the files hold."""
+    path = tx.normalize_path("path")
+    return files.select("repo", path.alias("path")).where(F.contains("path", F.lit("/"))).select("repo", F.substring_index("path", "/", 1).alias("name")).distinct().where(~tx.is_ignored("name"))
+
+
+def unknown_python_imports(files: DataFrame, directories: DataFrame, stdlib: Sequence[str] = catalog.PY_STDLIB) -> DataFrame:
+    """Imports of modules that are neither of the standard library, nor allowed, nor a top-level directory of the repository.
+
+    directories: repo, name, as top_directories gives them. stdlib: pin it where results must not follow the interpreter.
+    """
     rows = _imports(files, [".py"], catalog.PY_IMPORT_PATTERN, "m").withColumn("name", F.substring_index(F.coalesce(F.nullif("g1", F.lit("")), "g2"), ".", 1))
-    rows = rows.where(~F.startswith("name", F.lit("_")) & ~F.col("name").isin(catalog.PY_STDLIB + catalog.PY_ALLOWED))
-    roots = files.where(F.contains("path", F.lit("/"))).select("repo", F.substring_index("path", "/", 1).alias("name")).distinct()
-    return _as_findings(rows.join(roots, ["repo", "name"], "left_anti"), PY_IMPORT, "name")
+    rows = rows.where(~F.startswith("name", F.lit("_")) & ~F.col("name").isin([*stdlib, *catalog.PY_ALLOWED]))
+    return _as_findings(rows.join(directories, ["repo", "name"], "left_anti"), PY_IMPORT, "name")
 
 
 def longest_prefix(path: Column, roots: Sequence[tuple[str, str]]) -> Column:
@@ -60,17 +68,17 @@ def longest_prefix(path: Column, roots: Sequence[tuple[str, str]]) -> Column:
 
 def first_nonblank(*columns: Column | str) -> Column:
     """Precedence: the first value that is not null or blank, trimmed; else empty."""
-    return F.coalesce(*[F.nullif(F.trim(tx.as_column(c)), F.lit("")) for c in columns], F.lit(""))
+    return F.coalesce(*[F.nullif(tx.strip(c), F.lit("")) for c in columns], F.lit(""))
 
 
-def command_precedence(scopes: DataFrame) -> DataFrame:
+def command_precedence(scopes: DataFrame, keys: Sequence[str] = catalog.COMMAND_KEYS) -> DataFrame:
     """scope, key, value, level (1 local scope, 2 detected scope, 3 local root, 4 detected root): the value that holds per (scope, key).
 
     The root's levels 3 and 4 have scope 'root' and serve every scope.
     """
     own = scopes.where("level <= 2").groupBy("scope", "key").agg(*[F.max(F.when(F.col("level") == k, F.col("value"))).alias(f"v{k}") for k in (1, 2)])
     root = scopes.where("level >= 3").groupBy("key").agg(*[F.max(F.when(F.col("level") == k, F.col("value"))).alias(f"v{k}") for k in (3, 4)])
-    names = scopes.select("scope").distinct().join(scopes.select("key").distinct())
+    names = scopes.select("scope").distinct().withColumn("key", F.explode(F.array(*[F.lit(k) for k in keys])))
     return names.join(own, ["scope", "key"], "left").join(root, "key", "left").select("scope", "key", first_nonblank("v1", "v2", "v3", "v4").alias("value"))
 
 
@@ -122,13 +130,13 @@ def union_changed(*lists: DataFrame) -> DataFrame:
     out = lists[0]
     for x in lists[1:]:
         out = out.union(x)
-    return out.where("trim(path) <> ''").select(tx.normalize_path("path").alias("path")).distinct()
+    return out.where(tx.strip("path") != "").select(tx.normalize_path("path").alias("path")).distinct()
 
 
-def languages(files: DataFrame) -> DataFrame:
-    """One row: the sorted languages of the paths, joined, or 'none'."""
+def languages(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (or one per keys): the sorted languages of the paths, joined, or 'none'."""
     found = F.array_join(F.sort_array(F.collect_set(tx.language("path"))), ", ")
-    return files.agg(F.coalesce(F.nullif(found, F.lit("")), F.lit("none")).alias("languages"))
+    return files.groupBy(*keys).agg(F.coalesce(F.nullif(found, F.lit("")), F.lit("none")).alias("languages"))
 
 
 def dimension(spark: SparkSession, name: str) -> DataFrame:

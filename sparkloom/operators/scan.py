@@ -112,8 +112,7 @@ def repeated_literals(files: DataFrame, keys: list[str] | None = None, least: in
     keys = keys or ["repo", "path"]
     found = files.select(*keys, F.posexplode(tx.matches(F.col("text"), tx.pattern_flags("") + catalog.MAGIC_STRING_PATTERN)).alias("pos", "m"))
     body = F.substring("m.match", F.lit(2), F.length("m.match") - 2)
-    literal = F.regexp_replace(body, r"(?dU)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    found = found.select(*keys, literal.alias("literal"), F.col("m.line").alias("line"), "pos").where("NOT startswith(literal, 'http://') AND NOT startswith(literal, 'https://')")
+    found = found.select(*keys, tx.strip(body).alias("literal"), F.col("m.line").alias("line"), "pos").where("NOT startswith(literal, 'http://') AND NOT startswith(literal, 'https://')")
     return found.groupBy(*keys, "literal").agg(F.count("*").alias("n"), F.min("line").alias("line"), F.min("pos").alias("first")).where(F.col("n") >= least)
 
 

@@ -47,6 +47,10 @@ WORKSPACE_ROOTS = ["apps/*", "libs/*", "packages/*"]
 MARKERS = sorted({*PYTHON_MARKERS, *[m for ms, *_ in ECOSYSTEMS for m in ms], *[m for ms, _ in JS_EXTRAS for m in ms], "package.json", "pnpm-lock.yaml", "yarn.lock", "bun.lockb", "bun.lock", "mypy.ini", "pyrightconfig.json", "build.gradle", "build.gradle.kts", "gradlew", "Package.swift", "pubspec.yaml", ".github/workflows", *catalog.MIGRATION_PATHS, *catalog.CRITICAL_PATHS})
 
 
+#: What ends a line in text that is read line by line.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
+
+
 def _join(dir_: Column, name: Column) -> Column:
     return F.when(dir_ == "", name).otherwise(F.concat(dir_, F.lit("/"), name))
 
@@ -129,7 +133,7 @@ def workspaces(files: DataFrame) -> DataFrame:
         return root.where(F.col("name") == name).select("repo", F.lit(source).alias("source"), F.posexplode(patterns).alias("at", "pattern"))
 
     npm = F.coalesce(F.from_json("text", f"struct<workspaces:{strings}>")["workspaces"], F.from_json("text", f"struct<workspaces:struct<packages:{strings}>>")["workspaces"]["packages"])
-    pnpm = F.transform(F.regexp_extract_all("text", F.lit(r"(?dUm)^\s*-\s*['\"]?([^'\"]+)['\"]?\s*$"), F.lit(1)), lambda x: F.trim(x))
+    pnpm = F.transform(F.regexp_extract_all("text", F.lit(tx.pattern_flags("m") + catalog.PNPM_ITEM_PATTERN), F.lit(1)), lambda x: F.trim(x))
     fixed = F.array(*[F.lit(p) for p in WORKSPACE_ROOTS])
     named = listed("package.json", npm, 0).union(listed("pnpm-workspace.yaml", pnpm, 1)).union(listed("lerna.json", F.from_json("text", f"struct<packages:{strings}>")["packages"], 3)).union(listed("nx.json", fixed, 4)).union(listed("turbo.json", fixed, 5))
     cargo = root.where("name = 'Cargo.toml'").withColumn("text", tree.toml_json("text")).select("repo", F.lit(2).alias("source"), F.posexplode(F.from_json("text", f"struct<workspace:struct<members:{strings}>>")["workspace"]["members"]).alias("at", "pattern"))
@@ -163,8 +167,8 @@ def dependencies(files: DataFrame) -> DataFrame:
     names = F.flatten(F.array_compact(F.array(F.transform(py["project"]["dependencies"], tx.requirement_name), poetry)))
     cargo = keys(F.from_json("text", f"struct<dependencies:{anything},`dev-dependencies`:{anything},`build-dependencies`:{anything}>"), "dependencies", "dev-dependencies", "build-dependencies")
     composer = keys(F.from_json("text", f"struct<require:{anything},`require-dev`:{anything}>"), "require", "require-dev")
-    go = F.concat(F.regexp_extract_all("text", F.lit(r"(?dUm)^\s*require\s+([^\s]+)"), F.lit(1)), F.regexp_extract_all("text", F.lit(r"(?dUm)^\s*([^\s]+)\s+v[\w.+-]+\s*$"), F.lit(1)))
-    ruby = F.regexp_extract_all("text", F.lit(r"(?dUm)^\s*gem\s+['\"]([^'\"]+)['\"]"), F.lit(1))
+    go = F.concat(F.regexp_extract_all("text", F.lit(tx.pattern_flags("m") + catalog.GO_REQUIRE_PATTERN), F.lit(1)), F.regexp_extract_all("text", F.lit(tx.pattern_flags("m") + catalog.GO_VERSION_PATTERN), F.lit(1)))
+    ruby = F.regexp_extract_all("text", F.lit(tx.pattern_flags("m") + catalog.GEM_PATTERN), F.lit(1))
     parts = [of("package.json", keys(npm, "dependencies", "devDependencies", "peerDependencies"), 0), of("go.mod", go, 2), of("Gemfile", ruby, 3), of("composer.json", composer, 5)]
     for file, found, source in (("pyproject.toml", names, 1), ("Cargo.toml", cargo, 4)):
         parts.append(toml.where(F.col("file") == file).select("repo", F.lit(source).alias("source"), F.posexplode(found).alias("at", "name")))
@@ -177,11 +181,10 @@ def dependencies(files: DataFrame) -> DataFrame:
 def naming(files: DataFrame, most: int = 80) -> DataFrame:
     """repo, kind (files, variables, components, tests), style: the most frequent one, of equal ones the first seen."""
     source = files.where(~tx.is_hidden_or_skipped("path") & F.lower(tx.suffix("path")).isin(catalog.SOURCE_EXTENSIONS))
-    ranked = source.withColumn("nth", F.expr("row_number() OVER (PARTITION BY repo ORDER BY path)"))
-    few = ranked.where(F.col("nth") <= most)
-    py = r"(?dUm)^\s*(?:def|async\s+def)\s+([A-Za-z_][A-Za-z0-9_]*)|^\s*([A-Za-z_][A-Za-z0-9_]*)\s*="
-    js = r"(?dU)\b(?:const|let|var|function|class)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
-    part = r"(?dU)(?:export\s+default\s+function|export\s+function|const)\s+([A-Z][A-Za-z0-9]*)"
+    # the order is found among paths alone; texts join only for the few that are read
+    ranked = source.select("repo", "path").withColumn("nth", F.expr("row_number() OVER (PARTITION BY repo ORDER BY path)"))
+    few = source.join(ranked.where(F.col("nth") <= most), ["repo", "path"])
+    py, js, part = (tx.pattern_flags(f) + p for f, p in (("m", catalog.PY_NAME_PATTERN), ("", catalog.JS_NAME_PATTERN), ("", catalog.COMPONENT_PATTERN)))
     ext = tx.suffix("path")
 
     def found(where: Column, names: Column) -> DataFrame:
@@ -200,14 +203,14 @@ def env_keys(files: DataFrame) -> DataFrame:
     """repo, key, first_at of the keys in the environment templates, once each."""
     order = F.array_position(F.array(*[F.lit(f) for f in catalog.ENV_FILES]), F.col("path"))
     lines = files.where(F.col("path").isin(catalog.ENV_FILES)).select("repo", order.alias("file"), F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]")).alias("at", "line"))
-    key = F.trim(F.substring_index("line", "=", 1))
-    rows = lines.withColumn("line", F.trim("line")).where("NOT startswith(line, '#') AND contains(line, '=')").withColumn("key", key).where("key <> ''")
+    key = tx.strip(F.substring_index("line", "=", 1))
+    rows = lines.withColumn("line", tx.strip("line")).where("NOT startswith(line, '#') AND contains(line, '=')").withColumn("key", key).where("key <> ''")
     return rows.groupBy("repo", "key").agg(F.min(F.struct("file", "at")).alias("first_at"))
 
 
 def first_paragraph(text: Column) -> Column:
     """The first run of lines that are neither blank, heading nor image, joined by spaces; headings do not end it."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?dU)^\s+|\s+$", ""))
+    lines = F.transform(F.split(text, LINE_ENDS), tx.strip)
     kept = F.filter(lines, lambda x: ~(F.startswith(x, F.lit("#")) | F.startswith(x, F.lit("![")) | F.startswith(x, F.lit("[!["))))
     joined = F.array_join(F.transform(kept, lambda x: F.when(x == "", F.lit("\u0001")).otherwise(x)), " ")
     return F.trim(F.coalesce(F.try_element_at(F.filter(F.transform(F.split(joined, "\u0001"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1)), F.lit("")))
@@ -338,7 +341,7 @@ def run_order(local: DataFrame, detected: DataFrame) -> DataFrame:
     x, y = detected.select("name", F.col("root").alias("d_root"), F.col("ord").alias("d_ord")), local.select("name", F.col("root").alias("l_root"), F.col("ord").alias("l_ord"), F.lit(True).alias("own"))
     both = x.join(y, "name", "full_outer")
     usual = F.when(F.col("name") == "root", ".").otherwise(F.col("name"))
-    root = F.trim(F.coalesce(F.nullif(F.when(F.col("own"), F.coalesce("l_root", usual)).otherwise(F.coalesce("d_root", usual)), F.lit("")), "name", F.lit(".")))
+    root = tx.strip(F.coalesce(F.nullif(F.when(F.col("own"), F.coalesce("l_root", usual)).otherwise(F.coalesce("d_root", usual)), F.lit("")), "name", F.lit(".")))
     rows = both.select("name", root.alias("root"), F.struct(F.col("d_ord").isNull().alias("late"), F.coalesce("d_ord", "l_ord").alias("at")).alias("ord"))
     first = rows.where("root IN ('.', '')").agg(F.min("ord").alias("first"))
     return rows.join(first, how="left").select(F.when(F.col("ord") == F.col("first"), "root").otherwise(F.col("name")).alias("scope"), "name", "root", "ord")
@@ -346,4 +349,4 @@ def run_order(local: DataFrame, detected: DataFrame) -> DataFrame:
 
 def diff_commands(commands: DataFrame) -> DataFrame:
     """scope, key, value of what a diff review runs: configured lint and typecheck commands; nothing is inherited."""
-    return commands.where("key IN ('lint', 'typecheck')").withColumn("value", F.trim(F.coalesce("value", F.lit("")))).where("value <> ''").select("scope", "key", "value")
+    return commands.where("key IN ('lint', 'typecheck')").withColumn("value", tx.strip(F.coalesce("value", F.lit("")))).where("value <> ''").select("scope", "key", "value")

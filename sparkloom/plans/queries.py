@@ -52,12 +52,6 @@ def rule_findings_pages(spark, sf_dir):
     return scan.rule_findings(review.scanned(page_files(spark, sf_dir)), PLAIN_RULES).select("rule", "line", "path", "snippet")
 
 
-def lookaround_findings_documents(spark, sf_dir):
-    """The rules with lookaround over documents."""
-    rules = [r for r in catalog.RULES if r not in PLAIN_RULES and r[0] != "magic_number"]
-    return scan.rule_findings(review.scanned(document_files(spark, sf_dir)), rules).select("rule", "line", "path", "snippet")
-
-
 def magic_number_findings(spark, sf_dir):
     """One rule with line numbers, snippets and order of matches: long integers in documents."""
     rules = [r for r in catalog.RULES if r[0] == "magic_number"]
@@ -162,7 +156,7 @@ def command_precedence(spark, sf_dir):
     blank = lambda x: F.when(F.col("c_custkey") % 5 == 0, F.lit("  ")).otherwise(x)
     own = c.groupBy(F.concat(F.lit("n"), F.col("c_nationkey")).alias("scope"), F.col("k").alias("key"), (F.col("c_custkey") % 2 + 1).cast("int").alias("level")).agg(F.max(blank(F.col("c_name"))).alias("value"))
     root = c.groupBy(F.lit("root").alias("scope"), F.col("k").alias("key"), (F.col("c_custkey") % 2 + 3).cast("int").alias("level")).agg(F.max("c_mktsegment").alias("value"))
-    return lookups.command_precedence(own.select("scope", "key", "value", "level").union(root.select("scope", "key", "value", "level")))
+    return lookups.command_precedence(own.select("scope", "key", "value", "level").union(root.select("scope", "key", "value", "level")), ["lint", "test", "build"])
 
 
 def json_keys(spark, sf_dir):
@@ -204,7 +198,7 @@ def bounded_listing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        magic_number_findings, rule_findings_documents, rule_findings_pages, lookaround_findings_documents, rule_hit_counts, all_findings_documents, rendered_findings, repeated_literals, marker_density, name_style_census,
+        magic_number_findings, rule_findings_documents, rule_findings_pages, rule_hit_counts, all_findings_documents, rendered_findings, repeated_literals, marker_density, name_style_census,
         mode_first_seen, ordered_distinct, changed_set_union, language_lookup, longest_prefix_label, unknown_keys_anti, keyword_categories, library_categories, command_precedence, json_keys, first_paragraph, layer_report,
         top_paths_capped, test_patterns, bounded_listing,
     )

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import catalog
 from ..functions import text as tx
 from ..operators import lookups, scan
 
@@ -48,7 +49,7 @@ def findings(files: DataFrame, config: Config = Config(), most: int | None = Non
     """workspace, rule, line, path, snippet, seq and repo of all detectors, unordered."""
     taken = scanned(files, config, most)
     deps = lookups.package_dependencies(files.where(~tx.is_ignored(tx.normalize_path("path"), list(config.prefixes))))
-    parts = [scan.rule_findings(taken), scan.count_findings(taken), scan.block_findings(taken), lookups.unknown_python_imports(taken), lookups.unknown_js_imports(taken, deps), scan.literal_findings(taken)]
+    parts = [scan.rule_findings(taken), scan.count_findings(taken), scan.block_findings(taken), lookups.unknown_python_imports(taken, lookups.top_directories(files)), lookups.unknown_js_imports(taken, deps), scan.literal_findings(taken)]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -65,6 +66,22 @@ def rendered(found: DataFrame) -> DataFrame:
     return ordered(found).select(F.concat(F.when(F.col("workspace") != "", F.concat(F.lit("["), "workspace", F.lit("]"))).otherwise(F.lit("")), place).alias("value"))
 
 
+def finding_records(found: DataFrame) -> DataFrame:
+    """found and value: a record (severity, title, layer, location, impact, evidence, fix) in the report's shape. Layers are numbers."""
+    names = F.array(*[F.lit(k.replace("_", " ").title()) for k in catalog.LAYERS])
+    line = lambda k, v: F.concat(F.lit(f"- {k}: "), v)
+    layer = F.concat(F.lit("Layer "), "layer", F.lit(": "), F.element_at(names, F.col("layer").cast("int")))
+    head = F.concat(F.lit("### ["), F.initcap("severity"), F.lit("] "), "title")
+    place = F.concat(F.lit("`"), "location", F.lit("`"))
+    return found.withColumn("value", F.concat_ws("\n", head, F.lit(""), line("Layer", layer), line("Location", place), line("Impact", F.col("impact")), line("Evidence", F.col("evidence")), line("Fix", F.col("fix"))))
+
+
+def verification_records(checks: DataFrame) -> DataFrame:
+    """checks and value: a record (command, exit_code, output, interpretation) in the report's shape."""
+    line = lambda k, c: F.concat(F.lit(f"- {k}: `"), F.col(c).cast("string"), F.lit("`"))
+    return checks.withColumn("value", F.concat_ws("\n", line("Command", "command"), line("Exit code", "exit_code"), line("Relevant output", "output"), line("Interpretation", "interpretation")))
+
+
 def report(found: DataFrame) -> list[str]:
     """The rendered findings on the driver, or the one message where there are none."""
     return [r.value for r in rendered(found).collect()] or [NOTHING]

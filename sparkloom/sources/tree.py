@@ -8,6 +8,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -89,12 +90,15 @@ def decoded(files: DataFrame) -> DataFrame:
 
 
 def read_lists(spark: SparkSession, *paths: str) -> DataFrame:
-    """Lists of changed paths, one a line; blank lines go. An unreadable list is empty."""
+    """Lists of changed paths, one a line, in any store that Spark reads; blank lines go. A missing list is empty."""
     out = spark.createDataFrame([], "path string")
     for p in paths:
-        if os.path.exists(p):
+        try:
             out = out.union(spark.read.text(p).toDF("path"))
-    return out.where("trim(path) <> ''")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return out.where(tx.strip("path") != "")
 
 
 def base_ref(argument: str | None, environment: str | None, upstream: str | None, existing: set[str]) -> str:

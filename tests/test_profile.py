@@ -101,3 +101,20 @@ def test_run_order(spark):
     assert got == [("a", "pa"), ("root", "."), ("b", "./"), ("new", "")]
     commands = spark.createDataFrame([("a", "lint", " x "), ("a", "test", "y"), ("b", "typecheck", " ")], "scope string, key string, value string")
     assert [tuple(r) for r in profile.diff_commands(commands).collect()] == [("a", "lint", "x")]
+
+
+def test_lists_and_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("./x.py\n\n \t \ny.py\n")
+    assert sorted(r.path for r in tree.read_lists(spark, str(tmp_path / "a.txt"), str(tmp_path / "none.txt"), f"file://{tmp_path}/a.txt").collect()) == ["./x.py", "./x.py", "y.py", "y.py"]
+    tree.write_lines(spark.createDataFrame([("b",), ("a",)], "value string"), str(tmp_path / "out"))
+    (part,) = (tmp_path / "out").glob("part-*")
+    assert part.read_text() == "b\na\n"
+
+
+def test_a_directory_without_text_explains_imports(spark):
+    from sparkloom.plans import review
+
+    files = spark.createDataFrame([("r", "src/a.py", "import pics.x\nimport other\nimport vendor.y"), ("r", "pics/a.png", "x"), ("r", "vendor/z.py", "x")], "repo string, path string, text string")
+    assert sorted(r.snippet for r in review.findings(files).collect()) == ["other", "vendor"]
+    capped = review.findings(files.union(spark.createDataFrame([("r", "a/b.py", "import src")], files.schema)), most=1)
+    assert capped.count() == 0
