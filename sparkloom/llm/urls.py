@@ -1,10 +1,12 @@
 """URL filters: allow and block rules by host suffix and path prefix, then a path-template tree learned from labels.
 
-Only DataFrame functions run here.  A path is cut into segments, digits count as ``{n}``.  Level by level, per host, down
-to the deepest segment with support: a segment stays a branch of its own if SUPPORT urls take it, however many siblings
-it has, else it is the wildcard ``*``.  On the way, a branch whose labelled rate does not differ
-significantly from its parent's merges into it; the rate of a branch is smoothed towards its parent's, a host's towards
-the whole corpus's.  A template whose smoothed rate of bad labels reaches REJECT is blocked.
+Only DataFrame functions run here.  A path is cut into segments, digits count as ``{n}``.  Per host, level by level down to
+the deepest segment with support: a segment that SUPPORT urls take is a branch of its own, however many siblings it has;
+the others together are the wildcard ``*`` (a literal ``*`` is written ``%2A``), if SUPPORT urls take one of them.  A branch
+merges into its parent, and pools its counts there, if its labelled rate is statistically similar to that of the rest of
+its parent's urls (two proportions, SIMILAR standard errors; without labels on either side nothing tells them apart).  What
+does not merge is a template: its pooled rate of bad labels is smoothed towards the template above it, a host's towards the
+whole corpus.  A template whose smoothed rate reaches REJECT is blocked, with all urls whose branches merged into it.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from .textcore import materialize, pick
 
 SUPPORT = 5  #: urls that a branch of its own needs
 SMOOTHING = 10.0  #: labels that the parent's rate weighs
-SIMILAR = 1.96  #: standard errors below which a branch merges into its parent
+SIMILAR = 1.96  #: standard errors of a difference below which a branch merges into its parent
 REJECT = 0.5
 
 #: Verdict and rule, of which the longest that fits wins.
@@ -50,44 +52,68 @@ def _shape(path: Column) -> Column:
     return F.rtrim(F.ltrim(F.regexp_replace(path, "[0-9]+", "{n}"), F.lit("/")), F.lit("/"))
 
 
+def grow(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tree of shapes (host, shape, n, lab, bad): its nodes (host, t, above, lab, bad of all urls below) and, for each
+    shape, the deepest node that holds it (host, shape, t, lab, bad).
+
+    One round a level. A node without any label grows no further, since all below it would merge into it.
+    """
+    sums = [F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad")]
+    nodes = [shapes.groupBy("host").agg(*sums).select("host", F.lit("").alias("t"), F.lit(None).cast("string").alias("above"), "lab", "bad")]
+    active, settled, depth = shapes.withColumn("t", F.lit("")), [], 0
+    segments = F.when(F.col("shape") == "", 0).otherwise(F.size(F.split("shape", "/")))
+    while active.limit(1).count():
+        ended = segments <= depth
+        settled.append(active.where(ended).select("host", "shape", "t", "lab", "bad"))
+        active = active.where(~ended).withColumn("s", F.replace(F.get(F.split("shape", "/"), F.lit(depth)), F.lit("*"), F.lit("%2A")))
+        named = active.groupBy("host", "t", "s").agg(*sums).withColumn("u", F.when(F.col("n") >= SUPPORT, F.col("s")).otherwise("*"))
+        named = materialize(named)
+        kids = named.groupBy("host", "t", "u").agg(*sums).where(F.col("n") >= SUPPORT)
+        nodes.append(kids.select("host", F.concat_ws("/", "t", "u").alias("t"), F.col("t").alias("above"), "lab", "bad"))
+        held = kids.select("host", "t", "u", F.col("lab").alias("held"))
+        placed = active.join(named.select("host", "t", "s", "u"), ["host", "t", "s"]).join(held, ["host", "t", "u"], "left")
+        deeper = F.when(F.col("held").isNull(), F.col("t")).otherwise(F.concat_ws("/", "t", "u"))
+        placed = materialize(placed.select("host", "shape", "n", "lab", "bad", deeper.alias("t"), (F.coalesce("held", F.lit(0)) > 0).alias("open")))
+        settled.append(placed.where("NOT open").select("host", "shape", "t", "lab", "bad"))
+        active, depth = placed.where("open").drop("open"), depth + 1
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return materialize(union(nodes)), union(settled) if settled else active.select("host", "shape", "t", "lab", "bad")
+
+
 def fit_templates(pages: DataFrame) -> DataFrame:
     """The templates that are rejected. pages: host, shape (of the path), bad (1, 0 or null where there is no label).
 
-    Returns host, shape (those that belong to rejected templates) and template. One round a level, for the branches that
-    can still grow: those with SUPPORT urls, but not those below REJECT without a bad label, which nothing deeper can
-    reject. A branch that holds all of its parent's labels is no new evidence and keeps the parent's rate.
+    Returns host, shape (those that belong to rejected templates) and template. No labels: none.
     """
     shapes = materialize(pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
     total = shapes.agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).first()
-    overall = ((total.bad or 0) + 0.5) / ((total.lab or 0) + 1.0)
-    sums = [F.sum("n").alias("c"), F.sum("lab").alias("l"), F.sum("bad").alias("b")]
-    smoothed = (F.col("b") + SMOOTHING * F.col("p")) / (F.col("l") + SMOOTHING)
-    grows = (F.col("c") >= SUPPORT) & ~((F.col("b") == 0) & (F.col("rate") < REJECT))
-
-    hosts = shapes.groupBy("host").agg(*sums).withColumn("p", F.lit(overall)).withColumn("rate", F.when(F.col("l") == 0, F.col("p")).otherwise(smoothed))
-    hosts = materialize(hosts.select("host", F.col("l").alias("held"), "rate", grows.alias("open")))
-    active = materialize(shapes.join(hosts, "host").withColumn("t", F.lit("")))
-    closed, depth = [active.where("NOT open")], 0
-    active = active.where("open")
-    while active.limit(1).count():
-        parts = F.split("shape", "/")
-        active = active.withColumn("s", F.coalesce(F.get(parts, F.lit(depth)), F.lit("")))  # "" where the path has ended
-        stay = materialize(active.groupBy("host", "t", "s").agg(F.sum("n").alias("c")).where(F.col("c") >= SUPPORT).select("host", "t", "s", F.col("s").alias("u")))
-        marked = materialize(active.join(stay, ["host", "t", "s"], "left").withColumn("u", F.coalesce("u", F.lit("*"))))
-        p, seen = F.col("p"), F.col("l")
-        error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) / F.greatest(seen, F.lit(1)))
-        similar = F.abs(F.col("b") / F.greatest(seen, F.lit(1)) - p) < SIMILAR * error
-        nodes = marked.groupBy("host", "t", "u").agg(*sums, F.any_value("rate").alias("p"), F.any_value("held").alias("held"))
-        nodes = nodes.withColumn("rate", F.when((seen == 0) | (seen == F.col("held")) | similar, p).otherwise(smoothed))
-        nodes = materialize(nodes.select("host", "t", "u", seen.alias("held"), "rate", grows.alias("open")))
-        grown = marked.select("host", "shape", "n", "lab", "bad", "t", "u").join(nodes, ["host", "t", "u"])
-        ended = F.size(parts) <= depth
-        grown = grown.select("host", "shape", "n", "lab", "bad", "held", "rate", (F.col("open") & ~ended).alias("open"), F.concat_ws("/", "t", "u").alias("t"))
-        grown = materialize(grown)
-        closed.append(grown.where("NOT open"))
-        active, depth = grown.where("open"), depth + 1
-    names = [x.where(F.col("rate") >= REJECT).select("host", "shape", F.concat("host", F.rtrim("t", F.lit("/"))).alias("template")) for x in closed]
-    return materialize(functools.reduce(DataFrame.unionByName, names))
+    if not total.lab:
+        return shapes.where("false").select("host", "shape", F.col("host").alias("template"))
+    overall = (total.bad + 0.5) / (total.lab + 1.0)
+    nodes, settled = grow(shapes)
+
+    # which nodes stand apart from the rest of their parent's urls
+    parents = nodes.select("host", F.col("t").alias("above"), F.col("lab").alias("all_lab"), F.col("bad").alias("all_bad"))
+    l1, b1 = F.col("lab"), F.col("bad")
+    l2, b2 = F.col("all_lab") - l1, F.col("all_bad") - b1
+    p = F.col("all_bad") / F.col("all_lab")
+    error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) * (1 / l1 + 1 / l2))
+    differs = F.when((l1 == 0) | (l2 == 0), False).otherwise(F.abs(b1 / l1 - b2 / l2) >= SIMILAR * error)
+    apart = nodes.where("above IS NOT NULL").join(parents, ["host", "above"]).where(differs).select("host", "t").union(nodes.where("above IS NULL").select("host", "t"))
+
+    # each node's chain of such nodes, from the host down; the last one owns it
+    parts = F.split("t", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    chains = nodes.select("host", "t", F.explode(prefixes).alias("p")).join(apart.toDF("host", "p"), ["host", "p"])
+    chains = chains.groupBy("host", "t").agg(F.array_sort(F.collect_list(F.struct(F.length("p").alias("n"), "p"))).alias("chain"))
+    chains = materialize(chains.select("host", "t", F.element_at("chain", -1)["p"].alias("owner"), F.transform("chain", lambda x: x["p"]).alias("chain")))
+    pooled = settled.join(chains.select("host", "t", "owner"), ["host", "t"]).groupBy("host", "owner").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+    steps = chains.where("t = owner").select("host", "owner", F.posexplode("chain").alias("k", "p")).join(pooled.toDF("host", "p", "lab", "bad"), ["host", "p"], "left")
+    steps = steps.groupBy("host", "owner").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("lab", F.lit(0)).alias("lab"), F.coalesce("bad", F.lit(0)).alias("bad")))).alias("steps"))
+    rate = F.aggregate("steps", F.lit(overall), lambda above, x: (x["bad"] + SMOOTHING * above) / (x["lab"] + SMOOTHING))
+    blocked = steps.where(rate >= REJECT).select("host", "owner", F.concat("host", "owner").alias("template"))
+    owned = chains.select("host", "t", "owner").join(blocked, ["host", "owner"])
+    return materialize(settled.join(owned, ["host", "t"]).select("host", "shape", "template"))
 
 
 def judge(pages: DataFrame, labels: DataFrame | None = None, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -105,7 +131,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: list[tuple[s
     bad = F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
     evidence = rows.select("host", "shape", bad.alias("bad"))
     if labels is not None:
-        number = F.expr("try_cast(regexp_extract(path, '([0-9]+)[^/]*/?$', 1) AS bigint)")
+        number = F.expr("try_cast(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) AS bigint)")
         quality = pick(labels, "doc_id", "quality").toDF("number", "quality").where("quality IN (0, 1) AND number IS NOT NULL").groupBy("number").agg(F.min("quality").alias("quality"))
         # rows without a number get one that no label has, each its own, so that they don't meet in one task
         number = F.coalesce(number, -1 - F.pmod(F.xxhash64("page_id", "path"), F.lit(1 << 40)))

@@ -141,6 +141,89 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), labels.limit(0)).count() == 0
 
 
+def templates_plainly(pages):
+    """(host, shape) -> template of the rejected ones, by a tree of dictionaries. pages: host, shape, bad or None."""
+    tree = {}  # (host, path of segments) -> urls below it
+    last = {}
+    for host in {h for h, _, _ in pages}:
+        below = {(): [(x.split("/") if x else [], x, bad) for h, x, bad in pages if h == host]}
+        while below:
+            node, urls = below.popitem()
+            tree[host, node] = urls
+            groups = collections.defaultdict(list)
+            for u in urls:
+                if len(u[0]) > len(node) and any(x[2] is not None for x in urls):
+                    groups[u[0][len(node)].replace("*", "%2A")].append(u)
+                else:
+                    last[host, u[1]] = node
+            kids = collections.defaultdict(list)
+            for segment, some in groups.items():
+                kids[segment if len(some) >= 5 else "*"] += some
+            for segment, some in kids.items():
+                if len(some) >= 5:
+                    below[(*node, segment)] = some
+                else:
+                    last.update({(host, u[1]): node for u in some})
+    count = lambda urls: (sum(u[2] is not None for u in urls), sum(u[2] or 0 for u in urls))
+    every = [0, 0]
+    apart = set()
+    for (host, node), urls in tree.items():
+        lab, bad = count(urls)
+        if not node:
+            apart.add((host, node))
+            every[0] += lab
+            every[1] += bad
+            continue
+        all_lab, all_bad = count(tree[host, node[:-1]])
+        if lab and all_lab > lab:
+            p = all_bad / all_lab
+            if abs(bad / lab - (all_bad - bad) / (all_lab - lab)) >= 1.96 * math.sqrt(max(p * (1 - p), 1e-4) * (1 / lab + 1 / (all_lab - lab))):
+                apart.add((host, node))
+    owner = lambda host, node: next(node[:k] for k in range(len(node), -1, -1) if (host, node[:k]) in apart)
+    pooled = collections.defaultdict(lambda: [0, 0])
+    for h, x, bad in pages:
+        own = pooled[h, owner(h, last[h, x])]
+        own[0] += bad is not None
+        own[1] += bad or 0
+
+    def rate(host, node):
+        above = (every[1] + 0.5) / (every[0] + 1) if not node else rate(host, owner(host, node[:-1]))
+        return (pooled[host, node][1] + 10 * above) / (pooled[host, node][0] + 10)
+
+    return {(h, x): h + "".join("/" + s for s in owner(h, last[h, x])) for h, x, _ in pages if rate(h, owner(h, last[h, x])) >= 0.5}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_templates_against_a_plain_tree(spark, seed):
+    rng = random.Random(seed)
+    pages = []
+    for host in ("a.net", "b.net", "c.net", ""):
+        for _ in range(rng.randint(60, 260)):
+            path = [rng.choice(["en", "de", "x", "*", ""])] * (rng.random() < 0.9)
+            if path and rng.random() < 0.8:
+                path += [rng.choice(["spam", "news", "shop", f"slug-{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"])]
+                if rng.random() < 0.6:
+                    path += [rng.choice(["{n}", "casino", "p", chr(97 + rng.randrange(20)) * 2])] * rng.randint(1, 2)
+            bad = 0.9 if "spam" in path or "casino" in path else 0.6 if host == "c.net" else 0.1
+            pages.append((host, "/".join(path).strip("/"), None if rng.random() < 0.3 else int(rng.random() < bad)))
+    got = {(r.host, r.shape): r.template for r in urls.fit_templates(spark.createDataFrame(pages, "host string, shape string, bad int")).collect()}
+    assert got == templates_plainly(pages) and len(got) > 3
+    assert urls.fit_templates(spark.createDataFrame([("h", "x", None)] * 9, "host string, shape string, bad int")).count() == 0
+
+
+def test_similar_branches_pool_their_counts(spark):
+    """Six branches with four bad labels of five each: none alone outweighs a clean corpus, together they do."""
+    pages = [("w.net", f"{s}/{{n}}", int(k < 4)) for s in ("q", "r", "s", "t", "u", "v") for k in range(5)] + [("clean.net", "a/{n}", 0)] * 400
+    got = {r.shape for r in urls.fit_templates(spark.createDataFrame(pages, "host string, shape string, bad int")).collect()}
+    assert got == {f"{s}/{{n}}" for s in "qrstuv"}
+
+
+def test_labels_by_a_number_that_begins_the_last_segment(spark):
+    pages = spark.createDataFrame([(i, f"x://n.net/a{i}b{i}") for i in range(40)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0) for i in range(40)], "doc_id long, quality int")
+    assert {r.verdict for r in urls.judge(pages, labels).collect()} == {"allow"}
+
+
 def test_a_branch_with_support_stays_whatever_its_siblings(spark):
     labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(360)], "doc_id long, quality int")
     for siblings in (40, 300):
