@@ -1,16 +1,21 @@
-"""Best-fit packing of documents into sequences of several permitted lengths.
+"""Best-fit packing of documents into sequences of several permitted lengths, chosen jointly.
 
 Lengths count UTF-8 bytes (a byte-level vocabulary) plus one end mark per document.  A document longer than the largest
 capacity gives full pieces and a rest.  Pieces go, longest first, into the open bin that they fill best.  If none can
-hold a piece, a new bin opens in the size whose cost per unit is least among those that hold it, given how much there
-is still to place.  In the end every bin shrinks to the cheapest size that holds its contents.
-
-Rows are dealt by a hash into shards of about SHARD pieces, which pack on their own: a shard is large enough that its
-few open bins at the end cost next to nothing, and the number of shards follows the input.
+hold a piece, a bin of some size opens.  The cost of a sequence grows faster than its length, since every position
+attends to the others, so short sequences are cheaper to fill and long ones easier: for each size that holds the piece,
+the lengths still to place are put into the room that would be left, largest first, and the size with the least cost per
+filled unit opens, each counted at the cheapest size that would hold its filling.  In the end every bin shrinks to the
+cheapest size that holds its contents.
+
+Rows are dealt into shards of about SHARD pieces, which pack on their own: a shard is large enough that its few open bins
+at the end cost next to nothing, and the number of shards follows the input.  The deal goes by a row's own number, so
+rows that repeat, or that lack a doc_id, spread like all others.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping
 
 import pandas as pd
@@ -19,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .textcore import materialize, pick
 
-#: Permitted lengths and the cost of one sequence of that length: its positions plus a fixed share of a step.
-SIZES = {2048: 2048 + 128, 4096: 4096 + 128, 8192: 8192 + 128}
+ATTENTION = 16_384  #: length at which attention costs as much as everything else of a sequence
+STEP = 256  #: the fixed share of a step, in positions
+#: Permitted lengths and the cost of one sequence of that length.
+SIZES = {n: n + n * n / ATTENTION + STEP for n in (2048, 4096, 8192)}
 END_MARK = 1
 SHARD = 20_000
 
@@ -30,9 +37,24 @@ def cheapest(length: int, sizes: Mapping[int, float]) -> int:
     return min((s for s in sizes if s >= length), key=lambda s: (sizes[s], s))
 
 
-def opening(length: int, left: int, sizes: Mapping[int, float]) -> int:
-    """The size to open for a piece: least cost per unit that it can hold of what is left, the piece included."""
-    return min((s for s in sizes if s >= length), key=lambda s: (sizes[s] / min(s, left), s))
+def filling(room: int, present: int, counts: Mapping[int, int]) -> int:
+    """How much of room the lengths that are left fill, largest first. present has bit n set if counts[n] > 0."""
+    used = 0
+    while below := present & ((2 << room - used) - 1):
+        n = below.bit_length() - 1
+        used += n * min(counts[n], (room - used) // n)
+        present = below & ~(1 << n)
+    return used
+
+
+def opening(length: int, present: int, counts: Mapping[int, int], sizes: Mapping[int, float]) -> int:
+    """The size to open for a piece: least cost per filled unit; of equal ones the smallest."""
+
+    def rate(size: int) -> float:
+        full = length + filling(size - length, present, counts)
+        return sizes[cheapest(full, sizes)] / full
+
+    return min((s for s in sizes if s >= length), key=lambda s: (rate(s), s))
 
 
 def best_fit(lengths: list[int], sizes: Mapping[int, float]) -> tuple[list[int], list[int], list[int]]:
@@ -44,8 +66,12 @@ def best_fit(lengths: list[int], sizes: Mapping[int, float]) -> tuple[list[int],
     filled = 0  # bit r is set if some bin has room r
     used: list[int] = []
     bins, offsets = [], []
-    left = sum(lengths)
+    counts = Counter(lengths)
+    present = sum(1 << n for n in counts)
     for n in lengths:
+        counts[n] -= 1
+        if not counts[n]:
+            present &= ~(1 << n)
         above = filled >> n
         if above:
             r = n + (above & -above).bit_length() - 1
@@ -53,12 +79,11 @@ def best_fit(lengths: list[int], sizes: Mapping[int, float]) -> tuple[list[int],
             if not room[r]:
                 filled &= ~(1 << r)
         else:
-            b, r = len(used), opening(n, left, sizes)
+            b, r = len(used), opening(n, present, counts, sizes)
             used.append(0)
         bins.append(b)
         offsets.append(used[b])
         used[b] += n
-        left -= n
         if r > n:
             room.setdefault(r - n, []).append(b)
             filled |= 1 << (r - n)
@@ -71,9 +96,10 @@ def pack(docs: DataFrame, sizes: Mapping[int, float] = SIZES, shard: int = SHARD
     Columns: doc_id, piece (number in the document), start and length (in the document's bytes, the end mark counted with
     its last piece), shard and bin (together the bin's key), position (offset in the bin), capacity, used.
     A null text counts as empty: its one piece is the end mark. A null doc_id packs like any other; repeated rows all do.
+    Of equal lengths, the lesser doc_id goes first. An empty table gives no rows.
     """
     largest = max(sizes)
-    rows = pick(docs, "doc_id", "text").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + END_MARK).cast("long").alias("total"), F.xxhash64("doc_id", "text").alias("h"))
+    rows = pick(docs, "doc_id", "text").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + END_MARK).cast("long").alias("total"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("h"))
     rows = materialize(rows)
     kind = rows.schema["doc_id"].dataType.simpleString()
     pieces = rows.agg(F.sum(F.ceil(F.col("total") / largest))).first()[0] or 0

@@ -62,22 +62,34 @@ def test_windows_stay_in_texts():
 
 def test_best_fit_against_plain_search():
     rng = random.Random(2)
-    sizes = {8: 9.0, 16: 17.0, 32: 33.0}
+    sizes = {n: n + n * n / 64 + 1 for n in (8, 16, 32)}
+
+    def opened(n, rest):
+        """Each size tried with the lengths that are left, one by one."""
+        best = None
+        for size in sizes:
+            if size >= n:
+                full = n
+                for x in rest:
+                    full += x if full + x <= size else 0
+                rate = sizes[min((s for s in sizes if s >= full), key=lambda s: sizes[s])] / full
+                best = (rate, size) if best is None or rate < best[0] else best
+        return best[1]
+
     for _ in range(200):
         lengths = sorted((rng.randint(1, 32) for _ in range(rng.randint(0, 40))), reverse=True)
         bins, offsets, final = packing.best_fit(lengths, sizes)
-        open_, order, left = [], [], sum(lengths)
-        for n in lengths:
+        open_, order = [], []
+        for i, n in enumerate(lengths):
             fits = [b for b in open_ if b["room"] >= n]
             if fits:
                 room = min(b["room"] for b in fits)
                 b = max((b for b in fits if b["room"] == room), key=lambda b: b["last"])
             else:
-                b = {"room": packing.opening(n, left, sizes), "k": len(open_)}
+                b = {"room": opened(n, lengths[i + 1 :]), "k": len(open_)}
                 open_.append(b)
             b["room"] -= n
             b["last"] = len(order)
-            left -= n
             order.append(b["k"])
         assert bins == order
         for k, size in enumerate(final):
@@ -86,6 +98,29 @@ def test_best_fit_against_plain_search():
             assert size == packing.cheapest(sum(n for _, n in used), sizes)
 
 
+def test_sizes_compete():
+    """On lengths like those of documents all sizes are used, and together they cost less than any one of them."""
+    rng = random.Random(11)
+    lengths = [min(8192, int(math.exp(rng.gauss(7.5, 1.0))) + 1) for _ in range(6000)]
+    lengths.sort(reverse=True)
+
+    def cost(sizes):
+        bins, offsets, final = packing.best_fit(lengths, sizes)
+        return sum(packing.SIZES[f] for f in final), collections.Counter(final)
+
+    every, used = cost(packing.SIZES)
+    assert all(used[s] > 100 for s in packing.SIZES), used
+    for own in ([8192], [2048, 8192], [4096, 8192]):
+        assert every < cost({s: packing.SIZES[s] for s in own})[0], own
+    assert every < 1.05 * sum(n * min(packing.SIZES[s] / s for s in packing.SIZES if s >= n) for n in lengths)
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    rows = spark.createDataFrame([(None, "")] * 3000, "doc_id long, text string")
+    got = packing.pack(rows, shard=300).groupBy("shard").count().collect()
+    assert len(got) == 10 and max(r["count"] for r in got) < 450
+
+
 def test_pack_keeps_every_byte(spark):
     rows = odd_rows(spark)
     got = packing.pack(rows, {64: 70.0, 256: 262.0}, shard=50).collect()
