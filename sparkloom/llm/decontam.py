@@ -4,9 +4,12 @@ The test items are the indexed documents; each passage of each training text is
 what the item's own text would score, so one threshold serves long and short items.  Passages are windows of twice the
 longest item that start every one such length, so each item that a text holds lies in one passage as a whole.
 
-A passage is first held against bounds: the exact sum of its rare words' postings per item, plus the most that the
-item's frequent words can add.  Only if that reaches the threshold somewhere does block-max WAND walk the passage's
-posting lists.  Items above the threshold are then confirmed by the word pairs of question and answer.
+Most passages share no more than common words with any item.  So a passage is first held against bounds, which spare
+the walk but decide nothing else: of each item's words only the rarest are gathered (all but the most frequent ones that
+together weigh LOOSE), and what the others weigh is added in full.  A passage whose bound reaches the threshold for some
+item goes to block-max WAND, which finds all items that do.  The gather takes passages in slices of at most GATHER
+postings, so its memory follows neither the items nor the passages.  Found items are then confirmed by the word pairs of
+question and answer.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5  #: of the item's score for its own text
 QUESTION, ANSWER = 0.6, 0.5  #: of the word pairs of either that the passage must hold
 POSTINGS = 8  #: entries of a posting block
-FREQUENT = 0.05  #: of the items; words in more of them are frequent
+LOOSE = 0.25  #: of an item's weight that its most frequent words may hold without being gathered
+GATHER = 2_000_000  #: postings that bounds are computed from at a time
 SLICE_BYTES = 32_000_000  #: of item text in one index; more items make more passes
 
 _WORD = np.ones(256, bool)  # bytes of other characters count as letters
@@ -87,14 +91,18 @@ class Index:
             self.docs.append(d)
             self.weights.append(w)
             self.bounds.append(np.maximum.reduceat(w, np.arange(0, len(w), POSTINGS)))
-        self.sizes = np.array([len(d) for d in self.docs], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        self.flat_docs = np.concatenate(self.docs) if self.docs else np.zeros(0, np.int64)
-        self.flat_weights = np.concatenate(self.weights) if self.weights else np.zeros(0)
-        self.frequent = self.sizes > max(1, FREQUENT * n)
-        self.rest = np.zeros(n)
-        for t in np.flatnonzero(self.frequent):
-            self.rest[self.docs[t]] += self.weights[t]
+        # each item's words from the most frequent on, as long as they weigh no more than LOOSE, are left out of the gather
+        term = np.repeat(np.arange(len(self.docs)), [len(d) for d in self.docs])
+        item = np.concatenate([np.zeros(0, np.int64), *self.docs])
+        weight = np.concatenate([np.zeros(0), *self.weights])
+        order = np.lexsort((term, -np.array([len(d) for d in self.docs], np.int64)[term], item))
+        sums = np.cumsum(weight[order])
+        first = np.searchsorted(item[order], item[order])
+        left_out = sums - (sums - weight[order])[first] <= LOOSE
+        self.rest = np.bincount(item[order][left_out], weight[order][left_out], minlength=n)
+        kept = np.sort(order[~left_out])
+        self.at = np.searchsorted(term[kept], np.arange(len(self.docs) + 1))
+        self.flat_docs, self.flat_weights = item[kept], weight[kept]
         self.lists = ([d.tolist() for d in self.docs], [w.tolist() for w in self.weights], [b.tolist() for b in self.bounds], [float(w.max()) for w in self.weights])
         self.slots = np.zeros(1 << 16, bool)
         self.slots[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
@@ -111,22 +119,31 @@ class Index:
 
     def hopeful(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
         """Passages (of word occurrences in two parallel arrays) for which some item's bound reaches the threshold."""
-        found = np.zeros(0, np.int64)
-        n = max(1, len(self.ids))
-        by_rest = np.flatnonzero(self.rest >= threshold)
-        if len(by_rest):  # items of frequent words only: every passage with a word of theirs
-            found = np.unique(passage)
-        rare = ~self.frequent[term]
-        passage, term = passage[rare], term[rare]
-        if not len(term):
-            return found
-        sizes = self.sizes[term]
-        key = np.repeat(passage, sizes) * n
-        offset = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        entry = np.repeat(self.at[term], sizes) + offset
-        keys, where = np.unique(key + self.flat_docs[entry], return_inverse=True)
-        bound = np.bincount(where, self.flat_weights[entry]) + self.rest[keys % n]
-        return np.union1d(found, keys[bound >= threshold - 1e-9] // n)
+        if (self.rest >= threshold - 1e-9).any():  # some item needs none of its gathered words
+            return np.unique(passage)
+        m, n = max(1, len(self.docs)), max(1, len(self.ids))
+        pairs = np.unique(passage * m + term)
+        passage, term = pairs // m, pairs % m
+        sizes = self.at[term + 1] - self.at[term]
+        passage, term, sizes = passage[sizes > 0], term[sizes > 0], sizes[sizes > 0]
+        done = np.concatenate([[0], np.cumsum(sizes)])
+        firsts = np.flatnonzero(np.diff(passage, prepend=-1))  # where a passage begins
+        found, at = [np.zeros(0, np.int64)], 0
+        while at < len(passage):
+            # whole passages up to the limit, or one that is larger
+            k = np.searchsorted(done[firsts], done[at] + GATHER, side="right") - 1
+            end = int(firsts[k]) if k < len(firsts) and firsts[k] > at else len(passage)
+            if end == len(passage) and done[-1] - done[at] > GATHER:
+                later = firsts[firsts > at]
+                end = int(later[0]) if len(later) else len(passage)
+            some = slice(at, end)
+            key = np.repeat(passage[some], sizes[some]) * n
+            entry = np.arange(len(key)) + np.repeat(self.at[term[some]] - (done[at:end] - done[at]), sizes[some])
+            keys, where = np.unique(key + self.flat_docs[entry], return_inverse=True)
+            bound = np.bincount(where, self.flat_weights[entry]) + self.rest[keys % n]
+            found.append(np.unique(keys[bound >= threshold - 1e-9] // n))
+            at = end
+        return np.unique(np.concatenate(found))
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score for the distinct terms reaches the threshold, by block-max WAND."""
@@ -219,8 +236,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """doc_id, item_id, score, question_overlap, answer_overlap: one row per document and item that it holds.
 
     Null or blank texts and items hold nothing; items without item_id are left out; documents without doc_id give rows
-    with a null doc_id. Repeated documents each give their rows, repeated items one each. The items are gathered on the
-    driver in slices of about SLICE_BYTES, each of which makes one pass over the documents.
+    with a null doc_id. Repeated documents each give their rows, repeated items one each. A text is read whole, passage by
+    passage. The items are gathered on the driver in slices of about SLICE_BYTES, each of which makes one pass over the
+    documents: benchmarks are small beside a corpus, so passes are few.
     """
     items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     source = pick(docs, "doc_id", "text")
