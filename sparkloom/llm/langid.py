@@ -190,7 +190,10 @@ def fit(docs: DataFrame, modulus: int | None = None, held: int = 0, max_rows: in
 def identify(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY) -> DataFrame:
     """doc_id, lang_pred, score, and spans (first word, end word, lang) for every row of docs.
 
-    A null text, or one without a letter, gives 'und', score 0 and no spans; so does a model without languages.
+    A null text, or one without a letter, gives 'und', score 0 and no spans; so does a model without languages (an empty
+    table to learn from). Repeated rows each get their row and equal texts equal results; of languages with equal scores
+    the first by name holds. Texts of any length are read whole. A word's script is that of its first letter, so a text
+    without blanks is one word with one language.
     """
     source = pick(docs, "doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()

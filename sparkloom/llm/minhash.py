@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .textcore import Block, blocks, materialize, mix, pick, windows
+from .textcore import Block, blocks, materialize, mix, pick, release, windows
 
 WORDS, BINS, BANDS, PERCENT = 5, 128, 32, 75
 BITMAP = 32  #: 64-bit numbers of a set's bitmap
@@ -181,12 +181,18 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Joins both texts to candidate pairs and keeps those that the full sets confirm, as a table."""
+    """Joins both texts to candidate pairs and keeps those that the full sets confirm, as a table.
+
+    The pairs of a star's centre share a key; both joins are of plain shuffles whose other side has few rows a key, so that
+    adaptive execution splits such keys.
+    """
     pairs = materialize(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = materialize(docs.join(ids, "doc_id", "left_semi"))
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long"))
+    kept = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long"))
+    release(pairs, ids, texts)
+    return kept
 
 
 def _stars(rows: DataFrame, centre) -> DataFrame:
@@ -208,7 +214,9 @@ def _mixed(rows: DataFrame, labels: DataFrame, least_size: int) -> DataFrame:
     """Members, with their component and the bucket's least id, of the buckets that still span several components."""
     named = materialize(rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("part")))
     open_keys = materialize(named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("id").alias("least"), F.count("*").alias("size")).where(F.expr(f"lo <> hi AND size >= {least_size}")).select("key", "size", "least"))
-    return materialize(named.join(open_keys, "key"))
+    out = materialize(named.join(open_keys, "key"))
+    release(named, open_keys)
+    return out
 
 
 def _across(mixed: DataFrame, signed: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf_dir: str, label: str, modulus: int, held: int, recipe: compression.Recipe) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document. A null doc_id belongs to no fold: its held_out is null."""
     docs = table(spark, sf_dir, "documents")
     model = compression.fit_labelled(docs, table(spark, sf_dir, "labels"), label, modulus, held, recipe)
     scored = compression.classify(docs, model, ["doc_id"])
@@ -65,10 +66,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out (null for a null doc_id), lang_pred, score, spans as lang:first word-end word for every document."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, 4, 2)
     found = langid.identify(docs, model)
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["lang"], F.lit(":"), s["start"], F.lit("-"), s["end"])), ",")
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", spans.alias("spans"))
 
 
 QUERIES = {

@@ -126,7 +126,9 @@ def measure(block: Block) -> dict[str, list]:
 def quality_rules(docs: DataFrame, most_covered: float = MOST_COVERED, most_longest: int = MOST_LONGEST) -> DataFrame:
     """Counts, repeated spans (first word, end word) and verdicts for every row of docs.
 
-    A null text counts as empty; an empty text has no words and fails the base.
+    A null text counts as empty; an empty text has no words and fails the base. Repeated rows each get their row, null
+    doc_ids stay null, an empty table gives no rows. Texts are read whole: arrays of about 60 bytes for each byte of a
+    text stand in memory at a time, so a single text of 10 MB takes 0.6 GB.
     """
     source = pick(docs, "doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()

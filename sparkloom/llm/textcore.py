@@ -7,6 +7,7 @@ characters are single bytes that occur in no other character, so words are found
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -143,9 +144,12 @@ def fold(column: str, modulus: int):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder that spark.checkpoint.dir names; only where that is unset, in the warehouse folder."""
+    """A new folder in the shared folder that spark.checkpoint.dir names. Only a local session without that setting, as in
+    tests, uses its warehouse folder; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
     return f"{base.rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
 
@@ -154,7 +158,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared scratch folder and reads it back: its lineage ends there and survives lost executors."""
     path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the folders of tables from materialize that no later plan reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

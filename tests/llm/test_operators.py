@@ -449,6 +449,37 @@ def test_decontamination_against_all_scores():
             assert {d for d, s in scores.items() if s >= threshold} == {d for d, _ in index.search(q, threshold)}
 
 
+def test_bounds_lose_no_passage(monkeypatch):
+    """With Zipf words and slices of a few postings, the passages that the bounds leave hold all that any item reaches."""
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, n), 5000))
+    items = [(i, word(int(rng.integers(5, 40)))) for i in range(300)]
+    index = decontam.Index(items)
+    texts = [word(300) + (" " + items[i % 300][1] + " " if i % 3 == 0 else " ") + word(200) for i in range(60)]
+    whole = index.matches(Block.of(texts))
+    assert whole == index.matches(Block.of(texts), exhaustive=True) and len({x[0] for x in whole}) >= 20
+    for limit in (1, 50, 5000):
+        monkeypatch.setattr(decontam, "GATHER", limit)
+        assert index.matches(Block.of(texts)) == whole
+    # weights of gathered words and of the others make up each item
+    total = np.bincount(index.flat_docs, index.flat_weights, minlength=len(index.ids)) + index.rest
+    assert np.allclose(total, 1) and (index.rest <= decontam.LOOSE + 1e-9).all() and len(index.flat_docs) < sum(map(len, index.docs))
+
+
+def test_the_gather_is_bounded_by_construction(monkeypatch):
+    """20,000 items of Zipf words: the postings at a time stay below the limit, far below those of all passages."""
+    rng = np.random.default_rng(6)
+    words = np.minimum(rng.zipf(1.2, 20_000 * 30), 60_000)
+    index = decontam.Index([(i, " ".join(f"w{x}" for x in words[i * 30 : i * 30 + 30])) for i in range(20_000)])
+    text = " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.2, 2_000), 60_000))
+    monkeypatch.setattr(decontam, "GATHER", 20_000)
+    seen = []
+    unique = np.unique
+    monkeypatch.setattr(decontam.np, "unique", lambda x, *a, **k: (seen.append(len(x)) if k else None, unique(x, *a, **k))[1])
+    index.matches(Block.of([text]))
+    assert max(seen) <= decontam.GATHER < sum(seen)
+
+
 def test_contaminated_odd_rows(spark):
     items = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "one", "x"), (2, None, "x"), (3, " ", "x")], "item_id long, text string, ITEM_ID string")
     got = sorted((str(r.doc_id), r.item_id) for r in decontam.contaminated(odd_rows(spark), items).collect())

@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as entry
 from sparkloom.llm import compression, queries
 
-from .test_operators import components_plainly, patterns_plainly, rule_plainly, split_plainly, statistics_plainly
+from .test_operators import components_plainly, odd_rows, patterns_plainly, rule_plainly, split_plainly, statistics_plainly
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -90,3 +90,51 @@ def test_decontamination_and_packing(spark):
     for r in queries.op1_packing(spark, SF).collect():
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == {i: len(t.encode()) + 1 for i, t in texts.items()}
+
+
+def odd_tables(spark, folder, empty):
+    """Tables with nulls in every column, empty and very long texts, ties, repeated rows, and extra columns with clashing names."""
+    rows = [*odd_rows(spark).collect(), *odd_rows(spark).collect()]
+    docs = spark.createDataFrame(rows, odd_rows(spark).schema)
+    labels = spark.createDataFrame([(i % 9, i % 2 if i % 5 else None, i % 3 if i % 7 else None, "x") for i in range(40)] + [(None, 1, 1, None)], "doc_id long, quality int, toxic int, QUALITY string")
+    pages = spark.createDataFrame([(None, None, None, "x"), (1, "", "", None), (1, "x://a.b/c/1", "<p>", "x"), (1, "x://a.b/c/1", "<p>", "x"), (2, "http://" + "a/" * 5000, None, "x")], "page_id long, url string, html string, URL string")
+    benchmark = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "one", None), (2, None, None), (3, "", "x")], "item_id long, text string, TEXT string")
+    conversations = spark.createDataFrame([(None, None, None, None)], "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        for name, df in (("documents", docs), ("labels", labels), ("pages", pages), ("benchmark", benchmark), ("conversations", conversations)):
+            (df.limit(0) if empty else df).write.parquet(f"{folder}/{name}.parquet")
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    return {"documents": 0 if empty else len(rows), "pages": 0 if empty else 5}
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_every_query_on_odd_tables(spark, tmp_path, empty):
+    n = odd_tables(spark, tmp_path, empty)
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        for name, query in [*queries.QUERIES.items(), ("pipeline", entry.queries()["pipeline"])]:
+            got = query(spark, str(tmp_path)).collect()
+            if name not in ("op1_packing", "op5_decontamination", "pipeline"):
+                assert len(got) == n["pages" if name == "op2_urls" else "documents"], name
+            assert empty == (not got), name
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from sparkloom.llm import textcore
+
+    no = SimpleNamespace(get=lambda k, d=None: None if "checkpoint" in k else "/w")
+    made = lambda master: SimpleNamespace(conf=no, sparkContext=SimpleNamespace(getConf=lambda: no, master=master))
+    assert textcore.scratch(made("local[4]")).startswith("/w/_scratch/")
+    for master in ("yarn", "k8s://x", "local-cluster[3,2,1000]", "spark://h:7077"):
+        with pytest.raises(RuntimeError):
+            textcore.scratch(made(master))
+    t = textcore.materialize(spark.range(3))
+    assert t.count() == 3 and os.path.isdir(t.scratch_path.removeprefix("file://"))
+    textcore.release(t)
+    assert not os.path.isdir(t.scratch_path.removeprefix("file://"))
