@@ -17,7 +17,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold. The model learns from the labelled rows of this stage's input."""
+    """Documents whose quality score reaches the threshold. The model learns from the labelled rows of this stage's input.
+
+    Each row is scored by its own text, so repeated rows stay or go together; null and empty texts have the score of the
+    labels' shares. Without labels nothing is known and everything stays.
+    """
     labels = table(spark, sf_dir, "labels")
     model = compression.fit_labelled(docs, labels, "quality", 5, 0, QUALITY)
     scored = compression.classify(docs, model, COLUMNS)
@@ -40,19 +44,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
+    """Rows that hold no benchmark item, whole. Null and empty texts hold none; of repeated rows each is judged on its own."""
     docs = _keyed(docs)
     hit = materialize(decontam.contaminated(docs.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct())
     return docs.join(hit, "row", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each personal datum replaced by its kind in angle brackets; n_chars follows the text."""
+    """All documents, with each personal datum and secret replaced by its kind in angle brackets; n_chars follows the text.
+
+    Null texts stay null; rows without spans stay as they are, repeated rows too.
+    """
     return pii.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
+    """The pieces of all documents with their sequences; a null or empty text is one piece of its end mark, repeated rows all pack."""
     return packing.pack(docs)
 
 
