@@ -50,6 +50,7 @@ HINTS = {
     "php_deprecated_mysql": ["mysql_"],
     "robotic_function_name": ["calculate", "process", "handle"],
 }
+NUMBER = r"(?U)[1-9]\d{3}"  #: the same for long numbers, which have no literal: four digits in a row
 FINDING = "repo string, path string, rule string, line int, snippet string, seq long"
 
 
@@ -72,7 +73,7 @@ def rule_findings(files: DataFrame, rules: list[tuple] = catalog.RULES) -> DataF
     files = files.select("repo", "path", "text", tx.folded("text").alias("folded"))
     for k, (name, pattern, flags, globs) in enumerate(rules):
         where = F.col("folded" if "i" in flags else "text")
-        possible = functools.reduce(Column.__or__, [F.contains(where, F.lit(x)) for x in HINTS[name]]) if name in HINTS else None
+        possible = functools.reduce(Column.__or__, [F.contains(where, F.lit(x)) for x in HINTS[name]]) if name in HINTS else F.rlike("text", F.lit(NUMBER)) if name == "magic_number" else None
         found = tx.matches(F.col("text"), tx.pattern_flags(flags) + pattern, possible)
         hits = _hits(found, name, k)
         lists.append(F.when(~tx.matches_any("path", globs), hits).otherwise(F.slice(hits, 1, 0)) if globs else hits)
@@ -104,13 +105,18 @@ def count_findings(files: DataFrame, todo: int = catalog.TODO_LIMIT) -> DataFram
     )
 
 
-def repeated_literals(files: DataFrame, keys: list[str] | None = None, least: int = catalog.MAGIC_STRING_LIMIT) -> DataFrame:
+def repeated_literals(files: DataFrame, keys: list[str] | None = None, least: int = catalog.MAGIC_STRING_LIMIT, places: bool = True) -> DataFrame:
     """Quoted literals of ten or more characters that occur least times or more under the keys: keys, literal, n, line, first.
 
-    line and first (ordinal) are of the first occurrence. Literals are trimmed; urls do not count.
+    line and first (ordinal) are of the first occurrence; without places they are left out, and texts are read once only.
+    Literals are trimmed; urls do not count.
     """
     keys = keys or ["repo", "path"]
-    found = files.select(*keys, F.posexplode(tx.matches(F.col("text"), tx.pattern_flags("") + catalog.MAGIC_STRING_PATTERN)).alias("pos", "m"))
+    pattern = tx.pattern_flags("") + catalog.MAGIC_STRING_PATTERN
+    if not places:
+        quoted = files.select(*keys, F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(2))).alias("literal")).select(*keys, tx.strip("literal").alias("literal"))
+        return quoted.where("NOT startswith(literal, 'http://') AND NOT startswith(literal, 'https://')").groupBy(*keys, "literal").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    found = files.select(*keys, F.posexplode(tx.matches(F.col("text"), pattern)).alias("pos", "m"))
     body = F.substring("m.match", F.lit(2), F.length("m.match") - 2)
     found = found.select(*keys, tx.strip(body).alias("literal"), F.col("m.line").alias("line"), "pos").where("NOT startswith(literal, 'http://') AND NOT startswith(literal, 'https://')")
     return found.groupBy(*keys, "literal").agg(F.count("*").alias("n"), F.min("line").alias("line"), F.min("pos").alias("first")).where(F.col("n") >= least)

@@ -80,7 +80,7 @@ def rendered_findings(spark, sf_dir):
 def repeated_literals(spark, sf_dir):
     """Double- or single-quoted literals that occur four times or more on the pages of a host."""
     pages = spread(table(spark, sf_dir, "pages").select(host_of("url").alias("host"), F.col("html").alias("text")))
-    return scan.repeated_literals(pages, ["host"]).select("host", "literal", "n")
+    return scan.repeated_literals(pages, ["host"], places=False)
 
 
 def marker_density(spark, sf_dir):
