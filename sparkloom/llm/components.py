@@ -20,22 +20,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     both = materialize(edges.union(edges.select("b", "a")).distinct())
     table = labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+    # labels only fall, so equal sums mean equal labels
+    total = lambda c: F.sum(c.cast("decimal(38,0)"))
+    last = labels.agg(total(F.col("label"))).first()[0]
     for _ in range(max_rounds):
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
         least = materialize(labels.union(seen).groupBy("node").agg(F.min("label").alias("label")))
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         jumped = materialize(least.join(far, "label").select("node", "label", "far"))
-        moved = jumped.where("far < label").limit(1).count() + _differ(jumped, labels)
+        now, later, jumps = jumped.agg(total(F.col("label")), total(F.least("label", "far")), F.max(F.expr("far < label"))).first()
         release(least, table)
-        table = jumped
-        labels = jumped.select("node", F.least("label", "far").alias("label"))
-        if not moved:
+        table, labels = jumped, jumped.select("node", F.least("label", "far").alias("label"))
+        if not jumps and now == last:
             release(both)
             return labels
+        last = later
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def _differ(new: DataFrame, old: DataFrame) -> int:
-    """Whether the sums of labels differ; labels only fall, so equal sums mean equal labels."""
-    total = [x.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0] for x in (new, old)]
-    return int(total[0] != total[1])

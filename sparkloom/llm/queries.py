@@ -18,8 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt over all cores if they come in fewer pieces than there are cores; larger tables are not moved."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(documents(spark, sf_dir))
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +34,7 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _classified(spark: SparkSession, sf_dir: str, label: str, modulus: int, held: int, recipe: compression.Recipe) -> DataFrame:
     """doc_id, held_out, score, predicted for every document. A null doc_id belongs to no fold: its held_out is null."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = compression.fit_labelled(docs, table(spark, sf_dir, "labels"), label, modulus, held, recipe)
     scored = compression.classify(docs, model, ["doc_id"])
     return scored.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -43,31 +49,31 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.quality_rules(table(spark, sf_dir, "documents")).drop("repeated")
+    return suffix.quality_rules(documents(spark, sf_dir)).drop("repeated")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(table(spark, sf_dir, "documents"))
+    return pii.personal_data(documents(spark, sf_dir))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every text, the removed spans as start-end in ascending order (code points of the whole text), and their length."""
-    left = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    left = lines.dedup_lines(documents(spark, sf_dir))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return left.select("doc_id", "text", spans.alias("removed"), F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out (null for a null doc_id), lang_pred, score, spans as lang:first word-end word for every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = langid.fit(docs, 4, 2)
     found = langid.identify(docs, model)
     spans = F.array_join(F.transform("spans", lambda s: F.concat(s["lang"], F.lit(":"), s["start"], F.lit("-"), s["end"])), ",")
