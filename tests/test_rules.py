@@ -79,6 +79,19 @@ def test_matches_are_linear(spark):
     assert [r.line for r in many.select(tx.matches(many.text, "(?d)\n\n").alias("m")).first().m] == [1 + 2 * i for i in range(9)]
 
 
+def test_letters_that_fold_to_ascii(spark):
+    """Long s, Kelvin sign and dotless i match where case is ignored, and the literal search lets them through."""
+    texts = ["to\u212aen = 'x'", "\u017fecret: 'y'", "D\u0130SABLE ver\u0131fy = False", "PA\u017f\u017fWORD='z'", "ver\u0130fy = false"]
+    files = spark.createDataFrame([("", f"a{i}.py", t) for i, t in enumerate(texts)], "repo string, path string, text string")
+    got = {(r.path, r.rule) for r in scan.rule_findings(files).collect()}
+    plain = spark.createDataFrame([("", f"a{i}.py", t) for i, t in enumerate(texts)], "repo string, path string, text string")
+    unhinted = set()
+    for k, (name, pattern, flags, _) in enumerate(catalog.RULES):
+        found = plain.select("path", tx.matches(plain.text, tx.pattern_flags(flags) + pattern).alias("m")).where("size(m) > 0")
+        unhinted |= {(r.path, name) for r in found.collect()}
+    assert got == unhinted and {("a0.py", "hardcoded_credential"), ("a1.py", "hardcoded_credential"), ("a3.py", "hardcoded_credential")} <= got
+
+
 def test_rules_against_python(spark):
     both = "\n".join(x for pair in CASES.values() for x in pair)
     files = [(f"d/{n}_{i}.rb", t) for n, pair in CASES.items() for i, t in enumerate(pair)] + [("all.js", both), ("scripts/x.md", both), ("a/test_y.json", both), ("Dockerfile", both), ("é.py", "été = 12345\né1234 1234é"), ("e.py", "")]
