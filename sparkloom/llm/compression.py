@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .textcore import blocks, fold, pick
 
-MAX_ROWS = 2000  #: labelled rows of each class that a fit reads, at most; the least by a hash of their key
+MAX_ROWS = 2000  #: labelled doc_ids of each class that a fit reads, at most; the least by a hash of the key
+MAX_BYTES = 32_000_000  #: of their texts in each class: doc_ids beyond it, in the same order, are not read
 
 
 @dataclass(frozen=True)
@@ -256,8 +257,9 @@ def fit(texts: list[bytes], labels: list[int], recipe: Recipe, totals: tuple[int
     return Model(recipe, *build(texts, y, recipe), knots, values, prior)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int = MAX_ROWS) -> tuple[list[bytes], list[int], tuple[int, int]]:
-    """Labelled rows outside the held-out fold, at most max_rows doc_ids of each class, the least by a hash of the key; and how many there are of each.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list[bytes], list[int], tuple[int, int]]:
+    """Labelled rows outside the held-out fold, at most max_rows doc_ids of each class, the least by a hash of the key, as
+    long as their texts stay within max_bytes; and how many there are of each. Each text is whole.
 
     Null doc_ids, null texts, and labels other than 0 and 1 do not count, nor does a doc_id with both labels. Repeated
     labels count once; rows that repeat a doc_id all serve.
@@ -271,6 +273,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         part = marked.where(F.col("mark") == k).orderBy(rank, "doc_id").limit(max_rows)
         few = part if few is None else few.union(part)
     rows = pick(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id")
+    sizes = rows.groupBy("mark", rank.alias("rank"), "doc_id").agg(F.sum(F.octet_length("text")).alias("size")).collect()
+    left, beyond = {0: max_bytes, 1: max_bytes}, []
+    for r in sorted(sizes, key=lambda r: (r.rank, r.doc_id)):
+        left[r.mark] -= r.size
+        if left[r.mark] < 0:
+            beyond.append(r.doc_id)
+    if beyond:
+        rows = rows.where(~F.col("doc_id").isin(beyond))
     got = sorted((r.text.encode(), r.mark) for r in rows.select("text", "mark").collect())
     counts = {r.mark: r["count"] for r in marked.groupBy("mark").count().collect()}
     return [t for t, _ in got], [k for _, k in got], (counts.get(0, 0), counts.get(1, 0))

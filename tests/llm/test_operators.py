@@ -418,6 +418,8 @@ def test_classify_odd_rows(spark):
     assert compression.labelled_sample(docs, labels, "toxic", 5, 0) == ([], [], (0, 0))
     few = compression.labelled_sample(docs, labels, "quality", 5, 0, 3)
     assert few[2] == totals and few[1].count(1) == 3
+    short = compression.labelled_sample(docs, labels, "quality", 5, 0, max_bytes=20)
+    assert short[2] == totals and 0 < len(short[0]) < 8 and all(sum(len(t) for t, k in zip(*short[:2], strict=True) if k == c) <= 20 for c in (0, 1))
 
 
 # 5
@@ -859,6 +861,39 @@ def test_signature_estimates_similarity():
         assert abs(np.mean(agree) - 0.8) < 0.04
 
 
+@pytest.fixture
+def eager_skew(spark):
+    """Adaptive execution that takes every larger partition for a skewed one."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def test_a_hub_and_a_giant_component(spark, eager_skew):
+    """A node with 20,000 edges, a chain that ends in it, and many small groups."""
+    edges = [(100_000, i) for i in range(50_000, 70_000)] + [(i, i + 1) for i in range(10, 300)] + [(300, 100_000)] + [(200_000 + 3 * i, 200_001 + 3 * i) for i in range(500)]
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {**dict.fromkeys([*range(10, 301), *range(50_000, 70_000), 100_000], 10), **{200_000 + 3 * i + k: 200_000 + 3 * i for i in range(500) for k in (0, 1)}}
+    assert got == want
+
+
+def test_a_giant_bucket(spark, eager_skew):
+    """2,500 near copies of one text among texts of their own: one component, no link lost, none added."""
+    rng = random.Random(17)
+    base = words_of(rng, 120, 50_000)
+    near = []
+    for i in range(2500):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"own{i}"
+        near.append((i, " ".join(w)))
+    other = [(10_000 + i, " ".join(words_of(rng, 60, 10**6))) for i in range(300)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(near + other, "doc_id long, text string")).collect()}
+    assert got == {**dict.fromkeys(range(2500), 0), **{i: i for i, _ in other}}
+
+
 def test_near_duplicates_odd_rows(spark):
     got = minhash.near_duplicates(odd_rows(spark)).collect()
     part = {r.doc_id: r.component_id for r in got}
