@@ -456,7 +456,7 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def personal_data(docs: DataFrame, field: Field | None = None, clean: bool = False) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (the patterns' spans), base_sha256, spans (all), n_added for every row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone (the patterns' spans), base_sha256, spans (all), n_added (by the field), n_spans (all) for every row of docs.
 
     Places count code points, ends are exclusive. A null or empty text has no spans. Repeated rows each get their row;
     texts of any length are read whole. clean: also text, with all spans replaced by their kinds (null stays null).
@@ -471,14 +471,14 @@ def personal_data(docs: DataFrame, field: Field | None = None, clean: bool = Fal
             got = find([t or "" for t in texts], field)
             every = [sorted([*b, *x], key=lambda s: (ALL_KINDS.index(s[0]), s[1])) for b, x in got]
             columns = [part.column("doc_id"), *[pa.array([sum(s[0] == k for s in b) for b, _ in got], pa.int64()) for k in KINDS]]
-            columns += [pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in got], pa.string()), pa.array([joined(s) for s in every], pa.string()), pa.array([len(x) for _, x in got], pa.int64())]
-            names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"]
+            columns += [pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in got], pa.string()), pa.array([joined(s) for s in every], pa.string()), pa.array([len(x) for _, x in got], pa.int64()), pa.array([len(s) for s in every], pa.int64())]
+            names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_spans"]
             if clean:
                 columns.append(pa.array([t if t is None else redact(t, s) for t, s in zip(texts, every, strict=True)], pa.string()))
                 names.append("text")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return source.mapInArrow(searched, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long" + ", text string" * clean)
+    return source.mapInArrow(searched, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long, n_spans long" + ", text string" * clean)
 
 
 def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
