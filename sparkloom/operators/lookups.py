@@ -133,6 +133,13 @@ def union_changed(*lists: DataFrame) -> DataFrame:
     return out.where(tx.strip("path") != "").select(tx.normalize_path("path").alias("path")).distinct()
 
 
+def branch_changes(working: Sequence[DataFrame], merge_base: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
+    """The changed paths of a branch: the working set's lists, and the difference to the merge base; where there is none, to
+    the base itself; where that is unknown too, the working set alone."""
+    against = [x for x in (merge_base, base) if x is not None][:1]
+    return union_changed(*against, *working)
+
+
 def languages(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row (or one per keys): the sorted languages of the paths, joined, or 'none'."""
     found = F.array_join(F.sort_array(F.collect_set(tx.language("path"))), ", ")

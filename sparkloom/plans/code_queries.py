@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog
 from ..functions import text as tx
 from ..operators import lookups, scan
+from ..sources import tree
 from . import review
 from .queries import DOCUMENT_FILES, PLAIN_RULES, matches_sql, quoted, spread, table
 
@@ -294,6 +295,33 @@ def review_records_sql() -> str:
         UNION ALL SELECT concat_ws(chr(10), '- Command: `count ' || event_type || '`', '- Exit code: `' || (n % 2) || '`', '- Relevant output: `' || n || '`', '- Interpretation: `counted`') FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) AS e"""
 
 
+def branch_diff(spark, sf_dir):
+    """Changed paths against a merge base, against a base without one, and without a base."""
+    labels, key = table(spark, sf_dir, "labels"), F.col("doc_id").cast("string")
+    paths = lambda where, folder, ext=".py": labels.where(where).select(F.concat(F.lit(folder), key, F.lit(ext)).alias("path"))
+    working = [paths("toxic = 1", "./src/"), paths("quality = 0", "src/"), labels.where("doc_id % 50 = 0").select(F.lit(" \t").alias("path"))]
+    merge, base = paths("doc_id % 3 = 0", "src/", ".ts"), paths("doc_id % 2 = 0", "lib//")
+    kinds = {"merge base": (merge, base), "base": (None, base), "none": (None, None)}
+    parts = [lookups.branch_changes(working, *given).select(F.lit(kind).alias("kind"), "path") for kind, given in kinds.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+BRANCH_DIFF_SQL = """WITH w AS (SELECT 'src/' || doc_id || '.py' AS path FROM labels WHERE toxic = 1 OR quality = 0), m AS (SELECT 'src/' || doc_id || '.ts' AS path FROM labels WHERE doc_id % 3 = 0), b AS (SELECT 'lib/' || doc_id || '.py' AS path FROM labels WHERE doc_id % 2 = 0)
+    SELECT 'merge base' AS kind, path FROM (SELECT path FROM w UNION SELECT path FROM m) AS x UNION ALL SELECT 'base', path FROM (SELECT path FROM w UNION SELECT path FROM b) AS y UNION ALL SELECT 'none', path FROM (SELECT DISTINCT path FROM w) AS z"""
+
+
+def decoded_contents(spark, sf_dir):
+    """Texts from bytes: what does not decode goes, line ends become newlines, binaries and unreadable files are left out."""
+    key = F.col("doc_id")
+    bytes_ = F.concat(F.encode("text", "utf-8"), F.when(key % 3 == 0, F.unhex(F.lit("FF0D0A41C3"))).when(key % 3 == 1, F.unhex(F.lit("0D42E282"))).otherwise(F.unhex(F.lit("EFBBBF0A"))), F.when(key % 7 == 0, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))))
+    files = table(spark, sf_dir, "documents").select("source", key, F.when(key % 11 == 0, F.lit(None)).otherwise(bytes_).alias("content"))
+    read = tree.decoded(spread(files.select(F.col("source").alias("repo"), key.cast("string").alias("path"), "content")))
+    return read.select("repo", "path", F.md5("text").alias("digest"), F.length("text").alias("chars"))
+
+
+DECODED_SQL = """SELECT repo, path, md5(text) AS digest, length(text)::INT AS chars FROM (SELECT source AS repo, doc_id::VARCHAR AS path, text || CASE doc_id % 3 WHEN 0 THEN chr(10) || 'A' WHEN 1 THEN chr(10) || 'B' ELSE chr(65279) || chr(10) END AS text FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0) AS d"""
+
+
 def review_dimensions(spark, sf_dir):
     """The review's fixed tables side by side, joined to the findings that labels stand for."""
     d = lambda n: lookups.dimension(spark, n)
@@ -333,7 +361,7 @@ def path_functions_sql() -> str:
             (SELECT p_partkey, {_at_sql(NAMES, "p_partkey")} AS path, {_at_sql(SPECIFIERS, "p_partkey * 4 + 1")} AS spec FROM part) AS p) AS s) AS t"""
 
 
-QUERIES = {f.__name__: f for f in (rule_findings_code, count_findings_code, literal_findings_code, block_findings_code, unknown_imports_code, tree_languages, review_records, review_dimensions, path_functions)}
+QUERIES = {f.__name__: f for f in (rule_findings_code, count_findings_code, literal_findings_code, block_findings_code, unknown_imports_code, tree_languages, branch_diff, decoded_contents, review_records, review_dimensions, path_functions)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -345,6 +373,8 @@ def oracle_sql() -> dict[str, str]:
         "block_findings_code": block_findings_sql(),
         "unknown_imports_code": unknown_imports_sql(),
         "tree_languages": tree_languages_sql(),
+        "branch_diff": BRANCH_DIFF_SQL,
+        "decoded_contents": DECODED_SQL,
         "review_records": review_records_sql(),
         "review_dimensions": review_dimensions_sql(),
         "path_functions": path_functions_sql(),

@@ -73,9 +73,10 @@ def read_tree(spark: SparkSession, root: str, repo: str = "", everything: bool =
 
 
 def is_binary(content: Column | str) -> Column:
-    """A zero byte somewhere; content that could not be read counts as binary."""
+    """A zero byte somewhere; content that could not be read counts as binary. (position() reads characters and would miss
+    a zero byte behind a cut one.)"""
     c = tx.as_column(content)
-    return F.coalesce(F.position(F.lit(b"\x00"), c) > 0, F.lit(True))
+    return F.coalesce(F.contains(c, F.lit(b"\x00")), F.lit(True))
 
 
 def decoded(files: DataFrame) -> DataFrame:
