@@ -22,6 +22,7 @@ SUPPORT = 5  #: urls that a branch of its own needs
 SMOOTHING = 10.0  #: labels that the parent's rate weighs
 SIMILAR = 1.96  #: standard errors of a difference below which a branch merges into its parent
 REJECT = 0.5
+LEVELS = 64  #: segments that the tree can tell apart; what follows them is one segment, so that endless paths end
 
 #: Verdict and rule, of which the longest that fits wins.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -61,11 +62,13 @@ def grow(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     sums = [F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad")]
     nodes = [shapes.groupBy("host").agg(*sums).select("host", F.lit("").alias("t"), F.lit(None).cast("string").alias("above"), "lab", "bad")]
     active, settled, depth = shapes.withColumn("t", F.lit("")), [], 0
-    segments = F.when(F.col("shape") == "", 0).otherwise(F.size(F.split("shape", "/")))
+    parts = F.split("shape", "/")
+    segments = F.when(F.col("shape") == "", 0).otherwise(F.least(F.size(parts), F.lit(LEVELS)))
     while active.limit(1).count():
         ended = segments <= depth
         settled.append(active.where(ended).select("host", "shape", "t", "lab", "bad"))
-        active = active.where(~ended).withColumn("s", F.replace(F.get(F.split("shape", "/"), F.lit(depth)), F.lit("*"), F.lit("%2A")))
+        own = F.get(parts, F.lit(depth)) if depth < LEVELS - 1 else F.array_join(F.slice(parts, depth + 1, F.size(parts)), "%2F")
+        active = active.where(~ended).withColumn("s", F.replace(own, F.lit("*"), F.lit("%2A")))
         named = active.groupBy("host", "t", "s").agg(*sums).withColumn("u", F.when(F.col("n") >= SUPPORT, F.col("s")).otherwise("*"))
         named = materialize(named)
         kids = named.groupBy("host", "t", "u").agg(*sums).where(F.col("n") >= SUPPORT)

@@ -246,6 +246,17 @@ def test_templates_against_a_plain_tree(spark, seed):
     assert urls.fit_templates(spark.createDataFrame([("h", "x", None)] * 9, "host string, shape string, bad int")).count() == 0
 
 
+def test_endless_paths_end(spark, monkeypatch):
+    """Beyond LEVELS segments the rest of a path is one segment."""
+    monkeypatch.setattr(urls, "LEVELS", 3)
+    rng = random.Random(5)
+    pages = [("t.net", "/".join(rng.choice("ab") for _ in range(rng.randint(1, 9))), int(rng.random() < 0.5)) for _ in range(400)] + [("t.net", "b/b/b" + "/c" * (i % 40), 1) for i in range(200)]
+    cut = lambda x: "/".join([*x.split("/")[:2], "%2F".join(x.split("/")[2:])]).rstrip("/")
+    got = {(r.host, r.shape): r.template for r in urls.fit_templates(spark.createDataFrame(pages, "host string, shape string, bad int")).collect()}
+    want = templates_plainly([(h, cut(x), bad) for h, x, bad in pages])
+    assert got == {(h, x): want[h, cut(x)] for h, x, _ in pages if (h, cut(x)) in want} and got
+
+
 def test_similar_branches_pool_their_counts(spark):
     """Six branches with four bad labels of five each: none alone outweighs a clean corpus, together they do."""
     pages = [("w.net", f"{s}/{{n}}", int(k < 4)) for s in ("q", "r", "s", "t", "u", "v") for k in range(5)] + [("clean.net", "a/{n}", 0)] * 400
