@@ -133,13 +133,13 @@ def workspaces(files: DataFrame) -> DataFrame:
         return root.where(F.col("name") == name).select("repo", F.lit(source).alias("source"), F.posexplode(patterns).alias("at", "pattern"))
 
     npm = F.coalesce(F.from_json("text", f"struct<workspaces:{strings}>")["workspaces"], F.from_json("text", f"struct<workspaces:struct<packages:{strings}>>")["workspaces"]["packages"])
-    pnpm = F.transform(F.regexp_extract_all("text", F.lit(tx.pattern_flags("m") + catalog.PNPM_ITEM_PATTERN), F.lit(1)), lambda x: F.trim(x))
+    pnpm = F.transform(F.regexp_extract_all("text", F.lit(tx.pattern_flags("m") + catalog.PNPM_ITEM_PATTERN), F.lit(1)), tx.strip)
     fixed = F.array(*[F.lit(p) for p in WORKSPACE_ROOTS])
     named = listed("package.json", npm, 0).union(listed("pnpm-workspace.yaml", pnpm, 1)).union(listed("lerna.json", F.from_json("text", f"struct<packages:{strings}>")["packages"], 3)).union(listed("nx.json", fixed, 4)).union(listed("turbo.json", fixed, 5))
     cargo = root.where("name = 'Cargo.toml'").withColumn("text", tree.toml_json("text")).select("repo", F.lit(2).alias("source"), F.posexplode(F.from_json("text", f"struct<workspace:struct<members:{strings}>>")["workspace"]["members"]).alias("at", "pattern"))
-    named = named.union(cargo).where("pattern IS NOT NULL AND trim(pattern) <> '' AND NOT startswith(trim(pattern), '!')")
+    named = named.union(cargo).where("pattern IS NOT NULL").withColumn("pattern", tx.strip("pattern")).where("pattern <> '' AND NOT startswith(pattern, '!')")
     # a glob as a regular expression: * within one part, ** over any number of parts
-    regex = F.regexp_replace(F.regexp_replace(F.rtrim(F.trim("pattern"), F.lit("/")), r"([.+()\[\]{}^$|\\])", r"\\$1"), r"\*\*/?", "\u0001")
+    regex = F.regexp_replace(F.regexp_replace(F.rtrim("pattern", F.lit("/")), r"([.+()\[\]{}^$|\\])", r"\\$1"), r"\*\*/?", "\u0001")
     regex = F.concat(F.lit("^"), F.replace(F.replace(F.replace(regex, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("\u0001"), F.lit("(?:[^/]+/)*")), F.lit("$"))
     explicit = named.withColumn("regex", regex).join(dirs, "repo").where(F.rlike(F.col("path"), F.col("regex"))).groupBy("repo", "path").agg(F.min(F.struct("source", "at")).alias("first"))
     explicit = explicit.select("repo", F.col("path").alias("dir"), F.struct(F.col("first.source"), F.col("first.at"), F.col("path")).alias("ord"))
@@ -267,7 +267,7 @@ def descriptions(files: DataFrame) -> DataFrame:
     toml = files.where("path = 'pyproject.toml'").withColumn("text", tree.toml_json("text")).select("repo", F.lit(3).alias("source"), F.from_json("text", "struct<project:struct<description:string>>")["project"]["description"].alias("d"))
     readme = files.where("path = 'README.md'").select("repo", F.lit(1).alias("source"), first_paragraph(F.col("text")).alias("d"))
     package = files.where("path = 'package.json'").select("repo", F.lit(2).alias("source"), F.from_json("text", "struct<description:string>")["description"].alias("d"))
-    rows = readme.union(package).union(toml).withColumn("d", F.trim("d")).where("d <> ''")
+    rows = readme.union(package).union(toml).withColumn("d", tx.strip("d")).where("d <> ''")
     return rows.groupBy("repo").agg(F.min_by("d", "source").alias("description"))
 
 
