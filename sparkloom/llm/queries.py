@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontam, langid, lines, minhash, packing, pii, suffix, urls
+from . import compression, decontam, langid, lines, media, minhash, packing, pii, suffix, trie, urls
 from .textcore import fold
 
 #: Settings of both were chosen by cross-validation among the rows outside the held-out folds, and then frozen.
@@ -80,9 +80,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", spans.alias("spans"))
 
 
+def rebuilt(convs: DataFrame) -> DataFrame:
+    """conv_id, turns: of each conversation c the first h turns of conversation c - c % 5, then its own after its first h."""
+    none = F.expr(f"CAST(array() AS {trie.TURNS})")
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    heads = convs.where("conv_id % 5 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 8).alias("head"))
+    both = convs.withColumn("base", F.expr("conv_id - conv_id % 5")).join(heads, "base", "left")
+    own = F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))
+    return both.select("conv_id", F.concat(F.slice(F.coalesce("head", none), F.lit(1), h), own).alias("turns"))
+
+
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(rebuilt(trie.encoded(table(spark, sf_dir, "conversations"))))
+
+
+def op13_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of a payload is that of the image in its header; digests, checksum and feature come from the bytes read back."""
+    media_rows = media.media_columns(documents(spark, sf_dir))
+    size = F.col("width") * F.col("height")
+    return media_rows.select("doc_id", "n_bytes", size.alias("payload_bytes"), "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height", "bit_depth")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_urls, op3_quality, op4_toxicity, op5_decontamination, op6_suffix, op7_pii, op8_lines, op9_minhash, op10_language)
+    for f in (op1_packing, op2_urls, op3_quality, op4_toxicity, op5_decontamination, op6_suffix, op7_pii, op8_lines, op9_minhash, op10_language, op11_trie, op13_media)
 }
 
 #: DuckDB twins of the queries that SQL can express on whole tables.
