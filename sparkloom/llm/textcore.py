@@ -72,9 +72,10 @@ class Block:
     def text(self, i: int) -> bytes:
         return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes()
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and end byte of each word, and for each text (and the end) the number of words before it."""
-        solid = ~BLANKS[self.data]
+    def words(self, outside: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and end byte of each word, and for each text (and the end) the number of words before it. outside: the bytes
+        that are in no word."""
+        solid = ~outside[self.data]
         before = np.empty_like(solid)
         before[:1] = False
         before[1:] = solid[:-1]
