@@ -3,21 +3,24 @@
 Words are runs of ASCII letters and digits and of non-ASCII characters, with A-Z in lower case; features are all runs of one
 to ORDERS consecutive words.  Four steps:
 
-1. Texts become blocks of up to WORDS words, each with a vocabulary of its own and word numbers; a longer text is cut
+1. Texts become blocks of up to WORDS words, each with a sorted vocabulary of its own and word numbers; a longer text is cut
    into pieces that overlap by ORDERS - 1 words, so that each feature lies in exactly one piece.
-2. Each block counts its distinct features and sends them, as strings in sorted order, to the parts of one global
-   dictionary.  A part merges its strings over all blocks, hashes each distinct string once, adds the counts to the string's
-   bucket, and answers each block with the buckets of the strings that it sent, in their order.
+2. Each block counts its distinct features and sends them, in sorted order, to the parts of one global dictionary.  Parts are
+   ranges of that order, whose borders come from a sample (BORDER_STEP); they decide where a feature is counted and nothing
+   else.  A part merges its features over all blocks, hashes each distinct string once, adds the counts to the string's
+   bucket, and answers each block with the buckets of the features that it sent, in their order.
 3. The bucket sums over all parts give the gains, one for each of BUCKETS buckets; that is the one table that all tasks get.
 4. Each block joins the answers back to its documents' features and sums the gains.
 
-A word or n-gram that stands in every text reaches a part once for each block, so no key is hot.  The number of parts follows
-the number of words.  Ranks are found by a sort over all tasks with one offset a partition; no window holds all rows.
-Memory: about ten times the longest text in step 1, and below 400 MB in the other steps.
+A feature is sent as the words in which it differs from the one before it, so a block's share of a part is about one word a
+feature.  A word or n-gram that stands in every text reaches a part once for each block, so no key is hot.  The number of
+parts follows the number of words.  Ranks are found by a sort over all tasks with one offset a partition; no window holds all
+rows.  Memory: about ten times the longest text in step 1, and below 500 MB in the other steps.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +43,7 @@ PART_FEATURES = 2_000_000  #: features (with repeats) that a part of the diction
 SEED = 42
 LEAST_WORDS, PERCENT = 20, 5
 LEVEL = 3
+BORDER_STEP = 20  #: features that are looked at for each border
 VECTOR_CHARS = 64  #: features up to this length are hashed side by side
 
 OUTSIDE = np.ones(256, bool)
@@ -47,11 +51,10 @@ OUTSIDE[48:58] = OUTSIDE[65:91] = OUTSIDE[97:123] = OUTSIDE[128:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _SHIFT, _MASK = 21, (1 << 21) - 1
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 DOC = "struct<row:bigint,doc_id:{kind},words:bigint,size:int,own:int>"
 BLOCK = "block long, side int, docs array<" + DOC + ">, vocabulary binary, words binary"
-PART = "part int, block long, side int, features binary, counts binary"
+PART = "part int, block long, side int, tails binary, shared binary, counts binary"
 ANSWER = "block long, part int, buckets binary, bucket int, s long, t long"
 
 
@@ -86,6 +89,14 @@ def crc32_each(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def pack(data: bytes | memoryview) -> bytes:
+    return zstandard.compress(bytes(data), LEVEL)
+
+
+def unpack(data: bytes) -> bytes:
+    return zstandard.decompress(data)
+
+
 # Blocks
 
 
@@ -127,8 +138,12 @@ def _blocked(texts: DataFrame, side: int) -> DataFrame:
         data = np.concatenate([h[4] for h in held])
         offsets = np.concatenate([[0], np.cumsum(np.concatenate([h[5] for h in held]))]).astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        order = pc.sort_indices(words.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        numbers = rank[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int32)
         docs = [{"row": r, "doc_id": d, "words": n, "size": len(lengths), "own": own} for r, d, n, own, _, lengths in held]
-        columns = [pa.array([number], pa.int64()), pa.array([side], pa.int32()), pa.array([docs], pa.list_(doc_type)), pa.array([b"\n".join(words.dictionary.to_pylist())], pa.binary()), pa.array([words.indices.to_numpy().astype(np.int32).tobytes()], pa.binary())]
+        columns = [pa.array([number], pa.int64()), pa.array([side], pa.int32()), pa.array([docs], pa.list_(doc_type)), pa.array([pack(b"\n".join(words.dictionary.take(pa.array(order)).to_pylist()))], pa.binary()), pa.array([pack(numbers.tobytes())], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "side", "docs", "vocabulary", "words"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +162,13 @@ def _blocked(texts: DataFrame, side: int) -> DataFrame:
 
 
 class Features:
-    """The distinct features of a block: keys (three word numbers each), counts, and for each occurrence its key and its piece."""
+    """The distinct features of a block in the order of their strings: keys (three word numbers each), counts, and for each
+    occurrence its key and its piece. What separates words in a string is less than all that words have, so the order of the
+    word numbers is that of the strings."""
 
-    def __init__(self, sizes: np.ndarray, own: np.ndarray, words: bytes, places: bool):
-        w = np.frombuffer(words, np.int32).astype(np.int64)
+    def __init__(self, docs: list, words: bytes, places: bool):
+        sizes, own = (np.array([d[k] for d in docs], np.int64) for k in ("size", "own"))
+        w = np.frombuffer(unpack(words), np.int32).astype(np.int64)
         piece = np.repeat(np.arange(len(sizes)), sizes)
         at = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         begins, left = at < own[piece], sizes[piece] - at
@@ -161,88 +179,145 @@ class Features:
             for k in range(1, order):
                 key |= (w[p + k] + 1) << ((ORDERS - 1 - k) * _SHIFT)
             keys.append(key)
-            owners.append(piece[p])
+            if places:
+                owners.append(piece[p])
         keys = np.concatenate(keys)
         if places:
             self.owners = np.concatenate(owners)
             self.keys, self.which = np.unique(keys, return_inverse=True)
         else:
-            self.keys, self.counts = np.unique(keys, return_counts=True)
+            keys.sort()
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            self.keys, self.counts = keys[first], np.diff(np.append(first, len(keys)))
 
     def numbers(self) -> list[np.ndarray]:
         """The word numbers of each key, -1 where it has fewer words."""
         k = self.keys
         return [k >> (2 * _SHIFT), ((k >> _SHIFT) & _MASK) - 1, (k & _MASK) - 1]
 
-    def parts(self, vocabulary: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The keys in order of their parts of the dictionary, and where each of the n parts begins; it depends on strings only."""
-        data = np.frombuffer(vocabulary.buffers()[2], np.uint8) if len(vocabulary) else np.zeros(0, np.uint8)
-        ends = np.frombuffer(vocabulary.buffers()[1], np.int64)[: len(vocabulary) + 1]
-        of_word = np.append(crc32_each(data, ends[:-1], ends[1:]).astype(np.uint64), np.uint64(0))
-        x = np.zeros(len(self.keys), np.uint64)
-        for numbers in self.numbers():
-            x = (x ^ (of_word[numbers] + np.uint64(1))) * _MIX
-            x ^= x >> np.uint64(29)
-        part = (x % np.uint64(n)).astype(np.int64)
-        order = np.argsort(part.astype(np.uint16) if n <= 1 << 16 else part, kind="stable")
-        return order, np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n))])
-
-
-def _vocabulary(joined: bytes) -> pa.Array:
+    def begins(self, vocabulary: pa.Array, borders: list[bytes]) -> np.ndarray:
+        """Where each part begins among the keys, and the end. borders: the first string of each part but the first, sorted."""
+
+        def string(key: int) -> bytes:
+            numbers = [key >> (2 * _SHIFT), ((key >> _SHIFT) & _MASK) - 1, (key & _MASK) - 1]
+            return b" ".join(vocabulary[n].as_py() for n in numbers if n >= 0)
+
+        keys, out = self.keys, [0]
+        for b in borders:
+            out.append(bisect.bisect_left(range(len(keys)), b, out[-1], key=lambda i: string(int(keys[i]))))
+        return np.array([*out, len(keys)])
+
+
+def _strings(data: np.ndarray) -> pa.Array:
+    """The strings that data joins, each ended by a line end."""
+    ends = np.flatnonzero(data == 10)
+    offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 10])])
+
+
+def _vocabulary(packed: bytes) -> pa.Array:
     """The words of a block, which it joins by line ends; a block without words has none."""
-    if not joined:
-        return pa.array([], pa.large_binary())
-    data = np.frombuffer(joined, np.uint8)
-    breaks = np.concatenate([[-1], np.flatnonzero(data == 10), [len(data)]])
-    offsets = np.concatenate([[0], np.cumsum(np.diff(breaks) - 1)]).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 10].copy())])
+    joined = unpack(packed)
+    return _strings(np.frombuffer(joined + b"\n", np.uint8)) if joined else pa.array([], pa.large_binary())
+
 
+def _joined(words: pa.Array, numbers: list[np.ndarray]) -> pa.Array:
+    """The words with the numbers, joined by spaces; a number of -1 is no word."""
+    return pc.binary_join_element_wise(*[words.take(pa.array(x, mask=x < 0)) for x in numbers], pa.scalar(b" ", pa.large_binary()), null_handling="skip")
 
-def _sent(table: DataFrame, n: int) -> DataFrame:
-    """Each block's distinct features with their counts, for each part of the dictionary: strings that end in line ends."""
+
+def _borders(table: DataFrame, n: int, words: int) -> list[bytes]:
+    """n - 1 strings that cut the order of all features into n parts of about the same number of features: from the sequences of
+    ORDERS words at evenly spaced places, BORDER_STEP to a border."""
+    if n < 2:
+        return []
+    step = max(1, words // (n * BORDER_STEP))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                known, w = _vocabulary(batch.column("vocabulary")[i].as_py()), np.frombuffer(unpack(batch.column("words")[i].as_py()), np.int32)
+                at = np.arange(step // 2, max(0, len(w) - ORDERS + 1), step)
+                found = _joined(known, [w[at + k] for k in range(ORDERS)]) if len(at) else pa.array([], pa.large_binary())
+                yield pa.RecordBatch.from_arrays([found.cast(pa.binary())], ["feature"])
+
+    seen = materialize(table.select("vocabulary", "words").mapInArrow(look, "feature binary"), tidy=True)
+    ordered = seen.orderBy("feature").withColumn("at", F.monotonically_increasing_id())
+    some = ordered.where(F.col("at").bitwiseAND((1 << 33) - 1) % BORDER_STEP == BORDER_STEP // 2).collect()  # about n rows
+    return sorted({bytes(r.feature) for r in some})
+
+
+def _sent(table: DataFrame, borders: list[bytes]) -> DataFrame:
+    """Each block's distinct features with their counts, for each part of the dictionary. shared: how many of the first words a
+    feature has from the one before; tails: its other words, with spaces between and a line end."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(LEVEL)
         for batch in batches:
             for i in range(batch.num_rows):
                 block, side, docs, vocabulary, words = (batch.column(c)[i].as_py() for c in ("block", "side", "docs", "vocabulary", "words"))
-                found = Features(np.array([d["size"] for d in docs], np.int64), np.array([d["own"] for d in docs], np.int64), words, False)
-                known = _vocabulary(vocabulary)
-                order, begins = found.parts(known, n)
-                numbers = [x[order] for x in found.numbers()]
-                strings = pc.binary_join_element_wise(*[known.take(pa.array(x, mask=x < 0)) for x in numbers], pa.scalar(b" ", pa.large_binary()), null_handling="skip")
-                strings = pc.binary_join_element_wise(strings, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
-                if not len(strings):
+                found, known = Features(docs, words, False), _vocabulary(vocabulary)
+                if not len(found.keys):
                     continue
-                ends, data = np.frombuffer(strings.buffers()[1], np.int64), memoryview(strings.buffers()[2])
-                counts = found.counts[order].astype(np.int32)
+                begins = found.begins(known, borders)
+                numbers = found.numbers()
+                same = [np.diff(x, prepend=-2) == 0 for x in numbers[:-1]]
+                shared = np.zeros(len(found.keys), np.uint8)
+                for k in range(1, ORDERS):
+                    shared += np.logical_and.reduce([*same[:k], numbers[k] >= 0])
+                shared[begins[:-1][np.diff(begins) > 0]] = 0
+                tails = _joined(known, [np.where(shared > k, -1, x) for k, x in enumerate(numbers)])
+                tails = pc.binary_join_element_wise(tails, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+                ends, data = np.frombuffer(tails.buffers()[1], np.int64), memoryview(tails.buffers()[2])
+                counts = found.counts.astype(np.int32)
                 some = np.flatnonzero(np.diff(begins))
-                rows = [(int(p), block, side, packer.compress(data[ends[begins[p]] : ends[begins[p + 1]]]), counts[begins[p] : begins[p + 1]].tobytes()) for p in some]
-                for k in range(0, len(rows), 64):
-                    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), types, strict=True)], ["part", "block", "side", "features", "counts"])
+                for group in (some[k : k + 64] for k in range(0, len(some), 64)):
+                    cuts = [(int(begins[p]), int(begins[p + 1])) for p in group]
+                    columns = [group, [block] * len(group), [side] * len(group), [pack(data[ends[a] : ends[b]]) for a, b in cuts], [pack(shared[a:b].tobytes()) for a, b in cuts], [pack(counts[a:b].tobytes()) for a, b in cuts]]
+                    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in PART.split(", ")])
 
     return table.select("block", "side", F.transform("docs", lambda d: F.struct(d["size"].alias("size"), d["own"].alias("own"))).alias("docs"), "vocabulary", "words").mapInArrow(send, PART)
 
 
+def _whole(tails: np.ndarray, shared: np.ndarray) -> tuple[pa.Array, list[np.ndarray]]:
+    """The words of features and, for each feature, the numbers of its words (-1 where it has fewer)."""
+    spaces = np.flatnonzero((tails == 10) | (tails == 32))
+    line = tails[spaces] == 10
+    words = _strings(np.where(tails == 32, np.uint8(10), tails)).dictionary_encode()
+    number = words.indices.to_numpy().astype(np.int64)
+    last = np.cumsum(line) - line  # the feature of each word
+    n_tail = np.bincount(last, minlength=len(shared))
+    begin = np.cumsum(n_tail) - n_tail
+    numbers = []
+    for k in range(ORDERS):
+        given = (shared <= k) & (shared + n_tail > k)
+        at = np.where(given, begin + k - shared, -1)
+        own = np.where(given, number[at], -1)
+        # a word that the tail leaves out is that of the last feature that gives it
+        source = np.maximum.accumulate(np.where(given, np.arange(len(shared)), 0))
+        numbers.append(np.where(shared > k, own[source], own))
+    return words.dictionary, numbers
+
+
 def _answered(sent: DataFrame) -> DataFrame:
     """The dictionary, part by part: each distinct string is hashed once. Rows of two kinds: the buckets of what a block sent, in
     its order, and (block null) the counts of a bucket, s in texts of side 0 and t in those of side 1."""
     names, types = [c.split()[0] for c in ANSWER.split(", ")], [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
 
     def merged(rows: list[tuple], sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
-        data = np.frombuffer(b"".join(unpacker.decompress(r[3]) for r in rows), np.uint8)
-        ends = np.flatnonzero(data == 10) + 1
-        offsets = np.concatenate([[0], ends]).astype(np.int64)
-        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        which, distinct = strings.indices.to_numpy(), strings.dictionary
-        at = np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1]
-        bucket = (crc32_each(np.frombuffer(distinct.buffers()[2], np.uint8), at[:-1], at[1:] - 1) % BUCKETS).astype(np.uint16)
+        words, numbers = _whole(np.frombuffer(b"".join(unpack(r[3]) for r in rows), np.uint8), np.frombuffer(b"".join(unpack(r[4]) for r in rows), np.uint8).astype(np.int64))
+        base = len(words) + 1
+        pair = numbers[0] * base + numbers[1] + 1
+        if base >= 1 << _SHIFT:  # three numbers do not fit into one
+            pair = np.unique(pair, return_inverse=True)[1]
+        _, first, which = np.unique(pair * base + numbers[2] + 1, return_index=True, return_inverse=True)
+        strings = _joined(words, [x[first] for x in numbers])
+        at = np.frombuffer(strings.buffers()[1], np.int64)[: len(strings) + 1]
+        bucket = (crc32_each(np.frombuffer(strings.buffers()[2], np.uint8), at[:-1], at[1:]) % BUCKETS).astype(np.uint16)
         mine = bucket[which]
         done, out = 0, []
-        for part, block, side, _, counts in rows:
-            n = np.frombuffer(counts, np.int32)
+        for part, block, side, _, _, counts in rows:
+            n = np.frombuffer(unpack(counts), np.int32)
             own = mine[done : done + len(n)]
             sums[side] += np.bincount(own, n, BUCKETS).astype(np.int64)
             done += len(n)
@@ -254,7 +329,7 @@ def _answered(sent: DataFrame) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, held = np.zeros((2, BUCKETS), np.int64), []
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("part", "block", "side", "features", "counts")], strict=True):
+            for row in zip(*[batch.column(c).to_pylist() for c in ("part", "block", "side", "tails", "shared", "counts")], strict=True):
                 if held and held[0][0] != row[0]:
                     yield from merged(held, sums)
                     held = []
@@ -287,26 +362,28 @@ def weights(docs: DataFrame, target: DataFrame) -> DataFrame:
     """
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = pick(target, "text").select(F.lit(None).cast("long").alias("doc_id"), "text")
-    table = materialize(_blocked(texts, 0).union(_blocked(wanted, 1)))
-    words = table.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    parts = max(1, -(-ORDERS * (words // 4) // PART_FEATURES))
-    answers = materialize(_answered(_sent(table, parts)))
-    gain = gains(materialize(answers.where("block IS NULL").groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))))
+    table = materialize(_blocked(texts, 0).union(_blocked(wanted, 1)), tidy=True)
+    words = table.agg(F.sum(F.expr("aggregate(docs, 0L, (n, d) -> n + d.size)"))).first()[0] or 0
+    borders = _borders(table, max(1, -(-ORDERS * words // PART_FEATURES)), words)
+    answers = materialize(_answered(_sent(table, borders)), tidy=True)
+    gain = gains(materialize(answers.where("block IS NULL").groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), tidy=True))
+
+    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = [pack(gain[np.frombuffer(x, np.uint16)].astype(np.int32).tobytes()) for x in b.column("buckets").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("part"), pa.array(packed, pa.binary())], ["block", "part", "gains"])
 
     def weigh(block: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        docs_, vocabulary, numbers = block["docs"][0], block["vocabulary"][0], block["words"][0]
-        found = Features(np.array([d["size"] for d in docs_], np.int64), np.array([d["own"] for d in docs_], np.int64), numbers, True)
-        order, _ = found.parts(_vocabulary(vocabulary), parts)
-        buckets = np.frombuffer(b"".join(given.sort_values("part")["buckets"]), np.uint16)
-        each = np.zeros(len(found.keys), np.int64)
-        each[order] = gain[buckets]
+        docs_ = block["docs"][0]
+        found = Features(docs_, block["words"][0], True)
+        each = np.frombuffer(b"".join(map(unpack, given.sort_values("part")["gains"])), np.int32)
         weight = np.bincount(found.owners, each[found.which], len(docs_)).astype(np.int64)
         return pd.DataFrame({"row": [d["row"] for d in docs_], "doc_id": pd.array([d["doc_id"] for d in docs_], "Int64"), "n_words": [d["words"] for d in docs_], "weight": weight})
 
-    own = table.where("side = 0").select("block", "docs", "vocabulary", "words").groupBy("block")
-    given = answers.where("block IS NOT NULL").select("block", "part", "buckets").groupBy("block")
+    own = table.where("side = 0").select("block", "docs", "words").groupBy("block")
+    given = answers.where("block IS NOT NULL").select("block", "part", "buckets").mapInArrow(priced, "block long, part int, gains binary").groupBy("block")
     pieces = own.cogroup(given).applyInPandas(weigh, "row long, doc_id long, n_words long, weight long")
-    out = materialize(pieces.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("weight").alias("weight")))
+    out = materialize(pieces.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("weight").alias("weight")), tidy=True)
     release(table, answers)
     return out
 

@@ -155,11 +155,25 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a Parquet table in the shared scratch folder and reads it back: its lineage ends there and survives lost executors."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+#: The setting by which Spark removes the shuffle files of a statement when it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """Writes df as a Parquet table in the shared scratch folder and reads it back: its lineage ends there and survives lost
+    executors. tidy: what was shuffled for it goes at once."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    before = spark.conf.get(TIDY, None)
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if tidy and before is None:
+            spark.conf.unset(TIDY)
+        elif tidy:
+            spark.conf.set(TIDY, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
