@@ -43,6 +43,7 @@ PART_FEATURES = 2_000_000  #: features (with repeats) that a part of the diction
 SEED = 42
 LEAST_WORDS, PERCENT = 20, 5
 LEVEL = 3
+SLICE = 250_000  #: features that become strings at a time, about
 BORDER_STEP = 20  #: features that are looked at for each border
 VECTOR_CHARS = 64  #: features up to this length are hashed side by side
 
@@ -161,6 +162,11 @@ def _blocked(texts: DataFrame, side: int) -> DataFrame:
     return texts.mapInArrow(gathered, schema)
 
 
+def word_numbers(keys: np.ndarray) -> list[np.ndarray]:
+    """The word numbers of keys, -1 where they have fewer words."""
+    return [keys >> (2 * _SHIFT), ((keys >> _SHIFT) & _MASK) - 1, (keys & _MASK) - 1]
+
+
 class Features:
     """The distinct features of a block in the order of their strings: keys (three word numbers each), counts, and for each
     occurrence its key and its piece. What separates words in a string is less than all that words have, so the order of the
@@ -190,21 +196,15 @@ class Features:
             first = np.flatnonzero(np.diff(keys, prepend=-1))
             self.keys, self.counts = keys[first], np.diff(np.append(first, len(keys)))
 
-    def numbers(self) -> list[np.ndarray]:
-        """The word numbers of each key, -1 where it has fewer words."""
-        k = self.keys
-        return [k >> (2 * _SHIFT), ((k >> _SHIFT) & _MASK) - 1, (k & _MASK) - 1]
-
     def begins(self, vocabulary: pa.Array, borders: list[bytes]) -> np.ndarray:
         """Where each part begins among the keys, and the end. borders: the first string of each part but the first, sorted."""
 
-        def string(key: int) -> bytes:
-            numbers = [key >> (2 * _SHIFT), ((key >> _SHIFT) & _MASK) - 1, (key & _MASK) - 1]
-            return b" ".join(vocabulary[n].as_py() for n in numbers if n >= 0)
+        def string(i: int) -> bytes:
+            return b" ".join(vocabulary[int(n)].as_py() for n in word_numbers(keys[i]) if n >= 0)
 
         keys, out = self.keys, [0]
         for b in borders:
-            out.append(bisect.bisect_left(range(len(keys)), b, out[-1], key=lambda i: string(int(keys[i]))))
+            out.append(bisect.bisect_left(range(len(keys)), b, out[-1], key=string))
         return np.array([*out, len(keys)])
 
 
@@ -258,23 +258,26 @@ def _sent(table: DataFrame, borders: list[bytes]) -> DataFrame:
                 found, known = Features(docs, words, False), _vocabulary(vocabulary)
                 if not len(found.keys):
                     continue
-                begins = found.begins(known, borders)
-                numbers = found.numbers()
-                same = [np.diff(x, prepend=-2) == 0 for x in numbers[:-1]]
-                shared = np.zeros(len(found.keys), np.uint8)
-                for k in range(1, ORDERS):
-                    shared += np.logical_and.reduce([*same[:k], numbers[k] >= 0])
-                shared[begins[:-1][np.diff(begins) > 0]] = 0
-                tails = _joined(known, [np.where(shared > k, -1, x) for k, x in enumerate(numbers)])
-                tails = pc.binary_join_element_wise(tails, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
-                ends, data = np.frombuffer(tails.buffers()[1], np.int64), memoryview(tails.buffers()[2])
-                counts = found.counts.astype(np.int32)
-                some = np.flatnonzero(np.diff(begins))
-                for group in (some[k : k + 64] for k in range(0, len(some), 64)):
-                    cuts = [(int(begins[p]), int(begins[p + 1])) for p in group]
-                    columns = [group, [block] * len(group), [side] * len(group), [pack(data[ends[a] : ends[b]]) for a, b in cuts], [pack(shared[a:b].tobytes()) for a, b in cuts], [pack(counts[a:b].tobytes()) for a, b in cuts]]
+                begins, keys, counts = found.begins(known, borders), found.keys, found.counts.astype(np.int32)
+                parts = np.flatnonzero(np.diff(begins))
+                # some parts at a time, since strings take more than keys
+                for group in np.split(parts, np.flatnonzero(np.diff(begins[parts] // SLICE)) + 1):
+                    low, high = begins[group[0]], begins[group[-1] + 1]
+                    numbers = word_numbers(keys[low:high])
+                    same = [np.diff(x, prepend=-2) == 0 for x in numbers[:-1]]
+                    shared = np.zeros(high - low, np.uint8)
+                    for k in range(1, ORDERS):
+                        shared += np.logical_and.reduce([*same[:k], numbers[k] >= 0])
+                    shared[begins[group] - low] = 0
+                    tails = _joined(known, [np.where(shared > k, -1, x) for k, x in enumerate(numbers)])
+                    tails = pc.binary_join_element_wise(tails, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+                    ends, data = np.frombuffer(tails.buffers()[1], np.int64), memoryview(tails.buffers()[2])
+                    cuts = [(int(begins[p] - low), int(begins[p + 1] - low)) for p in group]
+                    columns = [group, [block] * len(group), [side] * len(group), [pack(data[ends[a] : ends[b]]) for a, b in cuts], [pack(shared[a:b].tobytes()) for a, b in cuts], [pack(counts[low + a : low + b].tobytes()) for a, b in cuts]]
                     types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in PART.split(", ")])
+                del found, keys, counts
+                pa.default_memory_pool().release_unused()
 
     return table.select("block", "side", F.transform("docs", lambda d: F.struct(d["size"].alias("size"), d["own"].alias("own"))).alias("docs"), "vocabulary", "words").mapInArrow(send, PART)
 
@@ -284,17 +287,17 @@ def _whole(tails: np.ndarray, shared: np.ndarray) -> tuple[pa.Array, list[np.nda
     spaces = np.flatnonzero((tails == 10) | (tails == 32))
     line = tails[spaces] == 10
     words = _strings(np.where(tails == 32, np.uint8(10), tails)).dictionary_encode()
-    number = words.indices.to_numpy().astype(np.int64)
-    last = np.cumsum(line) - line  # the feature of each word
-    n_tail = np.bincount(last, minlength=len(shared))
-    begin = np.cumsum(n_tail) - n_tail
+    number = words.indices.to_numpy()
+    ends = np.flatnonzero(line) + 1
+    begin = np.concatenate([[0], ends[:-1]]).astype(np.int32)
+    n_tail = (ends - begin).astype(np.int32)
     numbers = []
     for k in range(ORDERS):
         given = (shared <= k) & (shared + n_tail > k)
         at = np.where(given, begin + k - shared, -1)
         own = np.where(given, number[at], -1)
         # a word that the tail leaves out is that of the last feature that gives it
-        source = np.maximum.accumulate(np.where(given, np.arange(len(shared)), 0))
+        source = np.maximum.accumulate(np.where(given, np.arange(len(shared), dtype=np.int32), 0))
         numbers.append(np.where(shared > k, own[source], own))
     return words.dictionary, numbers
 
@@ -305,9 +308,9 @@ def _answered(sent: DataFrame) -> DataFrame:
     names, types = [c.split()[0] for c in ANSWER.split(", ")], [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
 
     def merged(rows: list[tuple], sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-        words, numbers = _whole(np.frombuffer(b"".join(unpack(r[3]) for r in rows), np.uint8), np.frombuffer(b"".join(unpack(r[4]) for r in rows), np.uint8).astype(np.int64))
+        words, numbers = _whole(np.frombuffer(b"".join(unpack(r[3]) for r in rows), np.uint8), np.frombuffer(b"".join(unpack(r[4]) for r in rows), np.uint8).astype(np.int32))
         base = len(words) + 1
-        pair = numbers[0] * base + numbers[1] + 1
+        pair = numbers[0].astype(np.int64) * base + numbers[1] + 1
         if base >= 1 << _SHIFT:  # three numbers do not fit into one
             pair = np.unique(pair, return_inverse=True)[1]
         _, first, which = np.unique(pair * base + numbers[2] + 1, return_index=True, return_inverse=True)
@@ -315,6 +318,7 @@ def _answered(sent: DataFrame) -> DataFrame:
         at = np.frombuffer(strings.buffers()[1], np.int64)[: len(strings) + 1]
         bucket = (crc32_each(np.frombuffer(strings.buffers()[2], np.uint8), at[:-1], at[1:]) % BUCKETS).astype(np.uint16)
         mine = bucket[which]
+        del numbers, pair, first, which, strings
         done, out = 0, []
         for part, block, side, _, _, counts in rows:
             n = np.frombuffer(unpack(counts), np.int32)
@@ -333,6 +337,7 @@ def _answered(sent: DataFrame) -> DataFrame:
                 if held and held[0][0] != row[0]:
                     yield from merged(held, sums)
                     held = []
+                    pa.default_memory_pool().release_unused()
                 held.append(row)
         if held:
             yield from merged(held, sums)
