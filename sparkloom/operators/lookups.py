@@ -66,6 +66,49 @@ def longest_prefix(path: Column, roots: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
+def ancestors(path: Column | str) -> Column:
+    """The path and every directory above it."""
+    parts = F.split(tx.as_column(path), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def clean_root(root: Column | str) -> Column:
+    """A configured root or prefix as paths are written; empty where it names nothing."""
+    return F.rtrim(tx.normalize_path(root), F.lit("/"))
+
+
+def workspace_of(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """repo, path, workspace of the distinct paths that lie under a root of their repository: the longest holds.
+
+    roots: repo, name, root, ord. Of equal roots the first in order holds; one that is empty holds nothing. Every ancestor of a
+    path is looked up by (repo, root), so the plan does not grow with the roots and no path is held against all of them.
+    """
+    first = roots.select("repo", clean_root("root").alias("root"), "name", "ord").where("root <> ''").groupBy("repo", "root").agg(F.min_by("name", "ord").alias("workspace"))
+    up = files.select("repo", "path").distinct().select("repo", "path", F.explode(ancestors("path")).alias("root"))
+    return up.join(first, ["repo", "root"]).groupBy("repo", "path").agg(F.max_by("workspace", F.length("root")).alias("workspace"))
+
+
+def labelled(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """files (repo, path and more) with the column workspace, empty where no root holds the path."""
+    return files.join(workspace_of(files, roots), ["repo", "path"], "left").withColumn("workspace", F.coalesce("workspace", F.lit("")))
+
+
+def outside_prefixes(files: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The rows of files (repo, path and more) that are not under a prefix (repo, prefix) of their repository.
+
+    A repository's prefixes are one short list; it joins by repository, so texts are not spread over their ancestors."""
+    lists = prefixes.select("repo", clean_root("prefix").alias("prefix")).where("prefix <> ''").groupBy("repo").agg(F.collect_set("prefix").alias("_prefixes"))
+    rows = files.join(lists, "repo", "left")
+    return rows.where(F.col("_prefixes").isNull() | ~F.arrays_overlap(ancestors("path"), "_prefixes")).select(*files.columns)
+
+
+def first_paths(files: DataFrame, most: int) -> DataFrame:
+    """The rows of the first so many paths of each repository, in order. Each task keeps no more than that of a repository
+    before they meet, so a large repository is no large partition. files: repo, path (distinct within repo) and more."""
+    nth = F.row_number().over(Window.partitionBy("repo").orderBy("path"))
+    return files.withColumn("nth", nth).where(F.col("nth") <= most)
+
+
 def first_nonblank(*columns: Column | str) -> Column:
     """Precedence: the first value that is not null or blank, trimmed; else empty."""
     return F.coalesce(*[F.nullif(tx.strip(c), F.lit("")) for c in columns], F.lit(""))

@@ -35,25 +35,53 @@ class Config:
         return cls(spaces, tuple([*(paths.get("ignore") or []), *(paths.get("generated") or [])]))
 
 
-def scanned(files: DataFrame, config: Config = Config(), most: int | None = None) -> DataFrame:  # noqa: B008
-    """repo, path (normalised), text of the files that the scan takes. most: the first so many paths in order count, before their kind is asked."""
+@dataclass(frozen=True)
+class Settings:
+    """What the scan takes from the configuration of each repository: workspaces (repo, name, root, ord), prefixes (repo, prefix)."""
+
+    workspaces: DataFrame
+    prefixes: DataFrame
+
+    @classmethod
+    def from_json(cls, configs: DataFrame) -> Settings:
+        """configs: repo, text (JSON), one a repository. Text that does not parse is an empty configuration."""
+        schema = "struct<workspaces:map<string,struct<root:string>>,paths:struct<ignore:array<string>,generated:array<string>>>"
+        parsed = configs.select("repo", F.from_json("text", schema).alias("c"))
+        spaces = parsed.select("repo", F.posexplode(F.map_entries("c.workspaces")).alias("ord", "w"))
+        root = F.coalesce(F.nullif("w.value.root", F.lit("")), "w.key")
+        none = F.expr("CAST(array() AS array<string>)")
+        prefixes = F.concat(F.coalesce("c.paths.ignore", none), F.coalesce("c.paths.generated", none))
+        return cls(spaces.select("repo", F.col("w.key").alias("name"), root.alias("root"), "ord"), parsed.select("repo", F.explode(prefixes).alias("prefix")))
+
+
+def scanned(files: DataFrame, config: Config | Settings = Config(), most: int | None = None) -> DataFrame:  # noqa: B008
+    """repo, path (normalised), text of the files that the scan takes. most: the first so many paths in order count, before
+    their kind is asked; with Settings, of each repository."""
     # a path that loses more than a leading ./ names no file any more, so dotfiles at the root are never read
     named = files.where(tx.normalize_path("path") == F.regexp_replace("path", r"^(\./)+", ""))
-    rows = named.select("repo", tx.normalize_path("path").alias("path"), "text").where(~tx.is_ignored("path", list(config.prefixes)))
+    rows = _kept(named.select("repo", tx.normalize_path("path").alias("path"), "text"), config)
     if most is not None:
-        rows = rows.orderBy("path").limit(most)
+        rows = rows.orderBy("path").limit(most) if isinstance(config, Config) else lookups.first_paths(rows, most).drop("nth")
     return rows.where(tx.is_text("path") & (F.coalesce(F.length("text"), F.lit(0)) > 0))
 
 
-def findings(files: DataFrame, config: Config = Config(), most: int | None = None) -> DataFrame:  # noqa: B008
+def _kept(files: DataFrame, config: Config | Settings) -> DataFrame:
+    """files (normalised paths) without what the scan or the configuration leaves out."""
+    if isinstance(config, Config):
+        return files.where(~tx.is_ignored("path", list(config.prefixes)))
+    return lookups.outside_prefixes(files.where(~tx.is_ignored("path")), config.prefixes)
+
+
+def findings(files: DataFrame, config: Config | Settings = Config(), most: int | None = None) -> DataFrame:  # noqa: B008
     """workspace, rule, line, path, snippet, seq and repo of all detectors, unordered."""
     taken = scanned(files, config, most)
-    deps = lookups.package_dependencies(files.where(~tx.is_ignored(tx.normalize_path("path"), list(config.prefixes))))
+    deps = lookups.package_dependencies(_kept(files.withColumn("path", tx.normalize_path("path")), config))
     parts = [scan.rule_findings(taken), scan.count_findings(taken), scan.block_findings(taken), lookups.unknown_python_imports(taken, lookups.top_directories(files)), lookups.unknown_js_imports(taken, deps), scan.literal_findings(taken)]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.select(lookups.longest_prefix(F.col("path"), config.workspaces).alias("workspace"), "rule", "line", "path", "snippet", "seq", "repo")
+    out = out.withColumn("workspace", lookups.longest_prefix(F.col("path"), config.workspaces)) if isinstance(config, Config) else lookups.labelled(out, config.workspaces)
+    return out.select("workspace", "rule", "line", "path", "snippet", "seq", "repo")
 
 
 def ordered(found: DataFrame) -> DataFrame:
