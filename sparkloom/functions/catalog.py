@@ -139,5 +139,6 @@ LAYERS = {
     "system_awareness": ["cross_layer_inconsistency", "global_state_misuse", "architectural_violation", "multi_file_incompleteness", "observability_gap"],
     "test_quality": ["implementation_mirroring_test", "missing_edge_case", "missing_error_path", "unrealistic_fixture", "overmocking"],
 }
+LAYER_TITLES = ["Requirement Fidelity", "Logic and Edge Cases", "API and Dependency Integrity", "Security Patterns", "System Awareness", "Test Quality"]
 CRITICAL_RISKS = ["auth", "authorization", "payments", "secrets", "migrations", "data_deletion", "public_api", "infra", "shell_execution", "pii"]
 BUG_BUCKETS = {"semantic": 51.34, "build": 15.50, "analysis": 9.09, "compatibility": 7.49, "concurrency_and_config": 8.56}

@@ -91,7 +91,7 @@ def density(name: str, detector: int, pattern: str, flags: str, limit: int, mess
 def count_findings(files: DataFrame, todo: int = catalog.TODO_LIMIT) -> DataFrame:
     """Marker densities, and PHP files without strict types in their first lines."""
     ext = F.lower(tx.suffix("path"))
-    head = F.array_join(F.slice(F.split(F.regexp_replace(F.ltrim(F.regexp_replace("text", r"(?dU)^\s+", "")), "\r\n?", "\n"), "\n"), 1, 5), "\n")
+    head = F.array_join(F.slice(F.split(F.ltrim(F.regexp_replace("text", r"(?dU)^\s+", "")), tx.LINE_ENDS), 1, 5), "\n")
     strict = (ext == ".php") & F.startswith(F.regexp_replace("text", r"(?dU)^\s+", ""), F.lit("<?php")) & ~F.contains(F.replace(head, F.lit(" "), F.lit("")), F.lit("declare(strict_types=1)"))
     missing = F.array(_finding(F.lit("php_missing_strict_types"), F.lit(1), F.lit("missing declare(strict_types=1)"), STRICT, F.lit(0)))
     return _listed(

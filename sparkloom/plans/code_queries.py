@@ -289,7 +289,7 @@ def review_records(spark, sf_dir):
 
 
 def review_records_sql() -> str:
-    titles = "CASE layer " + " ".join(f"WHEN {i + 1} THEN {quoted(k.replace('_', ' ').title())}" for i, k in enumerate(catalog.LAYERS)) + " END"
+    titles = "CASE layer " + " ".join(f"WHEN {i + 1} THEN {quoted(k)}" for i, k in enumerate(catalog.LAYER_TITLES)) + " END"
     return f"""SELECT concat_ws(chr(10), '### [' || severity || '] Document ' || doc_id, '', '- Layer: Layer ' || layer || ': ' || {titles}, '- Location: `docs/' || doc_id || ':1`', '- Impact: i', '- Evidence: e', '- Fix: f') AS value
         FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 'Critical' ELSE 'Low' END AS severity, CASE WHEN toxic = 1 THEN 4 ELSE 6 END AS layer FROM labels WHERE toxic = 1 OR quality = 0) AS f
         UNION ALL SELECT concat_ws(chr(10), '- Command: `count ' || event_type || '`', '- Exit code: `' || (n % 2) || '`', '- Relevant output: `' || n || '`', '- Interpretation: `counted`') FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) AS e"""

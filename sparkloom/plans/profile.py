@@ -18,6 +18,7 @@ from ..functions import catalog
 from ..functions import text as tx
 from ..operators import lookups
 from ..sources import tree
+from ..sources.shared import written
 
 # Fixed values. Ecosystems in order: marker files, stack label, manager, and commands; then what depends on further files.
 ECOSYSTEMS = [
@@ -42,15 +43,12 @@ DART = {"install": "dart pub get", "test": "dart test"}
 DOTNET = {"build": "dotnet build", "test": "dotnet test"}
 SWIFT = {"build": "swift build", "test": "swift test"}
 TERRAFORM = {"format": "terraform fmt -check -recursive", "build": "terraform validate"}
+LISTED = 400  #: files of a repository that the naming report looks at
 WORKSPACE_ROOTS = ["apps/*", "libs/*", "packages/*"]
 
 MARKERS = sorted({*PYTHON_MARKERS, *[m for ms, *_ in ECOSYSTEMS for m in ms], *[m for ms, _ in JS_EXTRAS for m in ms], "package.json", "pnpm-lock.yaml", "yarn.lock", "bun.lockb", "bun.lock", "mypy.ini", "pyrightconfig.json", "build.gradle", "build.gradle.kts", "gradlew", "Package.swift", "pubspec.yaml", ".github/workflows", *catalog.MIGRATION_PATHS, *catalog.CRITICAL_PATHS})
 
 
-#: What ends a line in text that is read line by line.
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
-
-
 def _join(dir_: Column, name: Column) -> Column:
     return F.when(dir_ == "", name).otherwise(F.concat(dir_, F.lit("/"), name))
 
@@ -122,6 +120,51 @@ def detect(files: DataFrame, dirs: DataFrame) -> DataFrame:
     )
 
 
+def _fits(name: Column, segment: Column) -> Column:
+    """Whether a name fits one segment of a glob. One star is a beginning and an end; only a segment with more than that, or with
+    other marks, becomes a pattern of its own."""
+    before, after = F.substring_index(segment, "*", 1), F.substring_index(segment, "*", -1)
+    simple = F.startswith(name, before) & F.endswith(name, after) & (F.length(name) >= F.length(before) + F.length(after))
+    pattern = F.regexp_replace(segment, r"([.+()^$|{}\\])", r"\\$1")
+    pattern = F.replace(F.regexp_replace(F.regexp_replace(pattern, r"\*+", "[^/]*"), r"\?", "[^/]"), F.lit("[!"), F.lit("[^"))
+    hard = F.contains(segment, F.lit("?")) | F.contains(segment, F.lit("[")) | (F.length(F.regexp_replace(segment, "[^*]", "")) > 1)
+    return F.when(hard, F.rlike(name, F.concat(F.lit("(?s)^(?:"), pattern, F.lit(")$")))).otherwise(simple)
+
+
+def expanded(patterns: DataFrame, dirs: DataFrame) -> DataFrame:
+    """The rows of patterns (repo, pattern and more) with each directory (path) of dirs (repo, path, with all their parents) that
+    the pattern takes. ``*`` stays within a name; ``**`` takes any number of directories, none included; the root is never taken.
+
+    A pattern walks the tree a level a round, as a state: its segments, how many are done, and the directory reached. A plain
+    segment is an equi-join with the one child of that name, a wildcard one with the children, and ``**`` is a state that
+    stays while it descends. So a pattern only meets directories that its beginning has reached.
+    """
+    child = dirs.select("repo", "path", F.regexp_extract("path", "(?s)^(?:(.*)/)?[^/]*$", 1).alias("dir"), tx.file_name("path").alias("name"))
+    segments = F.filter(F.split("pattern", "/"), lambda x: (x != "") & (x != "."))
+    columns = patterns.columns
+    rows = patterns.withColumn("segments", segments).withColumn("dir", F.lit("")).withColumn("done", F.lit(0))
+    # a ** may also take nothing: states behind each of the ** that come next
+    rest = F.slice("segments", F.col("done") + 1, F.greatest(F.size("segments") - F.col("done"), F.lit(0)))
+    run = F.array_position(F.transform(rest, lambda x: x != "**"), True)
+    free = F.when(run > 0, run - 1).otherwise(F.size(rest)).cast("int")
+    taken = None
+    while True:
+        states = rows.withColumn("done", F.explode(F.sequence(F.col("done"), F.col("done") + free))).distinct()
+        states = written(states.withColumn("next", F.try_element_at("segments", F.col("done") + 1)))
+        found = states.where("next IS NULL AND dir <> ''").select(*columns, F.col("dir").alias("path"))
+        taken = found if taken is None else taken.union(found)
+        live = states.where("next IS NOT NULL")
+        if live.isEmpty():
+            return taken.distinct()
+        wild = F.col("next").rlike(r"[*?\[]")
+        to = F.when(F.col("dir") == "", F.col("next")).otherwise(F.concat("dir", F.lit("/"), "next"))
+        plain = live.where(~wild).withColumn("path", to).join(child.select("repo", "path"), ["repo", "path"])
+        below = live.where(wild).join(child, ["repo", "dir"]).where((F.col("next") == "**") | _fits(F.col("name"), F.col("next")))
+        step = F.when(F.col("next") == "**", F.col("done")).otherwise(F.col("done") + 1)
+        keep = [*columns, "segments", F.col("path").alias("dir"), step.alias("done")]
+        rows = plain.select(*keep).union(below.select(*keep))
+
+
 def workspaces(files: DataFrame) -> DataFrame:
     """repo, dir, ord of each workspace: what the repository's workspace files name, else its marked child directories."""
     skipped = F.exists(F.split("path", "/"), lambda p: p.isin(catalog.COMMAND_SKIPPED) | F.startswith(p, F.lit(".")))
@@ -138,10 +181,7 @@ def workspaces(files: DataFrame) -> DataFrame:
     named = listed("package.json", npm, 0).union(listed("pnpm-workspace.yaml", pnpm, 1)).union(listed("lerna.json", F.from_json("text", f"struct<packages:{strings}>")["packages"], 3)).union(listed("nx.json", fixed, 4)).union(listed("turbo.json", fixed, 5))
     cargo = root.where("name = 'Cargo.toml'").withColumn("text", tree.toml_json("text")).select("repo", F.lit(2).alias("source"), F.posexplode(F.from_json("text", f"struct<workspace:struct<members:{strings}>>")["workspace"]["members"]).alias("at", "pattern"))
     named = named.union(cargo).where("pattern IS NOT NULL").withColumn("pattern", tx.strip("pattern")).where("pattern <> '' AND NOT startswith(pattern, '!')")
-    # a glob as a regular expression: * within one part, ** over any number of parts
-    regex = F.regexp_replace(F.regexp_replace(F.rtrim("pattern", F.lit("/")), r"([.+()\[\]{}^$|\\])", r"\\$1"), r"\*\*/?", "\u0001")
-    regex = F.concat(F.lit("^"), F.replace(F.replace(F.replace(regex, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("\u0001"), F.lit("(?:[^/]+/)*")), F.lit("$"))
-    explicit = named.withColumn("regex", regex).join(dirs, "repo").where(F.rlike(F.col("path"), F.col("regex"))).groupBy("repo", "path").agg(F.min(F.struct("source", "at")).alias("first"))
+    explicit = expanded(named, dirs).groupBy("repo", "path").agg(F.min(F.struct("source", "at")).alias("first"))
     explicit = explicit.select("repo", F.col("path").alias("dir"), F.struct(F.col("first.source"), F.col("first.at"), F.col("path")).alias("ord"))
     child = F.regexp_extract("path", "(?s)^([^/]+)/[^/]+$", 1)
     marked = files.where(tx.file_name("path").isin(catalog.REPO_MARKERS) | tx.file_name("path").rlike(r"(?s)\.(sln|csproj)$")).select("repo", child.alias("path")).where("path <> ''").distinct()
@@ -178,12 +218,16 @@ def dependencies(files: DataFrame) -> DataFrame:
     return out.where("name <> ''").groupBy("repo", "name").agg(F.min(F.struct("source", "at")).alias("first_at"))
 
 
-def naming(files: DataFrame, most: int = 80) -> DataFrame:
-    """repo, kind (files, variables, components, tests), style: the most frequent one, of equal ones the first seen."""
-    source = files.where(~tx.is_hidden_or_skipped("path") & F.lower(tx.suffix("path")).isin(catalog.SOURCE_EXTENSIONS))
+def naming(files: DataFrame, most: int = 80, listed: int = LISTED) -> DataFrame:
+    """repo, kind (files, variables, components, tests), style: the most frequent one, of equal ones the first seen.
+
+    Only the first so many listed files of a repository count, source files or not, and of their source files the first most
+    give names."""
+    open_files = files.where(~tx.is_hidden_or_skipped("path"))
     # the order is found among paths alone; texts join only for the few that are read
-    ranked = source.select("repo", "path").withColumn("nth", F.expr("row_number() OVER (PARTITION BY repo ORDER BY path)"))
-    few = source.join(ranked.where(F.col("nth") <= most), ["repo", "path"])
+    first = lookups.first_paths(open_files.select("repo", "path"), listed)
+    ranked = lookups.first_paths(first.where(F.lower(tx.suffix("path")).isin(catalog.SOURCE_EXTENSIONS)).select("repo", "path"), listed)
+    few = open_files.join(ranked.where(F.col("nth") <= most), ["repo", "path"])
     py, js, part = (tx.pattern_flags(f) + p for f, p in (("m", catalog.PY_NAME_PATTERN), ("", catalog.JS_NAME_PATTERN), ("", catalog.COMPONENT_PATTERN)))
     ext = tx.suffix("path")
 
@@ -210,7 +254,7 @@ def env_keys(files: DataFrame) -> DataFrame:
 
 def first_paragraph(text: Column) -> Column:
     """The first run of lines that are neither blank, heading nor image, joined by spaces; headings do not end it."""
-    lines = F.transform(F.split(text, LINE_ENDS), tx.strip)
+    lines = F.transform(F.split(text, tx.LINE_ENDS), tx.strip)
     kept = F.filter(lines, lambda x: ~(F.startswith(x, F.lit("#")) | F.startswith(x, F.lit("![")) | F.startswith(x, F.lit("[!["))))
     joined = F.array_join(F.transform(kept, lambda x: F.when(x == "", F.lit("\u0001")).otherwise(x)), " ")
     return F.trim(F.coalesce(F.try_element_at(F.filter(F.transform(F.split(joined, "\u0001"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1)), F.lit("")))
@@ -333,18 +377,18 @@ def architecture(files: DataFrame) -> DataFrame:
 
 
 def run_order(local: DataFrame, detected: DataFrame) -> DataFrame:
-    """scope, name, root, ord of the workspaces in running order. Both frames: name, root, ord.
+    """repo, scope, name, root, ord of the workspaces in running order. Both frames: repo, name, root, ord.
 
-    Detected names come first, then those that are local only; a local workspace's root holds. The first workspace at the
+    Detected names come first, then those that are local only; a local workspace's root holds. The first workspace at its
     repository's root has scope 'root'.
     """
-    x, y = detected.select("name", F.col("root").alias("d_root"), F.col("ord").alias("d_ord")), local.select("name", F.col("root").alias("l_root"), F.col("ord").alias("l_ord"), F.lit(True).alias("own"))
-    both = x.join(y, "name", "full_outer")
+    x, y = detected.select("repo", "name", F.col("root").alias("d_root"), F.col("ord").alias("d_ord")), local.select("repo", "name", F.col("root").alias("l_root"), F.col("ord").alias("l_ord"), F.lit(True).alias("own"))
+    both = x.join(y, ["repo", "name"], "full_outer")
     usual = F.when(F.col("name") == "root", ".").otherwise(F.col("name"))
     root = tx.strip(F.coalesce(F.nullif(F.when(F.col("own"), F.coalesce("l_root", usual)).otherwise(F.coalesce("d_root", usual)), F.lit("")), "name", F.lit(".")))
-    rows = both.select("name", root.alias("root"), F.struct(F.col("d_ord").isNull().alias("late"), F.coalesce("d_ord", "l_ord").alias("at")).alias("ord"))
-    first = rows.where("root IN ('.', '')").agg(F.min("ord").alias("first"))
-    return rows.join(first, how="left").select(F.when(F.col("ord") == F.col("first"), "root").otherwise(F.col("name")).alias("scope"), "name", "root", "ord")
+    rows = both.select("repo", "name", root.alias("root"), F.struct(F.col("d_ord").isNull().alias("late"), F.coalesce("d_ord", "l_ord").alias("at")).alias("ord"))
+    first = rows.where("root IN ('.', '')").groupBy("repo").agg(F.min("ord").alias("first"))
+    return rows.join(first, "repo", "left").select("repo", F.when(F.col("ord") == F.col("first"), "root").otherwise(F.col("name")).alias("scope"), "name", "root", "ord")
 
 
 def diff_commands(commands: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def project_commands_sql() -> str:
     return rf"""WITH files AS ({REPO_FILES}),
         folders AS (SELECT DISTINCT repo, array_to_string(string_split(path, '/')[1:k], '/') AS path FROM (SELECT repo, path, unnest(range(1, len(string_split(path, '/')))) AS k FROM files) AS f),
         open AS (SELECT * FROM folders WHERE NOT list_has_any(string_split(path, '/'), [{", ".join(quoted(x) for x in catalog.COMMAND_SKIPPED)}]) AND NOT regexp_matches(path, '(^|/)[.]')),
-        named AS (SELECT o.repo, o.path AS dir FROM open AS o JOIN files AS f ON f.repo = o.repo WHERE (f.path = 'package.json' AND json_extract(f.text, '$.workspaces') IS NOT NULL AND regexp_matches(o.path, '^(packages/[^/]*|tools/([^/]+/)*)$'))
+        named AS (SELECT o.repo, o.path AS dir FROM open AS o JOIN files AS f ON f.repo = o.repo WHERE (f.path = 'package.json' AND json_extract(f.text, '$.workspaces') IS NOT NULL AND regexp_matches(o.path, '^(packages/[^/]*|tools(/[^/]+)*)$'))
             OR (f.path = 'lerna.json' AND regexp_matches(o.path, '^apps/[^/]*$')) OR (f.path = 'turbo.json' AND regexp_matches(o.path, '^(apps|libs|packages)/[^/]*$')) OR (f.path = 'Cargo.toml' AND regexp_matches(o.path, '^crates/[^/]*$'))),
         marked AS (SELECT DISTINCT repo, string_split(path, '/')[1] AS dir FROM files WHERE len(string_split(path, '/')) = 2 AND (string_split(path, '/')[2] IN ({", ".join(quoted(x) for x in catalog.REPO_MARKERS)}) OR regexp_matches(path, '[.](sln|csproj)$'))),
         dirs AS (SELECT DISTINCT repo, '' AS dir FROM files UNION SELECT repo, dir FROM named UNION SELECT m.repo, m.dir FROM marked AS m JOIN open AS o ON o.repo = m.repo AND o.path = m.dir WHERE m.repo NOT IN (SELECT repo FROM named)),
@@ -195,20 +195,21 @@ def project_architecture_sql() -> str:
 def workspace_run_order(spark, sf_dir):
     """The order in which workspaces run: detected ones, then local ones; the first at the root is named so."""
     nation = table(spark, sf_dir, "nation").withColumn("name", F.when(F.col("n_nationkey") == 7, "root").otherwise(F.lower("n_name")))
+    repo = F.concat(F.lit("r"), F.col("n_regionkey")).alias("repo")
     root = F.when(F.col("n_nationkey") % 6 == 5, ".").when(F.col("n_nationkey") % 4 == 1, F.lit(None)).when(F.col("n_nationkey") % 9 == 4, " ").otherwise(F.concat(F.lit("apps/"), "name"))
-    detected = nation.where("n_nationkey % 3 <> 2").select("name", root.alias("root"), F.col("n_nationkey").alias("ord"))
-    local = nation.where("n_nationkey % 2 = 0").select("name", F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("local/"), "name")).alias("root"), (-F.col("n_nationkey")).alias("ord"))
+    detected = nation.where("n_nationkey % 3 <> 2").select(repo, "name", root.alias("root"), F.col("n_nationkey").alias("ord"))
+    local = nation.where("n_nationkey % 2 = 0").select(repo, "name", F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("local/"), "name")).alias("root"), (-F.col("n_nationkey")).alias("ord"))
     found = profile.run_order(local, detected)
-    return found.select("scope", "name", "root", F.col("ord.late").alias("late"), F.col("ord.at").alias("at"))
+    return found.select("repo", "scope", "name", "root", F.col("ord.late").alias("late"), F.col("ord.at").alias("at"))
 
 
 def workspace_run_order_sql() -> str:
     usual = "CASE WHEN name = 'root' THEN '.' ELSE name END"
-    return f"""WITH n AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey = 7 THEN 'root' ELSE lower(n_name) END AS name FROM nation),
-        merged AS (SELECT name, k % 3 = 2 AS late, CASE WHEN k % 3 <> 2 THEN k ELSE -k END AS "at", CASE WHEN k % 2 = 0 THEN CASE WHEN k % 4 = 0 THEN 'local/' || name ELSE {usual} END
+    return f"""WITH n AS (SELECT 'r' || n_regionkey AS repo, n_nationkey AS k, CASE WHEN n_nationkey = 7 THEN 'root' ELSE lower(n_name) END AS name FROM nation),
+        merged AS (SELECT repo, name, k % 3 = 2 AS late, CASE WHEN k % 3 <> 2 THEN k ELSE -k END AS "at", CASE WHEN k % 2 = 0 THEN CASE WHEN k % 4 = 0 THEN 'local/' || name ELSE {usual} END
             ELSE CASE WHEN k % 6 = 5 THEN '.' WHEN k % 4 = 1 THEN {usual} WHEN k % 9 = 4 THEN ' ' ELSE 'apps/' || name END END AS root FROM n WHERE k % 3 <> 2 OR k % 2 = 0),
-        clean AS (SELECT name, late, "at", trim(root) AS root FROM merged), first AS (SELECT name FROM clean WHERE root IN ('.', '') ORDER BY late, "at" LIMIT 1)
-        SELECT CASE WHEN name = (SELECT name FROM first) THEN 'root' ELSE name END AS scope, name, root, late, "at" FROM clean"""
+        clean AS (SELECT repo, name, late, "at", trim(root) AS root FROM merged), first AS (SELECT repo, arg_min(name, (late, "at")) AS name FROM clean WHERE root IN ('.', '') GROUP BY repo)
+        SELECT c.repo, CASE WHEN c.name = f.name THEN 'root' ELSE c.name END AS scope, c.name, root, late, "at" FROM clean AS c LEFT JOIN first AS f ON f.repo = c.repo"""
 
 
 def diff_commands(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog
@@ -96,7 +96,7 @@ def rendered(found: DataFrame) -> DataFrame:
 
 def finding_records(found: DataFrame) -> DataFrame:
     """found and value: a record (severity, title, layer, location, impact, evidence, fix) in the report's shape. Layers are numbers."""
-    names = F.array(*[F.lit(k.replace("_", " ").title()) for k in catalog.LAYERS])
+    names = F.array(*[F.lit(k) for k in catalog.LAYER_TITLES])
     line = lambda k, v: F.concat(F.lit(f"- {k}: "), v)
     layer = F.concat(F.lit("Layer "), "layer", F.lit(": "), F.element_at(names, F.col("layer").cast("int")))
     head = F.concat(F.lit("### ["), F.initcap("severity"), F.lit("] "), "title")
@@ -110,6 +110,39 @@ def verification_records(checks: DataFrame) -> DataFrame:
     return checks.withColumn("value", F.concat_ws("\n", line("Command", "command"), line("Exit code", "exit_code"), line("Relevant output", "output"), line("Interpretation", "interpretation")))
 
 
+def report_document(found: DataFrame, checks: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
+    """part, layer, ord, key, line, value: the lines of the whole review document; sorted by all but value they are in order.
+
+    found: what finding_records takes, and key (a number that orders findings of equal layer and severity). checks: what
+    verification_records takes, and key. skipped: value (what was not run), and key. Each layer has its heading, and says so
+    if it has no findings. Findings are joined to headings by small fixed tables only, so they stay where they are until the
+    order is asked for. A severity or layer outside the fixed ones is no part of the document.
+    """
+    spark = found.sparkSession
+    columns = ["part", "layer", "ord", "key", "line", "value"]
+
+    def fixed(rows: list[tuple]) -> DataFrame:
+        return spark.createDataFrame(rows, "part int, layer int, ord int, key long, line int, value string")
+
+    def lines(df: DataFrame, part: int, layer: Column, order: Column) -> DataFrame:
+        each = df.select(F.lit(part).alias("part"), layer.cast("int").alias("layer"), order.cast("int").alias("ord"), F.col("key").cast("long").alias("key"), F.posexplode(F.split(F.concat("value", F.lit("\n")), "\n")).alias("line", "value"))
+        return each.select(*columns)
+
+    titles = list(enumerate(catalog.LAYER_TITLES, 1))
+    severity = F.array_position(F.array(*[F.lit(s) for s in catalog.SEVERITIES]), F.col("severity"))
+    known = found.where(F.col("severity").isin(catalog.SEVERITIES) & F.col("layer").between(1, len(titles)))
+    heads = fixed([(1, 0, 0, 0, 0, "## Findings by Layer"), (1, 0, 0, 0, 1, ""), *[(1, n, 0, 0, i, x) for n, t in titles for i, x in enumerate((f"### Layer {n}: {t}", ""))]])
+    empty = fixed([(1, n, 1, 0, i, x) for n, _ in titles for i, x in enumerate(("- No issues found in this layer.", ""))])
+    out = heads.union(lines(finding_records(known), 1, F.col("layer"), severity)).union(empty.join(known.select(F.col("layer").cast("int").alias("layer")).distinct(), "layer", "left_anti").select(*columns))
+    out = out.union(fixed([(2, 0, 0, 0, 0, "## Verification"), (2, 0, 0, 0, 1, "")]))
+    if checks is not None:
+        out = out.union(lines(verification_records(checks), 2, F.lit(0), F.lit(1)))
+    out = out.union(fixed([(3, 0, 0, 0, 0, "- Not run / not verified:")]))
+    if skipped is not None:
+        out = out.union(skipped.select(F.lit(3), F.lit(0), F.lit(1), F.col("key").cast("long"), F.lit(0), F.concat(F.lit("  - "), "value")).toDF(*columns))
+    return out
+
+
 def report(found: DataFrame) -> list[str]:
     """The rendered findings on the driver, or the one message where there are none."""
     return [r.value for r in rendered(found).collect()] or [NOTHING]

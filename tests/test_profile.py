@@ -94,11 +94,11 @@ def test_architecture(spark):
 
 
 def test_run_order(spark):
-    schema = "name string, root string, ord int"
-    local = spark.createDataFrame([("b", "./", 0), ("root", None, 1), ("new", " ", 2)], schema)
-    detected = spark.createDataFrame([("a", "pa", 0), ("root", ".", 1), ("b", "pb", 2)], schema)
-    got = [(r.scope, r.root) for r in profile.run_order(local, detected).orderBy("ord").collect()]
-    assert got == [("a", "pa"), ("root", "."), ("b", "./"), ("new", "")]
+    schema = "repo string, name string, root string, ord int"
+    local = spark.createDataFrame([("r", "b", "./", 0), ("r", "root", None, 1), ("r", "new", " ", 2), ("q", "x", ".", 0)], schema)
+    detected = spark.createDataFrame([("r", "a", "pa", 0), ("r", "root", ".", 1), ("r", "b", "pb", 2), ("q", "b", "pb", 0), ("p", "a", "pa", 0)], schema)
+    got = [(r.repo, r.scope, r.root) for r in profile.run_order(local, detected).orderBy("repo", "ord").collect()]
+    assert got == [("p", "a", "pa"), ("q", "b", "pb"), ("q", "root", "."), ("r", "a", "pa"), ("r", "root", "."), ("r", "b", "./"), ("r", "new", "")]
     commands = spark.createDataFrame([("a", "lint", " x "), ("a", "test", "y"), ("b", "typecheck", " ")], "scope string, key string, value string")
     assert [tuple(r) for r in profile.diff_commands(commands).collect()] == [("a", "lint", "x")]
 

@@ -7,11 +7,11 @@ import pytest
 
 import __spark_entry__ as entry
 from sparkloom.functions import catalog
-from sparkloom.plans import code_queries, profile_queries
+from sparkloom.plans import code_queries, profile_queries, source_queries
 from sparkloom.plans import queries as plans
 
-QUERIES = {**plans.QUERIES, **code_queries.QUERIES, **profile_queries.QUERIES}
-ORACLES = {**plans.oracle_sql(), **code_queries.oracle_sql(), **profile_queries.oracle_sql()}
+QUERIES = {**plans.QUERIES, **code_queries.QUERIES, **profile_queries.QUERIES, **source_queries.QUERIES}
+ORACLES = {**plans.oracle_sql(), **code_queries.oracle_sql(), **profile_queries.oracle_sql(), **source_queries.oracle_sql()}
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

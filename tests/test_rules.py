@@ -123,10 +123,10 @@ def test_docstring(inner, found):
 
 
 def test_counts_and_literals(spark):
-    files = [("", "a.ts", "x as any;" * 5), ("", "b.ts", "\n" + "x as any;" * 6), ("", "c.rs", "Rc<RefCell<" * 2), ("", "d.rs", "\n\nRc < RefCell <" * 3), ("", "e.php", " \n<?php\n\n\n\ndeclare(strict_types = 1);"), ("", "f.php", "<?php\n\n\n\n\ndeclare(strict_types=1);"), ("", "g.md", "TODO " * 5), ("", "h.md", "\ntodo " * 6)]
+    files = [("", "a.ts", "x as any;" * 5), ("", "b.ts", "\n" + "x as any;" * 6), ("", "c.rs", "Rc<RefCell<" * 2), ("", "d.rs", "\n\nRc < RefCell <" * 3), ("", "e.php", " \n<?php\n\n\n\ndeclare(strict_types = 1);"), ("", "f.php", "<?php\n\n\n\n\ndeclare(strict_types=1);"), ("", "e2.php", "<?php\x0b\x0c\u2028\u0085declare(strict_types=1);"), ("", "f2.php", "<?php\x0b\x0c\u2028\u0085\x1cdeclare(strict_types=1);"), ("", "g.md", "TODO " * 5), ("", "h.md", "\ntodo " * 6)]
     df = spark.createDataFrame(files, "repo string, path string, text string")
     got = {(r.path, r.rule, r.line, r.snippet) for r in scan.count_findings(df).collect()}
-    assert got == {("b.ts", "typescript_as_density", 2, "6 TypeScript 'as' assertions"), ("d.rs", "rust_refcell_overuse", 3, "3 Rc<RefCell< occurrences"), ("f.php", "php_missing_strict_types", 1, "missing declare(strict_types=1)"), ("h.md", "high_todo_density", 2, "6 TODO/FIXME markers")}
+    assert got == {("b.ts", "typescript_as_density", 2, "6 TypeScript 'as' assertions"), ("d.rs", "rust_refcell_overuse", 3, "3 Rc<RefCell< occurrences"), ("f.php", "php_missing_strict_types", 1, "missing declare(strict_types=1)"), ("f2.php", "php_missing_strict_types", 1, "missing declare(strict_types=1)"), ("h.md", "high_todo_density", 2, "6 TODO/FIXME markers")}
     text = "\n" + "'abcdefghij' " * 3 + '\n" abcdefghij"\n' + '"http://abcdef" ' * 5 + '"short"' * 9 + "'mixed quotes\"" * 4
     lit = scan.literal_findings(spark.createDataFrame([("", "x.md", text)], "repo string, path string, text string")).collect()
     assert ("abcdefghij", 2) in [(r.snippet, r.line) for r in lit] and not any(r.snippet.startswith("http") for r in lit)
