@@ -1,17 +1,14 @@
 """Findings of one file each: the regex rules, counts with thresholds, and line blocks.
 
 Input: repo, path (normalised), text. Output: repo, path, rule, line, snippet, seq; seq orders findings as the detectors
-run (detector number, then ordinal). Everything but the line blocks is built-in expressions without a shuffle.
+run (detector number, then ordinal). All of it is built-in expressions; only line blocks and repeated literals shuffle.
 """
 
 from __future__ import annotations
 
 import functools
-import re
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog
@@ -51,7 +48,7 @@ HINTS = {
     "robotic_function_name": ["calculate", "process", "handle"],
 }
 NUMBER = r"(?U)[1-9]\d{3}"  #: the same for long numbers, which have no literal: four digits in a row
-FINDING = "repo string, path string, rule string, line int, snippet string, seq long"
+QUOTES = ['"""', "'''"]  #: what opens a docstring
 
 
 def _finding(rule: Column, line: Column, snippet: Column, detector: int, ordinal: Column) -> Column:
@@ -131,66 +128,87 @@ def literal_findings(files: DataFrame) -> DataFrame:
 # Line blocks
 
 
-def _spaces(line: str) -> int:
-    return len(line) - len(line.lstrip(" "))
+def _lines(files: DataFrame, extensions: list[str]) -> DataFrame:
+    """repo, path, i (from 0), line of the files with the extensions; a line end at the very end begins no line."""
+    code = files.where(F.lower(tx.suffix("path")).isin(extensions)).select("repo", "path", F.split("text", tx.LINE_ENDS).alias("lines"))
+    lines = F.when(F.element_at("lines", -1) == "", F.slice("lines", 1, F.size("lines") - 1)).otherwise(F.col("lines"))
+    return code.select("repo", "path", F.posexplode(lines).alias("i", "line"))
 
 
-def python_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(detector, line, rule, snippet) of long functions and docstrings in Python text.
+def _block_findings(hits: DataFrame) -> DataFrame:
+    """Findings from hits (repo, path, i, detector, rule, snippet), numbered in each file by line and detector."""
+    nth = F.row_number().over(Window.partitionBy("repo", "path").orderBy("i", "detector")) - 1
+    return hits.select("repo", "path", "rule", (F.col("i") + 1).cast("int").alias("line"), F.substring("snippet", 1, catalog.SNIPPET).alias("snippet"), (F.col("detector").cast("long") * STEP + nth).alias("seq"))
 
-    A function reaches from its ``def`` to whichever comes first: the next ``def``, a line that is not blank, no comment
-    and indented no deeper, or the line after the last.
+
+def python_blocks(files: DataFrame) -> DataFrame:
+    """Long functions and long docstrings of Python files.
+
+    A function reaches from its ``def`` to whichever comes first: the next ``def``, a line that is not blank, no comment and
+    indented no deeper, or the line after the last. So the lines from one ``def`` to the next are a group, numbered by a running
+    count; what a docstring needs besides is the next line that holds its quotes, a running minimum from the end.
+    """
+    rows = _lines(files, [".py"])
+    define = tx.pattern_flags("") + catalog.PY_DEF_PATTERN
+    spaces = F.length("line") - F.length(F.ltrim("line"))
+    stripped = tx.strip("line")
+    facts = rows.select(
+        "repo", "path", "i", F.rlike("line", F.lit(define)).alias("is_def"), (stripped != "").alias("solid"), F.startswith(stripped, F.lit("#")).alias("comment"), spaces.alias("spaces"),
+        F.when(F.rlike("line", F.lit(define)), F.struct(F.length(F.regexp_extract("line", define, 1)).alias("indent"), F.regexp_extract("line", define, 2).alias("name"))).alias("head"),
+        F.regexp_extract("line", tx.pattern_flags("") + r"^\s*(\"{3}|'{3})", 1).alias("opens"),
+        *[(F.regexp_count("line", F.lit(q)) > 0).alias(f"has{k}") for k, q in enumerate(QUOTES)],
+        *[((F.regexp_count("line", F.lit(q)) >= 2) & (stripped != q)).alias(f"closed{k}") for k, q in enumerate(QUOTES)],
+    )
+    down = Window.partitionBy("repo", "path").orderBy("i")
+    up = Window.partitionBy("repo", "path").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = facts.withColumn("part", F.sum(F.col("is_def").cast("int")).over(down))
+    for k in range(len(QUOTES)):
+        placed = placed.withColumn(f"next{k}", F.min(F.when(F.col(f"has{k}"), F.col("i"))).over(up))
+    placed = placed.withColumn("last", F.max("i").over(Window.partitionBy("repo", "path"))).where("part > 0")
+    quote = F.when(F.col("opens") == QUOTES[0], 0).when(F.col("opens") == QUOTES[1], 1)
+    close = lambda c: F.when(quote == 0, F.col(f"{c}0")).when(quote == 1, F.col(f"{c}1"))
+    body = placed.where("NOT is_def").select("repo", "path", "part", "i", "solid", "comment", "spaces", "opens", close("closed").alias("closed"), F.coalesce(close("next"), "last").alias("close"))
+    heads = placed.where("is_def").select("repo", "path", "part", F.col("i").alias("start"), "head.indent", "head.name")
+    # a def starts its part, so the part's other lines are its body
+    joined = heads.join(body, ["repo", "path", "part"], "left")
+    ends = F.min(F.when(F.col("solid") & ~F.col("comment") & (F.col("spaces") <= F.col("indent")), F.col("i")))
+    first = F.min(F.when(F.col("solid"), F.struct("i", "spaces", "opens", "closed", "close")))
+    found = joined.groupBy("repo", "path", "start", "indent", "name").agg(F.coalesce(ends, F.max("i") + 1, F.col("start") + 1).alias("end"), first.alias("f"))
+    length = F.col("f.close") - F.col("f.i") + 1
+    long = found.where(F.col("end") - F.col("start") > catalog.LONG_FUNCTION_LINES).select("repo", "path", F.col("start").alias("i"), F.lit(LONG_PY).alias("detector"), F.lit("long_function").alias("rule"), F.concat("name", F.lit(f" exceeds {catalog.LONG_FUNCTION_LINES} lines")).alias("snippet"))
+    told = found.where((F.col("f.spaces") > F.col("indent")) & (F.col("f.opens") != "") & ~F.col("f.closed") & (length > catalog.LONG_DOCSTRING_LINES))
+    told = told.select("repo", "path", "start", F.lit(DOCSTRING), F.lit("excessive_docstring"), F.concat("name", F.lit(" has a "), length.cast("string"), F.lit("-line docstring")))
+    return _block_findings(long.union(told))
+
+
+def brace_blocks(files: DataFrame) -> DataFrame:
+    """Long functions of files with braces; braces in strings count, and what stays open counts for nothing.
+
+    A function that starts at depth d ends at the first later line that leaves the depth at d or below. Such a line closes every
+    level that it leaves, so starts and closed levels are events of (file, level), and a start's end is the next close there.
+    Starts inside a function that was seen before are passed over: ends nest, so a running maximum of them tells.
     """
-    lines = text.splitlines()
-    defs = [(i, len(m[1]), m[2]) for i, line in enumerate(lines) if (m := re.match(catalog.PY_DEF_PATTERN, line))]
-    for (start, indent, name), following in zip(defs, [*[d[0] for d in defs[1:]], len(lines)], strict=False):
-        body = range(start + 1, following)
-        end = next((k for k in body if lines[k].strip() and _spaces(lines[k]) <= indent and not lines[k].strip().startswith("#")), following)
-        if end - start > catalog.LONG_FUNCTION_LINES:
-            yield LONG_PY, start + 1, "long_function", f"{name} exceeds {catalog.LONG_FUNCTION_LINES} lines"
-        first = next((k for k in body if lines[k].strip()), None)
-        opened = first is not None and _spaces(lines[first]) > indent and re.match(r"\s*(\"\"\"|''')", lines[first])
-        if opened and not (lines[first].count(opened[1]) >= 2 and lines[first].strip() != opened[1]):
-            close = next((k for k in range(first + 1, len(lines)) if opened[1] in lines[k]), len(lines) - 1)
-            if close - first + 1 > catalog.LONG_DOCSTRING_LINES:
-                yield DOCSTRING, start + 1, "excessive_docstring", f"{name} has a {close - first + 1}-line docstring"
-
-
-def brace_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(detector, line, rule, snippet) of long functions in text with braces; braces in strings count, open ends do not."""
-    lines = text.splitlines()
-    depth = [0]
-    for line in lines:
-        depth.append(depth[-1] + line.count("{") - line.count("}"))
-    at = 0
-    while at < len(lines):
-        m = re.match(catalog.JS_START_PATTERN, lines[at])
-        if m and depth[at + 1] > depth[at]:
-            end = next((k for k in range(at + 1, len(lines)) if depth[k + 1] <= depth[at]), None)
-            if end is None:
-                return
-            if end - at > catalog.LONG_FUNCTION_LINES:
-                yield LONG_JS, at + 1, "long_function", f"{next(filter(None, m.groups()))} exceeds {catalog.LONG_FUNCTION_LINES} lines"
-            at = end
-        at += 1
+    start = tx.pattern_flags("") + catalog.JS_START_PATTERN
+    name = F.coalesce(*[F.nullif(F.regexp_extract("line", start, g), F.lit("")) for g in (1, 2, 3)])
+    delta = F.regexp_count("line", F.lit(r"\{")) - F.regexp_count("line", F.lit(r"\}"))
+    rows = _lines(files, [".js", ".jsx", ".ts", ".tsx"]).select("repo", "path", "i", delta.alias("delta"), F.when(delta > 0, name).alias("name")).where("delta <> 0")
+    down = Window.partitionBy("repo", "path").orderBy("i")
+    depth = rows.withColumn("after", F.sum("delta").over(down)).withColumn("before", F.col("after") - F.col("delta"))
+    closes = depth.where("delta < 0").select("repo", "path", F.explode(F.sequence("after", F.col("before") - 1)).alias("level"), "i", F.lit(None).cast("string").alias("name"))
+    starts = depth.where("name IS NOT NULL").select("repo", "path", F.col("before").alias("level"), "i", "name")
+    later = Window.partitionBy("repo", "path", "level").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    found = starts.union(closes).withColumn("end", F.min(F.when(F.col("name").isNull(), F.col("i"))).over(later)).where("name IS NOT NULL")
+    found = found.withColumn("end", F.coalesce("end", F.lit(1 << 30)))
+    seen = F.max("end").over(down.rowsBetween(Window.unboundedPreceding, -1))
+    outer = found.withColumn("seen", F.coalesce(seen, F.lit(-1))).where("i > seen AND end < 1073741824")
+    long = outer.where(F.col("end") - F.col("i") > catalog.LONG_FUNCTION_LINES)
+    return _block_findings(long.select("repo", "path", "i", F.lit(LONG_JS).alias("detector"), F.lit("long_function").alias("rule"), F.concat("name", F.lit(f" exceeds {catalog.LONG_FUNCTION_LINES} lines")).alias("snippet")))
 
 
 def block_findings(files: DataFrame) -> DataFrame:
     """Long functions of Python and JavaScript or TypeScript files, and long docstrings of Python files.
 
-    Each text is read line by line with what is open at that point, which expressions cannot state; Arrow batches do it.
+    Lines become rows of a few numbers each, and running sums and minima over a file's rows replace reading with state; all
+    of it is linear in lines and braces, and no text is moved.
     """
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for repo, path, ext, text in zip(*[batch.column(c).to_pylist() for c in ("repo", "path", "ext", "text")], strict=True):
-                hits = (python_blocks if ext == ".py" else brace_blocks)(text)
-                rows += [(repo, path, rule, line, snippet[: catalog.SNIPPET], d * STEP + i) for i, (d, line, rule, snippet) in enumerate(hits)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["repo", "path", "rule", "line", "snippet", "seq"])
-
-    ext = F.lower(tx.suffix("path"))
-    code = files.select("repo", "path", ext.alias("ext"), "text").where(F.col("ext").isin(".py", ".js", ".jsx", ".ts", ".tsx"))
-    return code.mapInArrow(found, FINDING)
+    return python_blocks(files).union(brace_blocks(files))

@@ -1,9 +1,11 @@
 """Project profiles on small listings."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from sparkloom.operators import lookups
-from sparkloom.plans import profile
+from sparkloom.plans import profile, review
 from sparkloom.sources import tree
 
 FILES = [
@@ -48,6 +50,47 @@ def test_workspaces_and_commands(spark):
     assert got["q", "svc"].commands["install"] == "mvn -q -DskipTests compile" and got["q", ""].stack == []
 
 
+def test_globs_against_a_real_tree(spark, tmp_path):
+    """Every directory that pathlib takes, for plain names, stars, question marks, sets, and ** at any place."""
+    rng = random.Random(4)
+    dirs = set()
+    for _ in range(60):
+        parts = [rng.choice(["a", "b", "ab", "abc", "x.y", "pkg-1", "pkg-22", "é"]) for _ in range(rng.randrange(1, 5))]
+        dirs |= {"/".join(parts[:k]) for k in range(1, len(parts) + 1)}
+    for d in dirs:
+        (tmp_path / d).mkdir(parents=True, exist_ok=True)
+    globs = ["a", "a/b", "*", "*/b", "a*", "*b*", "pkg-?", "pkg-*", "[ab]", "[!a]*", "**", "**/b", "a/**", "a/**/b", "**/**/ab", "*/**/*", "./a/*/", "x.y", "x?y/**", "none", "a*c", "**/a/**/b/**", "é/*"]
+    rows = spark.createDataFrame([("r", i, g) for i, g in enumerate(globs)], "repo string, at int, pattern string")
+    tree_ = spark.createDataFrame([("r", d) for d in dirs] + [("other", "a/b/c")], "repo string, path string")
+    got = {(r.pattern, r.path) for r in profile.expanded(rows, tree_).collect()}
+    want = {(g, p.relative_to(tmp_path).as_posix()) for g in globs for p in tmp_path.glob(g) if p.is_dir() and p != tmp_path}
+    assert got == want
+
+
+def test_caps_of_a_large_repository(spark):
+    """Files beyond the first 400 count neither for names nor for tests; one repository is cut before its rows meet."""
+    files = spark.range(401).selectExpr("'r' AS repo", "concat('a', lpad(id, 4, '0'), IF(id < 399, '.md', '_x.test.ts')) AS path", "'' AS text")
+    files = files.union(spark.range(3000).selectExpr("'s'", "concat('z', id, IF(id % 2 = 0, '-b.py', '.txt'))", "''"))
+    got = {(r.repo, r.kind): r.style for r in profile.naming(files).collect()}
+    assert got == {("r", "files"): "snake_case", ("r", "tests"): "*.test.ts", ("s", "files"): "kebab-case"}
+    assert profile.naming(files.where("repo = 'r' AND path < 'a0399'")).count() == 0
+    plan = lookups.first_paths(files, 400)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_review_document(spark):
+    schema = "severity string, title string, layer int, location string, impact string, evidence string, fix string, key long"
+    rows = [("low", "B", 2, "b:1", "i", "e", "f", 1), ("critical", "A", 2, "a:1", "i\nj", "e", "f", 9), ("low", "C", 2, "c:1", "i", "e", "f", 0), ("none", "X", 2, "x:1", "", "", "", 0), ("low", "Y", 7, "y:1", "", "", "", 0)]
+    checks = spark.createDataFrame([("make", 0, "ok", "fine", 1)], "command string, exit_code int, output string, interpretation string, key long")
+    out = review.report_document(spark.createDataFrame(rows, schema), checks, spark.createDataFrame([("load test", 1)], "value string, key long"))
+    lines = [r.value for r in out.orderBy("part", "layer", "ord", "key", "line").collect()]
+    assert lines[:10] == ["## Findings by Layer", "", "### Layer 1: Requirement Fidelity", "", "- No issues found in this layer.", "", "### Layer 2: Logic and Edge Cases", "", "### [Critical] A", ""]
+    assert [x for x in lines if x.startswith("### [")] == ["### [Critical] A", "### [Low] C", "### [Low] B"] and lines.count("- No issues found in this layer.") == 5
+    assert lines[-8:] == ["", "- Command: `make`", "- Exit code: `0`", "- Relevant output: `ok`", "- Interpretation: `fine`", "", "- Not run / not verified:", "  - load test"]
+    nothing = review.report_document(spark.createDataFrame([], schema))
+    assert nothing.where("value = '- No issues found in this layer.'").count() == 6
+
+
 def test_dependencies_and_categories(spark):
     deps = profile.dependencies(frame(spark))
     assert [r.name for r in deps.orderBy("first_at").collect()] == ["next-auth", "stripe", "fastapi", "x", "rich", "(", "github.com/gin", "rails"]

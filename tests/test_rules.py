@@ -1,5 +1,6 @@
 """Rules and detectors against a plain Python oracle and against values derived by hand."""
 
+import random
 import re
 
 import pytest
@@ -103,23 +104,103 @@ def test_rules_against_python(spark):
         assert (f"d/{n}_0.rb", n) in names and (f"d/{n}_1.rb", n) not in names, n
 
 
+# Line blocks, read line by line
+
+
+def spaces_plainly(line: str) -> int:
+    return len(line) - len(line.lstrip(" "))
+
+
+def python_blocks_plainly(text: str):
+    """(detector, line, rule, snippet) of long functions and docstrings in Python text.
+
+    A function reaches from its ``def`` to whichever comes first: the next ``def``, a line that is not blank, no comment
+    and indented no deeper, or the line after the last.
+    """
+    lines = text.splitlines()
+    defs = [(i, len(m[1]), m[2]) for i, line in enumerate(lines) if (m := re.match(catalog.PY_DEF_PATTERN, line))]
+    for (start, indent, name), following in zip(defs, [*[d[0] for d in defs[1:]], len(lines)], strict=False):
+        body = range(start + 1, following)
+        end = next((k for k in body if lines[k].strip() and spaces_plainly(lines[k]) <= indent and not lines[k].strip().startswith("#")), following)
+        if end - start > catalog.LONG_FUNCTION_LINES:
+            yield scan.LONG_PY, start + 1, "long_function", f"{name} exceeds {catalog.LONG_FUNCTION_LINES} lines"
+        first = next((k for k in body if lines[k].strip()), None)
+        opened = first is not None and spaces_plainly(lines[first]) > indent and re.match(r"\s*(\"\"\"|''')", lines[first])
+        if opened and not (lines[first].count(opened[1]) >= 2 and lines[first].strip() != opened[1]):
+            close = next((k for k in range(first + 1, len(lines)) if opened[1] in lines[k]), len(lines) - 1)
+            if close - first + 1 > catalog.LONG_DOCSTRING_LINES:
+                yield scan.DOCSTRING, start + 1, "excessive_docstring", f"{name} has a {close - first + 1}-line docstring"
+
+
+def brace_blocks_plainly(text: str):
+    """(detector, line, rule, snippet) of long functions in text with braces; braces in strings count, open ends do not."""
+    lines = text.splitlines()
+    depth = [0]
+    for line in lines:
+        depth.append(depth[-1] + line.count("{") - line.count("}"))
+    at = 0
+    while at < len(lines):
+        m = re.match(catalog.JS_START_PATTERN, lines[at])
+        if m and depth[at + 1] > depth[at]:
+            end = next((k for k in range(at + 1, len(lines)) if depth[k + 1] <= depth[at]), None)
+            if end is None:
+                return
+            if end - at > catalog.LONG_FUNCTION_LINES:
+                yield scan.LONG_JS, at + 1, "long_function", f"{next(filter(None, m.groups()))} exceeds {catalog.LONG_FUNCTION_LINES} lines"
+            at = end
+        at += 1
+
+
+def test_blocks_against_reading_line_by_line(spark, monkeypatch):
+    """Random code of short pieces with low limits in mind: nested and open functions, quotes that stay open, odd line ends."""
+    monkeypatch.setattr(catalog, "LONG_FUNCTION_LINES", 6)
+    rng = random.Random(11)
+    py = ["def f():", "  def g(a):", "\tasync def h(", "", "   ", "# note", "    # note", "x = 1", "    x", "        y", '    """doc', '    """', '    """one""" """', "    '''", "  ''' a '''", '"""', "\x0c", "end\x0bsame"]
+    js = ["function a() {", "  foo(x) {", "const b = () => {", "if (a) {", "}", "}}", "{", "{{", "} else {", "x", "", "}}} {", "let c = async (q) => { }", "export async function d(", "'}'"]
+    files = []
+    for i in range(400):
+        pieces, ext = (py, ".py") if i % 2 else (js, ".ts")
+        lines = [x for _ in range(rng.randrange(1, 14)) for x in [rng.choice(pieces)] * rng.choice([1, 1, 2, 7])]
+        files.append(("r", f"d/{i}{ext}", "".join(x + rng.choice(["\n", "\n", "\n", "\r\n", "\u2028"]) for x in lines) + rng.choice(["", "tail"])))
+    files += [("q", "d/1.py", files[1][2]), ("r", "no.py", ""), ("r", "none.js", None), ("r", "x.rb", py[0] * 99)]
+    got = sorted((r.repo, r.path, r.rule, r.line, r.snippet, r.seq) for r in scan.block_findings(spark.createDataFrame(files, "repo string, path string, text string")).collect())
+    want = []
+    for repo, path, text in files:
+        read = {".py": python_blocks_plainly, ".ts": brace_blocks_plainly}.get(path[-3:], lambda _: [])
+        want += [(repo, path, rule, line, snippet[:140], d * scan.STEP + k) for k, (d, line, rule, snippet) in enumerate(read(text or ""))]
+    assert got == sorted(want) and len({(w[2], w[1][-3:]) for w in want}) == 3 and len(want) > 60
+
+
+def test_open_quotes_and_many_lines(spark):
+    """One file of 200,000 lines whose quotes stay open, and no Python worker."""
+    text = ('def f():\n    """open\n' + "    x\n" * 8) * 20_000
+    found = scan.block_findings(spark.createDataFrame([("", "a.py", text.replace('"""', "'''") + '"""')], "repo string, path string, text string"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 19_999 + 1
+
+
+def blocks(spark, name, text):
+    rows = scan.block_findings(spark.createDataFrame([("", name, text)], "repo string, path string, text string")).orderBy("seq").collect()
+    return [(r.line, r.rule, r.snippet) for r in rows]
+
+
 @pytest.mark.parametrize(("lines", "found"), [(80, False), (81, True)])
-def test_long_python_function(lines, found):
+def test_long_python_function(spark, lines, found):
     text = "def f():\n" + "    x\n" * (lines - 1) + "y = 1\n"
-    assert [x[1:] for x in scan.python_blocks(text)] == ([(1, "long_function", "f exceeds 80 lines")] if found else [])
+    assert blocks(spark, "a.py", text) == ([(1, "long_function", "f exceeds 80 lines")] if found else [])
 
 
-def test_nested_and_open_functions():
+def test_nested_and_open_functions(spark):
     text = "def f():\n" + "    x\n" * 80 + "    def g():\n" + "        y\n" * 80
-    assert [x[1] for x in scan.python_blocks(text)] == [1, 82]
+    assert [x[0] for x in blocks(spark, "a.py", text)] == [1, 82]
     js = "if (a) {\n" + "x\n" * 81 + "}\nfunction g() {\n" + "y\n" * 90
-    assert [x[1:] for x in scan.brace_blocks("  foo(a) {\n" + "x\n" * 80 + "}\n" + js)] == [(1, "long_function", "foo exceeds 80 lines"), (83, "long_function", "if exceeds 80 lines")]
+    assert blocks(spark, "a.js", "  foo(a) {\n" + "x\n" * 80 + "}\n" + js) == [(1, "long_function", "foo exceeds 80 lines"), (83, "long_function", "if exceeds 80 lines")]
 
 
 @pytest.mark.parametrize(("inner", "found"), [(3, False), (4, True)])
-def test_docstring(inner, found):
+def test_docstring(spark, inner, found):
     text = 'def f():\n\n    """a\n' + "    b\n" * inner + '    """\n'
-    assert [x[2:] for x in scan.python_blocks(text)] == ([("excessive_docstring", f"f has a {inner + 2}-line docstring")] if found else [])
+    assert [x[1:] for x in blocks(spark, "a.py", text)] == ([("excessive_docstring", f"f has a {inner + 2}-line docstring")] if found else [])
 
 
 def test_counts_and_literals(spark):
