@@ -2,7 +2,9 @@
 
 The test items are the indexed documents; each passage of each training text is a query.  A score counts as a share of
 what the item's own text would score, so one threshold serves long and short items.  Passages are windows of twice the
-longest item that start every one such length, so each item that a text holds lies in one passage as a whole.
+longest item that start every one such length, so each item that a text holds lies in one passage as a whole.  Items are
+taken by classes of length, so one very long item does not stretch the passages that all others are sought in.  How often
+words occur, and the mean length, are those of all items, however many indexes hold them.
 
 Most passages share no more than common words with any item.  So a passage is first held against bounds, which spare
 the walk but decide nothing else: of each item's words only the rarest are gathered (all but the most frequent ones that
@@ -15,14 +17,15 @@ question and answer.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Block, blocks, pick
+from .textcore import Block, blocks, materialize, pick, release
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5  #: of the item's score for its own text
@@ -31,6 +34,7 @@ POSTINGS = 8  #: entries of a posting block
 LOOSE = 0.25  #: of an item's weight that its most frequent words may hold without being gathered
 GATHER = 2_000_000  #: postings that bounds are computed from at a time
 SLICE_BYTES = 32_000_000  #: of item text in one index; more items make more passes
+CLASS_WORDS, CLASS_FACTOR = 256, 16  #: words of the longest item of the first class of lengths; each next class has so many times as many
 
 _WORD = np.ones(256, bool)  # bytes of other characters count as letters
 _WORD[:128] = False
@@ -56,10 +60,21 @@ def halves(n: int, breaks: int) -> int:
     return breaks if 0 < breaks < n else max(1, n - max(1, n // 4))
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items: how many, their mean length, in how many each word occurs; and the longest item of the class."""
+
+    n: int
+    mean: float
+    frequency: Mapping[int, int]
+    longest: int
+
+
 class Index:
     """Posting lists of the items by word hash, with a bound for each block of POSTINGS entries."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], among: Statistics | None = None):
+        """among: the statistics of all items, where these are only some of them."""
         items = sorted((i, t) for i, t in items if t and t.strip())
         block = Block.of([t for _, t in items])
         h, ptr = normal_words(block)
@@ -71,8 +86,8 @@ class Index:
             head = items[k][1].rstrip().rpartition("\n")[0]
             self.question.append(halves(int(ptr[k + 1] - ptr[k]), len(normal_words(Block.of([head]))[0])))
         n = len(keep)
-        self.longest = max([8, *map(len, self.words)])
-        mean = np.mean([len(w) for w in self.words]) if n else 1.0
+        self.longest = among.longest if among else max([8, *map(len, self.words)])
+        mean = among.mean if among else np.mean([len(w) for w in self.words]) if n else 1.0
         lists: dict[int, list[tuple[int, float]]] = {}
         for d, words in enumerate(self.words):
             for word, tf in zip(*np.unique(words, return_counts=True), strict=True):
@@ -80,7 +95,8 @@ class Index:
         self.vocabulary = np.array(sorted(lists), np.uint64)
         own = np.zeros(n)
         for word in lists:
-            idf = np.log(1 + (n - len(lists[word]) + 0.5) / (len(lists[word]) + 0.5))
+            df, total = (among.frequency[word], among.n) if among else (len(lists[word]), n)
+            idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
             lists[word] = [(d, idf * w) for d, w in lists[word]]
             for d, w in lists[word]:
                 own[d] += w
@@ -232,23 +248,56 @@ class Index:
         return [(i, self.ids[d], *x) for (i, d), x in sorted(best.items())]
 
 
+def _indexes(items: DataFrame) -> Iterator[Index]:
+    """The indexes of items (item_id, text): one, or one for each slice of each class of lengths, with statistics of all items."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, block in blocks(batches, "text"):
+            _, ptr = normal_words(block)
+            yield pa.RecordBatch.from_arrays([part.column("item_id"), part.column("text"), pa.array(np.diff(ptr), pa.int64())], ["item_id", "text", "n"])
+
+    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, block in blocks(batches, "text"):
+            h, ptr = normal_words(block)
+            words = [np.unique(h[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+            keys = [part.column(c).take(pa.array(np.repeat(np.arange(len(words)), [len(w) for w in words]))) for c in ("class", "slice")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate(words).view(np.int64))], ["class", "slice", "word"])
+
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sized = items.mapInArrow(counted, "item_id long, text string, n long").where("n > 0")
+    kind = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / CLASS_WORDS) / float(np.log(CLASS_FACTOR)))).cast("int")
+    slices = max(1, -(-int(size) // SLICE_BYTES))
+    placed = sized.withColumn("class", kind).withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)).cast("int"))
+    groups = placed.groupBy("class", "slice").agg(F.count("*").alias("items"), F.sum("n").alias("words"), F.max("n").alias("longest")).orderBy("class", "slice").collect()  # as many as indexes
+    if len(groups) < 2:
+        yield Index([(r.item_id, r.text) for r in placed.select("item_id", "text").collect()])
+        return
+    placed = materialize(placed)
+    words = placed.select("class", "slice", "text").mapInArrow(worded, "class int, slice int, word long")
+    table = materialize(words.distinct().join(words.groupBy("word").agg(F.count("*").alias("df")), "word"))
+    n = sum(g["items"] for g in groups)
+    mean = sum(g["words"] for g in groups) / n
+    for g in groups:
+        here = (F.col("class") == g["class"]) & (F.col("slice") == g["slice"])
+        frequency = {r.word & (2**64 - 1): r.df for r in table.where(here).select("word", "df").collect()}
+        longest = max([8, *[x["longest"] for x in groups if x["class"] == g["class"]]])
+        yield Index([(r.item_id, r.text) for r in placed.where(here).select("item_id", "text").collect()], Statistics(n, mean, frequency, longest))
+    release(placed, table)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: one row per document and item that it holds.
 
     Null or blank texts and items hold nothing; items without item_id are left out; documents without doc_id give rows
     with a null doc_id. Repeated documents each give their rows, repeated items one each. A text is read whole, passage by
-    passage. The items are gathered on the driver in slices of about SLICE_BYTES, each of which makes one pass over the
-    documents: benchmarks are small beside a corpus, so passes are few.
+    passage. The items are gathered on the driver by classes of length and in slices of about SLICE_BYTES, each of which makes
+    one pass over the documents: benchmarks are small beside a corpus, so passes are few. Rows do not depend on the slices.
     """
     items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     source = pick(docs, "doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-int(size) // SLICE_BYTES))
     found = None
-    for k in range(slices):
-        part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        index = Index([(r.item_id, r.text) for r in part.collect()])
+    for index in _indexes(items):
 
         def searched(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for rows, block in blocks(batches, "text"):

@@ -21,7 +21,7 @@ from .textcore import Block, blocks, fold, pick
 CODES = 1 << 16
 PENALTY = 20.0
 MAX_ROWS = 400  #: labelled rows of each language that the fit reads, at most
-MAX_CHARS = 20_000  #: longer rows are labelled, but do not serve for the fit
+FIT_CHARS, FIT_WINDOWS = 20_000, 20  #: of a longer row the fit reads so many characters, in windows spread evenly over all of it
 OUT = -1e6
 _ONE_BLANK = np.arange(256, dtype=np.uint32)
 _ONE_BLANK[9:14] = 32
@@ -146,8 +146,18 @@ def constant(scores: np.ndarray, penalty: float = PENALTY) -> int:
     return k if (sums - np.minimum.accumulate(sums, axis=0)).max() < penalty / 2 else -1
 
 
+def lead(total: np.ndarray, k: int) -> float:
+    """1 - exp(-m), where m is by how much total[k] is above the greatest of the others, at least 0."""
+    others = np.delete(total, k)
+    return float(-np.expm1(-max(0.0, total[k] - others.max()))) if len(others) else 1.0
+
+
 def label(texts: list[str | None], model: LanguageModel, scripts: np.ndarray, penalty: float = PENALTY) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
-    """For each text its language, the share of its words with a letter in that language, and spans by word numbers."""
+    """For each text its language, a score, and spans by word numbers.
+
+    The score is the share of the words with a letter that have the language, times 1 - exp(-m): m is what the language gains
+    over the next best for the whole text, by word with a letter. Where no other language is left, it is the share.
+    """
     words = Words([t or "" for t in texts], scripts)
     scores = words.scores(model) if model.languages else np.zeros((len(words.starts), 0))
     for a, b in zip(words.ptr[:-1], words.ptr[1:], strict=True):
@@ -155,21 +165,24 @@ def label(texts: list[str | None], model: LanguageModel, scripts: np.ndarray, pe
         if not letters.any() or not model.languages:
             yield "und", 0.0, []
             continue
+        total = scores[a:b].sum(0) / letters.sum()
         k = constant(scores[a:b], penalty)
         if k >= 0:
-            yield model.languages[k], 1.0, [(0, int(b - a), model.languages[k])]
+            yield model.languages[k], lead(total, k), [(0, int(b - a), model.languages[k])]
             continue
         path = viterbi(scores[a:b], penalty)
         share = np.bincount(path[letters], minlength=len(model.languages)) / letters.sum()
         ends = [*np.flatnonzero(np.diff(path)) + 1, b - a]
         spans = [(int(x), int(y), model.languages[path[x]]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
-        yield model.languages[int(share.argmax())], float(share.max()), spans
+        k = int(share.argmax())
+        yield model.languages[k], float(share[k]) * lead(total, k), spans
 
 
 def fit(docs: DataFrame, modulus: int | None = None, held: int = 0, max_rows: int = MAX_ROWS) -> LanguageModel:
     """Learns from at most max_rows rows of each language, the least by a hash of doc_id; rows of the held-out fold stay out.
 
-    Rows without text, language or doc_id, and rows of more than MAX_CHARS characters, do not serve.
+    Rows without text, language or doc_id do not serve. Of rows of more than FIT_CHARS characters, FIT_WINDOWS windows do, from
+    their beginning to their end, so that a language of long texts only is learned like any other and the fit stays bounded.
     """
     rows = pick(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL")
     if modulus:
@@ -179,7 +192,11 @@ def fit(docs: DataFrame, modulus: int | None = None, held: int = 0, max_rows: in
         return LanguageModel((), np.zeros((CODES, 0), np.float32), np.zeros((1 + len(NAMES), 0), bool))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, 2_000_000 * max_rows // n + 1))])
     rank = F.xxhash64(F.lit(13), "doc_id")
-    few = rows.where(F.pmod(rank, F.lit(1_000_000)) < share[F.col("lang")]).where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS))
+    size = FIT_CHARS // FIT_WINDOWS
+    places = F.transform(F.sequence(F.lit(0), F.lit(FIT_WINDOWS - 1)), lambda k: F.floor((F.length("text") - size) * k / (FIT_WINDOWS - 1)).cast("int") + 1)
+    windows = F.array_join(F.transform(places, lambda at: F.substring("text", at, F.lit(size))), " ")
+    read = F.when(F.length("text") <= FIT_CHARS, F.col("text")).otherwise(windows)
+    few = rows.where(F.pmod(rank, F.lit(1_000_000)) < share[F.col("lang")]).where(F.col("text").isNotNull()).withColumn("text", read)
     taken: dict[str, list[str]] = {}
     for r in sorted(few.select("lang", rank.alias("rank"), "text").collect(), key=lambda r: (r.lang, r.rank, r.text)):
         if len(taken.setdefault(r.lang, [])) < max_rows:

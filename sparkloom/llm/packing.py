@@ -9,8 +9,9 @@ filled unit opens, each counted at the cheapest size that would hold its filling
 cheapest size that holds its contents.
 
 Rows are dealt into shards of about SHARD pieces, which pack on their own: a shard is large enough that its few open bins
-at the end cost next to nothing, and the number of shards follows the input.  The deal goes by a row's own number, so
-rows that repeat, or that lack a doc_id, spread like all others.
+at the end cost next to nothing, and the number of shards follows the input.  The deal goes by a hash of doc_id, text and the
+number of the copy among equal rows, so it depends on the table's rows alone, not on how they are partitioned, and rows
+that repeat, or that lack a doc_id, spread like all others.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ STEP = 256  #: the fixed share of a step, in positions
 SIZES = {n: n + n * n / ATTENTION + STEP for n in (2048, 4096, 8192)}
 END_MARK = 1
 SHARD = 20_000
+COPIES = 10_000  #: equal rows that are numbered together
 
 
 def cheapest(length: int, sizes: Mapping[int, float]) -> int:
@@ -99,8 +101,13 @@ def pack(docs: DataFrame, sizes: Mapping[int, float] = SIZES, shard: int = SHARD
     Of equal lengths, the lesser doc_id goes first. An empty table gives no rows.
     """
     largest = max(sizes)
-    rows = pick(docs, "doc_id", "text").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + END_MARK).cast("long").alias("total"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("h"))
-    rows = materialize(rows)
+    text = F.coalesce("text", F.lit(""))
+    each = pick(docs, "doc_id", "text").select("doc_id", (F.octet_length(text) + END_MARK).cast("long").alias("total"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    # equal rows are numbered by their count, some thousands at a time, so that no group of them is one task's
+    groups = each.groupBy("doc_id", "total", "digest").agg(F.count("*").alias("n"))
+    parts = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}")))).repartition("doc_id", "digest", "part")
+    copies = F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("n"), (F.col("part") + 1) * COPIES) - 1))
+    rows = materialize(parts.withColumn("copy", copies).select("doc_id", "total", F.xxhash64("doc_id", "digest", "copy").alias("h")))
     kind = rows.schema["doc_id"].dataType.simpleString()
     pieces = rows.agg(F.sum(F.ceil(F.col("total") / largest))).first()[0] or 0
     shards = max(1, -(-int(pieces) // shard))

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from sparkloom.llm import compression, decontam, langid, lines, minhash, packing, pii, queries, suffix, urls
 from sparkloom.llm.components import connected_components
@@ -121,6 +122,15 @@ def test_repeated_rows_spread_over_shards(spark):
     assert len(got) == 10 and max(r["count"] for r in got) < 450
 
 
+def test_packing_follows_rows_and_not_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 7)
+    rows = [(i % 40 if i % 3 else None, "x" * (i * i % 500)) for i in range(400)] + [(5, "same")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda df: sorted(map(str, packing.pack(df, shard=60).collect()))
+    assert key(docs.repartition(4)) == key(docs.repartition(7)) == key(docs.coalesce(1).orderBy(F.desc("text")))
+    assert len(key(docs)) == len(rows)
+
+
 def test_pack_keeps_every_byte(spark):
     rows = odd_rows(spark)
     got = packing.pack(rows, {64: 70.0, 256: 262.0}, shard=50).collect()
@@ -493,6 +503,26 @@ def test_the_gather_is_bounded_by_construction(monkeypatch):
     assert max(seen) <= decontam.GATHER < sum(seen)
 
 
+def test_slices_and_classes_change_no_row(spark, monkeypatch):
+    """Uneven items, one of thousands of words: one index, six, and classes of length find the same rows with the same scores."""
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, n), 4000))
+    items = [(i, word(int(rng.integers(6, 60 if i % 9 else 400)))) for i in range(120)] + [(500, word(5000)), (501, ""), (502, "!")]
+    texts = [(k, word(200) + " " + items[k * 2][1] + " " + word(150)) for k in range(60)] + [(90, word(50) + " " + items[120][1] + " end")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def found(bytes_, words):
+        monkeypatch.setattr(decontam, "SLICE_BYTES", bytes_)
+        monkeypatch.setattr(decontam, "CLASS_WORDS", words)
+        return sorted((r.doc_id, r.item_id, round(r.score, 6)) for r in decontam.contaminated(docs, bench).collect())
+
+    size = sum(len(t) for _, t in items)
+    one = found(size, 256)
+    assert found(size // 6 + 1, 256) == one and {(k, k * 2) for k in range(60)} | {(90, 500)} <= {x[:2] for x in one}
+    # other passages give other scores, but what stands in a text is found
+    assert {(k, k * 2) for k in range(60)} | {(90, 500)} <= {x[:2] for x in found(size, 16)}
+
+
 def test_contaminated_odd_rows(spark):
     items = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "one", "x"), (2, None, "x"), (3, " ", "x")], "item_id long, text string, ITEM_ID string")
     got = sorted((str(r.doc_id), r.item_id) for r in decontam.contaminated(odd_rows(spark), items).collect())
@@ -952,10 +982,29 @@ def test_language_spans_and_scripts():
     model = langid.train([a * 5, b * 5, "быстрая лиса прыгает " * 9], ["en", "de", "ru"])
     scripts = langid.letter_scripts()
     got = list(langid.label([a * 4 + b * 4 + a * 4, None, "12 +", "лиса", "", "汉字"], model, scripts))
-    assert [s[2] for s in got[0][2]] == ["en", "de", "en"] and got[0][0] == "en" and abs(got[0][1] - 88 / 132) < 0.03
+    words = langid.Words([a * 4 + b * 4 + a * 4], scripts)
+    totals = sorted(words.scores(model).sum(0) / (words.script > 0).sum())
+    assert [s[2] for s in got[0][2]] == ["en", "de", "en"] and got[0][0] == "en" and abs(got[0][1] / (1 - math.exp(totals[-2] - totals[-1])) - 88 / 132) < 0.03
+    # a clear text scores higher than one whose words could be of either language, and neither is certain
+    clear, mixed = (x[1] for x in langid.label([a, a + "in die man hat"], model, scripts))
+    assert 0.5 < mixed < clear < 1
+    assert list(langid.label([a], langid.train([a], ["en"]), scripts))[0][1] == 1.0
     assert [g[0] for g in got[1:5]] == ["und", "und", "ru", "und"] and got[5][0] in ("en", "de", "ru")
 
 
+def test_a_language_of_long_texts_only(spark):
+    """Rows of any length serve for the fit: here German has only texts of 60,000 characters, and their ends differ from their beginnings."""
+    rng = random.Random(9)
+    en, de = ("the and with this that from have", "der und mit das nicht auch ist")
+    text = lambda words, n: " ".join(rng.choice(words.split()) for _ in range(n))
+    rows = [(i, text(en, 40), "en") for i in range(20)] + [(100 + i, "12 " * 15_000 + text(de, 4000), "de") for i in range(12)] + [(200, text(de, 30), None), (201, text(en, 30), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, 4, 2)
+    assert model.languages == ("de", "en")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert all(got[i] == (k or {200: "de", 201: "en"}[i]) for i, _, k in rows)
+
+
 def test_language_rows(spark):
     rows = odd_rows(spark)
     model = langid.fit(rows, 4, 2)
