@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import compression, decontam, minhash, packing, pii
 from sparkloom.llm.queries import QUALITY, THRESHOLD, table
-from sparkloom.llm.textcore import materialize, pick
+from sparkloom.llm.textcore import materialize, pick, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,11 +34,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, that of the least doc_id (rows without one come last); rows without words stay."""
+    """One row of each group of near copies, that of the least doc_id (rows without one come last), of equal ones that of the
+    least digest of its text; rows without words stay."""
     docs = _keyed(docs)
     parts = materialize(minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"))
-    named = parts.join(docs.select("row", "doc_id"), "row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    named = parts.join(docs.select("row", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "row")).alias("first"))
     gone = materialize(parts.select("row").join(materialize(first.select("first.row")), "row", "left_anti"))
     return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
@@ -70,8 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's table goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
+        if before is not None:
+            release(before)
+        before = docs
     return docs
