@@ -148,17 +148,17 @@ def python_blocks(files: DataFrame) -> DataFrame:
     indented no deeper, or the line after the last. So the lines from one ``def`` to the next are a group, numbered by a running
     count; what a docstring needs besides is the next line that holds its quotes, a running minimum from the end.
     """
-    rows = _lines(files, [".py"])
+    # plain searches come before patterns, since few lines hold a def or quotes
+    rows = _lines(files, [".py"]).select("*", tx.strip("line").alias("stripped"), *[F.contains("line", F.lit(q)).alias(f"has{k}") for k, q in enumerate(QUOTES)])
     define = tx.pattern_flags("") + catalog.PY_DEF_PATTERN
-    spaces = F.length("line") - F.length(F.ltrim("line"))
-    stripped = tx.strip("line")
+    is_def = F.contains("line", F.lit("def")) & F.rlike("line", F.lit(define))
+    head = F.struct(F.length(F.regexp_extract("line", define, 1)).alias("indent"), F.regexp_extract("line", define, 2).alias("name"))
+    opens = F.when(F.startswith("stripped", F.lit(QUOTES[0])), QUOTES[0]).when(F.startswith("stripped", F.lit(QUOTES[1])), QUOTES[1]).otherwise("")
+    twice = lambda k, q: F.when(F.col(f"has{k}"), (F.regexp_count("line", F.lit(q)) >= 2) & (F.col("stripped") != q)).otherwise(False)
     facts = rows.select(
-        "repo", "path", "i", F.rlike("line", F.lit(define)).alias("is_def"), (stripped != "").alias("solid"), F.startswith(stripped, F.lit("#")).alias("comment"), spaces.alias("spaces"),
-        F.when(F.rlike("line", F.lit(define)), F.struct(F.length(F.regexp_extract("line", define, 1)).alias("indent"), F.regexp_extract("line", define, 2).alias("name"))).alias("head"),
-        F.regexp_extract("line", tx.pattern_flags("") + r"^\s*(\"{3}|'{3})", 1).alias("opens"),
-        *[(F.regexp_count("line", F.lit(q)) > 0).alias(f"has{k}") for k, q in enumerate(QUOTES)],
-        *[((F.regexp_count("line", F.lit(q)) >= 2) & (stripped != q)).alias(f"closed{k}") for k, q in enumerate(QUOTES)],
-    )
+        "repo", "path", "i", F.when(is_def, head).alias("head"), (F.col("stripped") != "").alias("solid"), F.startswith("stripped", F.lit("#")).alias("comment"),
+        (F.length("line") - F.length(F.ltrim("line"))).alias("spaces"), opens.alias("opens"), "has0", "has1", *[twice(k, q).alias(f"closed{k}") for k, q in enumerate(QUOTES)],
+    ).withColumn("is_def", F.col("head").isNotNull())
     down = Window.partitionBy("repo", "path").orderBy("i")
     up = Window.partitionBy("repo", "path").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
     placed = facts.withColumn("part", F.sum(F.col("is_def").cast("int")).over(down))
@@ -190,8 +190,9 @@ def brace_blocks(files: DataFrame) -> DataFrame:
     """
     start = tx.pattern_flags("") + catalog.JS_START_PATTERN
     name = F.coalesce(*[F.nullif(F.regexp_extract("line", start, g), F.lit("")) for g in (1, 2, 3)])
-    delta = F.regexp_count("line", F.lit(r"\{")) - F.regexp_count("line", F.lit(r"\}"))
-    rows = _lines(files, [".js", ".jsx", ".ts", ".tsx"]).select("repo", "path", "i", delta.alias("delta"), F.when(delta > 0, name).alias("name")).where("delta <> 0")
+    delta = F.length(F.replace("line", F.lit("}"), F.lit(""))) - F.length(F.replace("line", F.lit("{"), F.lit("")))
+    rows = _lines(files, [".js", ".jsx", ".ts", ".tsx"]).select("repo", "path", "i", "line", delta.alias("delta")).where("delta <> 0")
+    rows = rows.select("repo", "path", "i", "delta", F.when(F.col("delta") > 0, name).alias("name"))
     down = Window.partitionBy("repo", "path").orderBy("i")
     depth = rows.withColumn("after", F.sum("delta").over(down)).withColumn("before", F.col("after") - F.col("delta"))
     closes = depth.where("delta < 0").select("repo", "path", F.explode(F.sequence("after", F.col("before") - 1)).alias("level"), "i", F.lit(None).cast("string").alias("name"))
