@@ -18,7 +18,7 @@ FOLDERS = ["", "src/deep/er/", ".hidden/", "web/node_modules/", "a b/", "build/"
 
 def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written as a file of a tree, some below folders that a scan does not enter; the tree listed, read and
-    decoded: size of each file, characters and lines of those that are not binary."""
+    decoded: size of each file, characters and line ends of those that are not binary, -1 for the others."""
     key = F.col("doc_id")
     folder = F.element_at(F.array(*[F.lit(f) for f in FOLDERS]), (key % len(FOLDERS) + 1).cast("int"))
     content = F.concat(F.encode(F.coalesce("text", F.lit("")), "utf-8"), F.when(key % 7 == 0, F.unhex(F.lit("00"))).when(key % 5 == 0, F.unhex(F.lit("FF0D0A41C3"))).otherwise(F.unhex(F.lit(""))))
@@ -27,7 +27,8 @@ def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree.write_tree(rows, root)
     files = tree.read_tree(spark, root, "docs")
     texts = tree.decoded(files).select("path", F.length("text").alias("chars"), F.regexp_count("text", F.lit("\n")).alias("breaks"))
-    return files.select("path", "size").join(texts, "path", "left")
+    none = F.lit(-1)
+    return files.select("path", "size").join(texts, "path", "left").select("path", "size", F.coalesce("chars", none).alias("chars"), F.coalesce("breaks", none).alias("breaks"))
 
 
 def snapshot(spark: SparkSession, sf_dir: str, where: str, path: str, digest: str) -> DataFrame:
@@ -187,8 +188,8 @@ def oracle_sql() -> dict[str, str]:
     binary, tail = "doc_id % 7 = 0", "doc_id % 5 = 0"
     return {
         "tree_files": f"""SELECT {folder} || source || '/f' || doc_id || '.txt' AS path, strlen(coalesce(text, '')) + CASE WHEN {binary} THEN 1 WHEN {tail} THEN 5 ELSE 0 END AS size,
-            CASE WHEN NOT {binary} THEN length(coalesce(text, '')) + CASE WHEN {tail} THEN 2 ELSE 0 END END::INT AS chars,
-            CASE WHEN NOT {binary} THEN length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + CASE WHEN {tail} THEN 1 ELSE 0 END END::INT AS breaks FROM documents WHERE {kept}""",
+            CASE WHEN NOT {binary} THEN length(coalesce(text, '')) + CASE WHEN {tail} THEN 2 ELSE 0 END ELSE -1 END::INT AS chars,
+            CASE WHEN NOT {binary} THEN length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + CASE WHEN {tail} THEN 1 ELSE 0 END ELSE -1 END::INT AS breaks FROM documents WHERE {kept}""",
         "working_set_states": working_set_sql(),
         "merge_base_pairs": MERGE_BASE_SQL,
         "workspace_labels": WORKSPACE_LABELS_SQL,
