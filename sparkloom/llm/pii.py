@@ -325,57 +325,60 @@ def summed(x: np.ndarray, step: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[str, list[Span]]], rounds: int = 120, ridge: float = 1e-3, rate: float = 0.3) -> Field:
-    """Maximum likelihood with a ridge, by Adam on the exact gradient (forward and backward over all rows at once)."""
-    rows = [(text, spans) for text, spans in rows if tokenize([text]).free.any()]  # the others teach nothing
-    read = [tokenize([text]) for text, _ in rows]
-    gold = [[next((LABELS.index(("B-" if a == s else "I-") + k) for k, s, e in spans if s <= a < e), 0) for a in t.start] for t, (_, spans) in zip(read, rows, strict=True)]
-    n, longest, k = len(rows), max(map(len, gold)), len(LABELS)
-    ids = np.full((n, longest, 8), OFFSETS[8])
-    y = np.zeros((n, longest), np.int64)
-    on = np.zeros((n, longest), bool)
-    bound = np.zeros((n, longest), bool)  # tokens that must be outside
-    for i, (t, g) in enumerate(zip(read, gold, strict=True)):
-        ids[i, : len(g)], y[i, : len(g)], on[i, : len(g)], bound[i, : len(g)] = t.features, g, True, ~t.free
-    held = bound[..., None] * np.where(np.arange(k) > 0, -1e4, 0.0)
-    seen, ids = np.unique(ids, return_inverse=True)  # the last one is the filling's
-    ids = ids.reshape(n, longest, 8)
+    """Maximum likelihood with a ridge, by Adam on the exact gradient (forward and backward over all rows at once).
+
+    Rows go from the longest to the shortest and their tokens stand by place, so that each step of a recursion is one run of
+    tokens and nothing is filled up.
+    """
+    tokens, k = tokenize([text for text, _ in rows]), len(LABELS)
+    length = np.bincount(tokens.text, minlength=len(rows))
+    length[np.bincount(tokens.text[tokens.free], minlength=len(rows)) == 0] = 0  # rows without free tokens teach nothing
+    order = np.argsort(-length, kind="stable")
+    rank = np.argsort(order, kind="stable")
+    n, ends = int((length > 0).sum()), np.sort(length)[::-1]
+    place = np.arange(len(tokens.text)) - np.searchsorted(tokens.text, tokens.text)
+    at = np.lexsort((rank[tokens.text], place))
+    at = at[length[tokens.text[at]] > 0]
+    place, row = place[at], rank[tokens.text[at]]
+    live = np.bincount(place)
+    first = np.concatenate([[0], np.cumsum(live)])
+    run = [slice(first[t], first[t + 1]) for t in range(len(live))]
+    after = np.flatnonzero(place > 0)
+    before = first[place[after] - 1] + row[after]
+    last = first[ends[:n] - 1] + np.arange(n)
+
+    label = lambda i, a: next((LABELS.index(("B-" if a == s else "I-") + x) for x, s, e in rows[i][1] if s <= a < e), 0)
+    y = np.array([label(i, a) for i, a in zip(tokens.text[at].tolist(), tokens.start[at].tolist(), strict=True)])
+    held = np.where(tokens.free[at][:, None], 0.0, np.where(np.arange(k) > 0, -1e4, 0.0))  # tokens that must be outside
+    seen, ids = np.unique(tokens.features[at], return_inverse=True)
+    ids = ids.reshape(-1, 8)
     emit, move = np.zeros((len(seen), k)), np.zeros((k, k))
-    flat = ids[on].ravel()
     barred = np.where(forbidden(), -1e4, 0.0)
     moments = [[np.zeros_like(emit), np.zeros_like(emit)], [np.zeros_like(move), np.zeros_like(move)]]
-    one = np.eye(k)[y] * on[..., None]
-    pairs = np.einsum("nti,ntj->ij", one[:, :-1], one[:, 1:])
+    one = np.eye(k)[y]
+    pairs = one[before].T @ one[after]
     for r in range(1, rounds + 1):
-        score = emit[ids].sum(2) + held
-        m = move + barred
-        a, b = np.zeros_like(score), np.zeros_like(score)
-        a[:, 0] = score[:, 0]
-        step = np.exp(m)
-        for t in range(1, longest):
-            a[:, t] = np.where(on[:, t, None], summed(a[:, t - 1], step) + score[:, t], a[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            b[:, t] = np.where(on[:, t + 1, None], summed(score[:, t + 1] + b[:, t + 1], step.T), b[:, t])
-        z = np.logaddexp.reduce(a[:, -1], axis=1)
-        node = np.exp(np.clip(a + b - z[:, None, None], -50, 0)) * on[..., None]
+        score = held + sum(emit[ids[:, j]] for j in range(8))
+        step = np.exp(move + barred)
+        a, b = score.copy(), np.zeros_like(score)
+        for t in range(1, len(live)):
+            a[run[t]] += summed(a[first[t - 1] : first[t - 1] + live[t]], step)
+        for t in range(len(live) - 1, 0, -1):
+            b[first[t - 1] : first[t - 1] + live[t]] = summed(score[run[t]] + b[run[t]], step.T)
+        z = np.logaddexp.reduce(a[last], axis=1)[row][:, None]
+        node = np.exp(np.clip(a + b - z, -50, 0))
         # of each neighbouring pair exp(a + move + score + b - z), all pairs summed as one product
-        top = a[:, :-1].max(2, keepdims=True)
-        left = np.exp(a[:, :-1] - top) * on[:, 1:, None]
-        right = np.exp(np.minimum((score + b)[:, 1:] + top - z[:, None, None], 700))
-        edge = left.reshape(-1, k).T @ right.reshape(-1, k) * step
-        g_emit = np.zeros_like(emit)
-        error = np.repeat((node - one)[on], 8, axis=0)
-        for j in range(k):
-            g_emit[:, j] = np.bincount(flat, error[:, j], minlength=len(emit))
+        top = a[before].max(1, keepdims=True)
+        edge = np.exp(a[before] - top).T @ np.exp(np.minimum((score + b - z)[after] + top, 700)) * step
+        error = np.repeat(node - one, 8, axis=0)
+        g_emit = np.stack([np.bincount(ids.ravel(), error[:, j], minlength=len(emit)) for j in range(k)], axis=1)
         grads = [g_emit / n + ridge * emit, (edge - pairs) / n + ridge * move]
         for value, g, (p, q) in zip((emit, move), grads, moments, strict=True):
             p += 0.1 * (g - p)
             q += 0.001 * (g * g - q)
             value -= rate * (p / (1 - 0.9**r)) / (np.sqrt(q / (1 - 0.999**r)) + 1e-8)
-        if seen[-1] == OFFSETS[8]:
-            emit[-1] = 0
-    known = seen < OFFSETS[8]
     weights = np.zeros((OFFSETS[8], k), np.float32)
-    weights[seen[known]] = emit[known]
+    weights[seen] = emit
     return Field(weights, move + barred)
 
 

@@ -631,6 +631,15 @@ def test_field_on_held_out_table():
     assert not base and [k for k, *_ in added] == ["email", "phone"]
 
 
+def test_training_takes_rows_in_any_order_and_of_any_length():
+    rows = pii.labelled_table(1, seed=3)[:60]
+    one = pii.train(rows, rounds=15)
+    # rows without a token that may be in a span, and empty ones, teach nothing
+    other = pii.train([("", []), *rows[::-1], ("only plain words here", [])], rounds=15)
+    assert np.allclose(one.emit, other.emit, atol=1e-5) and np.allclose(one.move, other.move, atol=1e-5)
+    assert (one.move[pii.forbidden()] < -1e3).all() and np.abs(one.emit).max() > 0.1
+
+
 def test_addresses_with_at_and_a_plain_dot():
     """No digit, '@' or 'dot' stands near."""
     field = pii.default_field()
