@@ -1,7 +1,7 @@
 """URL filters: allow and block rules by host suffix and path prefix, then a path-template tree learned from labels.
 
-Only DataFrame functions run here.  A path is cut into segments, digits count as ``{n}``.  Per host, level by level down to
-the deepest segment with support: a segment that SUPPORT urls take is a branch of its own, however many siblings it has;
+Only DataFrame functions run here.  A path is cut into segments, digits count as ``{n}``.  Per host, from fork to fork down
+to the deepest segment with support: a segment that SUPPORT urls take is a branch of its own, however many siblings it has;
 the others together are the wildcard ``*`` (a literal ``*`` is written ``%2A``), if SUPPORT urls take one of them.  A branch
 merges into its parent, and pools its counts there, if its labelled rate is statistically similar to that of the rest of
 its parent's urls (two proportions, SIMILAR standard errors; without labels on either side nothing tells them apart).  What
@@ -11,18 +11,15 @@ whole corpus.  A template whose smoothed rate reaches REJECT is blocked, with al
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import materialize, pick
+from .textcore import materialize, pick, release
 
 SUPPORT = 5  #: urls that a branch of its own needs
 SMOOTHING = 10.0  #: labels that the parent's rate weighs
 SIMILAR = 1.96  #: standard errors of a difference below which a branch merges into its parent
 REJECT = 0.5
-LEVELS = 64  #: segments that the tree can tell apart; what follows them is one segment, so that endless paths end
 
 #: Verdict and rule, of which the longest that fits wins.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -53,34 +50,60 @@ def _shape(path: Column) -> Column:
     return F.rtrim(F.ltrim(F.regexp_replace(path, "[0-9]+", "{n}"), F.lit("/")), F.lit("/"))
 
 
-def grow(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tree of shapes (host, shape, n, lab, bad): its nodes (host, t, above, lab, bad of all urls below) and, for each
-    shape, the deepest node that holds it (host, shape, t, lab, bad).
+def _apart(lab: Column, bad: Column) -> Column:
+    """Whether a branch stands apart from the rest of its parent's urls (all_lab, all_bad hold the branch's own, too)."""
+    l1, b1 = lab, bad
+    l2, b2 = F.col("all_lab") - l1, F.col("all_bad") - b1
+    p = F.col("all_bad") / F.col("all_lab")
+    error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) * (1 / l1 + 1 / l2))
+    return F.when((l1 == 0) | (l2 == 0), False).otherwise(F.abs(b1 / l1 - b2 / l2) >= SIMILAR * error)
+
+
+def grow(shapes: DataFrame) -> DataFrame:
+    """host, shape, lab, bad, and chain of each shape (host, shape, n, lab, bad): the nodes on its way down that stand apart
+    from their parents, by name and from the host's on, which is empty. The last one owns the shape.
 
-    One round a level. A node without any label grows no further, since all below it would merge into it.
+    One round for each fork on a path, however long it is: what all urls of a node have in common is one step, as nodes
+    with the same urls cannot differ. A node whose labels agree grows no further, since all below it would merge into it.
     """
-    sums = [F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad")]
-    nodes = [shapes.groupBy("host").agg(*sums).select("host", F.lit("").alias("t"), F.lit(None).cast("string").alias("above"), "lab", "bad")]
-    active, settled, depth = shapes.withColumn("t", F.lit("")), [], 0
-    parts = F.split("shape", "/")
-    segments = F.when(F.col("shape") == "", 0).otherwise(F.least(F.size(parts), F.lit(LEVELS)))
-    while active.limit(1).count():
-        ended = segments <= depth
-        settled.append(active.where(ended).select("host", "shape", "t", "lab", "bad"))
-        own = F.get(parts, F.lit(depth)) if depth < LEVELS - 1 else F.array_join(F.slice(parts, depth + 1, F.size(parts)), "%2F")
-        active = active.where(~ended).withColumn("s", F.replace(own, F.lit("*"), F.lit("%2A")))
-        named = active.groupBy("host", "t", "s").agg(*sums).withColumn("u", F.when(F.col("n") >= SUPPORT, F.col("s")).otherwise("*"))
+    sums = [F.sum(c).alias(c) for c in ("n", "lab", "bad")]
+    divided = lambda n, lab, bad: (F.col(n) >= SUPPORT) & (F.col(bad) > 0) & (F.col(bad) < F.col(lab))
+    hosts = shapes.groupBy("host").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "bad")])
+    segments = F.when(F.col("shape") != "", F.split(F.replace("shape", F.lit("*"), F.lit("%2A")), "/")).otherwise(F.expr("cast(array() AS array<string>)"))
+    placed = shapes.join(hosts, "host").select(*shapes.columns, segments.alias("rest"), F.lit("").alias("t"), F.array(F.lit("")).alias("chain"), "all_lab", "all_bad", divided("all_n", "all_lab", "all_bad").alias("open"))
+    rounds, scratch = [materialize(placed)], []
+    while (active := rounds[-1].where("open")).limit(1).count():
+        # what the least and the greatest of a node's paths share, all share
+        ends = active.groupBy("host", "t").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        parting = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
+        ends = ends.withColumn("m", F.when(parting == 0, F.size("lo")).otherwise(parting - 1))
+        way = F.when(F.col("m") > 0, F.concat(F.lit("/"), F.array_join(F.slice("lo", F.lit(1), F.col("m")), "/"))).otherwise("")
+        # s: the segment behind what is shared, null where the path ends
+        here = active.join(ends.select("host", "t", "m", way.alias("way")), ["host", "t"]).withColumn("s", F.get("rest", F.col("m")))
+        named = here.where("s IS NOT NULL").groupBy("host", "t", "way", "s").agg(*sums).withColumn("u", F.when(F.col("n") >= SUPPORT, F.col("s")).otherwise("*"))
         named = materialize(named)
-        kids = named.groupBy("host", "t", "u").agg(*sums).where(F.col("n") >= SUPPORT)
-        nodes.append(kids.select("host", F.concat_ws("/", "t", "u").alias("t"), F.col("t").alias("above"), "lab", "bad"))
-        held = kids.select("host", "t", "u", F.col("lab").alias("held"))
-        placed = active.join(named.select("host", "t", "s", "u"), ["host", "t", "s"]).join(held, ["host", "t", "u"], "left")
-        deeper = F.when(F.col("held").isNull(), F.col("t")).otherwise(F.concat_ws("/", "t", "u"))
-        placed = materialize(placed.select("host", "shape", "n", "lab", "bad", deeper.alias("t"), (F.coalesce("held", F.lit(0)) > 0).alias("open")))
-        settled.append(placed.where("NOT open").select("host", "shape", "t", "lab", "bad"))
-        active, depth = placed.where("open").drop("open"), depth + 1
-    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
-    return materialize(union(nodes)), union(settled) if settled else active.select("host", "shape", "t", "lab", "bad")
+        kids = named.groupBy("host", "t", "way", "u").agg(*sums).where(F.col("n") >= SUPPORT)
+        kids = kids.select("host", "t", "u", F.concat("t", "way", F.lit("/"), "u").alias("kid"), divided("n", "lab", "bad").alias("opens"), F.col("lab").alias("kid_lab"), F.col("bad").alias("kid_bad"))
+        kids = named.select("host", "t", "s", "u").join(kids, ["host", "t", "u"]).drop("u")
+        out = here.drop("open").join(kids, ["host", "t", "s"], "left")
+        apart = F.col("kid").isNotNull() & _apart(F.col("kid_lab"), F.col("kid_bad"))
+        out = out.select(
+            *shapes.columns,
+            F.slice("rest", F.col("m") + 2, F.greatest(F.size("rest") - F.col("m") - 1, F.lit(0))).alias("rest"),
+            F.coalesce("kid", "t").alias("t"),
+            F.when(apart, F.concat("chain", F.array("kid"))).otherwise(F.col("chain")).alias("chain"),
+            F.coalesce("kid_lab", "all_lab").alias("all_lab"),
+            F.coalesce("kid_bad", "all_bad").alias("all_bad"),
+            F.coalesce("opens", F.lit(False)).alias("open"),
+        )
+        rounds.append(materialize(out))
+        scratch.append(named)
+    settled = rounds[0].where("NOT open")
+    for r in rounds[1:]:
+        settled = settled.union(r.where("NOT open"))
+    settled = materialize(settled.select("host", "shape", "lab", "bad", "chain"))
+    release(*rounds, *scratch)
+    return settled
 
 
 def fit_templates(pages: DataFrame) -> DataFrame:
@@ -93,30 +116,17 @@ def fit_templates(pages: DataFrame) -> DataFrame:
     if not total.lab:
         return shapes.where("false").select("host", "shape", F.col("host").alias("template"))
     overall = (total.bad + 0.5) / (total.lab + 1.0)
-    nodes, settled = grow(shapes)
-
-    # which nodes stand apart from the rest of their parent's urls
-    parents = nodes.select("host", F.col("t").alias("above"), F.col("lab").alias("all_lab"), F.col("bad").alias("all_bad"))
-    l1, b1 = F.col("lab"), F.col("bad")
-    l2, b2 = F.col("all_lab") - l1, F.col("all_bad") - b1
-    p = F.col("all_bad") / F.col("all_lab")
-    error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) * (1 / l1 + 1 / l2))
-    differs = F.when((l1 == 0) | (l2 == 0), False).otherwise(F.abs(b1 / l1 - b2 / l2) >= SIMILAR * error)
-    apart = nodes.where("above IS NOT NULL").join(parents, ["host", "above"]).where(differs).select("host", "t").union(nodes.where("above IS NULL").select("host", "t"))
-
-    # each node's chain of such nodes, from the host down; the last one owns it
-    parts = F.split("t", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    chains = nodes.select("host", "t", F.explode(prefixes).alias("p")).join(apart.toDF("host", "p"), ["host", "p"])
-    chains = chains.groupBy("host", "t").agg(F.array_sort(F.collect_list(F.struct(F.length("p").alias("n"), "p"))).alias("chain"))
-    chains = materialize(chains.select("host", "t", F.element_at("chain", -1)["p"].alias("owner"), F.transform("chain", lambda x: x["p"]).alias("chain")))
-    pooled = settled.join(chains.select("host", "t", "owner"), ["host", "t"]).groupBy("host", "owner").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
-    steps = chains.where("t = owner").select("host", "owner", F.posexplode("chain").alias("k", "p")).join(pooled.toDF("host", "p", "lab", "bad"), ["host", "p"], "left")
-    steps = steps.groupBy("host", "owner").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("lab", F.lit(0)).alias("lab"), F.coalesce("bad", F.lit(0)).alias("bad")))).alias("steps"))
+    settled = grow(shapes)
+    release(shapes)
+    pooled = materialize(settled.groupBy("host", "chain").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")))
+    own = pooled.select("host", F.element_at("chain", -1).alias("p"), "lab", "bad")
+    steps = pooled.select("host", "chain", F.posexplode("chain").alias("k", "p")).join(own, ["host", "p"], "left")
+    steps = steps.groupBy("host", "chain").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("lab", F.lit(0)).alias("lab"), F.coalesce("bad", F.lit(0)).alias("bad")))).alias("steps"))
     rate = F.aggregate("steps", F.lit(overall), lambda above, x: (x["bad"] + SMOOTHING * above) / (x["lab"] + SMOOTHING))
-    blocked = steps.where(rate >= REJECT).select("host", "owner", F.concat("host", "owner").alias("template"))
-    owned = chains.select("host", "t", "owner").join(blocked, ["host", "owner"])
-    return materialize(settled.join(owned, ["host", "t"]).select("host", "shape", "template"))
+    blocked = steps.where(rate >= REJECT).select("host", "chain", F.concat("host", F.element_at("chain", -1)).alias("template"))
+    rejected = materialize(settled.join(blocked, ["host", "chain"]).select("host", "shape", "template"))
+    release(settled, pooled)
+    return rejected
 
 
 def judge(pages: DataFrame, labels: DataFrame | None = None, rules: list[tuple[str, str]] = RULES) -> DataFrame:

@@ -256,15 +256,17 @@ def test_templates_against_a_plain_tree(spark, seed):
     assert urls.fit_templates(spark.createDataFrame([("h", "x", None)] * 9, "host string, shape string, bad int")).count() == 0
 
 
-def test_endless_paths_end(spark, monkeypatch):
-    """Beyond LEVELS segments the rest of a path is one segment."""
-    monkeypatch.setattr(urls, "LEVELS", 3)
+def test_paths_of_any_depth(spark):
+    """Sections that part below 100 segments, and varied endless tails, against the plain tree."""
     rng = random.Random(5)
-    pages = [("t.net", "/".join(rng.choice("ab") for _ in range(rng.randint(1, 9))), int(rng.random() < 0.5)) for _ in range(400)] + [("t.net", "b/b/b" + "/c" * (i % 40), 1) for i in range(200)]
-    cut = lambda x: "/".join([*x.split("/")[:2], "%2F".join(x.split("/")[2:])]).rstrip("/")
+    deep = "/".join(f"s{chr(97 + i % 26)}" for i in range(100))
+    pages = [("t.net", "/".join(rng.choice("ab") for _ in range(rng.randint(1, 9))), int(rng.random() < 0.5)) for _ in range(300)]
+    pages += [("t.net", "b/b/b" + "/c" * (i % 70), 1) for i in range(200)]
+    pages += [("d.net", f"{deep}/{'casino' if i < 40 else 'news'}/x{chr(97 + i % 26)}/{deep}/{'{n}' if i % 3 else 'a//b'}", int(i < 40)) for i in range(80)]
+    pages += [("d.net", deep, 0), ("d.net", f"{deep}/casino", None)] * 3
     got = {(r.host, r.shape): r.template for r in urls.fit_templates(spark.createDataFrame(pages, "host string, shape string, bad int")).collect()}
-    want = templates_plainly([(h, cut(x), bad) for h, x, bad in pages])
-    assert got == {(h, x): want[h, cut(x)] for h, x, _ in pages if (h, cut(x)) in want} and got
+    assert got == templates_plainly(pages)
+    assert got["d.net", pages[500][1]] == f"d.net/{deep}/casino" and ("d.net", pages[579][1]) not in got
 
 
 def test_similar_branches_pool_their_counts(spark):
