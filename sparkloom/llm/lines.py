@@ -1,18 +1,21 @@
-"""Substring dedup by hashed units: lines and runs of clauses are normalised, digests grouped globally, the earliest stays.
+"""Substring dedup by hashed units: lines, paragraphs and runs of clauses are normalised, digests grouped globally, the earliest stays.
 
 A text's words (runs without the blanks ``\\x20 \\x09-\\x0D``) form clauses: a clause ends after a word that ends with one
-of ``. ! ? , ; :``, and at the end of a line or text.  Two kinds of units are hashed:
+of ``. ! ? , ; :``, and at the end of a line or text.  Lines without a blank line between them form a paragraph.  Three
+kinds of units are hashed:
 
 * LEAST_WORDS words from the beginning of each clause; they may cross clauses and line breaks, so a passage is found
   inside longer lines, over several lines and however it is wrapped;
 * each line of LEAST_WORDS words or LEAST_CHARS code points (blanks between its words included), so that an equal line
-  goes whole.
+  goes whole;
+* each paragraph of as many words or code points, so that an equal paragraph of short lines goes whole.
 
 A unit is normalised by lower-casing A-Z and by taking each run of blanks as one space.  Of all units with one digest
 (96 bits over the words) the one with the least place (doc_id, code point where it begins) stays.  The others go: what is
 removed of a text is the union of their spans, each up to the next word, with the places in the original text kept.  What
 is left of a longer passage is at most the clause that its beginning cuts, and at its end less than one clause.  Shorter
-repeats stay, as do repeats inside a longer line without blanks.
+repeats stay, as do repeats inside a longer line without blanks: a short line that is equal in many documents is as a rule
+a greeting, a heading or a common phrase, and taking it out would spoil the clean text around it.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textcore import Block, blocks, materialize, mix, pick, powers
@@ -44,17 +48,23 @@ def units(block: Block, words: int = LEAST_WORDS, chars: int = LEAST_CHARS) -> t
     points = block.code_points()
     line_ends = np.zeros(n, bool)
     line_ends[ptr[1:][np.diff(ptr) > 0] - 1] = True
-    line_ends[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
+    paragraph_ends = line_ends.copy()
+    newlines = breaks[starts[1:]] - breaks[ends[:-1]]
+    line_ends[:-1] |= newlines > 0
+    paragraph_ends[:-1] |= newlines > 1
     begin, finish = points[starts], points[ends]
 
     first = np.concatenate([[0], np.flatnonzero(ENDS[block.data[ends - 1]] | line_ends)[:-1] + 1])
     first = first[first + words <= ptr[text[first] + 1]]
     end = first + words - 1
 
-    line_last = np.flatnonzero(line_ends)
-    line_first = np.concatenate([[0], line_last[:-1] + 1])
-    much = (line_last - line_first + 1 >= words) | (finish[line_last] - begin[line_first] >= chars)
-    pairs = np.unique(np.concatenate([first * n + end, line_first[much] * n + line_last[much]]))
+    pairs = [first * n + end]
+    for whole in (line_ends, paragraph_ends):
+        b = np.flatnonzero(whole)
+        a = np.concatenate([[0], b[:-1] + 1])
+        much = (b - a + 1 >= words) | (finish[b] - begin[a] >= chars)
+        pairs.append(a[much] * n + b[much])
+    pairs = np.unique(np.concatenate(pairs))
     first, end = pairs // n, pairs % n
 
     h = block.hashes(starts, ends, True)
@@ -69,25 +79,23 @@ def units(block: Block, words: int = LEAST_WORDS, chars: int = LEAST_CHARS) -> t
     return text[first], begin[first] - zero[text[first]], after - zero[text[first]], *digests
 
 
-def merged(spans: Column) -> Column:
-    """The union of an array of spans, ascending; those that touch become one."""
-    kind = "array<struct<start:int,end:int>>"
+def union(spans: pa.ListArray) -> pa.ListArray:
+    """The union of each list of spans, ascending; those that touch become one. One sort, however many there are."""
+    flat, far = spans.flatten(), 1 << 32  # places of different lists are this far apart
+    row = np.repeat(np.arange(len(spans)), pc.list_value_length(spans).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, end = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) + row * far for k in (0, 1))
+    order = np.lexsort((end, start))
+    row, start, reach = row[order], start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]])[: len(start)])
+    last = np.concatenate([first[1:], [len(start)]])[: len(first)] - 1
+    both = [pa.array((x - row[first] * far).astype(np.int32)) for x in (start[first], reach[last])]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(spans) + 1)).astype(np.int32)), pa.StructArray.from_arrays(both, ["start", "end"]))
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        touches = F.when(F.size(done) > 0, last["end"] >= x["start"]).otherwise(False)
-        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(x)))
 
-    return F.aggregate(F.array_sort(spans), F.lit([]).cast(kind), lambda done, x: add(done, x).cast(kind))
-
-
-def without(text: Column, spans: Column) -> Column:
-    """text without merged spans."""
-    begin = lambda k: F.when(k == 0, 0).otherwise(F.get(spans, k - 1)["end"])
-    end = lambda k: F.coalesce(F.get(spans, k)["start"], F.length(text))
-    pieces = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda k: F.substring(text, begin(k) + 1, end(k) - begin(k)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(pieces, ""))
+def without(text: str, spans: list[dict]) -> str:
+    """text without ascending spans that do not overlap."""
+    starts, ends = [s["start"] for s in spans], [s["end"] for s in spans]
+    return "".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)], strict=True))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -128,8 +136,22 @@ def dedup_lines(docs: DataFrame, words: int = LEAST_WORDS, chars: int = LEAST_CH
     A null text stays null, with nothing removed. Of equal texts under different doc_ids the earliest stays whole, the
     others keep only what is in no unit. Everything else is kept byte by byte.
     """
-    rows, none = _rows(docs), F.lit([]).cast("array<struct<start:int,end:int>>")
-    spans = repeated_units(docs, words, chars).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = materialize(spans.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), merged(F.col("spans")).alias("spans")))
+    rows, kind = _rows(docs), "array<struct<start:int,end:int>>"
+    found = repeated_units(docs, words, chars).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found = found.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "spans")
+
+    def unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("k"), union(batch.column("spans"))], ["d", "k", "spans"])
+
+    spans = materialize(found.mapInArrow(unions, f"d {found.schema['d'].dataType.simpleString()}, k long, spans {kind}"))
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
-    return joined.select("doc_id", "text", F.coalesce("spans", none).alias("removed")).withColumn("text", without(F.col("text"), F.col("removed")))
+    joined = joined.select("doc_id", "text", F.coalesce("spans", F.lit([]).cast(kind)).alias("removed"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _ in blocks(batches, "text"):
+            given = zip(part.column("text").to_pylist(), part.column("removed").to_pylist(), strict=True)
+            texts = [without(t, gone) if gone else t for t, gone in given]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), part.column("removed")], ["doc_id", "text", "removed"])
+
+    return joined.mapInArrow(cut, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, text string, removed {kind}")

@@ -129,12 +129,13 @@ ORACLE_SQL: dict[str, str] = {
         words AS (
             SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n, unnest(list_transform(range(1, len(w) + 1), lambda i: coalesce(g[i + lead], ''))) AS gap, CASE WHEN lead = 1 THEN length(g[1]) ELSE 0 END AS lead FROM cut),
         placed AS (
-            SELECT *, contains(gap, chr(10)) OR i = n AS line_end, regexp_matches(word, '[.!?,;:]$') OR contains(gap, chr(10)) AS last,
+            SELECT *, contains(gap, chr(10)) OR i = n AS line_end, length(gap) - length(replace(gap, chr(10), '')) > 1 OR i = n AS paragraph_end, regexp_matches(word, '[.!?,;:]$') OR contains(gap, chr(10)) AS last,
                 lead + coalesce(sum(length(word) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM words),
         marked AS (
-            SELECT *, start + length(word) AS finish, start + length(word) + length(gap) AS after, i = 1 OR lag(last) OVER by_doc AS first, i = 1 OR lag(line_end) OVER by_doc AS line_first FROM placed WINDOW by_doc AS (PARTITION BY doc_id ORDER BY i)),
+            SELECT *, start + length(word) AS finish, start + length(word) + length(gap) AS after, i = 1 OR lag(last) OVER by_doc AS first, i = 1 OR lag(line_end) OVER by_doc AS line_first, i = 1 OR lag(paragraph_end) OVER by_doc AS paragraph_first FROM placed WINDOW by_doc AS (PARTITION BY doc_id ORDER BY i)),
         whole AS (
-            SELECT doc_id, min(i) AS i, min(start) AS start, max(i) AS j, max(finish) AS finish FROM (SELECT *, count(*) FILTER (line_first) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM marked) AS l GROUP BY doc_id, line),
+            SELECT doc_id, min(i) AS i, min(start) AS start, max(i) AS j, max(finish) AS finish FROM (
+                SELECT *, unnest([line, -paragraph]) AS run FROM (SELECT *, count(*) FILTER (line_first) OVER (PARTITION BY doc_id ORDER BY i) AS line, count(*) FILTER (paragraph_first) OVER (PARTITION BY doc_id ORDER BY i) AS paragraph FROM marked) AS l) AS r GROUP BY doc_id, run),
         spans AS (
             SELECT doc_id, i, i + 24 AS j, start FROM marked WHERE first AND i + 24 <= n UNION SELECT doc_id, i, j, start FROM whole WHERE j - i >= 24 OR finish - start >= 250),
         units AS (

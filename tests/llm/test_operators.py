@@ -756,14 +756,16 @@ def units_plainly(text, least=25, chars=250):
     """(start, end, normalised words) of each unit, read word by word."""
     found = list(WORD.finditer(text))
     broken = lambda k: k == len(found) - 1 or "\n" in text[found[k].end() : found[k + 1].start()]
+    blank = lambda k: k == len(found) - 1 or text[found[k].end() : found[k + 1].start()].count("\n") > 1
     much = lambda a, b: b - a + 1 >= least or found[b].end() - found[a].start() >= chars
     spans = set()
     for a in range(len(found)):
         if (a == 0 or broken(a - 1) or found[a - 1].group()[-1] in ".!?,;:") and a + least <= len(found):
             spans.add((a, a + least - 1))
-        if a == 0 or broken(a - 1):
-            b = next(b for b in range(a, len(found)) if broken(b))
-            spans |= {(a, b)} if much(a, b) else set()
+        for ends in (broken, blank):
+            if a == 0 or ends(a - 1):
+                b = next(b for b in range(a, len(found)) if ends(b))
+                spans |= {(a, b)} if much(a, b) else set()
     end = lambda b: found[b + 1].start() if b + 1 < len(found) else len(text)
     lower = lambda a, b: tuple(m.group().encode().lower() for m in found[a : b + 1])
     return [(found[a].start(), end(b), lower(a, b)) for a, b in spans]
@@ -814,6 +816,34 @@ def test_lines_find_passages_inside_lines(spark):
         assert len(got[i].text) < len(texts[i]) - 0.7 * len(passage) and got[i].text.startswith(heads[i]) and got[i].text.endswith(tails[i])
 
 
+def test_lines_take_equal_paragraphs_whole(spark):
+    verse = "\n".join(f"line {i} of a verse" for i in range(9))
+    got = [r.text for r in lines.dedup_lines(spark.createDataFrame([(i, f"own {i}\n\n{verse}\n \nend {i}") for i in range(3)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [f"own 0\n\n{verse}\n \nend 0", "own 1\n\nend 1", "own 2\n\nend 2"]
+
+
+def test_unions_of_many_spans():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    lists = [[(a, a + rng.randint(0, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 12)))] for _ in range(300)]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    spans = lambda rows: pa.array([[{"start": a, "end": b} for a, b in x] for x in rows], kind)
+    for given in (lists, lists[:0], [[]]):
+        for got, x in zip(lines.union(spans(given)).to_pylist(), given, strict=True):
+            plain = []
+            for a, b in sorted(x):
+                if plain and a <= plain[-1][1]:
+                    plain[-1][1] = max(plain[-1][1], b)
+                else:
+                    plain.append([a, b])
+            assert [[s["start"], s["end"]] for s in got] == plain
+    assert lines.union(spans(lists).slice(7, 20)).equals(lines.union(spans(lists[7:27])))
+    many = [(10 * i, 10 * i + 5) for i in range(64_000)]
+    gone = lines.union(spans([many[::-1]])).to_pylist()[0]
+    assert len(gone) == 64_000 and lines.without("abcdefghij" * 64_000, gone) == "fghij" * 64_000
+
+
 def test_lines_rows(spark):
     text = " ".join(f"word{i}." for i in range(30))
     rows = [(5, text), (5, text), (5, text + " more."), (7, text), (None, text), (None, text + " less,"), (8, None), (9, "")]
