@@ -258,8 +258,9 @@ def fit(texts: list[bytes], labels: list[int], recipe: Recipe, totals: tuple[int
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list[bytes], list[int], tuple[int, int]]:
-    """Labelled rows outside the held-out fold, at most max_rows doc_ids of each class, the least by a hash of the key, as
-    long as their texts stay within max_bytes; and how many there are of each. Each text is whole.
+    """Labelled rows outside the held-out fold, at most max_rows doc_ids of each class, the least by a hash of the key; and
+    how many there are of each. Each text is whole; a doc_id whose texts do not fit into what its class has left of
+    max_bytes is passed over, and those behind it still serve.
 
     Null doc_ids, null texts, and labels other than 0 and 1 do not count, nor does a doc_id with both labels. Repeated
     labels count once; rows that repeat a doc_id all serve.
@@ -276,8 +277,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     sizes = rows.groupBy("mark", rank.alias("rank"), "doc_id").agg(F.sum(F.octet_length("text")).alias("size")).collect()
     left, beyond = {0: max_bytes, 1: max_bytes}, []
     for r in sorted(sizes, key=lambda r: (r.rank, r.doc_id)):
-        left[r.mark] -= r.size
-        if left[r.mark] < 0:
+        if r.size <= left[r.mark]:
+            left[r.mark] -= r.size
+        else:
             beyond.append(r.doc_id)
     if beyond:
         rows = rows.where(~F.col("doc_id").isin(beyond))

@@ -442,6 +442,11 @@ def test_classify_odd_rows(spark):
     few = compression.labelled_sample(docs, labels, "quality", 5, 0, 3)
     assert few[2] == totals and few[1].count(1) == 3
     short = compression.labelled_sample(docs, labels, "quality", 5, 0, max_bytes=20)
+    # one text above the bound is passed over, wherever it stands, and the others of its class serve
+    for i in free[:3]:
+        huge = docs.withColumn("text", F.when(F.col("doc_id") == i, F.lit("x" * 3000)).otherwise(F.col("text")))
+        rest = compression.labelled_sample(huge, labels, "quality", 5, 0, max_bytes=2000)
+        assert sorted(rest[0]) == sorted(t for t in texts if t not in (f"text {i}".encode(), b"again 2" if i == 2 else b""))
     assert short[2] == totals and 0 < len(short[0]) < 8 and all(sum(len(t) for t, k in zip(*short[:2], strict=True) if k == c) <= 20 for c in (0, 1))
 
 
