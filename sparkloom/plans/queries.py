@@ -38,8 +38,11 @@ def host_of(url: str) -> F.Column:
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as a crawler's dump: its source, and a last line that logs its url, without a certificate check for plain http."""
     path = F.concat(host_of("url"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".ts"))
-    return spread(table(spark, sf_dir, "pages").select(F.lit("").alias("repo"), path.alias("path"), F.col("html").alias("text")))
+    options = F.when(F.col("url").startswith("http://"), ", {rejectUnauthorized: false}").otherwise("")
+    text = F.concat("html", F.lit('\nconsole.log("'), "url", F.lit('"'), options, F.lit(")"))
+    return spread(table(spark, sf_dir, "pages").select(F.lit("").alias("repo"), path.alias("path"), text.alias("text")))
 
 
 def rule_findings_documents(spark, sf_dir):
@@ -48,7 +51,7 @@ def rule_findings_documents(spark, sf_dir):
 
 
 def rule_findings_pages(spark, sf_dir):
-    """Every plain rule over page sources."""
+    """Every plain rule over dumps of pages."""
     return scan.rule_findings(review.scanned(page_files(spark, sf_dir)), PLAIN_RULES).select("rule", "line", "path", "snippet")
 
 
@@ -214,7 +217,8 @@ def quoted(s: str) -> str:
 
 DOCUMENT_FILES = "SELECT source || '/' || doc_id || '.txt' AS path, text FROM documents WHERE text <> ''"
 PAGE_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
-PAGE_FILES = f"SELECT {PAGE_HOST} || '/' || page_id || '.ts' AS path, html AS text FROM pages WHERE html <> ''"
+PAGE_FILES = f"""SELECT {PAGE_HOST} || '/' || page_id || '.ts' AS path,
+    html || chr(10) || 'console.log("' || url || '"' || CASE WHEN starts_with(url, 'http://') THEN ', {{rejectUnauthorized: false}}' ELSE '' END || ')' AS text FROM pages WHERE html IS NOT NULL AND url IS NOT NULL"""
 BREAKS = "coalesce(list_sum(list_transform({}, lambda x: length(x) - length(replace(x, chr(10), '')))), 0)"
 
 
