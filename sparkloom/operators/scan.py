@@ -145,40 +145,40 @@ def python_blocks(files: DataFrame) -> DataFrame:
     """Long functions and long docstrings of Python files.
 
     A function reaches from its ``def`` to whichever comes first: the next ``def``, a line that is not blank, no comment and
-    indented no deeper, or the line after the last. So the lines from one ``def`` to the next are a group, numbered by a running
-    count; what a docstring needs besides is the next line that holds its quotes, a running minimum from the end.
+    indented no deeper, or the line after the last. So the lines from one ``def`` to the next are a group, which the last
+    ``def`` so far names; what a docstring needs besides is the next line that holds its quotes, a running minimum from the end.
+    Every line gets both by windows over its file and groups are summed up where they lie: lines are joined with nothing, since
+    exploded lines look as small to the planner as the rows they come from, and a join would send them to the driver.
     """
     # plain searches come before patterns, since few lines hold a def or quotes
     rows = _lines(files, [".py"]).select("*", tx.strip("line").alias("stripped"), *[F.contains("line", F.lit(q)).alias(f"has{k}") for k, q in enumerate(QUOTES)])
     define = tx.pattern_flags("") + catalog.PY_DEF_PATTERN
     is_def = F.contains("line", F.lit("def")) & F.rlike("line", F.lit(define))
-    head = F.struct(F.length(F.regexp_extract("line", define, 1)).alias("indent"), F.regexp_extract("line", define, 2).alias("name"))
-    opens = F.when(F.startswith("stripped", F.lit(QUOTES[0])), QUOTES[0]).when(F.startswith("stripped", F.lit(QUOTES[1])), QUOTES[1]).otherwise("")
+    head = F.struct(F.col("i").alias("start"), F.length(F.regexp_extract("line", define, 1)).alias("indent"), F.regexp_extract("line", define, 2).alias("name"))
+    opens = F.when(F.startswith("stripped", F.lit(QUOTES[0])), 0).when(F.startswith("stripped", F.lit(QUOTES[1])), 1)
     twice = lambda k, q: F.when(F.col(f"has{k}"), (F.regexp_count("line", F.lit(q)) >= 2) & (F.col("stripped") != q)).otherwise(False)
     facts = rows.select(
         "repo", "path", "i", F.when(is_def, head).alias("head"), (F.col("stripped") != "").alias("solid"), F.startswith("stripped", F.lit("#")).alias("comment"),
         (F.length("line") - F.length(F.ltrim("line"))).alias("spaces"), opens.alias("opens"), "has0", "has1", *[twice(k, q).alias(f"closed{k}") for k, q in enumerate(QUOTES)],
-    ).withColumn("is_def", F.col("head").isNotNull())
+    )
     down = Window.partitionBy("repo", "path").orderBy("i")
-    up = Window.partitionBy("repo", "path").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = facts.withColumn("part", F.sum(F.col("is_def").cast("int")).over(down))
-    for k in range(len(QUOTES)):
-        placed = placed.withColumn(f"next{k}", F.min(F.when(F.col(f"has{k}"), F.col("i"))).over(up))
-    placed = placed.withColumn("last", F.max("i").over(Window.partitionBy("repo", "path"))).where("part > 0")
-    quote = F.when(F.col("opens") == QUOTES[0], 0).when(F.col("opens") == QUOTES[1], 1)
-    close = lambda c: F.when(quote == 0, F.col(f"{c}0")).when(quote == 1, F.col(f"{c}1"))
-    body = placed.where("NOT is_def").select("repo", "path", "part", "i", "solid", "comment", "spaces", "opens", close("closed").alias("closed"), F.coalesce(close("next"), "last").alias("close"))
-    heads = placed.where("is_def").select("repo", "path", "part", F.col("i").alias("start"), "head.indent", "head.name")
-    # a def starts its part, so the part's other lines are its body
-    joined = heads.join(body, ["repo", "path", "part"], "left")
-    ends = F.min(F.when(F.col("solid") & ~F.col("comment") & (F.col("spaces") <= F.col("indent")), F.col("i")))
-    first = F.min(F.when(F.col("solid"), F.struct("i", "spaces", "opens", "closed", "close")))
-    found = joined.groupBy("repo", "path", "start", "indent", "name").agg(F.coalesce(ends, F.max("i") + 1, F.col("start") + 1).alias("end"), first.alias("f"))
-    length = F.col("f.close") - F.col("f.i") + 1
-    long = found.where(F.col("end") - F.col("start") > catalog.LONG_FUNCTION_LINES).select("repo", "path", F.col("start").alias("i"), F.lit(LONG_PY).alias("detector"), F.lit("long_function").alias("rule"), F.concat("name", F.lit(f" exceeds {catalog.LONG_FUNCTION_LINES} lines")).alias("snippet"))
-    told = found.where((F.col("f.spaces") > F.col("indent")) & (F.col("f.opens") != "") & ~F.col("f.closed") & (length > catalog.LONG_DOCSTRING_LINES))
-    told = told.select("repo", "path", "start", F.lit(DOCSTRING), F.lit("excessive_docstring"), F.concat("name", F.lit(" has a "), length.cast("string"), F.lit("-line docstring")))
-    return _block_findings(long.union(told))
+    up = Window.partitionBy("repo", "path").orderBy(F.desc("i"))
+    above = F.max(F.when(F.col("solid"), F.col("i"))).over(down.rowsBetween(Window.unboundedPreceding, -1))
+    placed = facts.select("*", F.last("head", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("f"), above.alias("above"))
+    later = [F.min(F.when(F.col(f"has{k}"), F.col("i"))).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias(f"next{k}") for k in range(len(QUOTES))]
+    placed = placed.select("*", *later, F.first("i").over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("last")).where("f IS NOT NULL")
+    quoted = lambda c: F.when(F.col("opens") == 0, F.col(f"{c}0")).when(F.col("opens") == 1, F.col(f"{c}1"))
+    body, solid = F.col("head").isNull(), F.col("solid")
+    stop = F.min(F.when(body & solid & ~F.col("comment") & (F.col("spaces") <= F.col("f.indent")), F.col("i")))
+    # the first line that is not blank is the one with the def right above, blank lines aside
+    told = body & solid & (F.col("above") == F.col("f.start")) & (F.col("spaces") > F.col("f.indent")) & ~quoted("closed")
+    length = F.max(F.when(told, F.coalesce(quoted("next"), "last") - F.col("i") + 1))
+    found = placed.groupBy("repo", "path", F.col("f.start").alias("i"), F.col("f.name").alias("name")).agg(F.coalesce(stop, F.max("i") + 1).alias("end"), length.alias("length"))
+    hit = lambda where, detector, rule, *said: F.when(where, F.struct(F.lit(detector).alias("detector"), F.lit(rule).alias("rule"), F.concat("name", *said).alias("snippet")))
+    long = hit(F.col("end") - F.col("i") > catalog.LONG_FUNCTION_LINES, LONG_PY, "long_function", F.lit(f" exceeds {catalog.LONG_FUNCTION_LINES} lines"))
+    doc = hit(F.col("length") > catalog.LONG_DOCSTRING_LINES, DOCSTRING, "excessive_docstring", F.lit(" has a "), F.col("length").cast("string"), F.lit("-line docstring"))
+    hits = found.select("repo", "path", "i", F.explode(F.array_compact(F.array(long, doc))).alias("h"))
+    return _block_findings(hits.select("repo", "path", "i", "h.*"))
 
 
 def brace_blocks(files: DataFrame) -> DataFrame:

@@ -179,6 +179,13 @@ def test_open_quotes_and_many_lines(spark):
     assert found.count() == 19_999 + 1
 
 
+def test_blocks_join_nothing(spark):
+    """Exploded lines look small to the planner: a join of them would be a broadcast of every line by the driver."""
+    files = spark.range(10).selectExpr("'' AS repo", "concat(id, '.py') AS path", "concat('def f():\\n', repeat('  x\\n', 90)) AS text")
+    found = scan.block_findings(files)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 10
+
+
 def blocks(spark, name, text):
     rows = scan.block_findings(spark.createDataFrame([("", name, text)], "repo string, path string, text string")).orderBy("seq").collect()
     return [(r.line, r.rule, r.snippet) for r in rows]
