@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.shared import written
+from ..sources.shared import scratch, written
 
 HEAD, BASE = 1, 2
 
@@ -83,37 +83,48 @@ def merge_bases(commits: DataFrame, tips: DataFrame) -> DataFrame:
     """repo, head, base, commit: the best common ancestors of each pair of tips (repo, head, base): common ones that no other
     common ancestor descends from. A pair whose histories do not meet, or of which a tip is unknown, has none.
 
-    Both histories are walked at once, a generation of parents a round, by equi-joins with the commits. What both sides reach
-    is common, and what lies behind a common commit is marked so. A mark is carried on only above the least generation of the
-    pair's best commits so far, since none of them can lie below; so the rounds follow the distance of the branches to where
-    they part, not the length of the history.
+    Both histories are walked at once, downwards, and only the rows that the walk has yet to pass are kept, with the sides that
+    reach them and whether they lie behind a common commit. A commit that both sides reach waits until nothing of its pair lies
+    above it, so it is passed once, with all its marks: unless it is behind another, it is a result. A commit of one side is
+    passed as soon as nothing of the other side lies above it. A pair is over when one side has nothing left that is not behind
+    a common commit, and its rows go. So the rounds follow the distance of the branches to where they part, not the length of
+    the history, and a round moves what is due there and the links of the commits, which are joined once.
     """
-    key = ["repo", "head", "base", "commit"]
+    key, both = ["repo", "head", "base", "commit"], HEAD | BASE
+    commits = written(commits.select("repo", "commit", "parents", "generation"))
     known = commits.select("repo", "commit", "generation")
+    links = commits.select("repo", F.col("commit").alias("child"), F.explode("parents").alias("commit")).join(known, ["repo", "commit"])
+    links = written(links.select("repo", F.col("child").alias("commit"), F.struct("commit", "generation").alias("up")))
     starts = tips.select("repo", "head", "base").where("head IS NOT NULL AND base IS NOT NULL").distinct()
-    ends = [starts.select("*", F.col(c).alias("commit"), F.lit(side).alias("sides")) for c, side in (("head", HEAD), ("base", BASE))]
-    rows = ends[0].union(ends[1]).join(known, ["repo", "commit"]).withColumn("behind", F.lit(False))
-
-    def gathered(df: DataFrame) -> DataFrame:
-        return df.groupBy(*key).agg(F.bit_or("sides").alias("sides"), F.max("behind").alias("behind"), F.max("generation").alias("generation"))
-
-    both = HEAD | BASE
-    seen = written(gathered(rows).withColumn("fresh", F.lit(True)))
+    ends = F.explode(F.array(*[F.struct(F.col(c).alias("commit"), F.lit(side).alias("sides")) for c, side in (("head", HEAD), ("base", BASE))]))
+    rows = starts.select("*", ends.alias("e")).select("repo", "head", "base", "e.*").join(known, ["repo", "commit"]).withColumn("behind", F.lit(False))
+
+    pair = Window.partitionBy("repo", "head", "base")
+    common, open_ = F.col("sides") == both, ~F.col("behind")
+    of = lambda side: F.col("sides") == side
+
+    def placed(df: DataFrame) -> DataFrame:
+        """One row per pair and commit: best (a result) or due (its parents are next), or neither (it waits)."""
+        # one shuffle by the pair serves the grouping and the windows
+        one = df.repartition("repo", "head", "base").groupBy(*key).agg(F.bit_or("sides").alias("sides"), F.max("behind").alias("behind"), F.max("generation").alias("generation"))
+        tops = [F.max(F.when(of(side) | common, F.col("generation"))).over(pair).alias(name) for side, name in ((HEAD, "top_head"), (BASE, "top_base"))]
+        alone = F.max(of(HEAD) & open_).over(pair) & F.max(of(BASE) & open_).over(pair)
+        lowest = F.min(F.when(common & open_, F.col("generation"))).over(pair)
+        one = one.select("*", *tops, alone.alias("alone"), lowest.alias("lowest")).withColumn("top", F.greatest("top_head", "top_base"))
+        goes = F.col("alone") | F.coalesce(F.col("lowest") < F.col("top"), F.lit(False))
+        passed = F.col("generation") >= F.when(of(HEAD), F.col("top_base")).when(of(BASE), F.col("top_head")).otherwise(F.col("top"))
+        best = common & open_ & (F.col("generation") == F.col("top"))
+        return one.select(*key, "sides", "behind", "generation", best.alias("best"), goes.alias("goes"), (goes & passed).alias("due")).where("best OR goes")
+
+    now, path = written(placed(rows)), scratch(commits.sparkSession)
     while True:
-        # common commits at the floor or below wait: a later, lower floor can still call for them
-        floor = seen.where(f"sides = {both} AND NOT behind").groupBy("repo", "head", "base").agg(F.min("generation").alias("floor"))
-        due = F.col("fresh") & ((F.col("sides") != both) | (F.col("generation") > F.coalesce("floor", "generation")))
-        now = written(seen.join(floor, ["repo", "head", "base"], "left").withColumn("due", due).drop("floor"))
+        now.where("best").select(*key).write.mode("append").parquet(path)
         if now.where("due").isEmpty():
             break
-        up = now.where("due").join(commits.select("repo", "commit", "parents"), ["repo", "commit"])
-        up = up.select("repo", "head", "base", F.explode("parents").alias("commit"), "sides", (F.col("sides") == both).alias("behind")).join(known, ["repo", "commit"])
-        old = now.select(*key, "sides", "behind", "generation", (F.col("fresh") & ~F.col("due")).alias("fresh"), F.lit(True).alias("old"))
-        after = old.unionByName(up.select(*key, "sides", "behind", "generation", F.lit(False).alias("fresh"), F.lit(False).alias("old")))
-        was = lambda c, none: F.coalesce(F.max(F.when(F.col("old"), F.col(c))), F.lit(none))
-        changed = (F.bit_or("sides") != was("sides", 0)) | (F.max("behind") != was("behind", False))
-        seen = written(after.groupBy(*key).agg(F.bit_or("sides").alias("sides"), F.max("behind").alias("behind"), F.max("generation").alias("generation"), (F.max("fresh") | changed).alias("fresh")))
-    return now.where(f"sides = {both} AND NOT behind").select(*key)
+        up = now.where("due").join(links, ["repo", "commit"]).select("repo", "head", "base", "up.commit", "sides", common.alias("behind"), "up.generation")
+        waiting = now.where("goes AND NOT due").select("repo", "head", "base", "commit", "sides", "behind", "generation")
+        now = written(placed(up.union(waiting)))
+    return now.sparkSession.read.schema(now.select(*key).schema).parquet(path)
 
 
 def merge_base(commits: DataFrame, tips: DataFrame) -> DataFrame:

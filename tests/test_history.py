@@ -68,6 +68,31 @@ def test_merge_bases_of_random_graphs(spark):
     assert set(one) == {x[:3] for x in want} and {(*k, c) for k, c in one.items()} <= want
 
 
+def test_merge_bases_read_commits_once_and_stop_early(spark, monkeypatch):
+    """Commits are computed once, however many rounds; a pair whose one side has ended takes no more of them. Generations with gaps."""
+    rng = random.Random(6)
+    rows, tips, want = [("deep", f"c{i}", [f"c{i - 1}"] if i else [], i) for i in range(30)] + [("deep", "root", [], 40)], [("deep", "c29", "root")], set()
+    for g in range(40):
+        parents = {str(i): sorted({str(rng.randrange(max(0, i - 5), i)) for _ in range(rng.choice([1, 2, 3]))}) if i and rng.random() > 0.1 else [] for i in range(12)}
+        rows += [(f"g{g}", c, ps, 3 * int(c)) for c, ps in parents.items()]
+        for _ in range(5):
+            a, b = rng.choice(list(parents)), rng.choice(list(parents))
+            tips.append((f"g{g}", a, b))
+            want |= {(f"g{g}", a, b, c) for c in bases_plainly(parents, a, b)}
+    read, tables = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema, keep = "repo string, commit string, parents array<string>, generation int", history.written
+    monkeypatch.setattr(history, "written", lambda df: tables.append(1) or keep(df))
+    commits = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    assert set(map(tuple, history.merge_bases(commits, spark.createDataFrame(tips, "repo string, head string, base string")).collect())) == want
+    assert read.value == len(rows) and len(tables) < 20
+
+
 def test_branch_changes(spark):
     commits = spark.createDataFrame([("r", "0", [], 1), ("r", "1", ["0"], 2), ("r", "2", ["1"], 3), ("r", "3", ["1"], 3), ("r", "9", [], 1)], "repo string, commit string, parents array<string>, generation int")
     files = {"1": {"a": "1", "b": "1"}, "2": {"a": "2", "b": "1"}, "3": {"a": "1", "b": "3", "c": "1"}, "9": {"z": "7"}}
