@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Block, blocks, materialize, mix, pick, powers
+from .textcore import Block, blocks, materialize, mix, pick, powers, release
 
 LEAST_WORDS = 25
 LEAST_CHARS = 250
@@ -108,6 +108,11 @@ def repeated_units(docs: DataFrame, words: int = LEAST_WORDS, chars: int = LEAST
     Places without doc_id come last. Rows that repeat both doc_id and text are one place and give equal rows; of texts
     that share a doc_id, the one with the lesser hash is earlier. Null and empty texts have no units.
     """
+    return _repeats(docs, words, chars)[0]
+
+
+def _repeats(docs: DataFrame, words: int, chars: int) -> tuple[DataFrame, list[DataFrame]]:
+    """repeated_units, and the tables that it reads."""
     source = _rows(docs).where("text IS NOT NULL")
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -118,16 +123,21 @@ def repeated_units(docs: DataFrame, words: int = LEAST_WORDS, chars: int = LEAST
             columns = [part.column("doc_id").take(owner), part.column("h").take(owner), *[pa.array(x.astype(np.int32)) for x in (start, end)], pa.array(d1.view(np.int64)), pa.array((d2 >> np.uint64(32)).astype(np.uint32).view(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "start", "end", "d1", "d2"])
 
+    def first_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in blocks(batches, "text", BLOCK_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(units(block, words, chars)[3].view(np.int64))], ["d1"])
+
     # read twice rather than written down: the same text gives the same units
     found = source.mapInArrow(digested, f"doc_id {kind}, h long, start int, end int, d1 long, d2 int")
     # the places of units that occur once, most of all, move only once and never into the search for the first place
-    several = found.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
-    shared = materialize(found.join(materialize(several), ["d1", "d2"]))
+    # half a digest does to find them, since whole digests decide what is equal
+    several = materialize(source.select("text").mapInArrow(first_halves, "d1 long").groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), tidy=True)
+    shared = materialize(found.join(several, "d1"), tidy=True)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "start")
     # written down, so that the join below is of plain shuffles, whose hot keys are split
-    firsts = materialize(shared.groupBy("d1", "d2").agg(F.min(place).alias("first")))
+    firsts = materialize(shared.groupBy("d1", "d2").agg(F.min(place).alias("first")), tidy=True)
     later = shared.join(firsts, ["d1", "d2"]).where(place != F.col("first"))
-    return later.select("doc_id", "h", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    return later.select("doc_id", "h", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), [several, shared, firsts]
 
 
 def dedup_lines(docs: DataFrame, words: int = LEAST_WORDS, chars: int = LEAST_CHARS) -> DataFrame:
@@ -137,15 +147,18 @@ def dedup_lines(docs: DataFrame, words: int = LEAST_WORDS, chars: int = LEAST_CH
     others keep only what is in no unit. Everything else is kept byte by byte.
     """
     rows, kind = _rows(docs), "array<struct<start:int,end:int>>"
-    found = repeated_units(docs, words, chars).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    repeats, tables = _repeats(docs, words, chars)
+    found = repeats.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     found = found.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "spans")
 
     def unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("k"), union(batch.column("spans"))], ["d", "k", "spans"])
 
-    spans = materialize(found.mapInArrow(unions, f"d {found.schema['d'].dataType.simpleString()}, k long, spans {kind}"))
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
+    spans = materialize(found.mapInArrow(unions, f"d {found.schema['d'].dataType.simpleString()}, k long, spans {kind}"), tidy=True)
+    release(*tables)
+    # a merge at all sizes: a broadcast where spans are few only makes disk and memory jump where they are not
+    joined = rows.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
     joined = joined.select("doc_id", "text", F.coalesce("spans", F.lit([]).cast(kind)).alias("removed"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -849,6 +849,19 @@ def test_unions_of_many_spans():
     assert len(gone) == 64_000 and lines.without("abcdefghij" * 64_000, gone) == "fghij" * 64_000
 
 
+def test_lines_keep_one_table_and_one_plan(spark):
+    """What finding repeats took is gone when texts are cut, and few spans are merged as many are, not broadcast."""
+    import glob
+
+    tables = lambda: set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/sparkloom-*"))
+    before, text = tables(), "a passage of words that is long enough to count as one unit, " * 9
+    left = lines.dedup_lines(spark.createDataFrame([(i, text + f"own {i}") for i in range(3)], "doc_id long, text string"))
+    assert len(tables() - before) == 1
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert [bool(r.removed) for r in left.orderBy("doc_id").collect()] == [True, True, True]
+
+
 def test_lines_rows(spark):
     text = " ".join(f"word{i}." for i in range(30))
     rows = [(5, text), (5, text), (5, text + " more."), (7, text), (None, text), (None, text + " less,"), (8, None), (9, "")]
